@@ -21,3 +21,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+ORACLES["op5_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
+r AS (SELECT *, cap / w AS ratio FROM w),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - (sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cap))
+  / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM r),
+t AS (SELECT source, source_size, coalesce(least(cap, max(CASE WHEN ratio > share THEN share END) OVER () * w), cap) AS target FROM l),
+q AS (SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT doc_id, source, size, k, turn, CAST(turn * source_size + upto AS DOUBLE) / target AS finish FROM q, (SELECT unnest(range(3)) AS turn) WHERE size > 0 AND target > 0),
+c AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, turn, k, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM e),
+n AS (SELECT doc_id, count(*) AS times FROM c WHERE through <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken FROM q LEFT JOIN n USING (doc_id)
+"""
