@@ -52,9 +52,9 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("long") / F.lit(HASH_SPACE // buckets)).cast("int")
 
 
-def buckets_for(rows: int, each: int = 50_000) -> int:
+def buckets_for(rows: int, each: int = 4000) -> int:
     """A power of two of buckets, of about `each` rows."""
-    n = 16
+    n = 64
     while n < HASH_SPACE and rows > n * each:
         n *= 2
     return n

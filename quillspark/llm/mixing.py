@@ -62,7 +62,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, seed: str = "mix", id_c
     turns = turns.withColumn("finish", F.col("upto").cast("double") / F.col("target"))
     row = slim.agg(F.sum("size").alias("budget"), F.count("*").alias("n")).first()
     budget, bins = row.budget or 0, max(64, min(1 << 20, row.n // 500))
-    turns = turns.withColumn("bin", F.floor(F.col("finish") * bins).cast("long"))
+    turns = turns.withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(2.0)) * bins).cast("long"))
     filled = turns.groupBy("bin").agg(F.sum("size").alias("s")).withColumn("through", F.sum("s").over(Window.orderBy("bin")))
     last = filled.where(F.col("through") > budget).orderBy("bin").select("bin", (F.col("through") - F.col("s")).alias("before")).first()
     if last is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .mixing import mix
+from .quality import judge
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -26,7 +27,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
 }
