@@ -38,3 +38,37 @@ c AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, turn, k, siz
 n AS (SELECT doc_id, count(*) AS times FROM c WHERE through <= (SELECT sum(size) FROM d) GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken FROM q LEFT JOIN n USING (doc_id)
 """
+
+
+def _secrets() -> str:
+    """Positions as in secrets.py; the entropy of each window is taken afresh."""
+    from .secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, WEIGHTS, WIDTH, most
+
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def found(name: str, pattern: str, group: int) -> str:
+        return f"""{name} AS (SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s, m[i] AS m, v[i] AS v FROM (
+  SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {q(pattern)}) AS m, regexp_extract_all(t, {q(pattern)}, {group}) AS v, regexp_split_to_array(t, {q(pattern)}) AS g FROM d WHERE regexp_matches(t, {q(pattern)}))))"""
+
+    parts = [found("m0", ASSIGN, 2), found("m1", ACCESS, 0), found("m2", HEX, 0)]
+    parts.append("""base AS (SELECT doc_id, s, 0 AS k, s + length(m) AS e, 'assign' AS kind FROM m0 WHERE length(v) >= 6
+  UNION ALL SELECT doc_id, s, 1, s + length(m), 'access' FROM m1 WHERE length(m) >= 20 UNION ALL SELECT doc_id, s, 2, s + length(m), 'hex' FROM m2)""")
+    unions = []
+    for n, (kind, (pattern, threshold)) in enumerate(CLASSES.items()):
+        parts.append(found(f"c{n}", pattern, 0))
+        extra = " AND NOT regexp_matches(m, '^[0-9A-Fa-f]*$')" if kind == "text_entropy" else ""
+        parts.append(f"""w{n} AS (SELECT doc_id, s, i, ch, count(*) AS c FROM (SELECT doc_id, s, i, unnest(string_split(m[i + 1 : i + {WIDTH}], '')) AS ch FROM (
+  SELECT doc_id, s, m, unnest(range(0, length(m) - {WIDTH - 1})) AS i FROM c{n} WHERE NOT regexp_matches(m, {q(ALLOWED)}){extra})) GROUP BY ALL)""")
+        parts.append(f"""x{n} AS (SELECT doc_id, s + min(i) AS s, {3 + n} AS k, s + max(i) + {WIDTH} AS e, '{kind}' AS kind FROM (
+  SELECT doc_id, s, i, sum({WEIGHTS}[c + 1]) AS weight FROM w{n} GROUP BY ALL) q WHERE weight <= {most(threshold)} GROUP BY doc_id, q.s)""")
+        unions.append(f"SELECT * FROM x{n} x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)")
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\n" + ",\n".join(parts) + f""",
+a AS (SELECT * FROM base UNION ALL {' UNION ALL '.join(unions)}),
+j AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)"""
+
+
+ORACLES["op2_secrets"] = _secrets()

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .mixing import mix
 from .quality import judge
+from .secrets import digest, scan
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -22,6 +23,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_read(spark, sf_dir, "documents"), carry=["doc_id"]).withColumn("base", F.filter("secrets", lambda x: x["kind_no"] < 3))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -34,6 +45,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_secrets": op2_secrets,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
 }
