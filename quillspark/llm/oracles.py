@@ -72,3 +72,15 @@ FROM d LEFT JOIN j USING (doc_id)"""
 
 
 ORACLES["op2_secrets"] = _secrets()
+
+ORACLES["op10_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, i, l[i] AS line, CAST('0x' || substr(md5(l[i]), 1, 8) AS BIGINT) AS code FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
+e AS (SELECT *, (code + 31 * coalesce(lag(code) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS ends FROM u),
+c AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+g AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, c),
+r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, body ORDER BY doc_id, c) > 1 AS gone FROM g)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .linededup import dedup_lines
 from .mixing import mix
 from .quality import judge
 from .secrets import digest, scan
@@ -43,9 +44,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
