@@ -12,6 +12,7 @@ from .linededup import dedup_lines
 from .mixing import mix
 from .quality import judge
 from .secrets import digest, scan
+from .toxicity import score
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -44,6 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -54,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
