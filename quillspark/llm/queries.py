@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .jaccard import link
 from .linededup import dedup_lines
 from .mixing import mix
 from .quality import judge
@@ -35,6 +36,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(_read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -57,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op9_toxicity": op9_toxicity,
