@@ -84,3 +84,13 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (g
   sha256(coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM n SEMI JOIN (SELECT win FROM n GROUP BY win HAVING count(*) > 1) USING (win)),
+u AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+m AS (SELECT u.doc_id, u.i, word, coalesce(u.i - r.i < 35, false) AS gone FROM u ASOF LEFT JOIN r ON u.doc_id = r.doc_id AND u.i >= r.i),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -13,6 +13,7 @@ from .linededup import dedup_lines
 from .mixing import mix
 from .quality import judge
 from .secrets import digest, scan
+from .substring import dedup_substrings
 from .toxicity import score
 from .oracles import ORACLES  # noqa: F401
 
@@ -50,6 +51,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_substrings(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), carry=["doc_id"])
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
