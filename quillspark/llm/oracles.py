@@ -94,3 +94,15 @@ m AS (SELECT u.doc_id, u.i, word, coalesce(u.i - r.i < 35, false) AS gone FROM u
 g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
 """
+
+ORACLES["op8_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS win FROM (SELECT doc_id, h, unnest(range(0, CAST(strlen(h) / 2 AS BIGINT) - 99)) AS i FROM d WHERE strlen(h) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM n) WHERE k > 1),
+u AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, CAST(strlen(h) / 2 AS BIGINT))) AS i FROM d)),
+m AS (SELECT u.doc_id, u.i, b, coalesce(u.i - r.i < 100, false) AS gone FROM u ASOF LEFT JOIN r ON u.doc_id = r.doc_id AND u.i >= r.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM m),
+g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -14,6 +14,7 @@ from .mixing import mix
 from .quality import judge
 from .secrets import digest, scan
 from .substring import dedup_substrings
+from .suffixes import dedup_suffixes
 from .toxicity import score
 from .oracles import ORACLES  # noqa: F401
 
@@ -56,6 +57,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_suffixes(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), carry=["doc_id"])
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -81,10 +81,10 @@ def segments(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
 
 
 def searched(found: DataFrame, search: Callable, name: str) -> DataFrame:
-    """c1, c2 and runs of windows (from, to) of each distinct segment, as `search` finds them shard by shard.
+    """c1, c2, first and runs (first window, count, ...) of each distinct segment, as `search` finds them by shard.
 
     search takes an Arrow table of a shard's distinct segments (minimizer, c1, c2, n, first, content), in a fixed order,
-    and returns a list of runs for each.
+    and returns a list of runs for each. first is the place, (id, tie, start), of the earliest occurrence.
     """
     place = F.struct("id", "tie", "start")
     distinct = found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("content").alias("content"))
@@ -95,16 +95,27 @@ def searched(found: DataFrame, search: Callable, name: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("minimizer", "ascending"), ("c1", "ascending"), ("c2", "ascending")])
         runs = search(table)
-        return pa.table({"c1": table.column("c1"), "c2": table.column("c2"), "runs": pa.array(runs, pa.list_(pa.int64()))})
+        return pa.table({"c1": table.column("c1"), "c2": table.column("c2"), "first": table.column("first"), "runs": pa.array(runs, pa.list_(pa.int64()))})
 
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)))
-    return keep(sharded.groupBy("shard").applyInArrow(run, "c1 long, c2 long, runs array<bigint>"), f"{name}-runs")
+    schema = T.StructType([*[distinct.schema[c] for c in ("c1", "c2", "first")], T.StructField("runs", T.ArrayType(T.LongType()))])
+    return keep(sharded.groupBy("shard").applyInArrow(run, schema), f"{name}-runs")
 
 
-def covered(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """_id, _tie and spans, an array of (unit, windows), of every occurrence of the runs (pairs: first window, count)."""
+def covered(found: DataFrame, runs: DataFrame, later: bool = False) -> DataFrame:
+    """_id, _tie and spans, an array of (unit, windows), of every occurrence of the runs.
+
+    With later, the runs are those of a segment's first occurrence, and of all others every window counts.
+    """
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("count")))
-    hit = found.select("c1", "c2", "id", "tie", "start").join(runs.where(F.size("runs") > 0), ["c1", "c2"]).select("id", "tie", pairs.alias("spans"))
+    pairs = F.when(F.size("runs") > 0, pairs).otherwise(F.array().cast("array<struct<at:bigint,count:bigint>>"))
+    if later:
+        joined = found.select("c1", "c2", "id", "tie", "start", "windows").join(runs, ["c1", "c2"])
+        again = ~F.struct("id", "tie", "start").eqNullSafe(F.col("first"))
+        pairs = F.when(again, F.array(F.struct(F.col("start").alias("at"), F.col("windows").alias("count")))).otherwise(pairs)
+    else:
+        joined = found.select("c1", "c2", "id", "tie", "start").join(runs.where(F.size("runs") > 0).drop("first"), ["c1", "c2"])
+    hit = joined.select("id", "tie", pairs.alias("spans")).where(F.size("spans") > 0)
     return hit.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
