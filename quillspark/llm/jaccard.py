@@ -5,8 +5,9 @@ joined. If two sets are similar enough, then in any fixed order of all shingles
 what shares a prefix shingle, cut into bands by the sizes that can be similar at all. The order puts shingles that many
 documents hold last; where they come from is only a matter of speed.
 
-Each class carries a bitmap of BITS bits: the parity of its shingles by hashed position. Where two bitmaps differ, the
-sets do, so the count of such bits bounds their overlap from above. Pairs that pass are verified on the sorted arrays.
+Each class has a bitmap of four bits and more a shingle, and one folded from it to BITS bits: the parity of its shingles
+by hashed position. Where two bitmaps differ, the sets do, so the count of such bits bounds their overlap from above.
+Pairs that pass the narrow and then the wide ones are verified on the sorted arrays.
 
 A tile of many near copies must not become all its pairs. First each class of a tile is only paired with the tile's
 first one; what these pairs link is merged. Then only tiles which still hold several components are joined, and only
@@ -32,6 +33,7 @@ SHINGLE = 5
 PERCENT = 80
 LONGS = 8
 BITS = 64 * LONGS
+NARROW = [f"b{k}" for k in range(LONGS)]
 #: Shingles of at least so many documents within one slice of text may be common; so many of them are told apart.
 LOCAL = 4
 COMMON = 500_000
@@ -57,10 +59,19 @@ def class_of(members: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """The bitmap, as LONGS longs."""
-    odd = np.bincount((mix(members ^ np.uint64(0x2545F491)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(members: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """The bitmap: per hashed position, whether an odd number of members falls on it. Four bits and more a member."""
+    bits = bits or max(BITS, 4 << (len(members) - 1).bit_length())
+    odd = np.bincount((mix(members ^ np.uint64(0x2545F491)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(bitmap: np.ndarray, longs: int) -> np.ndarray:
+    """The bitmap of the same set at fewer bits: positions are the low bits of a hash, so halves fold onto each other."""
+    while len(bitmap) > longs:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -113,7 +124,7 @@ def _common(described: DataFrame) -> Order:
     return Order(rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy())
 
 
-def _tiles(order, with_class: bool):
+def _tiles(order):
     def emit(batch: pa.RecordBatch, wanted: Wanted | None = None) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             found = sets(part.column("text"))
@@ -125,36 +136,68 @@ def _tiles(order, with_class: bool):
                 continue
             held = wanted(values, rows)
             values, rows = values[held], rows[held]
-            used, which = np.unique(rows, return_inverse=True)
-            maps = np.stack([parity(found[i]) for i in used.tolist()]) if len(used) else np.empty((0, LONGS), np.int64)
-            sizes = np.array([len(found[i]) for i in used.tolist()], np.int64)
-            names = np.array([class_of(found[i]) for i in used.tolist()], np.int64)
-            columns = [pa.array(values.view(np.int64)), pa.array(names[which]), pa.array(sizes[which]), *[pa.array(maps[which, k]) for k in range(LONGS)]]
-            yield pa.RecordBatch.from_arrays(columns, ["shingle", "class", "n", *[f"b{k}" for k in range(LONGS)]])
+            names = np.zeros(len(found), np.int64)
+            for i in np.unique(rows).tolist():
+                names[i] = class_of(found[i])
+            sizes = np.array([len(s) for s in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(names[rows]), pa.array(sizes[rows])], ["shingle", "class", "n"])
 
     return emit
 
 
-def _classes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, "text"):
-        yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets(part.column("text"))], pa.int64())], ["hash"])
+def _keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([batch.column("key")], ["hash"])
+
+
+def _of_classes(describe):
+    """describe(sets, classes) of the documents whose keys are wanted; no others are read."""
+
+    def emit(batch: pa.RecordBatch, wanted: Wanted) -> Iterator[pa.RecordBatch]:
+        mine = wanted(batch.column("key").to_numpy(), np.arange(batch.num_rows))
+        for part in slices(batch.filter(pa.array(mine)), "text"):
+            found = sets(part.column("text"))
+            yield describe(found, pa.array([class_of(s) for s in found], pa.int64()))
+
+    return emit
+
+
+def _bitmaps(found: list[np.ndarray], names: pa.Array) -> pa.RecordBatch:
+    wide = [parity(s) for s in found]
+    narrow = np.stack([fold(x, LONGS) for x in wide]).view(np.int64) if wide else np.empty((0, LONGS), np.int64)
+    return pa.RecordBatch.from_arrays([names, *[pa.array(narrow[:, k]) for k in range(LONGS)], pa.array([x.tobytes() for x in wide], pa.binary())], ["class", *NARROW, "wide"])
+
+
+def _arrays(found: list[np.ndarray], names: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names, pa.array([s.tobytes() for s in found], pa.binary())], ["class", "members"])
 
 
-def _members(batch: pa.RecordBatch, wanted: Wanted) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, "text"):
-        found = sets(part.column("text"))
-        names = np.array([class_of(s) for s in found], np.int64)
-        _, single = np.unique(names, return_index=True)
-        which = single[wanted(names[single], single)].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(names[which]), pa.array([found[i].tobytes() for i in which], pa.binary())], ["class", "members"])
+def _sizes(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes allow a link."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and bitmaps let the overlap reach what the pair needs."""
-    differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))).cast("long") for k in range(LONGS)), F.lit(0))
+def _overlap(a: str, b: str, percent: int) -> Column:
+    """Whether the narrow bitmaps let the overlap reach what a link needs."""
+    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))).cast("long") for k in NARROW), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return sizes & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+
+
+def _near(percent: int):
+    """The pairs (a, b, n, m, x, y) whose wide bitmaps let the overlap reach what a link needs."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for n, m, x, y in zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                longs = min(len(p), len(q))
+                differ = int(np.bitwise_count(fold(p, longs) ^ fold(q, longs)).sum())
+                near.append((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
 
 
 def _verify(percent: int):
@@ -173,13 +216,22 @@ def _verify(percent: int):
     return run
 
 
-def _links(slim: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough."""
+def _described_classes(slim: DataFrame, classes: DataFrame, wanted: DataFrame, describe, schema: T.StructType, name: str) -> DataFrame:
+    """What describe() makes of the sets of the wanted classes, by one document of each."""
+    keys = keep(classes.join(wanted, "class", "left_semi").select(F.col("key").alias("hash")), f"{name}-keys")
+    return keep(second_pass(slim, keys, _keys, _of_classes(describe), schema), name)
+
+
+def _links(slim: DataFrame, classes: DataFrame, maps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar enough: first by wide bitmaps, then by the sorted arrays."""
     pairs = keep(pairs, "pairs")
-    nodes = keep(pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct(), "nodes")
-    found = second_pass(slim, nodes, _classes, _members, T.StructType([T.StructField("class", T.LongType()), T.StructField("members", T.BinaryType())]))
-    found = keep(found.groupBy("class").agg(F.first("members").alias("members")), "members")
-    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+    wide = maps.join(classes, "class").select("class", "n", "wide")
+    both = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
+    near = keep(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near(percent), "a long, b long"), "near")
+    nodes = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("members", T.BinaryType())])
+    found = _described_classes(slim, classes, nodes, _arrays, schema, "members")
+    both = near.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
     return keep(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
@@ -194,29 +246,36 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     mine = ["n_shingles", "component_id", "is_first"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
     named = identified(docs, id_col, text_col, carry)
-    slim = named.select("id", "tie", "text")
+    slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
     spark = docs.sparkSession
     fields = [T.StructField("id", slim.schema["id"].dataType), *[T.StructField(x, T.LongType()) for x in ("tie", "n", "class", "shingle")]]
     described = keep(slim.mapInArrow(_described, T.StructType(fields)), "described")
     order = spark.sparkContext.broadcast(_common(described))
     described = described.where("shingle is null")
-
-    shared = repeated_hashes(slim, _tiles(order, False), "shingles")
-    names = ["shingle", "class", "n", *[f"b{k}" for k in range(LONGS)]]
-    tiles = second_pass(slim, shared, _tiles(order, False), _tiles(order, True), T.StructType([T.StructField(x, T.LongType()) for x in names]))
-    tiles = keep(tiles.groupBy("shingle", "class").agg(*[F.first(x).alias(x) for x in names[2:]]), "tiles")
-
-    heads = tiles.groupBy("shingle").agg(F.min_by(F.struct(*names[1:]), "class").alias("h"), F.count("*").alias("many")).where("many > 1").select("shingle", "h.*")
-    star = tiles.alias("p").join(heads.alias("q"), "shingle").where((F.col("p.class") > F.col("q.class")) & _possible("p", "q", percent))
-    links = _links(slim, star.select(F.col("q.class").alias("a"), F.col("p.class").alias("b")).distinct(), percent)
+    classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min(F.struct("id", "tie")).alias("r"))
+    classes = keep(classes.select("class", "n", F.xxhash64("r.id", "r.tie").alias("key")), "classes")
+
+    shared = repeated_hashes(slim, _tiles(order), "shingles")
+    tiles = second_pass(slim, shared, _tiles(order), _tiles(order), T.StructType([T.StructField(x, T.LongType()) for x in ("shingle", "class", "n")]))
+    tiles = tiles.groupBy("shingle", "class").agg(F.first("n").alias("n"))
+    # Only tiles of several classes; most repeated shingles are those of copies of one.
+    tiles = keep(tiles, "tiles")
+    heads = tiles.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("h"), F.count("*").alias("many")).where("many > 1").select("shingle", "h.*")
+    tiles = keep(tiles.alias("p").join(heads.select("shingle", F.col("class").alias("head"), F.col("n").alias("head_n")), "shingle"), "shared-tiles")
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("class", *NARROW)] + [T.StructField("wide", T.BinaryType())])
+    maps = _described_classes(slim, classes, tiles.select("class").distinct(), _bitmaps, schema, "bitmaps")
+
+    fits = (100 * F.col("n") >= percent * F.col("head_n")) & (100 * F.col("head_n") >= percent * F.col("n"))
+    star = tiles.where((F.col("class") > F.col("head")) & fits).select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    links = _links(slim, classes, maps, star, percent)
     merged = keep(components(links), "merged")
 
-    placed = tiles.join(merged, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    placed = tiles.select("shingle", "class", "n").join(merged, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    open_ = keep(placed.join(mixed, "shingle", "left_semi"), "open")
-    rest = open_.alias("p").join(open_.alias("q"), "shingle").where((F.col("p.root") < F.col("q.root")) & _possible("p", "q", percent))
+    open_ = keep(placed.join(mixed, "shingle", "left_semi").join(maps.drop("wide"), "class"), "open")
+    rest = open_.alias("p").join(open_.alias("q"), "shingle").where((F.col("p.root") < F.col("q.root")) & _sizes("p", "q", percent) & _overlap("p", "q", percent))
     pairs = rest.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
-    more = _links(slim, pairs, percent)
+    more = _links(slim, classes, maps, pairs, percent)
     roots = keep(components(links.union(more)), "roots") if more.take(1) else merged
 
     rooted = described.join(roots, F.col("class") == F.col("node"), "left").select("id", "tie", "n", F.when(F.col("n") > 0, F.coalesce("root", "class")).alias("root"))

@@ -71,7 +71,7 @@ def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.Record
                     n = found.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(row.column("id").to_pylist() * n, row.schema.field("id").type), pa.array(row.column("tie").to_pylist() * n, pa.int64()), found.column("hash")], ["id", "tie", "hash"])
 
-    slim = docs.select("id", "tie", "text")
+    slim = docs
     named = slim.mapInArrow(name, T.StructType([slim.schema["id"], slim.schema["tie"], T.StructField("hash", T.LongType())]))
     mine = named.join(repeated, "hash", "left_semi").groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set("hash").alias("pool"))
     joined = docs.join(mine, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).drop("_id", "_tie")
