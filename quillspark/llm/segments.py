@@ -18,20 +18,34 @@ from pyspark.sql import types as T
 
 from .common import keep
 from .repeats import Wanted, repeated_hashes, second_pass
-from .textbatch import Prefix, sliding, slices, winnow
+from .textbatch import Prefix, mix, ranges, sliding, slices, winnow
 
+#: Bytes of text worked on at once.
+SLICE = 256 << 10
 #: What each task's shard holds, in bytes of segments, about.
 SHARD = 4 << 20
+PLACED = ["minimizer", "c1", "c2", "id", "tie", "start"]
 _CONTENT = 0xC2B2AE3D27D4EB4F
 _CONTENT_2 = 0x165667B19E3779F9
 
 
 class Units:
-    """What a text is cut into: keys (a hash of the k-gram at each unit), room (units left in the text), owner, bytes."""
+    """What texts are cut into: words or bytes.
 
-    def __init__(self, keys: np.ndarray, room: np.ndarray, owner: np.ndarray, k: int, first: np.ndarray, content: Callable):
-        self.keys, self.owner, self.first, self.content = keys, owner, first, content
-        self.valid = room[: len(keys)] >= k
+    keys: a hash of the k-gram at each unit, first: index of each text's first unit and, last, their number, content:
+    bytes and offsets of runs (start, end) of units.
+    """
+
+    def __init__(self, keys: np.ndarray, k: int, first: np.ndarray, content: Callable):
+        self.keys, self.first, self.content = keys, first, content
+        self.valid = np.ones(len(keys), bool)
+        tail = np.maximum(first[1:] - k + 1, first[:-1])
+        over = ranges(tail, first[1:] - tail)
+        self.valid[over[over < len(keys)]] = False
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """The text of each unit."""
+        return np.searchsorted(self.first, at, "right") - 1
 
 
 def cut(units: Units, w: int, wanted: Wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,66 +54,107 @@ def cut(units: Units, w: int, wanted: Wanted) -> tuple[np.ndarray, np.ndarray, n
         empty = np.empty(0, np.int64)
         return empty, empty, empty.view(np.uint64)
     least, whole = sliding(units.keys, w), sliding(units.valid, w)
-    where = np.flatnonzero(whole)
-    good = np.zeros(len(least), bool)
-    good[where] = wanted(least[where], units.owner[where])
-    new = good.copy()
-    new[1:] &= ~(good[:-1] & (least[1:] == least[:-1]))
-    end = good.copy()
-    end[:-1] &= ~(good[1:] & (least[1:] == least[:-1]))
-    start = np.flatnonzero(new)
-    return start, np.flatnonzero(end) + 1 - start, least[start]
-
-
-def segments(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, name: str) -> DataFrame:
-    """minimizer, c1, c2 (a hash of the content), id, tie, start (a unit), windows and content of repeated segments."""
-    w = span - k + 1
-
-    def anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text"):
+    edge = np.ones(len(least) + 1, bool)
+    edge[1:-1] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    good = whole[start]
+    start, end = start[good], end[good]
+    good = wanted(least[start], units.owner(start))
+    start, end = start[good], end[good]
+    return start, end - start, least[start]
+
+
+def _anchors(units_of: Callable[[pa.Array], Units], w: int, by_document: bool):
+    """The minimizers of a batch's documents; or, by_document, hashes of each with its document's key."""
+
+    def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "text", SLICE):
             units = units_of(part.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(units.keys[winnow(units.keys, units.valid, w)].view(np.int64))], ["hash"])
+            at = np.flatnonzero(winnow(units.keys, units.valid, w))
+            values = units.keys[at]
+            if by_document:
+                values = _with_key(values, part, units.owner(at))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["hash"])
+
+    return emit
+
+
+def _with_key(minimizers: np.ndarray, batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
+    return mix(minimizers ^ mix(batch.column("key").to_numpy().view(np.uint64)[rows]))
+
+
+def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: bool):
+    """Segments whose minimizer is wanted, without their content; or with it, if wanted for their document."""
 
     def emit(batch: pa.RecordBatch, wanted: Wanted) -> Iterator[pa.RecordBatch]:
         begin = 0
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             units = units_of(part.column("text"))
-            start, windows, least = cut(units, w, lambda values, rows, at=begin: wanted(values, rows + at))
+            if content:
+                start, windows, least = cut(units, span - k + 1, lambda values, rows, at=begin, part=part: wanted(_with_key(values, part, rows), rows + at))
+            else:
+                start, windows, least = cut(units, span - k + 1, lambda values, rows, at=begin: wanted(values, rows + at))
             data, offsets = units.content(start, start + windows + span - 1)
             runs = [Prefix(data.astype(np.uint64) + np.uint64(1), base).runs(offsets[:-1], offsets[1:]).view(np.int64) for base in (_CONTENT, _CONTENT_2)]
-            owner = units.owner[start]
+            owner = units.owner(start)
             rows = pa.array(owner)
-            content = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-            columns = [pa.array(least.view(np.int64)), *map(pa.array, runs), part.column("id").take(rows), part.column("tie").take(rows), pa.array(start - units.first[owner]), pa.array(windows), content]
-            yield pa.RecordBatch.from_arrays(columns, ["minimizer", "c1", "c2", "id", "tie", "start", "windows", "content"])
+            columns = [pa.array(least.view(np.int64)), *map(pa.array, runs), part.column("id").take(rows), part.column("tie").take(rows), pa.array(start - units.first[owner])]
+            if content:
+                body = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*columns, body.cast(pa.binary())], [*PLACED, "content"])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(windows), pa.array(_with_key(least, part, owner).view(np.int64))], [*PLACED, "windows", "hash"])
             begin += part.num_rows
 
-    repeated = repeated_hashes(slim, anchors, f"{name}-minimizers")
-    long = lambda x: T.StructField(x, T.LongType())
-    schema = T.StructType([long("minimizer"), long("c1"), long("c2"), slim.schema["id"], slim.schema["tie"], long("start"), long("windows"), T.StructField("content", T.BinaryType())])
-    return keep(second_pass(slim, repeated, anchors, emit, schema), f"{name}-segments")
+    return emit
 
 
-def searched(found: DataFrame, search: Callable, name: str) -> DataFrame:
-    """c1, c2, first and runs (first window, count, ...) of each distinct segment, as `search` finds them by shard.
+def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, search: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+    """Every repeated segment (PLACED, windows), and by c1, c2 the first place and the runs that `search` finds.
 
-    search takes an Arrow table of a shard's distinct segments (minimizer, c1, c2, n, first, content), in a fixed order,
-    and returns a list of runs for each. first is the place, (id, tie, start), of the earliest occurrence.
+    slim: id, tie, text and key, a hash of id and tie. search takes an Arrow table of a shard's distinct segments
+    (minimizer, c1, c2, n, id, tie, start: of the first, content), in a fixed order, and returns a list of runs (first
+    window, count, ...) for each. Segments are told apart by 128 bits of their content's hash, and the content itself
+    only travels from where it first occurs, straight to its shard.
     """
-    place = F.struct("id", "tie", "start")
-    distinct = found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("content").alias("content"))
-    distinct = keep(distinct, f"{name}-distinct")
-    size = distinct.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    w = span - k + 1
+    long = lambda x: T.StructField(x, T.LongType())
+    placed = [long("minimizer"), long("c1"), long("c2"), slim.schema["id"], slim.schema["tie"], long("start")]
+    repeated = repeated_hashes(slim, _anchors(units_of, w, False), f"{name}-minimizers")
+    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([*placed, long("windows"), long("hash")]))
+    found = keep(found, f"{name}-segments")
+
+    first = F.min(F.struct("id", "tie", "start", "hash", "windows")).alias("f")
+    distinct = found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), first)
+    distinct = keep(distinct.select("minimizer", "c1", "c2", "n", "f.*"), f"{name}-distinct")
+    size = distinct.agg(F.sum(F.col("windows") + span)).first()[0] or 0
     shards = max(1, -(-size // SHARD))
+    shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
+    wanted = keep(distinct.select("hash").distinct(), f"{name}-places")
+    bodies = second_pass(slim, wanted, _anchors(units_of, w, True), _emit(units_of, span, k, True), T.StructType([*placed, T.StructField("content", T.BinaryType())]))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = _joined(left, right)
+        return pa.table({"c1": table["c1"], "c2": table["c2"], "f_id": table["id"], "f_tie": table["tie"], "f_start": table["start"], "runs": pa.array(search(table), pa.list_(pa.int64()))})
+
+    schema = T.StructType([long("c1"), long("c2"), T.StructField("f_id", slim.schema["id"].dataType), long("f_tie"), long("f_start"), T.StructField("runs", T.ArrayType(T.LongType()))])
+    by = distinct.select(shard, "minimizer", "c1", "c2", "n", "id", "tie", "start").groupBy("shard").cogroup(bodies.select(shard, "c1", "c2", "tie", "start", "content").groupBy("shard"))
+    return found, keep(by.applyInArrow(run, schema), f"{name}-runs")
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("minimizer", "ascending"), ("c1", "ascending"), ("c2", "ascending")])
-        runs = search(table)
-        return pa.table({"c1": table.column("c1"), "c2": table.column("c2"), "first": table.column("first"), "runs": pa.array(runs, pa.list_(pa.int64()))})
 
-    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)))
-    schema = T.StructType([*[distinct.schema[c] for c in ("c1", "c2", "first")], T.StructField("runs", T.ArrayType(T.LongType()))])
-    return keep(sharded.groupBy("shard").applyInArrow(run, schema), f"{name}-runs")
+def _joined(distinct: pa.Table, bodies: pa.Table) -> pa.Table:
+    """distinct in order of minimizer and content, with the content of each, from where it first occurs."""
+    distinct = distinct.sort_by([("minimizer", "ascending"), ("c1", "ascending"), ("c2", "ascending")])
+    keys = [np.stack([t[c].to_numpy() for c in ("c1", "c2", "tie", "start")]) for t in (distinct, bodies)]
+    order = np.lexsort(keys[1])
+    have = keys[1][:, order]
+    names = [mix(mix(mix(mix(x[0].view(np.uint64)) ^ x[1].view(np.uint64)) ^ x[2].view(np.uint64)) + x[3].view(np.uint64)) for x in (keys[0], have)]
+    by = np.argsort(names[1], kind="stable")
+    at = by[np.minimum(np.searchsorted(names[1][by], names[0]), len(by) - 1)] if len(by) else np.zeros(len(names[0]), np.int64)
+    if distinct.num_rows and not (len(by) and (have[:, at] == keys[0]).all()):
+        raise RuntimeError("a segment's content is missing")
+    return distinct.append_column("content", bodies["content"].combine_chunks().take(pa.array(order[at])) if len(by) else pa.array([], pa.binary()))
 
 
 def covered(found: DataFrame, runs: DataFrame, later: bool = False) -> DataFrame:
@@ -107,6 +162,7 @@ def covered(found: DataFrame, runs: DataFrame, later: bool = False) -> DataFrame
 
     With later, the runs are those of a segment's first occurrence, and of all others every window counts.
     """
+    runs = runs.withColumn("first", F.struct(F.col("f_id").alias("id"), F.col("f_tie").alias("tie"), F.col("f_start").alias("start"))).drop("f_id", "f_tie", "f_start")
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("count")))
     pairs = F.when(F.size("runs") > 0, pairs).otherwise(F.array().cast("array<struct<at:bigint,count:bigint>>"))
     if later:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .fmindex import FMIndex, matches
 from .repeats import identified
-from .segments import Units, cover, covered, searched, segments
+from .segments import Units, cover, covered, searched
 from .textbatch import NONSPACE, Words, grams, ranges, slices
 
 SPAN = 35
@@ -41,7 +41,7 @@ def _units(gram: int):
         def content(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return glue(w, ranges(start, end - start), np.concatenate(([0], np.cumsum(end - start))))
 
-        return Units(grams(w.hashes(), gram), w.room(), w.owner(), gram, w.first, content)
+        return Units(grams(w.hashes(), gram), gram, w.first, content)
 
     return of
 
@@ -87,8 +87,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_words", "n_removed", "kept")]
     named = identified(docs, id_col, text_col, carry)
-    found = segments(named.select("id", "tie", "text"), _units(gram), span, gram, "substring")
-    spans = covered(found, searched(found, _search(span, max(DEPTH, span + 1)), "substring"))
+    slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
+    spans = covered(*searched(slim, _units(gram), span, gram, _search(span, max(DEPTH, span + 1)), "substring"))
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return joined.mapInArrow(_strip(carry, span), T.StructType(fields))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .lyndon import suffix_arrays
 from .repeats import identified
-from .segments import Units, cover, covered, cut, searched, segments
+from .segments import SLICE, Units, cover, covered, cut, searched
 from .textbatch import Prefix, mix, ranges, slices, text_bytes
 
 SPAN = 100
@@ -34,13 +34,11 @@ def _level_base(level: int) -> int:
 
 
 def _byte_units(raw: np.ndarray, at: np.ndarray, gram: int, level: int = 0) -> Units:
-    size = np.diff(at)
-
     def content(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return raw[ranges(start, end - start)], np.concatenate(([0], np.cumsum(end - start)))
 
     keys = Prefix(raw.astype(np.uint64) + _ONE, _level_base(level)).windows(gram)
-    return Units(keys, np.repeat(at[1:], size) - np.arange(len(raw)), np.repeat(np.arange(len(size)), size), gram, at, content)
+    return Units(keys, gram, at, content)
 
 
 def _blocks(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +79,7 @@ def later_windows(x: Pieces, span: int, gram: int, level: int = 0) -> tuple[np.n
     heads = np.flatnonzero(np.r_[True, y.key[1:] != y.key[:-1]])
     group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(y.key)]))
     units = _byte_units(y.data, y.at, gram)
-    owner = units.owner[: len(units.keys)]
+    owner = np.repeat(np.arange(len(y.key)), y.size)[: len(units.keys)]
     places = np.bincount(owner[units.valid & (units.keys == y.least[owner])], minlength=len(y.key))
     number = np.bincount(group)
     total = np.bincount(group, y.size)
@@ -130,7 +128,7 @@ def _recut(x: Pieces, span: int, gram: int, level: int):
     """later_windows, by pieces cut by one more minimizer."""
     units = _byte_units(x.data, x.at, gram, level + 1)
     start, windows, least = cut(units, span - gram + 1, lambda values, rows: np.ones(len(values), bool))
-    parent = units.owner[start]
+    parent = units.owner(start)
     data, at = units.content(start, start + windows + span - 1)
     inner = Pieces(mix(x.key[parent] ^ mix(least + np.uint64(level))), x.least[parent], data, at, x.order[parent] + start - x.at[parent])
     piece, first, count = later_windows(inner, span, gram, level + 1)
@@ -139,18 +137,19 @@ def _recut(x: Pieces, span: int, gram: int, level: int):
 
 def _search(span: int, gram: int):
     def search(table: pa.Table) -> list[list[int]]:
-        first = table.column("first").combine_chunks()
-        place = pa.table({"id": first.field("id"), "tie": first.field("tie")})
+        place = table.select(["id", "tie", "start"]).combine_chunks()
         by = pc.sort_indices(place, sort_keys=[("id", "ascending"), ("tie", "ascending")], null_placement="at_start").to_numpy()
-        ids, ties = first.field("id").take(pa.array(by)), first.field("tie").take(pa.array(by)).to_numpy()
+        ids, ties = place["id"].combine_chunks().take(pa.array(by)), place["tie"].to_numpy()[by]
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         differs = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
         new = np.r_[False, differs | (known[1:] != known[:-1]) | (ties[1:] != ties[:-1])]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new)
+        if not len(by):
+            return []
         data, at = text_bytes(table.column("content").combine_chunks())
         least = table.column("minimizer").to_numpy().view(np.uint64)
-        x = Pieces(least, least, data, at, (rank << 40) + first.field("start").to_numpy())
+        x = Pieces(least, least, data, at, (rank << 40) + place["start"].to_numpy())
         out: list[list[int]] = [[] for _ in range(table.num_rows)]
         for piece, start, count in zip(*(c.tolist() for c in later_windows(x, span, gram)), strict=True):
             out[piece] += [start, count]
@@ -162,7 +161,7 @@ def _search(span: int, gram: int):
 def _strip(carry: list[str], span: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 raw, at = text_bytes(part.column("text"))
                 gone = cover(part.column("spans"), at, span)
                 size = np.diff(at)
@@ -189,8 +188,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = ["n_bytes", "n_removed", "n_spans", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
     named = identified(docs, id_col, text_col, carry)
-    found = segments(named.select("id", "tie", "text"), lambda column: _byte_units(*text_bytes(column), gram), span, gram, "suffixes")
-    spans = covered(found, searched(found, _search(span, gram), "suffixes"), later=True)
+    slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
+    found, runs = searched(slim, lambda column: _byte_units(*text_bytes(column), gram), span, gram, _search(span, gram), "suffixes")
+    spans = covered(found, runs, later=True)
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField(x, T.LongType()) for x in mine[:3]] + [T.StructField("kept", T.BinaryType())]
     return joined.mapInArrow(_strip(carry, span), T.StructType(fields))

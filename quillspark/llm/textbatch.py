@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _WORD_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE_2 = 0xD6E8FEB86659FD93
 _GRAM_BASE = 0xA0761D6478BD642F
@@ -122,7 +122,7 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, second: bool = False, block: int = 1 << 18) -> np.ndarray:
+    def hashes(self, second: bool = False, block: int = 1 << 15) -> np.ndarray:
         """A 64-bit hash of each word; blocks bound the memory for one long text."""
         out = np.empty(len(self.start), np.uint64)
         for a in range(0, len(out), block):
