@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import scratch, shuffled_key
 from .decontaminate import decontaminate
 from .jaccard import link
 from .linededup import dedup_lines
 from .mixing import mix
 from .quality import judge
 from .secrets import digest, scan
+from .sharding import shard
 from .substring import dedup_substrings
 from .suffixes import dedup_suffixes
 from .toxicity import score
@@ -42,6 +44,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(_read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen arrivals, by hash of the id; each document as it is read back from its shard."""
+    arrival = F.substring(shuffled_key("arrival", F.col("doc_id")), 1, 1)
+    held = shard(_read(spark, sf_dir, "documents"), scratch(spark, "shards"), arrival)
+    return held.select("doc_id", "shard", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_read(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
