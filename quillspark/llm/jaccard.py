@@ -31,7 +31,7 @@ from .textbatch import NONSPACE, Words, grams, mix, slices
 
 SHINGLE = 5
 PERCENT = 80
-LONGS = 8
+LONGS = 16
 BITS = 64 * LONGS
 NARROW = [f"b{k}" for k in range(LONGS)]
 #: Shingles of at least so many documents within one slice of text may be common; so many of them are told apart.
@@ -164,7 +164,8 @@ def _of_classes(describe):
 def _bitmaps(found: list[np.ndarray], names: pa.Array) -> pa.RecordBatch:
     wide = [parity(s) for s in found]
     narrow = np.stack([fold(x, LONGS) for x in wide]).view(np.int64) if wide else np.empty((0, LONGS), np.int64)
-    return pa.RecordBatch.from_arrays([names, *[pa.array(narrow[:, k]) for k in range(LONGS)], pa.array([x.tobytes() for x in wide], pa.binary())], ["class", *NARROW, "wide"])
+    sizes = pa.array([len(s) for s in found], pa.int64())
+    return pa.RecordBatch.from_arrays([names, sizes, *[pa.array(narrow[:, k]) for k in range(LONGS)], pa.array([x.tobytes() for x in wide], pa.binary())], ["class", "n", *NARROW, "wide"])
 
 
 def _arrays(found: list[np.ndarray], names: pa.Array) -> pa.RecordBatch:
@@ -225,7 +226,7 @@ def _described_classes(slim: DataFrame, classes: DataFrame, wanted: DataFrame, d
 def _links(slim: DataFrame, classes: DataFrame, maps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough: first by wide bitmaps, then by the sorted arrays."""
     pairs = keep(pairs, "pairs")
-    wide = maps.join(classes, "class").select("class", "n", "wide")
+    wide = maps.select("class", "n", "wide")
     both = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
     near = keep(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near(percent), "a long, b long"), "near")
     nodes = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
@@ -262,7 +263,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     tiles = keep(tiles, "tiles")
     heads = tiles.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("h"), F.count("*").alias("many")).where("many > 1").select("shingle", "h.*")
     tiles = keep(tiles.alias("p").join(heads.select("shingle", F.col("class").alias("head"), F.col("n").alias("head_n")), "shingle"), "shared-tiles")
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("class", *NARROW)] + [T.StructField("wide", T.BinaryType())])
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("class", "n", *NARROW)] + [T.StructField("wide", T.BinaryType())])
     maps = _described_classes(slim, classes, tiles.select("class").distinct(), _bitmaps, schema, "bitmaps")
 
     fits = (100 * F.col("n") >= percent * F.col("head_n")) & (100 * F.col("head_n") >= percent * F.col("n"))
@@ -272,7 +273,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
     placed = tiles.select("shingle", "class", "n").join(merged, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    open_ = keep(placed.join(mixed, "shingle", "left_semi").join(maps.drop("wide"), "class"), "open")
+    open_ = keep(placed.join(mixed, "shingle", "left_semi").join(maps.drop("wide", "n"), "class"), "open")
     rest = open_.alias("p").join(open_.alias("q"), "shingle").where((F.col("p.root") < F.col("q.root")) & _sizes("p", "q", percent) & _overlap("p", "q", percent))
     pairs = rest.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
     more = _links(slim, classes, maps, pairs, percent)
