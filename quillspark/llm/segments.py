@@ -22,8 +22,6 @@ from .textbatch import Prefix, mix, ranges, sliding, slices, winnow
 
 #: Bytes of text worked on at once.
 SLICE = 256 << 10
-#: What each task's shard holds, in bytes of segments, about.
-SHARD = 4 << 20
 PLACED = ["minimizer", "c1", "c2", "id", "tie", "start"]
 _CONTENT = 0xC2B2AE3D27D4EB4F
 _CONTENT_2 = 0x165667B19E3779F9
@@ -110,12 +108,12 @@ def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: boo
     return emit
 
 
-def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, search: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, search: Callable, shard_units: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Every repeated segment (PLACED, windows), and by c1, c2 the first place and the runs that `search` finds.
 
     slim: id, tie, text and key, a hash of id and tie. search takes an Arrow table of a shard's distinct segments
     (minimizer, c1, c2, n, id, tie, start: of the first, content), in a fixed order, and returns a list of runs (first
-    window, count, ...) for each. Segments are told apart by 128 bits of their content's hash, and the content itself
+    window, count, ...) for each; a shard holds about shard_units of them. Segments are told apart by 128 bits of their content's hash, and the content itself
     only travels from where it first occurs, straight to its shard.
     """
     w = span - k + 1
@@ -129,7 +127,7 @@ def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
     distinct = found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), first)
     distinct = keep(distinct.select("minimizer", "c1", "c2", "n", "f.*"), f"{name}-distinct")
     size = distinct.agg(F.sum(F.col("windows") + span)).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
+    shards = max(1, -(-size // shard_units))
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
     wanted = keep(distinct.select("hash").distinct(), f"{name}-places")
     bodies = second_pass(slim, wanted, _anchors(units_of, w, True), _emit(units_of, span, k, True), T.StructType([*placed, T.StructField("content", T.BinaryType())]))

@@ -22,6 +22,8 @@ SPAN = 35
 GRAM = 8
 #: Symbols by which suffixes are sorted, and how far back one search goes.
 DEPTH = 64
+#: Words of distinct segments in a shard, about.
+SHARD = 400_000
 
 
 def glue(w: Words, which: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_words", "n_removed", "kept")]
     named = identified(docs, id_col, text_col, carry)
     slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
-    spans = covered(*searched(slim, _units(gram), span, gram, _search(span, max(DEPTH, span + 1)), "substring"))
+    spans = covered(*searched(slim, _units(gram), span, gram, _search(span, max(DEPTH, span + 1)), SHARD, "substring"))
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return joined.mapInArrow(_strip(carry, span), T.StructType(fields))
