@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,30 +102,39 @@ def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: boo
                 body = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*columns, body.cast(pa.binary())], [*PLACED, "content"])
             else:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(windows), pa.array(_with_key(least, part, owner).view(np.int64))], [*PLACED, "windows", "hash"])
+                size = windows + span - k
+                same = units.keys[ranges(start, size)] == np.repeat(least, size)
+                places = np.diff(np.concatenate(([0], np.cumsum(same)))[np.concatenate(([0], np.cumsum(size)))])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(windows), pa.array(places), pa.array(_with_key(least, part, owner).view(np.int64))], [*PLACED, "windows", "places", "hash"])
             begin += part.num_rows
 
     return emit
 
 
-def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, search: Callable, shard_units: int, name: str) -> tuple[DataFrame, DataFrame]:
+def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, search: Callable, shard_units: int, name: str, alone: bool = True) -> tuple[DataFrame, DataFrame]:
     """Every repeated segment (PLACED, windows), and by c1, c2 the first place and the runs that `search` finds.
 
     slim: id, tie, text and key, a hash of id and tie. search takes an Arrow table of a shard's distinct segments
     (minimizer, c1, c2, n, id, tie, start: of the first, content), in a fixed order, and returns a list of runs (first
-    window, count, ...) for each; a shard holds about shard_units of them. Segments are told apart by 128 bits of their content's hash, and the content itself
+    window, count, ...) for each. With alone=False, a segment whose minimizer has no other content, and stands in it
+    once, is not searched but has no runs: it holds no two equal windows, nor does another. A shard holds about shard_units of them. Segments are told apart by 128 bits of their content's hash, and the content itself
     only travels from where it first occurs, straight to its shard.
     """
     w = span - k + 1
     long = lambda x: T.StructField(x, T.LongType())
     placed = [long("minimizer"), long("c1"), long("c2"), slim.schema["id"], slim.schema["tie"], long("start")]
     repeated = repeated_hashes(slim, _anchors(units_of, w, False), f"{name}-minimizers")
-    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([*placed, long("windows"), long("hash")]))
+    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([*placed, long("windows"), long("places"), long("hash")]))
     found = keep(found, f"{name}-segments")
 
-    first = F.min(F.struct("id", "tie", "start", "hash", "windows")).alias("f")
+    first = F.min(F.struct("id", "tie", "start", "hash", "windows", "places")).alias("f")
     distinct = found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), first)
-    distinct = keep(distinct.select("minimizer", "c1", "c2", "n", "f.*"), f"{name}-distinct")
+    distinct = distinct.select("minimizer", "c1", "c2", "n", "f.*")
+    if not alone:
+        distinct = distinct.withColumn("searched", (F.count("*").over(Window.partitionBy("minimizer")) > 1) | (F.col("places") > 1))
+    distinct = keep(distinct, f"{name}-distinct")
+    every = distinct
+    distinct = distinct if alone else distinct.where("searched")
     size = distinct.agg(F.sum(F.col("windows") + span)).first()[0] or 0
     shards = max(1, -(-size // shard_units))
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
@@ -138,7 +147,12 @@ def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
 
     schema = T.StructType([long("c1"), long("c2"), T.StructField("f_id", slim.schema["id"].dataType), long("f_tie"), long("f_start"), T.StructField("runs", T.ArrayType(T.LongType()))])
     by = distinct.select(shard, "minimizer", "c1", "c2", "n", "id", "tie", "start").groupBy("shard").cogroup(bodies.select(shard, "c1", "c2", "tie", "start", "content").groupBy("shard"))
-    return found, keep(by.applyInArrow(run, schema), f"{name}-runs")
+    runs = by.applyInArrow(run, schema)
+    if not alone:
+        none = F.array().cast("array<bigint>")
+        rest = every.where(~F.col("searched")).select("c1", "c2", F.col("id").alias("f_id"), F.col("tie").alias("f_tie"), F.col("start").alias("f_start"), none.alias("runs"))
+        runs = runs.union(rest)
+    return found, keep(runs, f"{name}-runs")
 
 
 def _joined(distinct: pa.Table, bodies: pa.Table) -> pa.Table:

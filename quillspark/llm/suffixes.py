@@ -191,7 +191,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
     named = identified(docs, id_col, text_col, carry)
     slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
-    found, runs = searched(slim, lambda column: _byte_units(*text_bytes(column), gram), span, gram, _search(span, gram), SHARD, "suffixes")
+    found, runs = searched(slim, lambda column: _byte_units(*text_bytes(column), gram), span, gram, _search(span, gram), SHARD, "suffixes", alone=False)
     spans = covered(found, runs, later=True)
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField(x, T.LongType()) for x in mine[:3]] + [T.StructField("kept", T.BinaryType())]
