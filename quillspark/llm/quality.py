@@ -141,7 +141,7 @@ def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = measured.where(~failed).select(*columns).groupBy(*[f"v{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
     # At most 3**rules rows, whatever the input.
-    patterns = docs.sparkSession.createDataFrame(counted.orderBy(*counted.columns).collect(), counted.schema).coalesce(1)
+    patterns = keep(counted.coalesce(1), "patterns")
     p, good, bad = estimate(patterns, len(columns))
     out = measured.withColumn("base_failed", failed).withColumn("p_good", posterior(rules(), p, good, bad))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
