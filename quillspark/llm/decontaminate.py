@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbatch import ALNUM, Words, grams, ranges, slices, winnow
+from .textbatch import ALNUM, Words, grams, lean, ranges, slices, winnow
 
 BLOCK_BYTES = 8 << 20
 SPAN = 13
@@ -156,5 +156,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         more.append(T.StructField("items" if last else "_items", T.ArrayType(T.StringType())))
         fields = kept if last else [out.schema[c] for c in through]
         shared = spark.sparkContext.broadcast(Index(ids, texts, span, gram))
-        out = out.mapInArrow(_stage(shared, text_col, through, n > 0, last), T.StructType([*fields, *more]))
+        out = out.mapInArrow(lean(_stage(shared, text_col, through, n > 0, last)), T.StructType([*fields, *more]))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

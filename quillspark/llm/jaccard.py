@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import keep
 from .components import components
 from .repeats import Wanted, identified, repeated_hashes, second_pass
-from .textbatch import NONSPACE, Words, grams, mix, slices
+from .textbatch import NONSPACE, Words, grams, lean, mix, slices
 
 SHINGLE = 5
 PERCENT = 80
@@ -228,12 +228,12 @@ def _links(slim: DataFrame, classes: DataFrame, maps: DataFrame, pairs: DataFram
     pairs = keep(pairs, "pairs")
     wide = maps.select("class", "n", "wide")
     both = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
-    near = keep(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near(percent), "a long, b long"), "near")
+    near = keep(both.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(_near(percent)), "a long, b long"), "near")
     nodes = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
     schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("members", T.BinaryType())])
     found = _described_classes(slim, classes, nodes, _arrays, schema, "members")
     both = near.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
-    return keep(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+    return keep(both.select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a long, b long"), "links")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, percent: int = PERCENT) -> DataFrame:
@@ -250,7 +250,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
     spark = docs.sparkSession
     fields = [T.StructField("id", slim.schema["id"].dataType), *[T.StructField(x, T.LongType()) for x in ("tie", "n", "class", "shingle")]]
-    described = keep(slim.mapInArrow(_described, T.StructType(fields)), "described")
+    described = keep(slim.mapInArrow(lean(_described), T.StructType(fields)), "described")
     order = spark.sparkContext.broadcast(_common(described))
     described = described.where("shingle is null")
     classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min(F.struct("id", "tie")).alias("r"))

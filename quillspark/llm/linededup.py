@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .common import keep
 from .repeats import Wanted, identified, repeated_hashes, second_pass
+from .textbatch import lean
 
 ROLL = 2
 #: One line in so many ends a chunk.
@@ -97,4 +98,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = later.groupBy(F.col("at.id").alias("_id"), F.col("at.tie").alias("_tie")).agg(F.collect_set("at.chunk").alias("drop"))
     joined = named.join(drops, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(_strip(carry), T.StructType(fields))
+    return joined.mapInArrow(lean(_strip(carry)), T.StructType(fields))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep
-from .textbatch import mix
+from .textbatch import lean, mix
 
 #: So many hashes, of 8 bytes each, go to every worker at most; more are joined to the documents instead.
 POOL = 4_000_000
@@ -43,7 +43,7 @@ def repeated_hashes(docs: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[p
         for batch in batches:
             yield from emit(batch)
 
-    return keep(docs.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), name)
+    return keep(docs.mapInArrow(lean(run), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), name)
 
 
 def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], emit: Callable[[pa.RecordBatch, Wanted], Iterator[pa.RecordBatch]], schema: T.StructType, pool: int = POOL) -> DataFrame:
@@ -61,7 +61,7 @@ def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.Record
             for batch in batches:
                 yield from emit(batch, lambda values, _: among(shared.value, values.view(np.int64)))
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lean(run), schema)
 
     def name(batches):
         for batch in batches:
@@ -72,7 +72,7 @@ def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.Record
                     yield pa.RecordBatch.from_arrays([pa.array(row.column("id").to_pylist() * n, row.schema.field("id").type), pa.array(row.column("tie").to_pylist() * n, pa.int64()), found.column("hash")], ["id", "tie", "hash"])
 
     slim = docs
-    named = slim.mapInArrow(name, T.StructType([slim.schema["id"], slim.schema["tie"], T.StructField("hash", T.LongType())]))
+    named = slim.mapInArrow(lean(name), T.StructType([slim.schema["id"], slim.schema["tie"], T.StructField("hash", T.LongType())]))
     mine = named.join(repeated, "hash", "left_semi").groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set("hash").alias("pool"))
     joined = docs.join(mine, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).drop("_id", "_tie")
 
@@ -83,7 +83,7 @@ def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.Record
             keys = np.sort(_of_row(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(batch.num_rows), n)))
             yield from emit(batch.drop_columns(["pool"]), lambda values, rows, keys=keys: among(keys, _of_row(values.view(np.int64), rows)))
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(lean(run_joined), schema)
 
 
 def _of_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import keep
 from .repeats import Wanted, repeated_hashes, second_pass
-from .textbatch import Prefix, mix, ranges, sliding, slices, winnow
+from .textbatch import Prefix, mix, ranges, release, slices, sliding, winnow
 
 #: Bytes of text worked on at once.
 SLICE = 256 << 10
@@ -143,7 +143,9 @@ def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         table = _joined(left, right)
-        return pa.table({"c1": table["c1"], "c2": table["c2"], "f_id": table["id"], "f_tie": table["tie"], "f_start": table["start"], "runs": pa.array(search(table), pa.list_(pa.int64()))})
+        found = search(table)
+        release()
+        return pa.table({"c1": table["c1"], "c2": table["c2"], "f_id": table["id"], "f_tie": table["tie"], "f_start": table["start"], "runs": pa.array(found, pa.list_(pa.int64()))})
 
     schema = T.StructType([long("c1"), long("c2"), T.StructField("f_id", slim.schema["id"].dataType), long("f_tie"), long("f_start"), T.StructField("runs", T.ArrayType(T.LongType()))])
     by = distinct.select(shard, "minimizer", "c1", "c2", "n", "id", "tie", "start").groupBy("shard").cogroup(bodies.select(shard, "c1", "c2", "tie", "start", "content").groupBy("shard"))

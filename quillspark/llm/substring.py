@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .fmindex import FMIndex, matches
 from .repeats import identified
 from .segments import Units, cover, covered, searched
-from .textbatch import NONSPACE, Words, grams, ranges, slices
+from .textbatch import NONSPACE, Words, grams, lean, ranges, slices
 
 SPAN = 35
 GRAM = 8
@@ -93,4 +93,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spans = covered(*searched(slim, _units(gram), span, gram, _search(span, max(DEPTH, span + 1)), SHARD, "substring"))
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(_strip(carry, span), T.StructType(fields))
+    return joined.mapInArrow(lean(_strip(carry, span)), T.StructType(fields))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .lyndon import suffix_arrays
 from .repeats import identified
 from .segments import SLICE, Units, cover, covered, cut, searched
-from .textbatch import Prefix, mix, ranges, slices, text_bytes
+from .textbatch import Prefix, lean, mix, ranges, slices, text_bytes
 
 SPAN = 100
 GRAM = 36
@@ -195,4 +195,4 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = covered(found, runs, later=True)
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     fields = [docs.schema[c] for c in carry] + [T.StructField(x, T.LongType()) for x in mine[:3]] + [T.StructField("kept", T.BinaryType())]
-    return joined.mapInArrow(_strip(carry, span), T.StructType(fields))
+    return joined.mapInArrow(lean(_strip(carry, span)), T.StructType(fields))

@@ -7,7 +7,9 @@ slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,25 @@ class Prefix:
         return mix((self.sums[n:] - self.sums[:count]) * self.inverse[:count])
 
 
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow; what it has freed goes back to the system at the end of each partition.
+
+    Workers are kept for later tasks, beside a JVM that may by then need all of its own memory.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, and where each begins and the last ends; a null is an empty text."""
     if column.null_count:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbatch import ALNUM, Prefix, Words, ranges, slices
+from .textbatch import ALNUM, Prefix, Words, lean, ranges, slices
 
 ROWS = 1 << 19
 DIM = 4
@@ -155,7 +155,7 @@ def fit(rows: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["model", "bias"])
 
     named = rows.toDF("id", "text", "label").repartition(1)
-    found = named.mapInArrow(run, "model binary, bias double").first()
+    found = named.mapInArrow(lean(run), "model binary, bias double").first()
     return Model(np.frombuffer(found.model, np.float32), found.bias)
 
 
@@ -179,4 +179,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, [*carry, "held_out", "score"])
 
     fields = [docs.schema[c] for c in carry] + [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())]
-    return named.mapInArrow(run, T.StructType(fields)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return named.mapInArrow(lean(run), T.StructType(fields)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
