@@ -27,16 +27,18 @@ from pyspark.sql import types as T
 from .common import keep
 from .components import components
 from .repeats import Wanted, identified, repeated_hashes, second_pass
-from .textbatch import NONSPACE, Words, grams, lean, mix, slices
+from .textbatch import NONSPACE, Words, grams, lean, mix, release, slices
 
 SHINGLE = 5
 PERCENT = 80
-LONGS = 16
+LONGS = 8
 BITS = 64 * LONGS
 NARROW = [f"b{k}" for k in range(LONGS)]
 #: Shingles of at least so many documents within one slice of text may be common; so many of them are told apart.
 LOCAL = 4
 COMMON = 500_000
+#: Pairs of one tile that are compared in one block, and bytes that a task gets, about.
+BLOCK, TASK = 50_000, 16 << 20
 
 
 def sets(column: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -185,36 +187,44 @@ def _overlap(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
-def _near(percent: int):
-    """The pairs (a, b, n, m, x, y) whose wide bitmaps let the overlap reach what a link needs."""
+def _near(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """Whether the wide bitmaps let the overlap reach what a link needs."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    longs = min(len(p), len(q))
+    differ = int(np.bitwise_count(fold(p, longs) ^ fold(q, longs)).sum())
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+
 
-    def run(batches):
-        for batch in batches:
-            near = []
-            for n, m, x, y in zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                longs = min(len(p), len(q))
-                differ = int(np.bitwise_count(fold(p, longs) ^ fold(q, longs)).sum())
-                near.append((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+def _linked(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """Whether the sets themselves are similar enough."""
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    same = int((q[at] == p).sum())
+    return 100 * same >= percent * (n + m - same)
 
-    return run
 
+def _compared(pairs: DataFrame, values: DataFrame, each: int, test, percent: int, name: str) -> DataFrame:
+    """The pairs (tile, a, b, n, m) that pass a test of their classes' values (class, value), of `each` bytes a shingle.
+
+    Pairs of a tile stay together, so a class's value travels once for many pairs. A tile of more than BLOCK pairs is
+    cut into blocks of classes against blocks; tasks get about TASK bytes.
+    """
+    many = pairs.groupBy("tile").agg(F.ceil(F.sqrt(F.count("*") / BLOCK)).alias("blocks"))
+    placed = pairs.join(many, "tile").withColumn("place", F.xxhash64("tile", F.pmod("a", "blocks"), F.pmod("b", "blocks")))
+    parts = max(1, -(-(pairs.agg(F.sum(F.col("n") + F.col("m"))).first()[0] or 0) * each // TASK))
+    placed = placed.select(F.pmod("place", F.lit(parts)).alias("part"), "tile", "a", "b", "n", "m")
+    needed = placed.select(F.col("part").alias("of"), F.col("a").alias("class")).union(placed.select("part", "b")).distinct()
 
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                same = int((q[at] == p).sum())
-                linked.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        value = dict(zip(right["class"].to_pylist(), right["value"].to_pylist(), strict=True))
+        kept = [test(n, m, value[a], value[b], percent) for a, b, n, m in zip(*(left[c].to_pylist() for c in ("a", "b", "n", "m")), strict=True)]
+        out = left.drop_columns(["part"]).filter(pa.array(kept, pa.bool_()))
+        del value
+        release()
+        return out
 
-    return run
+    by = placed.groupBy("part").cogroup(needed.join(values, "class").select("of", "class", "value").groupBy("of"))
+    return keep(by.applyInArrow(run, T.StructType([T.StructField(x, T.LongType()) for x in ("tile", "a", "b", "n", "m")])), name)
 
 
 def _described_classes(slim: DataFrame, classes: DataFrame, wanted: DataFrame, describe, schema: T.StructType, name: str) -> DataFrame:
@@ -225,15 +235,12 @@ def _described_classes(slim: DataFrame, classes: DataFrame, wanted: DataFrame, d
 
 def _links(slim: DataFrame, classes: DataFrame, maps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough: first by wide bitmaps, then by the sorted arrays."""
-    pairs = keep(pairs, "pairs")
-    wide = maps.select("class", "n", "wide")
-    both = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b")
-    near = keep(both.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(_near(percent)), "a long, b long"), "near")
+    pairs = keep(pairs.groupBy("a", "b").agg(*[F.min(x).alias(x) for x in ("tile", "n", "m")]), "pairs")
+    near = _compared(pairs, maps.select("class", F.col("wide").alias("value")), 1, _near, percent, "near")
     nodes = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
     schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("members", T.BinaryType())])
     found = _described_classes(slim, classes, nodes, _arrays, schema, "members")
-    both = near.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
-    return keep(both.select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a long, b long"), "links")
+    return _compared(near, found.select("class", F.col("members").alias("value")), 8, _linked, percent, "linked").select("a", "b")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, percent: int = PERCENT) -> DataFrame:
@@ -267,7 +274,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     maps = _described_classes(slim, classes, tiles.select("class").distinct(), _bitmaps, schema, "bitmaps")
 
     fits = (100 * F.col("n") >= percent * F.col("head_n")) & (100 * F.col("head_n") >= percent * F.col("n"))
-    star = tiles.where((F.col("class") > F.col("head")) & fits).select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    star = tiles.where((F.col("class") > F.col("head")) & fits).select(F.col("shingle").alias("tile"), F.col("head").alias("a"), F.col("class").alias("b"), F.col("head_n").alias("n"), F.col("n").alias("m"))
     links = _links(slim, classes, maps, star, percent)
     merged = keep(components(links), "merged")
 
@@ -275,7 +282,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     open_ = keep(placed.join(mixed, "shingle", "left_semi").join(maps.drop("wide", "n"), "class"), "open")
     rest = open_.alias("p").join(open_.alias("q"), "shingle").where((F.col("p.root") < F.col("q.root")) & _sizes("p", "q", percent) & _overlap("p", "q", percent))
-    pairs = rest.select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct()
+    turned = F.col("p.class") > F.col("q.class")
+    pairs = rest.select(F.col("shingle").alias("tile"), F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b"), F.when(turned, F.col("q.n")).otherwise(F.col("p.n")).alias("n"), F.when(turned, F.col("p.n")).otherwise(F.col("q.n")).alias("m"))
     more = _links(slim, classes, maps, pairs, percent)
     roots = keep(components(links.union(more)), "roots") if more.take(1) else merged
 
