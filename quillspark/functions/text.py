@@ -13,8 +13,8 @@ MONEY = r"(?i)[$₹€£]\s?\d[\d,.]*|\b\d+\s?(k|lakh|crore|usd|inr|rupees?)\b"
 URL = r"https?://\S+|\b[\w.-]+@[\w.-]+\.\w+\b"
 HEDGE = r"(?i)\b(i (don't|do not) (have|know)|not (in|available|covered|specified|stated)|no information|cannot (find|answer|confirm)|unable to)\b"
 EMPTY_STATE = r"(?i)\b(nothing\s+(pinned|posted|scheduled|here)\s+yet|no\s+(notices|updates|announcements|entries|posts)\b|coming\s+soon|stay\s+tuned|to\s+be\s+announced)\b"
-BOILERPLATE = r"(?i)^(check hype|apply|sound|←\s*hh goa|←\s*back to home|tap to reveal|less noise\. more signal)$"
-COUNTERS = ["Registrations", "Bounties", "Inside HHG", "Past Editions"]
+BOILERPLATE = r"(?i)^(check hype|apply|sound|←\s*[\w ]{1,20}|tap to reveal|less noise\. more signal)$"
+COUNTERS = ["Registrations", "Bounties", "Past Editions"]
 DATE = r"(?i)(20\d\d|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 COUNTER_ZERO = r"\$?0k\+|\b0\+"
 IMPERATIVE = [

@@ -188,8 +188,8 @@ def prose(root: Node) -> list[dict]:
 
     texts = (n.text() for n in _main(root).walk() if n.tag in ("p", "li") and outside(n))
     parts = list(dict.fromkeys(x for x in texts if len(x) >= MIN_PROSE and _worth(x) and not any(m.lower() in x.lower() for m in t.COUNTERS)))
-    title = "About Hacker House Goa 2026"
-    return [_doc("about-00", "About HH Goa", title, "\n".join([title, *parts]), "prose", note="may conflict with timeline/terms on builder count")] if parts else []
+    title = "About the event"
+    return [_doc("about-00", "About", title, "\n".join([title, *parts]), "prose", note="may conflict with timeline/terms on builder count")] if parts else []
 
 
 def home(root: Node) -> list[dict]:
