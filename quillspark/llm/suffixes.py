@@ -26,7 +26,7 @@ GRAM = 36
 GROUP = 16 << 10
 LEVELS = 12
 #: Bytes of distinct segments in a shard, about.
-SHARD = 2 << 20
+SHARD = 1 << 20
 _BASES = (0x9FB21C651E98DF25, 0xA24BAED4963EE407)
 _ONE, _TWO = np.uint64(1), np.uint64(2)
 
