@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HASH_SPACE = 1 << 16
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +30,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches for Python hold BATCH_ROWS rows or BATCH_BYTES at most, unless the session asks for less.
+
+    Batches live outside of the heap, on both sides; ten thousand documents of any length would not be bounded.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(size: str) -> int:
+    digits = size.rstrip("bBkKmMgG")
+    unit = size[len(digits) :].lower().rstrip("b")
+    return int(digits) * 1024 ** " kmg".index(unit or " ")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder: computed once, safe from lost executors, and of known size."""
     spark = df.sparkSession

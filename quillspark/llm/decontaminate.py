@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .textbatch import ALNUM, Words, grams, lean, ranges, slices, winnow
 
 BLOCK_BYTES = 8 << 20
@@ -146,6 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     mine = ["n_words", "n_hit", "items", "contaminated", "_hit", "_items"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.select(*dict.fromkeys([*carry, text_col]))
     blocks = blocks_of(benchmark, item_col, item_text, block_bytes)
     kept = [out.schema[c] for c in carry]

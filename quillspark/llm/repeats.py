@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import keep, small_batches
 from .textbatch import lean, mix
 
 #: So many hashes, of 8 bytes each, go to every worker at most; more are joined to the documents instead.
@@ -33,6 +33,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
     Documents of one id differ by tie, a hash of the text. Rows of one id and text are one document that is stored more
     than once, and get one result.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
 
 

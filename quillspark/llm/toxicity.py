@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .textbatch import ALNUM, Prefix, Words, lean, ranges, slices
 
 ROWS = 1 << 19
@@ -168,6 +169,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     replaced; an empty table gives no rows.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("held_out", "score", "predicted")]
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, id_col, text_col, sample)))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
     named = docs.select(*[F.col(c).alias(f"c_{c}") for c in carry], held.alias("held_out"), F.col(text_col).alias("text"))
