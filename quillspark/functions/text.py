@@ -120,14 +120,17 @@ def slug(model: Column) -> Column:
     return F.replace(model, F.lit("/"), F.lit("__"))
 
 
-def hashed_vector(terms: Column, dim: int = 64) -> Column:
-    """A text's counts of terms by hash, each with a sign of its own: the default embedding, free of any model."""
+def codes(terms: Column) -> Column:
+    """A number for each term, from a hash."""
+    return F.transform(terms, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
 
-    def code(t: Column) -> Column:
-        return F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long")
 
-    marked = F.transform(terms, lambda t: code(t))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(marked, lambda c: c % dim == d), F.lit(0.0), lambda a, c: a + F.when(F.floor(c / dim) % 2 == 0, 1.0).otherwise(-1.0)))
+def hashed_vector(coded: Column, dim: int = 64) -> Column:
+    """A text's counts of terms by hash, each with a sign of its own: the default embedding, free of any model.
+
+    coded should be a column that holds codes(): it is read once for each dimension.
+    """
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(coded, F.lit(0.0), lambda a, c: a + F.when(c % dim != d, 0.0).when(F.floor(c / dim) % 2 == 0, 1.0).otherwise(-1.0)))
 
 
 def unit(vector: Column) -> Column:

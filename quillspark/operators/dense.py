@@ -16,7 +16,7 @@ from quillspark.functions import text as t
 
 #: So many bytes of query vectors go to every worker at once; more queries are scored block by block.
 BLOCK = 32 << 20
-PLACES = 6
+PLACES = 9
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -24,6 +24,11 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=m.copy(), where=norm > 0)
 
 
+def _rounded(s: np.ndarray) -> np.ndarray:
+    """To PLACES, halves away from zero, as SQL rounds."""
+    return np.sign(s) * np.floor(np.abs(s) * 10**PLACES + 0.5) / 10**PLACES + 0.0
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of doubles from a column of vectors of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -44,7 +49,7 @@ def _blocks(queries: DataFrame, qid: str, vector: str):
 
 
 def score(vectors: DataFrame, queries: DataFrame, k: int | None = None, vid: str = "vec_id", qid: str = "qid", vector: str = "embedding", normalise: bool = True, keep: list[str] = ()) -> DataFrame:
-    """qid, vid, score (cosine, to 6 places) of all pairs, or of each query's best k in each batch of vectors.
+    """qid, vid, score (cosine, to PLACES) of all pairs, or of each query's best k in each batch of vectors.
 
     A block of queries is broadcast, and each batch of vectors is one matrix product; with k, batches pass on no more
     than k rows a query, so what is ranked afterwards does not grow with the pairs.
@@ -62,7 +67,7 @@ def score(vectors: DataFrame, queries: DataFrame, k: int | None = None, vid: str
                 if not batch.num_rows:
                     continue
                 v = matrix(batch.column(vector))
-                s = np.round((_unit_rows(v) if normalise else v) @ q.T, PLACES) + 0.0
+                s = _rounded((_unit_rows(v) if normalise else v) @ q.T)
                 if k is None or k >= len(s):
                     row, col = np.divmod(np.arange(s.size), s.shape[1])
                 else:

@@ -12,6 +12,7 @@ from .lexical import Postings, bm25, overlap, postings, query_terms
 
 # Defaults of retrieval.
 TOP_K, OVERFETCH, RRF_K = 5, 4, 60
+DIM = 64
 ALPHAS = [0.9, 0.8, 0.7, 0.6, 0.5, 0.3]
 # End of fixed values.
 
@@ -25,7 +26,13 @@ def candidates(docs: DataFrame, queries: DataFrame, index: Postings | None = Non
     terms = terms if terms is not None else query_terms(queries)
 
     def vector(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*columns, t.hashed_vector(t.tokens(F.coalesce("text", F.lit("")))).alias("embedding"))
+        """Terms are summed up by dimension, so a text costs its tokens, not tokens times dimensions."""
+        code = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
+        words = df.select(*columns, F.explode_outer(t.tokens(F.coalesce("text", F.lit("")))).alias("w"))
+        sign = F.when(F.col("w").isNull(), 0.0).when(F.floor(code / DIM) % 2 == 0, 1.0).otherwise(-1.0)
+        sums = words.groupBy(*columns, F.coalesce(code % DIM, F.lit(0)).cast("int").alias("d")).agg(F.sum(sign).alias("x"))
+        maps = sums.groupBy(*columns).agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
+        return maps.select(*columns, F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in range(DIM)]).alias("embedding"))
 
     dense = score(vector(docs, "doc_id", "parent"), vector(queries, "item_id"), vid="doc_id", qid="item_id", keep=["parent"]).withColumnRenamed("score", "dense")
     lex = bm25(index, terms).withColumnRenamed("score", "lex")

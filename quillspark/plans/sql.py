@@ -104,10 +104,10 @@ qv AS (SELECT qid, code % 64 AS d, sum(qtf * CASE WHEN (code // 64) % 2 = 0 THEN
 qn AS (SELECT qid, d, x / sqrt(sum(x * x) OVER (PARTITION BY qid)) AS x FROM qv WHERE x <> 0),
 dots AS (SELECT qid, doc_id, sum(qn.x * dn.x) AS s FROM qn JOIN dn USING (d) GROUP BY ALL),
 pairs AS (SELECT b.item_id AS qid, c.doc_id, coalesce(c.source, '') AS parent FROM benchmark b, documents c),
-both AS (SELECT qid, doc_id, parent, round(coalesce(s, 0), 6) + 0 AS dense, coalesce(score, 0) AS lex FROM pairs LEFT JOIN dots USING (qid, doc_id) LEFT JOIN bm USING (qid, doc_id))"""
+cand AS (SELECT qid, doc_id, parent, round(coalesce(s, 0), 9) + 0 AS dense, coalesce(score, 0) AS lex FROM pairs LEFT JOIN dots USING (qid, doc_id) LEFT JOIN bm USING (qid, doc_id))"""
 
 RANKS = f"""{DENSE},
-ranks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rd, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, doc_id) AS rl FROM both)"""
+ranks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rd, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, doc_id) AS rl FROM cand)"""
 
 RRF = f"""{RANKS},
 fused AS (SELECT *, round(1 / CAST(60 + rd AS DOUBLE) + 1 / CAST(60 + rl AS DOUBLE), 9) AS f FROM ranks),
@@ -116,7 +116,7 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, doc_i
 HITS = f"""{RRF},
 firsts AS (SELECT *, row_number() OVER (PARTITION BY qid, parent ORDER BY r) AS k FROM ordered WHERE r <= 20),
 hits AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank, doc_id, parent, dense AS score, lex FROM firsts WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r) <= 5),
-gate AS (SELECT qid, max(dense) AS gate_score FROM both GROUP BY qid),
+gate AS (SELECT qid, max(dense) AS gate_score FROM cand GROUP BY qid),
 overlap AS (SELECT b.item_id AS qid, count(DISTINCT qt.term) FILTER (df.term IS NOT NULL) AS term_hits, count(DISTINCT qt.term) AS query_terms FROM benchmark b LEFT JOIN qt ON qt.qid = b.item_id LEFT JOIN df ON df.term = qt.term GROUP BY 1)"""
 
 GOLD = """gold AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)) WHERE length(b.text) > 0),
