@@ -31,16 +31,21 @@ class Units:
     """What texts are cut into: words or bytes.
 
     keys: a hash of the k-gram at each unit, first: index of each text's first unit and, last, their number, content:
-    bytes and offsets of runs (start, end) of units.
+    bytes and offsets of runs (start, end) of units, values: a number for each unit.
     """
 
-    def __init__(self, keys: np.ndarray, k: int, first: np.ndarray, content: Callable):
-        self.keys, self.first, self.content = keys, first, content
+    def __init__(self, keys: np.ndarray, k: int, first: np.ndarray, content: Callable, values: np.ndarray):
+        self.keys, self.first, self.content, self.values = keys, first, content, values
         self.valid = np.ones(len(keys), bool)
         tail = np.maximum(first[1:] - k + 1, first[:-1])
         over = ranges(tail, first[1:] - tail)
         self.valid[over[over < len(keys)]] = False
 
+    def digests(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of each run of units, whatever stands around it."""
+        values = self.values.astype(np.uint64) + np.uint64(1)
+        return [Prefix(values, base).runs(start, end).view(np.int64) for base in (_CONTENT, _CONTENT_2)]
+
     def owner(self, at: np.ndarray) -> np.ndarray:
         """The text of each unit."""
         return np.searchsorted(self.first, at, "right") - 1
@@ -93,12 +98,12 @@ def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: boo
                 start, windows, least = cut(units, span - k + 1, lambda values, rows, at=begin, part=part: wanted(_with_key(values, part, rows), rows + at))
             else:
                 start, windows, least = cut(units, span - k + 1, lambda values, rows, at=begin: wanted(values, rows + at))
-            data, offsets = units.content(start, start + windows + span - 1)
-            runs = [Prefix(data.astype(np.uint64) + np.uint64(1), base).runs(offsets[:-1], offsets[1:]).view(np.int64) for base in (_CONTENT, _CONTENT_2)]
+            runs = units.digests(start, start + windows + span - 1)
             owner = units.owner(start)
             rows = pa.array(owner)
             columns = [pa.array(least.view(np.int64)), *map(pa.array, runs), part.column("id").take(rows), part.column("tie").take(rows), pa.array(start - units.first[owner])]
             if content:
+                data, offsets = units.content(start, start + windows + span - 1)
                 body = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*columns, body.cast(pa.binary())], [*PLACED, "content"])
             else:

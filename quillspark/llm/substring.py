@@ -43,7 +43,8 @@ def _units(gram: int):
         def content(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return glue(w, ranges(start, end - start), np.concatenate(([0], np.cumsum(end - start))))
 
-        return Units(grams(w.hashes(), gram), gram, w.first, content)
+        h = w.hashes()
+        return Units(grams(h, gram), gram, w.first, content, h)
 
     return of
 

@@ -3,8 +3,8 @@
 The suffixes of each minimizer's segments are sorted as lyndon.py describes, and equal windows of SPAN bytes stand next
 to each other. All of them but the earliest are removed. Equal segments have been made one, so what is sorted differs.
 
-Many near copies make many segments of one minimizer, which differ where the copies do. A group beyond GROUP bytes is cut
-again by the minimizers of another hash, and equal pieces of it are made one, until the groups are small.
+Many near copies make many segments of one minimizer, which differ where the copies do. Groups are cut
+again by the minimizers of another hash, and equal pieces are made one; a group beyond GROUP bytes until it is small.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .textbatch import Prefix, lean, mix, ranges, slices, text_bytes
 
 SPAN = 100
 GRAM = 36
-GROUP = 16 << 10
+GROUP = 4 << 10
 LEVELS = 12
+#: So many more minimizers cut every group, as cutting costs a tenth of sorting and most of what it parts is then alone.
+ALWAYS = 2
 #: Bytes of distinct segments in a shard, about.
 SHARD = 1 << 20
 _BASES = (0x9FB21C651E98DF25, 0xA24BAED4963EE407)
@@ -40,7 +42,7 @@ def _byte_units(raw: np.ndarray, at: np.ndarray, gram: int, level: int = 0) -> U
         return raw[ranges(start, end - start)], np.concatenate(([0], np.cumsum(end - start)))
 
     keys = Prefix(raw.astype(np.uint64) + _ONE, _level_base(level)).windows(gram)
-    return Units(keys, gram, at, content)
+    return Units(keys, gram, at, content, raw)
 
 
 def _blocks(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def later_windows(x: Pieces, span: int, gram: int, level: int = 0) -> tuple[np.n
     total = np.bincount(group, y.size)
     # A piece alone repeats nothing, unless its minimizer stands in it twice.
     busy = (number > 1) | (np.bincount(group, places > 1) > 0)
-    large = busy & (total > GROUP) & (number > 1) & (level < LEVELS)
+    large = busy & (number > 1) & ((level < ALWAYS) | (total > GROUP)) & (level < LEVELS)
     for which, work in ((busy & ~large, _sorted), (large, _recut)):
         mine = np.flatnonzero(which[group])
         if len(mine):
