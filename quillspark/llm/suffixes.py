@@ -27,6 +27,8 @@ GROUP = 4 << 10
 LEVELS = 12
 #: So many more minimizers cut every group, as cutting costs a tenth of sorting and most of what it parts is then alone.
 ALWAYS = 2
+#: Pieces of more than LONG windows are cut to STEP.
+LONG, STEP = 256, 64
 #: Bytes of distinct segments in a shard, about.
 SHARD = 1 << 20
 _BASES = (0x9FB21C651E98DF25, 0xA24BAED4963EE407)
@@ -98,6 +100,23 @@ def later_windows(x: Pieces, span: int, gram: int, level: int = 0) -> tuple[np.n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def split_later_windows(x: Pieces, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """later_windows, of pieces cut to STEP windows if they have more than LONG.
+
+    A text that repeats itself makes one long piece, as its minimizer comes back all the time. Cut at even steps it falls
+    into few different pieces, as many as its period at most.
+    """
+    windows = x.size - span + 1
+    number = np.where(windows > LONG, -(-windows // STEP), 1)
+    parent = np.repeat(np.arange(len(windows)), number)
+    start = ranges(np.zeros(len(number), np.int64), number) * STEP
+    count = np.where(number[parent] > 1, np.minimum(STEP, windows[parent] - start), windows[parent])
+    size = count + span - 1
+    data = x.data[ranges(x.at[parent] + start, size)]
+    piece, first, found = later_windows(Pieces(x.key[parent], x.least[parent], data, np.concatenate(([0], np.cumsum(size))), x.order[parent] + start), span, gram)
+    return parent[piece], start[piece] + first, found
+
+
 def _sorted(x: Pieces, span: int, gram: int, level: int):
     """later_windows, by the suffix array of each key's pieces."""
     n = len(x.key)
@@ -155,7 +174,7 @@ def _search(span: int, gram: int):
         least = table.column("minimizer").to_numpy().view(np.uint64)
         x = Pieces(least, least, data, at, (rank << 40) + place["start"].to_numpy())
         out: list[list[int]] = [[] for _ in range(table.num_rows)]
-        for piece, start, count in zip(*(c.tolist() for c in later_windows(x, span, gram)), strict=True):
+        for piece, start, count in zip(*(c.tolist() for c in split_later_windows(x, span, gram)), strict=True):
             out[piece] += [start, count]
         return out
 
