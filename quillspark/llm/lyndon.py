@@ -18,18 +18,22 @@ import numpy as np
 from .textbatch import ranges
 
 
+#: Texts of one call have fewer than 2**31 symbols together.
+PLACE = np.int32
+
+
 def suffix_arrays(text: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Positions of the suffixes of text[base[t]:base[t+1]], in order, for each t; each must end in its least symbol."""
     n, begin, stop = len(text), base[:-1], base[1:]
-    owner = np.repeat(np.arange(len(begin)), np.diff(base))
-    order = np.lexsort((text, owner))
-    place = np.empty(n, np.int64)
+    owner = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(base))
+    order = np.lexsort((text, owner)).astype(PLACE)
+    place = np.empty(n, PLACE)
     place[order] = np.arange(n)
     new = np.r_[True, (text[order][1:] != text[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
     starts = np.flatnonzero(new)
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, PLACE)
     size[starts] = np.diff(np.r_[starts, n])
-    group = np.empty(n, np.int64)
+    group = np.empty(n, PLACE)
     group[order] = np.repeat(starts, size[starts])
     before = _group(order, place, group, size, begin, stop.copy())
     return _emit(group, before, begin, stop)
@@ -37,7 +41,7 @@ def suffix_arrays(text: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 def _group(order, place, group, size, begin, top) -> np.ndarray:
     """Refines order, place, group (each suffix's first place) and size; returns the previous-smaller pointers."""
-    before = np.full(len(order), -1, np.int64)
+    before = np.full(len(order), -1, PLACE)
     moved = np.zeros(len(order), bool)
     live = np.arange(len(begin))
     while len(live):
@@ -97,8 +101,8 @@ def _group(order, place, group, size, begin, top) -> np.ndarray:
 
 def _emit(group: np.ndarray, before: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     n = len(group)
-    out = np.full(n, -1, np.int64)
-    free = np.arange(n)
+    out = np.full(n, -1, PLACE)
+    free = np.arange(n, dtype=PLACE)
     done = np.zeros(n, bool)
     out[begin] = stop - 1
     done[stop - 1] = True

@@ -30,7 +30,7 @@ ALWAYS = 2
 #: Pieces of more than LONG windows are cut to STEP.
 LONG, STEP = 256, 64
 #: Bytes of distinct segments in a shard, about.
-SHARD = 1 << 20
+SHARD = 768 << 10
 _BASES = (0x9FB21C651E98DF25, 0xA24BAED4963EE407)
 _ONE, _TWO = np.uint64(1), np.uint64(2)
 
@@ -123,16 +123,17 @@ def _sorted(x: Pieces, span: int, gram: int, level: int):
     last = np.r_[x.key[1:] != x.key[:-1], True]
     # Each piece ends in 1, and each key's text in 0; bytes begin at 2.
     begin = x.at[:-1] + np.arange(n) + np.concatenate(([0], np.cumsum(last)[:-1]))
-    text = np.ones(int(x.at[-1]) + n + int(last.sum()), np.int64)
+    text = np.ones(int(x.at[-1]) + n + int(last.sum()), np.uint16)
     body = ranges(begin, x.size)
-    text[body] = x.data.astype(np.int64) + 2
+    text[body] = x.data.astype(np.uint16) + 2
     finish = (begin + x.size + 1)[last]
     text[finish] = 0
     order = suffix_arrays(text, np.concatenate(([0], finish + 1)))
-    piece = np.full(len(text), -1)
+    piece = np.full(len(text), -1, np.int32)
     piece[body] = np.repeat(np.arange(n), x.size)
-    room = np.zeros(len(text), np.int64)
+    room = np.zeros(len(text), np.int32)
     room[body] = np.repeat(begin + x.size, x.size) - body
+    del body
     order = order[room[order] >= span]
     values = text.astype(np.uint64)
     h1, h2 = (Prefix(values, b).windows(span) for b in _BASES)
