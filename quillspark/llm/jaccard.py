@@ -128,6 +128,7 @@ def _common(described: DataFrame) -> Order:
 
 def _tiles(order):
     def emit(batch: pa.RecordBatch, wanted: Wanted | None = None) -> Iterator[pa.RecordBatch]:
+        begin = 0
         for part in slices(batch, "text"):
             found = sets(part.column("text"))
             heads = [order.value.prefix(s) if len(s) else s for s in found]
@@ -136,7 +137,8 @@ def _tiles(order):
             if wanted is None:
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["hash"])
                 continue
-            held = wanted(values, rows)
+            held = wanted(values, rows + begin)
+            begin += part.num_rows
             values, rows = values[held], rows[held]
             names = np.zeros(len(found), np.int64)
             for i in np.unique(rows).tolist():

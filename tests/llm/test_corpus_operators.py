@@ -130,6 +130,33 @@ def test_join_path_gives_the_same(spark, data, monkeypatch):
     assert {r.doc_id: tuple(r) for r in dedup_substrings(docs, carry=["doc_id"]).collect()} == want
 
 
+def long_copies(spark):
+    """Pairs of near copies with a passage and lines in common, of 150 KB each, so a batch of 4 MB holds several slices."""
+    lines = [f"all share line {i} of many" for i in range(40)]
+    rows = []
+    for i in range(48):
+        words = [f"p{i // 2}w{k}" for k in range(16_000)]
+        words[100] = f"own{i}"
+        rows.append((i, "\n".join([" ".join(words), *lines])))
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("name", ["link", "suffixes", "lines"])
+def test_join_path_over_several_slices(spark, monkeypatch, name):
+    from quillspark.llm import repeats
+
+    operator = {"link": link, "suffixes": dedup_suffixes, "lines": dedup_lines}[name]
+    docs = long_copies(spark)
+    want = {r.doc_id: tuple(r) for r in operator(docs, carry=["doc_id"]).collect()}
+    monkeypatch.setattr(repeats.second_pass, "__defaults__", (0,))
+    got = {r.doc_id: tuple(r) for r in operator(docs, carry=["doc_id"]).collect()}
+    assert got == want
+    if name == "link":
+        assert {i: r[2] for i, r in got.items()} == {i: i // 2 * 2 for i in range(48)}
+    else:
+        assert all(r[2] > 0 for i, r in got.items() if i)
+
+
 def test_quality_base_and_votes(spark, data):
     got = {r.doc_id: r for r in queries.op6_quality(spark, data).collect()}
     for r in documents(spark, data).collect():
