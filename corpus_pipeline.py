@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the least id."""
-    return link(docs).where("is_first").select(docs.columns)
+    """Of each group of near copies, the document of the least id; one row of it, however many repeat its id and text."""
+    first = link(docs).where("is_first").groupBy("doc_id", F.xxhash64("text").alias("tie"))
+    return first.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

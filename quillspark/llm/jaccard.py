@@ -294,7 +294,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     # A hot component is summed up before it is shuffled.
     least = rooted.where("n > 0").groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "tie")).alias("least"))
     out = rooted.join(least, F.col("root") == F.col("_root"), "left")
-    out = out.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id"), F.coalesce(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tie") == F.col("least.tie")), F.lit(True)).alias("is_first"))
+    out = out.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tie") == F.col("least.tie"))).otherwise(F.lit(True)).alias("is_first"))
     if carry == [id_col]:
         return out.select(F.col("_id").alias(id_col), *mine)
     single = out.dropDuplicates(["_id", "_tie"])

@@ -254,3 +254,14 @@ def test_pipeline_is_its_stages(spark, data):
     text = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in mixed.collect()}
     assert collections.Counter(r.doc_id for r in held) == times and all(r.text_sha256 == text[r.doc_id] for r in held)
     assert repeat_rows(mix(clean), clean.columns).columns == docs.columns
+
+
+def test_near_copies_keep_one_row_of_a_group(spark, data):
+    """Rows that repeat id and text, rows of null id with one text, and one id with two texts."""
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one, "en", "a", 1), (1, one, "en", "a", 1), (1, one, "en", "b", 1), (2, one, "en", "a", 1), (2, three, "en", "a", 1), *[(None, two, "en", "a", 1)] * 3, (None, one, "en", "a", 1), (3, "", "en", "a", 0), (3, "", "en", "a", 0), (4, "", "en", "a", 0)]
+    got = p.near_copies(spark, spark.createDataFrame(rows, SCHEMA), data)
+    want = [(1, one, "en", "a", 1), (2, three, "en", "a", 1), (None, two, "en", "a", 1), (3, "", "en", "a", 0), (4, "", "en", "a", 0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
