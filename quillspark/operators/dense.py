@@ -112,3 +112,9 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: s
             yield batch.append_column(out, pa.array(list(v), pa.list_(pa.float64())))
 
     return texts.mapInArrow(run, T.StructType([*texts.schema, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def build_report(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """n_vectors and dim of each strategy's index, from the vectors made of embed_text."""
+    made = embed(chunks.select("strategy", "embed_text"), embedder, "embed_text")
+    return made.groupBy("strategy").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dim"))

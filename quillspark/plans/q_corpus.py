@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import chunking, html
+from quillspark.operators import answer, chunking, dense, html
 from quillspark.operators import corpus as c
 from quillspark.sources import files
 from quillspark.sources.tables import table
@@ -38,7 +38,7 @@ _add("src07_case_defaults", lambda s, d: table(s, d, "conversations").select("co
 _add("src08_index_load", lambda s, d: table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim")), "SELECT label, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
 _add("src10_query_bounds", lambda s, d: table(s, d, "conversations").where(F.length("text").between(1, 500)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(text) BETWEEN 1 AND 500 GROUP BY role")
 # Sinks.
-_add("snk04_build_report", lambda s, d: chunking.parent_child(_docs(s, d)).groupBy("strategy").agg(F.count("*").alias("n_vectors"), F.lit(64).alias("dim")))
+_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()))
 _add("snk06_static_export", lambda s, d: chunking.split_contexts(chunking.parent_child(_docs(s, d)))[1].select("doc_id", F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT doc_id, md5(any_value(context_text)) AS context FROM pc GROUP BY doc_id")
 # Filters.
 _add("flt01_skip_volatile", lambda s, d: table(s, d, "pages").withColumn("volatile", F.col("page_id") % 3 == 0).where(~F.col("volatile") | F.lit(False)).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT (page_id % 3 = 0)")

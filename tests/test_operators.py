@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import answer, chunking, corpus, evaluate, guardrails, html, retrieve
+from quillspark.operators import answer, chunking, corpus, dense, evaluate, guardrails, html, retrieve
 from quillspark.plans.q_corpus import FIXTURE
 
 
@@ -119,3 +119,9 @@ def test_generated_answers_are_gated(spark):
     made = answer.ask(docs, asked, threshold=-1.0, generator=lambda p: {"answerable": True, "answer": "The fee is 4500"}).first()
     assert (made.mode, made.answer) == ("generated", "The fee is 4500")
     assert answer.ask(docs, asked, threshold=-1.0).first().mode == "extractive"
+
+
+def test_build_report_counts_vectors(spark):
+    chunks = spark.createDataFrame([("a", "one two"), ("a", ""), ("b", "three")], "strategy string, embed_text string")
+    got = dense.build_report(chunks, answer.hashing_embedder(dim=16)).collect()
+    assert {tuple(r) for r in got} == {("a", 2, 16), ("b", 1, 16)}
