@@ -45,11 +45,17 @@ class Bits:
 
 
 class FMIndex:
-    """Of a text of symbols 0..sigma-1. Searches are exact for patterns of up to `depth` symbols."""
+    """Of a text of symbols 0..sigma-1, each position of which counts `weight` times.
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.order = suffix_order(text, depth)
-        bwt = text[self.order - 1]
+    Searches are exact for patterns of up to `depth` symbols. The order of the suffixes is only needed to build: what is
+    kept is the transformed text, in a wavelet matrix, and the running sums of weights by rank.
+    """
+
+    def __init__(self, text: np.ndarray, sigma: int, weight: np.ndarray, depth: int):
+        order = suffix_order(text, depth)
+        self.weight = np.concatenate(([0], np.cumsum(weight[order])))
+        bwt = text[order - 1]
+        del order
         self.levels: list[Bits] = []
         for level in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             bit = (bwt >> level & 1).astype(bool)
@@ -74,10 +80,10 @@ class FMIndex:
         return both[: len(low)] + shift, both[len(low) :] + shift
 
 
-def matches(index: FMIndex, weight: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int, depth: int, probe: int = 4) -> list[list[int]]:
+def matches(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int, depth: int, probe: int = 4) -> list[list[int]]:
     """Of each pattern text[begin:end], runs (first window, count, ...) of the windows of `span` that occur twice or more.
 
-    weight: by rank in the index, sums of the suffixes' counts. From an end e the search goes back while what it has read
+    From an end e the search goes back while what it has read
     occurs twice, which gives the matching statistic of e, and every window inside is found. Where it fails at symbol i,
     a short probe from i + probe shows, most often, that windows over that stretch are alone, and the search goes on
     before it. All patterns step at once.
@@ -97,7 +103,7 @@ def matches(index: FMIndex, weight: np.ndarray, text: np.ndarray, begin: np.ndar
         failed = np.empty(0, np.int64)
         if len(more):
             a, b = index.step(low[more], high[more], text[i[more] - 1])
-            alive = weight[b] - weight[a] >= 2
+            alive = index.weight[b] - index.weight[a] >= 2
             ok = more[alive]
             low[ok], high[ok] = a[alive], b[alive]
             i[ok] -= 1

@@ -38,23 +38,25 @@ def identified(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
 
 
 def repeated_hashes(docs: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
-    """The hashes, emitted as long `hash` by batch of docs, of which there are two or more."""
+    """The hashes, emitted as long `hash` (and `row` of the batch) by batch of docs, of which there are two or more."""
 
     def run(batches):
         for batch in batches:
-            yield from emit(batch)
+            for found in emit(batch):
+                yield found.select(["hash"])
 
     return keep(docs.mapInArrow(lean(run), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), name)
 
 
-def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], emit: Callable[[pa.RecordBatch, Wanted], Iterator[pa.RecordBatch]], schema: T.StructType, pool: int = POOL) -> DataFrame:
+def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], emit: Callable[[pa.RecordBatch, Wanted], Iterator[pa.RecordBatch]], schema: T.StructType, pool: int | None = None) -> DataFrame:
     """What emit makes of each batch of docs (id, tie, text), given which of its hashes repeat.
 
-    Up to `pool` repeated hashes are broadcast, in about 8 MB a million. More than that are joined to the hashes of the
-    documents and gathered by document, and the documents are joined to theirs.
+    Up to `pool` repeated hashes (POOL, if not given) are broadcast, in about 8 MB a million. More than that are joined
+    to the hashes of the documents, as `first` emits them with their row in the batch, and the documents are joined to
+    the set of theirs, which is never larger than the document.
     """
     spark = docs.sparkSession
-    if repeated.count() <= pool:
+    if repeated.count() <= (POOL if pool is None else pool):
         rows = repeated.toArrow().column("hash").combine_chunks()
         shared = spark.sparkContext.broadcast(np.sort(rows.to_numpy(zero_copy_only=False).astype(np.int64)))
 
@@ -66,14 +68,11 @@ def second_pass(docs: DataFrame, repeated: DataFrame, first: Callable[[pa.Record
 
     def name(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                for found in first(row):
-                    n = found.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(row.column("id").to_pylist() * n, row.schema.field("id").type), pa.array(row.column("tie").to_pylist() * n, pa.int64()), found.column("hash")], ["id", "tie", "hash"])
-
-    slim = docs
-    named = slim.mapInArrow(lean(name), T.StructType([slim.schema["id"], slim.schema["tie"], T.StructField("hash", T.LongType())]))
+            for found in first(batch):
+                row = found.column("row")
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("tie").take(row), found.column("hash")], ["id", "tie", "hash"])
+
+    named = docs.mapInArrow(lean(name), T.StructType([docs.schema["id"], docs.schema["tie"], T.StructField("hash", T.LongType())]))
     mine = named.join(repeated, "hash", "left_semi").groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set("hash").alias("pool"))
     joined = docs.join(mine, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).drop("_id", "_tie")
 

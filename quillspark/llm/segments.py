@@ -1,9 +1,10 @@
 """Sends equal windows of a corpus to one shard.
 
-A window of `span` units (words or bytes) is named by its minimizer, the least hash of its k-grams. Consecutive windows
-of one minimizer form a segment, and equal windows have equal minimizers wherever they stand, so shards by minimizer can
-be searched on their own. Minimizers that the corpus holds once name no repeated window; only segments of the others
-travel, and equal segments are one row, with a count, before they are shuffled.
+A window of `span` units (words or bytes) is named by its minimizer, the leftmost of its k-grams of the least hash.
+Consecutive windows with their minimizer at one place form a segment, and equal windows have equal minimizers at the same
+distance, wherever they stand, so shards by minimizer can be searched on their own, and no two windows of one segment are
+equal. Minimizers that the corpus holds once name no repeated window; only segments of the others travel, and equal
+segments are one row, with a count, before they are shuffled. Segments are named by 128 bits of BLAKE2b of their content.
 """
 
 from __future__ import annotations
@@ -12,73 +13,69 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep
 from .repeats import Wanted, repeated_hashes, second_pass
-from .textbatch import Prefix, mix, ranges, release, slices, sliding, winnow
+from .textbatch import digest, mix, ranges, release, slices, sliding
 
 #: Bytes of text worked on at once.
 SLICE = 256 << 10
 PLACED = ["minimizer", "c1", "c2", "id", "tie", "start"]
-_CONTENT = 0xC2B2AE3D27D4EB4F
-_CONTENT_2 = 0x165667B19E3779F9
 
 
 class Units:
     """What texts are cut into: words or bytes.
 
-    keys: a hash of the k-gram at each unit, first: index of each text's first unit and, last, their number, content:
-    bytes and offsets of runs (start, end) of units, values: a number for each unit.
+    order: 32 bits of a hash of the k-gram at each unit, k: units of a k-gram, first: index of each text's first unit
+    and, last, their number, names: 64 bits of hash of the k-grams at the given units, bodies: the bytes of runs (start,
+    end) of units.
     """
 
-    def __init__(self, keys: np.ndarray, k: int, first: np.ndarray, content: Callable, values: np.ndarray):
-        self.keys, self.first, self.content, self.values = keys, first, content, values
-        self.valid = np.ones(len(keys), bool)
-        tail = np.maximum(first[1:] - k + 1, first[:-1])
-        over = ranges(tail, first[1:] - tail)
-        self.valid[over[over < len(keys)]] = False
-
-    def digests(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of each run of units, whatever stands around it."""
-        values = self.values.astype(np.uint64) + np.uint64(1)
-        return [Prefix(values, base).runs(start, end).view(np.int64) for base in (_CONTENT, _CONTENT_2)]
+    def __init__(self, order: np.ndarray, k: int, first: np.ndarray, names: Callable, bodies: Callable):
+        self.order, self.k, self.first, self.names, self.bodies = order, k, first, names, bodies
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         """The text of each unit."""
         return np.searchsorted(self.first, at, "right") - 1
 
-
-def cut(units: Units, w: int, wanted: Wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First unit, number of windows and minimizer of each segment whose minimizer is wanted."""
-    if len(units.keys) < w:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty.view(np.uint64)
-    least, whole = sliding(units.keys, w), sliding(units.valid, w)
-    edge = np.ones(len(least) + 1, bool)
-    edge[1:-1] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
-    at = np.flatnonzero(edge)
-    start, end = at[:-1], at[1:]
-    good = whole[start]
-    start, end = start[good], end[good]
-    good = wanted(least[start], units.owner(start))
-    start, end = start[good], end[good]
-    return start, end - start, least[start]
+    def segments(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window, number of windows and place of the minimizer of each segment, for windows of w k-grams."""
+        n = len(self.order)
+        if n < w:
+            empty = np.empty(0, np.int64)
+            return empty, empty, empty
+        least = sliding(self.order.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64), w)
+        whole = np.zeros(len(least) + 1, np.int8)
+        long = np.flatnonzero(np.diff(self.first) >= w + self.k - 1)
+        whole[self.first[long]] = 1
+        # After the last window of a text come at least two units that begin none, or the end.
+        whole[self.first[long + 1] - (w + self.k - 2)] -= 1
+        whole = np.cumsum(whole[:-1], dtype=np.int8).view(bool)
+        edge = np.ones(len(least) + 1, bool)
+        edge[1:-1] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+        at = np.flatnonzero(edge)
+        start, end = at[:-1], at[1:]
+        good = whole[start]
+        start, end = start[good], end[good]
+        return start, end - start, (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _anchors(units_of: Callable[[pa.Array], Units], w: int, by_document: bool):
     """The minimizers of a batch's documents; or, by_document, hashes of each with its document's key."""
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        begin = 0
         for part in slices(batch, "text", SLICE):
             units = units_of(part.column("text"))
-            at = np.flatnonzero(winnow(units.keys, units.valid, w))
-            values = units.keys[at]
+            _, _, at = units.segments(w)
+            values, rows = units.names(at), units.owner(at)
             if by_document:
-                values = _with_key(values, part, units.owner(at))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["hash"])
+                values = _with_key(values, part, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(rows + begin)], ["hash", "row"])
+            begin += part.num_rows
 
     return emit
 
@@ -94,24 +91,20 @@ def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: boo
         begin = 0
         for part in slices(batch, "text", SLICE):
             units = units_of(part.column("text"))
-            if content:
-                start, windows, least = cut(units, span - k + 1, lambda values, rows, at=begin, part=part: wanted(_with_key(values, part, rows), rows + at))
-            else:
-                start, windows, least = cut(units, span - k + 1, lambda values, rows, at=begin: wanted(values, rows + at))
-            runs = units.digests(start, start + windows + span - 1)
-            owner = units.owner(start)
+            start, windows, at = units.segments(span - k + 1)
+            names, owner = units.names(at), units.owner(at)
+            good = wanted(_with_key(names, part, owner) if content else names, owner + begin)
+            begin += part.num_rows
+            start, windows, names, owner = start[good], windows[good], names[good], owner[good]
             rows = pa.array(owner)
-            columns = [pa.array(least.view(np.int64)), *map(pa.array, runs), part.column("id").take(rows), part.column("tie").take(rows), pa.array(start - units.first[owner])]
+            columns = [pa.array(names.view(np.int64)), part.column("id").take(rows), part.column("tie").take(rows), pa.array(start - units.first[owner])]
+            bodies = units.bodies(start, start + windows + span - 1)
             if content:
-                data, offsets = units.content(start, start + windows + span - 1)
-                body = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*columns, body.cast(pa.binary())], [*PLACED, "content"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], ["minimizer", "id", "tie", "start", "content"])
             else:
-                size = windows + span - k
-                same = units.keys[ranges(start, size)] == np.repeat(least, size)
-                places = np.diff(np.concatenate(([0], np.cumsum(same)))[np.concatenate(([0], np.cumsum(size)))])
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(windows), pa.array(places), pa.array(_with_key(least, part, owner).view(np.int64))], [*PLACED, "windows", "places", "hash"])
-            begin += part.num_rows
+                c = np.frombuffer(b"".join([digest(x) for x in bodies]), np.int64).reshape(-1, 2)
+                keys = _with_key(names, part, owner).view(np.int64)
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array(c[:, 0]), pa.array(c[:, 1]), *columns[1:], pa.array(windows), pa.array(keys)], [*PLACED, "windows", "hash"])
 
     return emit
 
@@ -121,30 +114,28 @@ def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
 
     slim: id, tie, text and key, a hash of id and tie. search takes an Arrow table of a shard's distinct segments
     (minimizer, c1, c2, n, id, tie, start: of the first, content), in a fixed order, and returns a list of runs (first
-    window, count, ...) for each. With alone=False, a segment whose minimizer has no other content, and stands in it
-    once, is not searched but has no runs: it holds no two equal windows, nor does another. A shard holds about shard_units of them. Segments are told apart by 128 bits of their content's hash, and the content itself
+    window, count, ...) for each. With alone=False, a segment whose minimizer has no other content is not searched but
+    has no runs: it holds no two equal windows, nor does another. A shard holds about shard_units of them. The content
     only travels from where it first occurs, straight to its shard.
     """
     w = span - k + 1
     long = lambda x: T.StructField(x, T.LongType())
-    placed = [long("minimizer"), long("c1"), long("c2"), slim.schema["id"], slim.schema["tie"], long("start")]
+    place = [slim.schema["id"], slim.schema["tie"], long("start")]
     repeated = repeated_hashes(slim, _anchors(units_of, w, False), f"{name}-minimizers")
-    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([*placed, long("windows"), long("places"), long("hash")]))
+    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([long("minimizer"), long("c1"), long("c2"), *place, long("windows"), long("hash")]))
     found = keep(found, f"{name}-segments")
 
-    first = F.min(F.struct("id", "tie", "start", "hash", "windows", "places")).alias("f")
-    distinct = found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), first)
-    distinct = distinct.select("minimizer", "c1", "c2", "n", "f.*")
+    first = F.min(F.struct("id", "tie", "start", "hash", "windows")).alias("f")
+    every = keep(found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), first).select("minimizer", "c1", "c2", "n", "f.*"), f"{name}-distinct")
+    distinct = every
     if not alone:
-        distinct = distinct.withColumn("searched", (F.count("*").over(Window.partitionBy("minimizer")) > 1) | (F.col("places") > 1))
-    distinct = keep(distinct, f"{name}-distinct")
-    every = distinct
-    distinct = distinct if alone else distinct.where("searched")
+        several = every.groupBy("minimizer").agg(F.count("*").alias("contents")).where("contents > 1").select("minimizer")
+        distinct = keep(every.join(several, "minimizer", "left_semi"), f"{name}-searched")
     size = distinct.agg(F.sum(F.col("windows") + span)).first()[0] or 0
     shards = max(1, -(-size // shard_units))
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
     wanted = keep(distinct.select("hash").distinct(), f"{name}-places")
-    bodies = second_pass(slim, wanted, _anchors(units_of, w, True), _emit(units_of, span, k, True), T.StructType([*placed, T.StructField("content", T.BinaryType())]))
+    bodies = second_pass(slim, wanted, _anchors(units_of, w, True), _emit(units_of, span, k, True), T.StructType([long("minimizer"), *place, T.StructField("content", T.BinaryType())]))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         table = _joined(left, right)
@@ -153,27 +144,39 @@ def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
         return pa.table({"c1": table["c1"], "c2": table["c2"], "f_id": table["id"], "f_tie": table["tie"], "f_start": table["start"], "runs": pa.array(found, pa.list_(pa.int64()))})
 
     schema = T.StructType([long("c1"), long("c2"), T.StructField("f_id", slim.schema["id"].dataType), long("f_tie"), long("f_start"), T.StructField("runs", T.ArrayType(T.LongType()))])
-    by = distinct.select(shard, "minimizer", "c1", "c2", "n", "id", "tie", "start").groupBy("shard").cogroup(bodies.select(shard, "c1", "c2", "tie", "start", "content").groupBy("shard"))
-    runs = by.applyInArrow(run, schema)
+    by = distinct.select(shard, "minimizer", "c1", "c2", "n", "id", "tie", "start").groupBy("shard").cogroup(bodies.select(shard, "tie", "start", "content").groupBy("shard"))
+    runs = keep(by.applyInArrow(run, schema), f"{name}-runs")
     if not alone:
         none = F.array().cast("array<bigint>")
-        rest = every.where(~F.col("searched")).select("c1", "c2", F.col("id").alias("f_id"), F.col("tie").alias("f_tie"), F.col("start").alias("f_start"), none.alias("runs"))
-        runs = runs.union(rest)
-    return found, keep(runs, f"{name}-runs")
+        rest = every.join(several, "minimizer", "left_anti")
+        runs = runs.union(rest.select("c1", "c2", F.col("id").alias("f_id"), F.col("tie").alias("f_tie"), F.col("start").alias("f_start"), none.alias("runs")))
+    return found, runs
 
 
 def _joined(distinct: pa.Table, bodies: pa.Table) -> pa.Table:
-    """distinct in order of minimizer and content, with the content of each, from where it first occurs."""
+    """distinct in order of minimizer and content, with the content of each, from where it first occurs.
+
+    Contents are matched by tie and start, and are what they are named by, or the content is missing.
+    """
     distinct = distinct.sort_by([("minimizer", "ascending"), ("c1", "ascending"), ("c2", "ascending")])
-    keys = [np.stack([t[c].to_numpy() for c in ("c1", "c2", "tie", "start")]) for t in (distinct, bodies)]
-    order = np.lexsort(keys[1])
-    have = keys[1][:, order]
-    names = [mix(mix(mix(mix(x[0].view(np.uint64)) ^ x[1].view(np.uint64)) ^ x[2].view(np.uint64)) + x[3].view(np.uint64)) for x in (keys[0], have)]
-    by = np.argsort(names[1], kind="stable")
-    at = by[np.minimum(np.searchsorted(names[1][by], names[0]), len(by) - 1)] if len(by) else np.zeros(len(names[0]), np.int64)
-    if distinct.num_rows and not (len(by) and (have[:, at] == keys[0]).all()):
+    want, have = (mix(mix(t["tie"].to_numpy().view(np.uint64)) + t["start"].to_numpy().view(np.uint64)) for t in (distinct, bodies))
+    content = bodies["content"].combine_chunks()
+    names = np.stack([distinct[c].to_numpy() for c in ("c1", "c2")], 1)
+    by = np.argsort(have, kind="stable")
+    low, high = np.searchsorted(have[by], want, "left"), np.searchsorted(have[by], want, "right")
+    at = np.full(len(want), -1, np.int64)
+    # Documents of one text share tie and start, so several bodies may answer; any of the right content will do.
+    for step in range(int((high - low).max()) if len(want) else 0):
+        open_ = np.flatnonzero((at < 0) & (low + step < high))
+        if not len(open_):
+            break
+        found = by[low[open_] + step]
+        c = np.frombuffer(b"".join([digest(x.as_buffer()) for x in content.take(pa.array(found))]), np.int64).reshape(-1, 2)
+        same = (c == names[open_]).all(1)
+        at[open_[same]] = found[same]
+    if (at < 0).any():
         raise RuntimeError("a segment's content is missing")
-    return distinct.append_column("content", bodies["content"].combine_chunks().take(pa.array(order[at])) if len(by) else pa.array([], pa.binary()))
+    return distinct.append_column("content", content.take(pa.array(at)) if len(content) else pa.array([], pa.binary()))
 
 
 def covered(found: DataFrame, runs: DataFrame, later: bool = False) -> DataFrame:

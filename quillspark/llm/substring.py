@@ -26,25 +26,11 @@ DEPTH = 64
 SHARD = 400_000
 
 
-def glue(w: Words, which: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the words `which`, a space after each, and where each group of them begins; groups: offsets in which."""
-    size = w.end[which] - w.start[which] + 1
-    at = np.concatenate(([0], np.cumsum(size)))
-    raw = np.append(w.raw, np.uint8(32))
-    data = raw[ranges(w.start[which], size)]
-    data[at[1:] - 1] = 32
-    return data, at[groups]
-
-
 def _units(gram: int):
     def of(column: pa.Array) -> Units:
         w = Words(column, NONSPACE)
-
-        def content(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return glue(w, ranges(start, end - start), np.concatenate(([0], np.cumsum(end - start))))
-
-        h = w.hashes()
-        return Units(grams(h, gram), gram, w.first, content, h)
+        g = grams(w.hashes(), gram)
+        return Units((g >> np.uint64(32)).astype(np.uint32), gram, w.first, lambda at: g[at], w.joined)
 
     return of
 
@@ -52,14 +38,12 @@ def _units(gram: int):
 def _search(span: int, depth: int):
     def search(table: pa.Table) -> list[list[int]]:
         w = Words(table.column("content").combine_chunks(), NONSPACE)
-        _, symbol = np.unique(w.hashes(), return_inverse=True)
-        counts = w.counts
+        symbol, counts = w.numbers(), w.counts
         begin = w.first[:-1] + np.arange(len(counts))
         text = np.zeros(len(symbol) + len(counts), np.int64)
         text[ranges(begin, counts)] = symbol + 1
-        index = FMIndex(text, int(symbol.max()) + 2, depth)
-        weight = np.repeat(table.column("n").to_numpy(), counts + 1)
-        return matches(index, np.concatenate(([0], np.cumsum(weight[index.order]))), text, begin, begin + counts, span, depth)
+        index = FMIndex(text, int(symbol.max()) + 2 if len(symbol) else 1, np.repeat(table.column("n").to_numpy(), counts + 1), depth)
+        return matches(index, text, begin, begin + counts, span, depth)
 
     return search
 
@@ -71,7 +55,7 @@ def _strip(carry: list[str], span: int):
                 w = Words(part.column("text"), NONSPACE)
                 gone = cover(part.column("spans"), w.first, span)
                 left = np.flatnonzero(~gone)
-                data, at = glue(w, left, np.searchsorted(left, w.first))
+                data, at = w.glue(left, np.searchsorted(left, w.first))
                 texts = [data[a : max(a, b - 1)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first])
                 columns = [*[part.column(f"c_{c}") for c in carry], pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())]

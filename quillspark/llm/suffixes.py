@@ -1,7 +1,8 @@
 """Suffix-array dedup by linear grouping.
 
 The suffixes of each minimizer's segments are sorted as lyndon.py describes, and equal windows of SPAN bytes stand next
-to each other. All of them but the earliest are removed. Equal segments have been made one, so what is sorted differs.
+to each other, where they are compared byte by byte. All of them but the earliest are removed. Equal segments have been
+made one, so what is sorted differs.
 
 Many near copies make many segments of one minimizer, which differ where the copies do. Groups are cut
 again by the minimizers of another hash, and equal pieces are made one; a group beyond GROUP bytes until it is small.
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 
 from .lyndon import suffix_arrays
 from .repeats import identified
-from .segments import SLICE, Units, cover, covered, cut, searched
-from .textbatch import Prefix, lean, mix, ranges, slices, text_bytes
+from .segments import SLICE, Units, cover, covered, searched
+from .textbatch import lanes, lean, mix, powers, ranges, slices, text_bytes
 
 SPAN = 100
 GRAM = 36
@@ -27,24 +28,36 @@ GROUP = 4 << 10
 LEVELS = 12
 #: So many more minimizers cut every group, as cutting costs a tenth of sorting and most of what it parts is then alone.
 ALWAYS = 2
-#: Pieces of more than LONG windows are cut to STEP.
-LONG, STEP = 256, 64
 #: Bytes of distinct segments in a shard, about.
 SHARD = 768 << 10
-_BASES = (0x9FB21C651E98DF25, 0xA24BAED4963EE407)
-_ONE, _TWO = np.uint64(1), np.uint64(2)
-
-
-def _level_base(level: int) -> int:
-    return int(mix(np.array([0x1234567 + level], np.uint64))[0]) | 1
+_ONE = np.uint64(1)
 
 
 def _byte_units(raw: np.ndarray, at: np.ndarray, gram: int, level: int = 0) -> Units:
-    def content(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return raw[ranges(start, end - start)], np.concatenate(([0], np.cumsum(end - start)))
-
-    keys = Prefix(raw.astype(np.uint64) + _ONE, _level_base(level)).windows(gram)
-    return Units(keys, gram, at, content, raw)
+    """Bytes, whose k-grams are put in order by a polynomial of 32 bits, of another base at each level."""
+    base = int(mix(np.array([0x1234567 + level], np.uint64))[0]) & 0xFFFFFFFF | 1
+    power, inverse = powers(base, len(raw), np.uint32), powers(pow(base, -1, 1 << 32), len(raw), np.uint32)
+    sums = np.zeros(len(raw) + 1, np.uint32)
+    np.cumsum(raw * power[: len(raw)], dtype=np.uint32, out=sums[1:])
+    count = max(0, len(raw) - gram + 1)
+    order = sums[gram:] - sums[:count]
+    order *= inverse[:count]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        order ^= order >> np.uint32(shift)
+        order *= np.uint32(factor)
+    eight = lanes(raw)
+
+    def names(at: np.ndarray) -> np.ndarray:
+        h = np.full(len(at), gram, np.uint64)
+        for k in [*range(0, gram - 7, 8), gram - 8]:
+            h = mix(h ^ eight[at + k])
+        return h
+
+    def bodies(start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        whole = raw.tobytes()
+        return [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+    return Units(order, gram, at, names, bodies)
 
 
 def _blocks(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +71,15 @@ def _blocks(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Pieces:
-    """Byte strings with what they are grouped by (key), the minimizer they share (least) and where they stand (order)."""
+    """Byte strings with what they are grouped by (key), and where they stand (order)."""
 
-    def __init__(self, key, least, data, at, order):
-        self.key, self.least, self.data, self.at, self.order = key, least, data, at, order
+    def __init__(self, key, data, at, order):
+        self.key, self.data, self.at, self.order = key, data, at, order
         self.size = np.diff(at)
 
     def take(self, which: np.ndarray) -> Pieces:
         size = self.size[which]
-        return Pieces(self.key[which], self.least[which], self.data[ranges(self.at[which], size)], np.concatenate(([0], np.cumsum(size))), self.order[which])
+        return Pieces(self.key[which], self.data[ranges(self.at[which], size)], np.concatenate(([0], np.cumsum(size))), self.order[which])
 
 
 def later_windows(x: Pieces, span: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,49 +87,31 @@ def later_windows(x: Pieces, span: int, gram: int, level: int = 0) -> tuple[np.n
     none = np.empty(0, np.int64)
     if not len(x.key):
         return none, none, none
-    h = [Prefix(x.data.astype(np.uint64) + _ONE, b).runs(x.at[:-1], x.at[1:]) for b in _BASES]
-    by = np.lexsort((x.order, h[1], h[0], x.key))
+    # Pieces are numbered by their bytes.
+    whole = pa.Array.from_buffers(pa.large_binary(), len(x.key), [None, pa.py_buffer(x.at.astype(np.int64)), pa.py_buffer(x.data)])
+    number = whole.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    by = np.lexsort((x.order, number, x.key))
     first = np.ones(len(by), bool)
-    first[1:] = (x.key[by][1:] != x.key[by][:-1]) | (h[0][by][1:] != h[0][by][:-1]) | (h[1][by][1:] != h[1][by][:-1])
+    first[1:] = (x.key[by][1:] != x.key[by][:-1]) | (number[by][1:] != number[by][:-1])
     copies, single = by[~first], by[first]
     out = [(copies, np.zeros(len(copies), np.int64), x.size[copies] - span + 1)]
 
-    y = x.take(single)
-    heads = np.flatnonzero(np.r_[True, y.key[1:] != y.key[:-1]])
-    group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(y.key)]))
-    units = _byte_units(y.data, y.at, gram)
-    owner = np.repeat(np.arange(len(y.key)), y.size)[: len(units.keys)]
-    places = np.bincount(owner[units.valid & (units.keys == y.least[owner])], minlength=len(y.key))
-    number = np.bincount(group)
-    total = np.bincount(group, y.size)
-    # A piece alone repeats nothing, unless its minimizer stands in it twice.
-    busy = (number > 1) | (np.bincount(group, places > 1) > 0)
-    large = busy & (number > 1) & ((level < ALWAYS) | (total > GROUP)) & (level < LEVELS)
-    for which, work in ((busy & ~large, _sorted), (large, _recut)):
-        mine = np.flatnonzero(which[group])
+    # A piece alone repeats nothing.
+    new = np.r_[True, x.key[single][1:] != x.key[single][:-1]]
+    heads = np.flatnonzero(new)
+    number = np.diff(np.r_[heads, len(single)])
+    busy = np.repeat(number > 1, number)
+    single, group = single[busy], (np.cumsum(new) - 1)[busy]
+    total = np.bincount(group, x.size[single], len(heads))
+    large = ((level < ALWAYS) | (total > GROUP)) & (level < LEVELS)
+    for which, work in ((~large, _sorted), (large, _recut)):
+        mine = single[which[group]]
         if len(mine):
-            piece, start, count = work(y.take(mine), span, gram, level)
-            out.append((single[mine[piece]], start, count))
+            piece, start, count = work(x.take(mine), span, gram, level)
+            out.append((mine[piece], start, count))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def split_later_windows(x: Pieces, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """later_windows, of pieces cut to STEP windows if they have more than LONG.
-
-    A text that repeats itself makes one long piece, as its minimizer comes back all the time. Cut at even steps it falls
-    into few different pieces, as many as its period at most.
-    """
-    windows = x.size - span + 1
-    number = np.where(windows > LONG, -(-windows // STEP), 1)
-    parent = np.repeat(np.arange(len(windows)), number)
-    start = ranges(np.zeros(len(number), np.int64), number) * STEP
-    count = np.where(number[parent] > 1, np.minimum(STEP, windows[parent] - start), windows[parent])
-    size = count + span - 1
-    data = x.data[ranges(x.at[parent] + start, size)]
-    piece, first, found = later_windows(Pieces(x.key[parent], x.least[parent], data, np.concatenate(([0], np.cumsum(size))), x.order[parent] + start), span, gram)
-    return parent[piece], start[piece] + first, found
-
-
 def _sorted(x: Pieces, span: int, gram: int, level: int):
     """later_windows, by the suffix array of each key's pieces."""
     n = len(x.key)
@@ -135,13 +130,17 @@ def _sorted(x: Pieces, span: int, gram: int, level: int):
     room[body] = np.repeat(begin + x.size, x.size) - body
     del body
     order = order[room[order] >= span]
-    values = text.astype(np.uint64)
-    h1, h2 = (Prefix(values, b).windows(span) for b in _BASES)
-    a, b, k = h1[order], h2[order], x.key[piece[order]]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1])]
+    # Neighbours are compared eight bytes at a time, as long as they agree.
+    inside = order - begin[piece[order]] + x.at[piece[order]]
+    eight, key = lanes(x.data), x.key[piece[order]]
+    same = np.flatnonzero(key[1:] == key[:-1]) + 1
+    for k in [*range(0, span - 7, 8), span - 8]:
+        same = same[eight[inside[same] + k] == eight[inside[same - 1] + k]]
+    new = np.ones(len(order), bool)
+    new[same] = False
     where = x.order[piece[order]] + order - begin[piece[order]]
     heads = np.flatnonzero(new)
-    earliest = np.repeat(np.minimum.reduceat(where, heads), np.diff(np.r_[heads, len(order)]))
+    earliest = np.repeat(np.minimum.reduceat(where, heads), np.diff(np.r_[heads, len(order)])) if len(heads) else where
     flags = np.zeros(len(text), bool)
     flags[order[where > earliest]] = True
     start, count = _blocks(flags, piece)
@@ -151,10 +150,10 @@ def _sorted(x: Pieces, span: int, gram: int, level: int):
 def _recut(x: Pieces, span: int, gram: int, level: int):
     """later_windows, by pieces cut by one more minimizer."""
     units = _byte_units(x.data, x.at, gram, level + 1)
-    start, windows, least = cut(units, span - gram + 1, lambda values, rows: np.ones(len(values), bool))
-    parent = units.owner(start)
-    data, at = units.content(start, start + windows + span - 1)
-    inner = Pieces(mix(x.key[parent] ^ mix(least + np.uint64(level))), x.least[parent], data, at, x.order[parent] + start - x.at[parent])
+    start, windows, least = units.segments(span - gram + 1)
+    parent, size = units.owner(start), windows + span - 1
+    data, at = x.data[ranges(start, size)], np.concatenate(([0], np.cumsum(size)))
+    inner = Pieces(mix(x.key[parent] ^ mix(units.names(least) + np.uint64(level))), data, at, x.order[parent] + start - x.at[parent])
     piece, first, count = later_windows(inner, span, gram, level + 1)
     return parent[piece], start[piece] - x.at[parent[piece]] + first, count
 
@@ -173,9 +172,9 @@ def _search(span: int, gram: int):
             return []
         data, at = text_bytes(table.column("content").combine_chunks())
         least = table.column("minimizer").to_numpy().view(np.uint64)
-        x = Pieces(least, least, data, at, (rank << 40) + place["start"].to_numpy())
+        x = Pieces(least, data, at, (rank << 40) + place["start"].to_numpy())
         out: list[list[int]] = [[] for _ in range(table.num_rows)]
-        for piece, start, count in zip(*(c.tolist() for c in split_later_windows(x, span, gram)), strict=True):
+        for piece, start, count in zip(*(c.tolist() for c in later_windows(x, span, gram)), strict=True):
             out[piece] += [start, count]
         return out
 

@@ -10,15 +10,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-_WORD_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE_2 = 0xD6E8FEB86659FD93
-_GRAM_BASE = 0xA0761D6478BD642F
-_GRAM_BASE_2 = 0xE7037ED1A0B428DB
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 56
+_SIP = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+_LEFT, _RIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -29,16 +30,18 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[65:91] = ALNUM[128:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    have = _powers.get(base)
+def powers(base: int, n: int, kind: type = np.uint64) -> np.ndarray:
+    """base**0 .. base**n modulo the range of the kind; those of short texts are kept."""
+    have = _powers.get((base, kind))
     if have is None or len(have) <= n:
-        out = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        out = np.full(max(n + 1, 1 << 18), base, kind)
         out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
+        have = np.cumprod(out, dtype=kind)
+        if len(have) <= 1 << 21:
+            _powers[base, kind] = have
     return have
 
 
@@ -143,16 +146,38 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, second: bool = False, block: int = 1 << 15) -> np.ndarray:
-        """A 64-bit hash of each word; blocks bound the memory for one long text."""
+    def hashes(self, block: int = 1 << 15) -> np.ndarray:
+        """A 64-bit hash of each word: SipHash-1-3, so no pattern of bytes makes terms cancel out as in a polynomial."""
+        eight = lanes(self.raw)
         out = np.empty(len(self.start), np.uint64)
         for a in range(0, len(out), block):
-            b = min(a + block, len(out))
-            low, high = self.start[a], self.end[b - 1]
-            runs = Prefix(self.raw[low:high].astype(np.uint64) + np.uint64(1), _WORD_BASE_2 if second else _WORD_BASE)
-            out[a:b] = runs.runs(self.start[a:b] - low, self.end[a:b] - low)
+            out[a : a + block] = _sip(eight, self.start[a : a + block], self.end[a : a + block] - self.start[a : a + block])
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            out[k] = int.from_bytes(digest(self.raw[self.start[k] : self.end[k]].tobytes())[:8], "little")
         return out
 
+    def numbers(self) -> np.ndarray:
+        """A number for each distinct word, told apart by its bytes."""
+        size = self.end - self.start
+        at = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        data = self.raw[ranges(self.start, size)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(data)])
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def glue(self, which: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the words `which`, a space after each, and where each group of them begins; groups: offsets in which."""
+        size = self.end[which] - self.start[which] + 1
+        at = np.concatenate(([0], np.cumsum(size)))
+        data = np.append(self.raw, np.uint8(32))[ranges(self.start[which], size)]
+        data[at[1:] - 1] = 32
+        return data, at[groups]
+
+    def joined(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words start..end of each run, joined by spaces."""
+        data, at = self.glue(ranges(start, end - start), np.concatenate(([0], np.cumsum(end - start))))
+        whole = data.tobytes()
+        return [whole[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.at) - 1), self.counts)
@@ -162,9 +187,81 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
 
-def grams(words: np.ndarray, n: int, second: bool = False) -> np.ndarray:
-    """Hashes of n consecutive word hashes, by start; runs over the ends of texts too, which the caller masks."""
-    return Prefix(words, _GRAM_BASE_2 if second else _GRAM_BASE).windows(n)
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; zeros follow the last."""
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    high = x << np.uint64(n)
+    high |= x >> np.uint64(64 - n)
+    return high
+
+
+def _round(v0, v1, v2, v3):
+    v0 = v0 + v1
+    v1 = _turn(v1, 13) ^ v0
+    v0 = _turn(v0, 32)
+    v2 = v2 + v3
+    v3 = _turn(v3, 16) ^ v2
+    v0 += v3
+    v3 = _turn(v3, 21) ^ v0
+    v2 += v1
+    v1 = _turn(v1, 17) ^ v2
+    return v0, v1, _turn(v2, 32), v3
+
+
+def _sip(lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SipHash with one round a block of eight bytes and three at the end, under a fixed key; LONG_WORD bytes at most."""
+    state = [np.full(len(start), x, np.uint64) for x in _SIP]
+    size = np.minimum(size, LONG_WORD)
+    for k in range(int(size.max()) // 8 + 1 if len(size) else 0):
+        every = k == 0
+        which = slice(None) if every else np.flatnonzero(size >= 8 * k)
+        left = (size[which] - 8 * k).astype(np.uint64)
+        block = lanes[start[which] + 8 * k]
+        # The last block holds what is left, and the size in its highest byte.
+        last = left < 8
+        bits = np.where(last, left, 0) << np.uint64(3)
+        short = (block & ((np.uint64(1) << bits) - np.uint64(1))) | (size[which].astype(np.uint64) << np.uint64(56))
+        block = np.where(last, short, block)
+        v0, v1, v2, v3 = (x if every else x[which] for x in state)
+        v0, v1, v2, v3 = _round(v0, v1, v2, v3 ^ block)
+        v0 ^= block
+        if every:
+            state = [v0, v1, v2, v3]
+        else:
+            for x, new in zip(state, (v0, v1, v2, v3), strict=True):
+                x[which] = new
+    v0, v1, v2, v3 = state
+    v2 = v2 ^ np.uint64(255)
+    for _ in range(3):
+        v0, v1, v2, v3 = _round(v0, v1, v2, v3)
+    return v0 ^ v1 ^ v2 ^ v3
+
+
+def digest(content: bytes) -> bytes:
+    """128 bits of BLAKE2b: what names content that is not compared byte by byte."""
+    return blake2b(content, digest_size=16).digest()
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive word hashes, by start; runs over the ends of texts too, which the caller masks.
+
+    The hash of a run is made of those of two shorter runs, which may overlap, in log2(n) passes. Each pass mixes what it
+    joins, so unlike with sums of powers no pattern of words makes terms cancel out.
+    """
+    out, width = words, 1
+    while width < n:
+        step = min(width, n - width)
+        if len(out) <= step:
+            return out[:0]
+        joined = out[: len(out) - step] * _LEFT
+        joined += out[step:] * _RIGHT
+        out = mix(joined + np.uint64(width))
+        width += step
+    return mix(out) if n == 1 else out
 
 
 def sliding(values: np.ndarray, n: int, least: bool = True) -> np.ndarray:
