@@ -2,8 +2,10 @@
 
 Keyword assignments, access keys and hex strings are found by pattern. To these the scan adds what looks random: over
 each candidate, a run of one character class, a window slides, and the Shannon entropy of its characters is kept up from
-the counts of the character that enters and the one that leaves. Windows above the class's threshold make a span, unless
-an allow-list explains the candidate or a pattern already covers it.
+the counts of the character that enters and the one that leaves. The counts are kept too, five bits for each character
+in seven numbers, so a step costs the same whatever the window's width. Windows above the class's threshold that
+overlap make a span, unless a pattern already covers it. An allow-list explains whole candidates, such as UUIDs, and
+windows that hold a sample; what stands beside a sample is judged by its own windows.
 
 Positions come from the lengths of what lies between matches, as split and extraction find the same matches. Entropy is
 kept as the sum of count * log2(count) in whole millionths, so it has no rounding to drift.
@@ -23,9 +25,16 @@ HEX = r"[0-9a-f]{24,}"
 WIDTH = 20
 #: Candidate runs and the entropy, in bits a character, from which a window is suspect.
 CLASSES = {"hex_entropy": (r"[0-9A-Fa-f]{20,}", 3.0), "text_entropy": (r"[A-Za-z0-9+/_=-]{20,}", 3.8)}
-#: Candidates that are no secrets: without a digit or without letters, UUIDs, words with a number, alphabets, samples.
-ALLOWED = r"^[^0-9]*$|^[0-9+/_=-]*$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^[A-Za-z+/_=-]+[0-9]{1,4}$|EXAMPLE|example|abcdefgh|ABCDEFGH|0123456789"
+#: Candidates that are no secrets: without a digit or without letters, UUIDs, words with a number.
+ALLOWED = r"^[^0-9]*$|^[0-9+/_=-]*$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^[A-Za-z+/_=-]+[0-9]{1,4}$"
+#: Windows that hold one of these are no secrets: alphabets and samples. No two of them can overlap.
+SAMPLES = r"EXAMPLE|example|abcdefgh|ABCDEFGH|0123456789"
 KINDS = ["assign", "access", "hex", *CLASSES]
+#: Counts of characters, from the first that a class has on, are packed EACH to a long, in BITS bits.
+FIRST_CHAR, LAST_CHAR, BITS, EACH = ord("+"), ord("z"), 5, 12
+PACKS = (LAST_CHAR - FIRST_CHAR) // EACH + 1
+#: So many numbers are added up in one go.
+STRETCH = 64
 #: count * log2(count) for 0..WIDTH, in millionths.
 WEIGHTS = [0, *(round(c * log2(c) * 1_000_000) for c in range(1, WIDTH + 1))]
 
@@ -39,48 +48,97 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,end:int,value:string>>")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _before(numbers: Column) -> Column:
+    """For each number, the sum of those before it.
+
+    Sums are taken over stretches, and then over their totals, as appending to one list copies it each time.
+    """
+
+    def run(xs: Column, value) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            return F.struct((a["sum"] + value(x)).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out"))
+
+        return F.aggregate(xs, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), add)
+
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / STRETCH).cast("int")), lambda k: run(F.slice(numbers, k * STRETCH + 1, F.lit(STRETCH)), lambda x: x))
+
+    def joined(parts: Column) -> Column:
+        return _let(run(parts, lambda x: x["sum"])["out"], lambda offsets: F.flatten(F.transform(parts, lambda p, k: F.transform(p["out"], lambda x: x + F.get(offsets, k)))))
+
+    return F.when(F.size(numbers) > 0, _let(stretches, joined)).otherwise(F.array().cast("array<int>"))
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """start, end (exclusive) in code points, and a group, of each leftmost match; empty without one."""
     all_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    steps = F.arrays_zip(all_.alias("m"), value.alias("v"), F.slice(gaps, F.lit(1), F.size(all_)).alias("g"))
+    steps = F.arrays_zip(F.transform(all_, lambda x: F.length(x)).alias("m"), value.alias("v"), F.slice(gaps, F.lit(1), F.size(all_)).alias("g"))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + x["g"]
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
+    def placed(steps: Column) -> Column:
+        starts = _before(F.transform(steps, lambda x: x["g"] + x["m"]))
+        return _let(starts, lambda before: F.transform(steps, lambda x, i: F.struct((F.get(before, i) + x["g"]).alias("start"), (F.get(before, i) + x["g"] + x["m"]).alias("end"), x["v"].alias("value"))))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), _none().alias("out")), add, lambda a: a["out"])
-    return F.when(text.rlike(pattern), found).otherwise(_none())
+    return F.when(text.rlike(pattern), _let(steps, placed)).otherwise(_none())
 
 
 def _suspect(candidate: Column, limit: int) -> Column:
-    """First and last start of the candidate's windows whose weight is at most limit; null without any."""
-    chars = F.split(candidate, "(?<=.)(?=.)")
+    """(first, last) start of each stretch of overlapping windows whose weight is at most limit and that hold no sample."""
     weight = F.array(*[F.lit(w).cast("long") for w in WEIGHTS])
-
-    def scan(c: Column) -> Column:
-        def slide(a: Column, i: Column) -> Column:
-            new, old = F.get(c, i), F.get(c, i - WIDTH)
-            before = F.slice(c, F.greatest(i - WIDTH, F.lit(0)) + 1, F.least(i, F.lit(WIDTH)))
-            leaving = F.size(F.filter(before, lambda x: x == old))
-            entering = F.size(F.filter(before, lambda x: x == new)) - F.when(new == old, 1).otherwise(0)
-            s = a["s"] + F.when(i >= WIDTH, F.get(weight, leaving - 1) - F.get(weight, leaving)).otherwise(F.lit(0).cast("long"))
-            s = s + F.get(weight, entering + 1) - F.get(weight, entering)
-            start = i - (WIDTH - 1)
-            hit = (start >= 0) & (s <= limit)
-            return F.struct(s.alias("s"), F.when(hit & a["first"].isNull(), start).otherwise(a["first"]).alias("first"), F.when(hit, start).otherwise(a["last"]).alias("last"))
+    zero = F.lit(0).cast("long")
+    codes = F.transform(F.split(candidate, "(?<=.)(?=.)"), lambda c: F.ascii(c) - FIRST_CHAR)
+
+    def change(c: Column, i: Column, sign: int) -> Column:
+        """What a character does to the counts: which number, how far up, and one there."""
+        place = BITS * F.pmod(c, F.lit(EACH))
+        return F.struct(F.floor(c / EACH).cast("int").alias("pack"), place.alias("at"), F.lit(sign).alias("sign"), i.alias("i"))
+
+    def events(codes: Column) -> Column:
+        i = F.sequence(F.lit(0), F.size(codes) - 1)
+        both = F.transform(i, lambda i: F.array(change(F.get(codes, i - WIDTH), i, -1), change(F.get(codes, i), i, 1)))
+        return F.filter(F.flatten(both), lambda x: x["pack"].isNotNull())
+
+    def scan(samples: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            pack = F.lit(0).cast("long")
+            for k in range(PACKS):
+                pack = F.when(x["pack"] == k, a[f"c{k}"]).otherwise(pack)
+            # F.shiftright takes a fixed number of places only.
+            count = F.call_function("shiftright", pack, x["at"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+            s = a["s"] + F.get(weight, count + x["sign"]) - F.get(weight, count)
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), x["at"]) * x["sign"]
+            start = x["i"] - (WIDTH - 1)
+            sample = F.exists(samples, lambda m: (m["start"] >= start) & (m["end"] <= start + WIDTH))
+            hit = (x["sign"] == 1) & (start >= 0) & (s <= limit) & ~sample
+            new = hit & (a["last"].isNull() | (start - a["last"] >= WIDTH))
+            done = F.when(new & a["last"].isNotNull(), F.array_append(a["out"], F.struct(a["first"].alias("first"), a["last"].alias("last")))).otherwise(a["out"])
+            counts = [F.when(x["pack"] == k, a[f"c{k}"] + one).otherwise(a[f"c{k}"]).alias(f"c{k}") for k in range(PACKS)]
+            return F.struct(s.alias("s"), F.when(new, start).otherwise(a["first"]).alias("first"), F.when(hit, start).otherwise(a["last"]).alias("last"), done.alias("out"), *counts)
 
         none = F.lit(None).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), F.struct(F.lit(0).cast("long").alias("s"), none.alias("first"), none.alias("last")), slide)
+        empty = F.array().cast("array<struct<first:int,last:int>>")
+        start = F.struct(zero.alias("s"), none.alias("first"), none.alias("last"), empty.alias("out"), *[zero.alias(f"c{k}") for k in range(PACKS)])
+
+        def finish(a: Column) -> Column:
+            return F.when(a["last"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(a["first"].alias("first"), a["last"].alias("last"))))
+
+        return F.aggregate(_let(codes, events), start, step, finish)
 
-    return F.get(F.transform(F.array(chars), scan), 0)
+    return _let(_matches(candidate, SAMPLES), scan)
 
 
 def _windows(candidates: Column, limit: int) -> Column:
-    return F.transform(candidates, lambda x: F.struct(x["start"].alias("at"), x["value"].alias("v"), _suspect(x["value"], limit).alias("w")))
+    """start, end and value of the candidates' suspect stretches."""
+
+    def spans(x: Column) -> Column:
+        return F.transform(_suspect(x["value"], limit), lambda w: F.struct((x["start"] + w["first"]).alias("start"), (x["start"] + w["last"] + WIDTH).alias("end"), F.substring(x["value"], w["first"] + 1, w["last"] + WIDTH - w["first"]).alias("value")))
+
+    return F.flatten(F.transform(candidates, spans))
 
 
 def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -108,7 +166,7 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
             maybe = F.filter(maybe, lambda x: ~x["value"].rlike("^[0-9A-Fa-f]*$"))
         out = out.withColumn(f"m_{kind}", maybe)
         out = out.withColumn(f"h_{kind}", _windows(F.col(f"m_{kind}"), most(threshold)))
-        spans = F.transform(F.filter(f"h_{kind}", lambda x: x["w"]["first"].isNotNull()), lambda x: F.struct((x["at"] + x["w"]["first"]).alias("start"), (x["at"] + x["w"]["last"] + WIDTH).alias("end"), F.substring(x["v"], x["w"]["first"] + 1, x["w"]["last"] + WIDTH - x["w"]["first"]).alias("value")))
+        spans = F.col(f"h_{kind}")
         spans = F.filter(spans, lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
         out = out.withColumn(f"s_{kind}", tagged(spans, kind))
     found = F.sort_array(F.concat("base", *[f"s_{k}" for k in CLASSES]))
@@ -121,7 +179,10 @@ def digest(secrets: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, with each span of scan() replaced by its kind in brackets; overlapping spans are one, of the first's kind."""
+    """docs, with each span of scan() replaced by its kind in brackets; overlapping spans are one, of the first's kind.
+
+    A null text stays null; what has no span stays as it is; repeated rows are each redacted.
+    """
     out = scan(docs, text_col)
 
     def add(a: Column, x: Column) -> Column:
