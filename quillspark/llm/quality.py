@@ -25,14 +25,13 @@ SYMBOLS = "#*$%&|<>"
 #: Bits of a packed long that hold the position; the others hold the hash.
 PLACE = 31
 WINDOW = 3
-STEPS = 30
+STEPS = 60
 #: Where estimation starts: the share of good documents, and a rule's outcomes on good and on bad ones.
 PRIOR = 0.9
-GOOD = {-1: 0.002, 0: 0.198, 1: 0.8}
-BAD = {-1: 0.3, 0: 0.1, 1: 0.6}
-#: How much the start weighs against what the documents show. Few documents fail two rules, so the votes alone would
-#: not tell a bad document from a good one on which a rule errs.
-WEIGHT = 4
+GOOD = {-1: 0.02, 0: 0.18, 1: 0.8}
+BAD = {-1: 0.3, 0: 0.3, 1: 0.4}
+#: The start counts as so many documents, however many there are, so that no chance becomes 0 and few votes decide little.
+PSEUDO = 50
 THRESHOLD = 0.5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct"]
 
@@ -82,13 +81,15 @@ def rules() -> list[Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     words, per = F.col("n_words"), share("word_chars", "n_words")
+    symbols, lines = share("n_symbols", "n_words"), share("n_dup_lines", "n_lines")
+    repeats, distinct = share("n_repeat_words", "n_words"), share("n_distinct", "n_words")
     return [
-        vote(words >= 80, words < 50),
-        vote((per >= 3) & (per <= 9), (per < 1.5) | (per > 20)),
-        vote(share("n_symbols", "n_words") <= 0.05, share("n_symbols", "n_words") > 0.2),
-        vote(share("n_dup_lines", "n_lines") <= 0.1, share("n_dup_lines", "n_lines") > 0.6),
-        vote(share("n_repeat_words", "n_words") <= 0.15, share("n_repeat_words", "n_words") > 0.45),
-        vote(share("n_distinct", "n_words") >= 0.25, (words >= 50) & (share("n_distinct", "n_words") < 0.1)),
+        vote(words >= 100, words < 50),
+        vote((per >= 4) & (per <= 6.5), (per < 3) | (per > 7)),
+        vote(symbols <= 0.02, symbols > 0.1),
+        vote(lines <= 0.1, lines > 0.3),
+        vote(repeats <= 0.15, repeats > 0.3),
+        vote(distinct >= 0.6, distinct < 0.3),
     ]
 
 
@@ -100,11 +101,22 @@ def posterior(votes: list[Column], p: float, good: list[dict[int, float]], bad:
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, n_rules: int, steps: int = STEPS) -> tuple[float, list[dict[int, float]], list[dict[int, float]]]:
+Chances = list[dict[int, float]]
+
+
+def _shared_out(good: dict[int, float], bad: dict[int, float], n_good: float, n_bad: float) -> tuple[dict[int, float], dict[int, float]]:
+    """The chances, with that of a bad vote made equal where it is larger on good documents; each still sums to 1."""
+    if bad[-1] >= good[-1]:
+        return good, bad
+    both = (good[-1] * n_good + bad[-1] * n_bad) / (n_good + n_bad)
+    return tuple({o: both if o == -1 else x[o] * (1 - both) / (x[0] + x[1]) for o in x} for x in (good, bad))
+
+
+def estimate(patterns: DataFrame, n_rules: int, steps: int = STEPS) -> tuple[float, Chances, Chances]:
     """Share of good documents and each rule's chances on good and bad ones, by expectation-maximisation over (v0, ..., n).
 
-    WEIGHT times as many documents that vote as GOOD and BAD say are added to each count, so that no chance becomes 0,
-    and a rule stays at least as likely to vote bad on bad documents as on good ones. Without rows the start is the
+    PSEUDO documents that vote as PRIOR, GOOD and BAD say are added, so the documents outweigh the start as soon as they
+    are many. A rule is at least as likely to vote bad on bad documents as on good ones. Without rows the start is the
     estimate.
     """
     p, good, bad = PRIOR, [dict(GOOD)] * n_rules, [dict(BAD)] * n_rules
@@ -116,11 +128,12 @@ def estimate(patterns: DataFrame, n_rules: int, steps: int = STEPS) -> tuple[flo
         row = weighed.agg(*sums).first()
         if not row["n"]:
             break
-        before, rest = p, row["n"] - row["g"]
-        p = (row["g"] / row["n"] + WEIGHT * PRIOR) / (1 + WEIGHT)
-        good = [{o: (row[f"g{i}{o}"] / max(row["g"], 1e-9) + WEIGHT * GOOD[o]) / (1 + WEIGHT) for o in GOOD} for i in range(n_rules)]
-        bad = [{o: (row[f"n{i}{o}"] - row[f"g{i}{o}"]) / max(rest, 1e-9) / (1 + WEIGHT) + WEIGHT * BAD[o] / (1 + WEIGHT) for o in BAD} for i in range(n_rules)]
-        bad = [{**b, -1: max(b[-1], g[-1])} for g, b in zip(good, bad, strict=True)]
+        before, n_good, n_bad = p, row["g"] + PSEUDO * PRIOR, row["n"] - row["g"] + PSEUDO * (1 - PRIOR)
+        p = n_good / (n_good + n_bad)
+        good = [{o: (row[f"g{i}{o}"] + PSEUDO * PRIOR * GOOD[o]) / n_good for o in GOOD} for i in range(n_rules)]
+        bad = [{o: (row[f"n{i}{o}"] - row[f"g{i}{o}"] + PSEUDO * (1 - PRIOR) * BAD[o]) / n_bad for o in BAD} for i in range(n_rules)]
+        pairs = [_shared_out(g, b, n_good, n_bad) for g, b in zip(good, bad, strict=True)]
+        good, bad = [g for g, _ in pairs], [b for _, b in pairs]
         if abs(p - before) < 1e-9:
             break
     return p, good, bad
