@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import keep, small_batches
 from .textbatch import ALNUM, Prefix, Words, lean, ranges, slices
 
 ROWS = 1 << 19
@@ -24,6 +24,8 @@ DIM = 4
 GRAMS = (3, 4, 5, 6, 7, 8)
 #: Labelled texts of each label that training reads at most, those of the least hash of their id.
 SAMPLE = 2000
+#: Bytes of text of each label that training reads at most; whole texts only, in the same order.
+SAMPLE_BYTES = 32 << 20
 ROUNDS = 16
 RATE = 12.0
 BATCH = 128
@@ -132,18 +134,24 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     return Model((embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """text and label of the rows to learn from: those whose crc32 of the id, as text, is not 1 modulo 3.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """id, text and label of the rows to learn from: those whose crc32 of the id, as text, is not 1 modulo 3.
 
-    Of more than `sample` rows of a label the ones of the least hash count, so the sample is the same in every run.
-    Labels without an id or a value are left out; of labels that repeat an id the highest counts.
+    Of more than `sample` rows of a label the ones of the least hash count, and of these as many as have sample_bytes of
+    text together, so the sample is bounded and the same in every run. Labels without an id or a value are left out; of
+    labels that repeat an id the highest counts, and of texts that share an id the one of the least hash.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
     known = known.groupBy(id_col).agg(F.max("toxic").cast("int").alias("label"))
     few = known.where("label = 1").orderBy(F.xxhash64(id_col), id_col).limit(sample).union(known.where("label = 0").orderBy(F.xxhash64(id_col), id_col).limit(sample))
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # At most 2 * sample small rows, whatever the input.
-    return texts.join(F.broadcast(few), id_col).select(id_col, "text", "label")
+    # At most 2 * sample small rows, whatever the input; rows that repeat an id are made one before they are shuffled.
+    found = texts.join(F.broadcast(few), id_col).withColumn("h", F.xxhash64("text")).where(F.octet_length("text") <= sample_bytes)
+    one = keep(found.groupBy(id_col, "label").agg(F.min(F.struct("h", "text")).alias("t")).select(F.col(id_col).alias("id"), "label", "t.text"), "labelled")
+    # Sizes of at most 2 * sample rows.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = one.select("id", "label", F.octet_length("text").alias("size")).withColumn("upto", F.sum("size").over(order))
+    return one.join(sized.where(F.col("upto") <= sample_bytes).select("id"), "id", "left_semi").select("id", "text", "label")
 
 
 def fit(rows: DataFrame) -> Model:
@@ -155,8 +163,9 @@ def fit(rows: DataFrame) -> Model:
         model = train([r["text"] for r in seen], [r["label"] for r in seen])
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["model", "bias"])
 
-    named = rows.toDF("id", "text", "label").repartition(1)
-    found = named.mapInArrow(lean(run), "model binary, bias double").first()
+    found = rows.repartition(1).mapInArrow(lean(run), "model binary, bias double").first()
+    if found is None:
+        return train([], [])
     return Model(np.frombuffer(found.model, np.float32), found.bias)
 
 
