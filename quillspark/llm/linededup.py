@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last ROLL lines decides where a chunk ends, so the same run of lines is cut alike
-wherever it stands and however many lines come before it. Chunks of two lines or more that occur again anywhere are
-removed, all but the first occurrence.
+A rolling hash over the hashes of the last ROLL lines, mixed, decides where a chunk ends: at a line where it is less than
+at both neighbours. So the same run of lines is cut alike wherever it stands and however many lines come before it, no
+chunk but a text's last has one line, and a line that repeats itself is not cut. Chunks of two lines or more that occur
+again anywhere are removed, all but the first occurrence.
 
 Chunks are first counted by hash alone. Only those whose hash repeats travel with their bytes, and chunks are the same
 only if their bytes are: they are grouped by them, summed up before they are shuffled.
@@ -24,21 +25,17 @@ from .repeats import Wanted, identified, repeated_hashes, second_pass
 from .textbatch import lean
 
 ROLL = 2
-#: One line in so many ends a chunk.
-EVERY = 4
 MULTIPLIER = 31
+#: Bits of the rolling hash, and what mixes it: its high bits depend on all of it.
+BITS, MIXER, LOW = 32, 2654435761, 16
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, end) of each chunk."""
     codes = [int.from_bytes(hashlib.md5(x).digest()[:4], "big") for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        rolling = codes[i] + sum(codes[i - k] * MULTIPLIER**k for k in range(1, ROLL) if i >= k)
-        if rolling % EVERY == 0 or i == len(lines) - 1:
-            out.append((start, i + 1))
-            start = i + 1
-    return out
+    rolling = [sum(codes[i - k] * MULTIPLIER**k for k in range(min(ROLL, i + 1))) % (1 << BITS) * MIXER % (1 << BITS) >> LOW for i in range(len(codes))]
+    ends = [i + 1 for i in range(1, len(lines) - 1) if rolling[i - 1] > rolling[i] < rolling[i + 1]]
+    return list(zip([0, *ends], [*ends, len(lines)], strict=True))
 
 
 def _several(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -52,8 +49,8 @@ def _several(text: str) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _hashes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    found = [h for text in batch.column("text").to_pylist() for _, h, _ in _several(text)]
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hash"])
+    found = [(h, i) for i, text in enumerate(batch.column("text").to_pylist()) for _, h, _ in _several(text)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["hash", "row"])
 
 
 def _occurrences(batch: pa.RecordBatch, wanted: Wanted) -> Iterator[pa.RecordBatch]:
