@@ -13,10 +13,12 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this machine only where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names; where none is set, a folder of this machine, if the master is local."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(folder)
     return folder

@@ -7,7 +7,10 @@ about the target size, by joining whole shards, again without a shuffle.
 
 What a store holds is what its manifest of the highest version lists. A manifest is written aside and renamed into place;
 the rename fails if that version exists, so of two writers one has to try again, and readers see all of a version or
-none. Files that no manifest lists, such as those of a lost writer, are never read.
+none. That asks for a file system whose rename is atomic and refuses an existing name, as HDFS's and a local one's do;
+plain object stores need a committer of their own. Files that no manifest lists, such as those of a lost writer, are
+never read. Sizes are those of the files, and rows come from their footers: nothing is read again to be counted. The
+driver holds one short entry for each file that a version lists, which compaction keeps to the data over the target size.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ _ARRIVAL = "__arrival__"
 
 @dataclass
 class Run:
-    """A run: name, bytes of text, rows, and its files as [path, rows, bytes]."""
+    """A run: name, bytes of its files, rows, and its files as [path, rows, bytes]."""
 
     name: str
     bytes: int = 0
@@ -63,8 +66,8 @@ def plan(runs: list[Run], small: int = SMALL, fanout: int = FANOUT) -> list[list
 class ShardStore:
     """A folder of shards and manifests, on any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str, text_col: str = "text"):
-        self.spark, self.root, self.text_col = spark, root.rstrip("/"), text_col
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         self.jvm = spark._jvm
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._path(f"{self.root}/manifest"))
@@ -101,12 +104,17 @@ class ShardStore:
         context.rename(self._path(aside), self._path(final), options)
         return base + 1
 
+    def _files(self, read: DataFrame, *by: str) -> list:
+        """path, rows and bytes of each file, from footers and names alone."""
+        # Paths come escaped, as in an address.
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path")
+        return read.groupBy(*by, path).agg(F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes")).orderBy(*by, "path").collect()
+
     def _measured(self, folder: str, name: str, schema: T.StructType) -> Run:
         """The run of all files below a folder, as they are."""
-        found = self.fs.globStatus(self._path(f"{folder}/part-*"))
-        if not found:
+        if not self.fs.globStatus(self._path(f"{folder}/part-*")):
             return Run(name)
-        rows = self.spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(self.text_col)), F.lit(0)).alias("bytes")).orderBy("path").collect()
+        rows = self._files(self.spark.read.schema(schema).parquet(folder))
         return Run(name, sum(r.bytes for r in rows), sum(r.rows for r in rows), [[r.path, r.rows, r.bytes] for r in rows])
 
     def append(self, df: DataFrame, arrival: Column | None = None) -> int:
@@ -116,14 +124,14 @@ class ShardStore:
             raise ValueError("the store holds other columns")
         stem = f"v{base['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
         folder = f"{self.root}/data/{stem}"
-        value = F.lit("all") if arrival is None else F.coalesce(arrival.cast("string"), F.lit("null"))
+        # A null arrival is named apart from any text.
+        value = F.lit("all") if arrival is None else F.coalesce(F.concat(F.lit("of-"), arrival.cast("string")), F.lit("null"))
         df.withColumn(_ARRIVAL, value).write.partitionBy(_ARRIVAL).option("compression", "zstd").parquet(folder)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         runs = []
         if self.fs.globStatus(self._path(f"{folder}/{_ARRIVAL}=*/part-*")):
             read = self.spark.read.schema(T.StructType([*schema, T.StructField(_ARRIVAL, T.StringType())])).parquet(folder)
-            # One row for each file written: what the manifest lists.
-            rows = read.groupBy(_ARRIVAL, F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(self.text_col)), F.lit(0)).alias("bytes")).orderBy(_ARRIVAL, "path").collect()
+            rows = self._files(read, _ARRIVAL)
             by: dict[str, Run] = {}
             for r in rows:
                 run = by.setdefault(r[_ARRIVAL], Run(f"{stem}/{r[_ARRIVAL]}"))
@@ -167,14 +175,14 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*paths).select("*", F.concat_ws("/", *parts).alias(shard))
 
 
-def shard(docs: DataFrame, root: str, arrival: Column, text_col: str = "text", target: int = TARGET, small: int = SMALL, fanout: int = FANOUT) -> DataFrame:
+def shard(docs: DataFrame, root: str, arrival: Column, target: int = TARGET, small: int = SMALL, fanout: int = FANOUT) -> DataFrame:
     """Appends docs by arrival to the store at root, compacts it, and reads back what it holds, with the column shard.
 
-    Rows that repeat stay as often as they come; a null arrival is an arrival of its own; null texts count no bytes; a
-    column of docs named shard is replaced in what is read. An empty table makes a version without files and gives no
+    Rows that repeat stay as often as they come; a null arrival is an arrival of its own; texts may be null; a column of
+    docs named shard is replaced in what is read. An empty table makes a version without files and gives no
     rows.
     """
-    store = ShardStore(docs.sparkSession, root, text_col)
+    store = ShardStore(docs.sparkSession, root)
     store.append(docs.drop("shard"), arrival)
     store.compact(target, small, fanout)
     return store.read()
