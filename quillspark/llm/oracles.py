@@ -22,6 +22,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+ORACLES["op4_sharding"] = """
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
 ORACLES["op5_mixing"] = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
@@ -42,7 +46,7 @@ SELECT doc_id, size, source_size, target, CAST(size * coalesce(times, 0) AS BIGI
 
 def _secrets() -> str:
     """Positions as in secrets.py; the entropy of each window is taken afresh."""
-    from .secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, WEIGHTS, WIDTH, most
+    from .secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, SAMPLES, WEIGHTS, WIDTH, most
 
     def q(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
@@ -58,10 +62,13 @@ def _secrets() -> str:
     for n, (kind, (pattern, threshold)) in enumerate(CLASSES.items()):
         parts.append(found(f"c{n}", pattern, 0))
         extra = " AND NOT regexp_matches(m, '^[0-9A-Fa-f]*$')" if kind == "text_entropy" else ""
-        parts.append(f"""w{n} AS (SELECT doc_id, s, i, ch, count(*) AS c FROM (SELECT doc_id, s, i, unnest(string_split(m[i + 1 : i + {WIDTH}], '')) AS ch FROM (
-  SELECT doc_id, s, m, unnest(range(0, length(m) - {WIDTH - 1})) AS i FROM c{n} WHERE NOT regexp_matches(m, {q(ALLOWED)}){extra})) GROUP BY ALL)""")
-        parts.append(f"""x{n} AS (SELECT doc_id, s + min(i) AS s, {3 + n} AS k, s + max(i) + {WIDTH} AS e, '{kind}' AS kind FROM (
-  SELECT doc_id, s, i, sum({WEIGHTS}[c + 1]) AS weight FROM w{n} GROUP BY ALL) q WHERE weight <= {most(threshold)} GROUP BY doc_id, q.s)""")
+        parts.append(f"""w{n} AS (SELECT doc_id, s, i, ch, count(*) AS c FROM (SELECT doc_id, s, i, unnest(string_split(win, '')) AS ch FROM (
+  SELECT doc_id, s, i, m[i + 1 : i + {WIDTH}] AS win FROM (SELECT doc_id, s, m, unnest(range(0, length(m) - {WIDTH - 1})) AS i FROM c{n} WHERE NOT regexp_matches(m, {q(ALLOWED)}){extra}))
+  WHERE NOT regexp_matches(win, {q(SAMPLES)})) GROUP BY ALL)""")
+        parts.append(f"""h{n} AS (SELECT doc_id, s, i FROM (SELECT doc_id, s, i, sum({WEIGHTS}[c + 1]) AS weight FROM w{n} GROUP BY ALL) WHERE weight <= {most(threshold)})""")
+        parts.append(f"""g{n} AS (SELECT *, sum(CAST(i - before >= {WIDTH} AS INTEGER)) OVER (PARTITION BY doc_id, s ORDER BY i) AS g FROM (
+  SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id, s ORDER BY i), i) AS before FROM h{n}))""")
+        parts.append(f"""x{n} AS (SELECT doc_id, s + min(i) AS s, {3 + n} AS k, s + max(i) + {WIDTH} AS e, '{kind}' AS kind FROM g{n} q GROUP BY doc_id, q.s, g)""")
         unions.append(f"SELECT * FROM x{n} x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)")
     return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\n" + ",\n".join(parts) + f""",
 a AS (SELECT * FROM base UNION ALL {' UNION ALL '.join(unions)}),
@@ -76,7 +83,8 @@ ORACLES["op2_secrets"] = _secrets()
 ORACLES["op10_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 u AS (SELECT doc_id, i, l[i] AS line, CAST('0x' || substr(md5(l[i]), 1, 8) AS BIGINT) AS code FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
-e AS (SELECT *, (code + 31 * coalesce(lag(code) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS ends FROM u),
+v AS (SELECT *, CAST((code + 31 * coalesce(lag(code) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4294967296 AS HUGEINT) * 2654435761 % 4294967296 // 65536 AS r FROM u),
+e AS (SELECT *, coalesce(r < lag(r) OVER (PARTITION BY doc_id ORDER BY i) AND r < lead(r) OVER (PARTITION BY doc_id ORDER BY i), false) AS ends FROM v),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
 g AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, c),
 r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, body ORDER BY doc_id, c) > 1 AS gone FROM g)
