@@ -72,9 +72,14 @@ def checkable(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(lowered, months), lambda x: F.length(x) > 1)))
 
 
-def like_counter(text: Column) -> Column:
-    """Whether a text names one of the counters."""
-    return F.exists(F.array(*[F.lit(m.lower()) for m in COUNTERS]), lambda m: F.contains(F.lower(text), m))
+def like_counter(text: Column, markers: list[str] = COUNTERS) -> Column:
+    """Whether a text names one of the counters; a site's own are given as markers."""
+    return F.exists(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: F.contains(F.lower(text), m))
+
+
+def boilerplate(text: Column, pattern: str = BOILERPLATE) -> Column:
+    """Whether all of a text is a known phrase; a site's own are given as a pattern."""
+    return text.rlike(unicode(pattern))
 
 
 def header(title: Column, section: Column) -> Column:
@@ -120,19 +125,6 @@ def slug(model: Column) -> Column:
     return F.replace(model, F.lit("/"), F.lit("__"))
 
 
-def codes(terms: Column) -> Column:
-    """A number for each term, from a hash."""
-    return F.transform(terms, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
-
-
-def hashed_vector(coded: Column, dim: int = 64) -> Column:
-    """A text's counts of terms by hash, each with a sign of its own: the default embedding, free of any model.
-
-    coded should be a column that holds codes(): it is read once for each dimension.
-    """
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(coded, F.lit(0.0), lambda a, c: a + F.when(c % dim != d, 0.0).when(F.floor(c / dim) % 2 == 0, 1.0).otherwise(-1.0)))
-
-
 def unit(vector: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
     v = F.transform(vector, lambda x: x.cast("double"))

@@ -1,9 +1,10 @@
-"""Extraction of documents from pages: a small tree over the standard parser, and extractors that emit many rows a page."""
+"""Extraction of documents from pages: a flat list of elements, and extractors that emit many rows a page."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,15 +13,24 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
 
-# Tags, ids and limits of the extractors.
+# Tags, ids, labels, patterns and limits of the extractors.
 DROPPED = ("script", "style", "noscript", "svg")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre",
+    "section", "summary", "table", "ul",
+}
 SECTIONS = {"notice-board": "notice", "timeline": "timeline", "tasks": "task"}
 PROSE_OUTSIDE = ("notice-board", "timeline", "tasks", "check-hype")
 QUESTION_TAGS = ("button", "h3", "h4", "summary", "dt")
 FAQ_PREFIX = "faq-panel-"
-MIN_PROSE, MIN_TERM, MAX_DATE = 40, 20, 30
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+FAQ_LABEL, TIMELINE_LABEL, TERMS_LABEL = "FAQs", "The Timeline at a Glance", "Terms & Conditions"
+ABOUT_LABEL, ABOUT_TITLE = "About", "About the event"
+TEXT_FALLBACK, PAGE_FALLBACK = "text-fallback", "whole-page-fallback"
+FLAT_FAQ = r"\|([^|]{10,160}\?)\|\+\|([^|]{20,1200})\|"
+MIN_PROSE, MIN_TERM, MIN_QUESTION, MAX_DATE = 40, 20, 3, 30
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
 # End of fixed values.
 
 SCHEMA = "page_id long, doc_id string, section string, title string, text string, kind string, volatile boolean, meta map<string,string>"
@@ -28,87 +38,112 @@ SCHEMA = "page_id long, doc_id string, section string, title string, text string
 _SPACE = re.compile(r"\s+")
 _BOILERPLATE = re.compile(t.BOILERPLATE)
 _DATE = re.compile(t.DATE)
+#: An opening tag ends the open elements of these tags, unless one of those stands between.
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select"}),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    **{tag: ({"p"}, {"button", "td", "th", "table", "object"}) for tag in BLOCKS},
+}
 
 
 def tidy(text: str) -> str:
-    return _SPACE.sub(" ", text.replace("​", "").replace("\xa0", " ")).strip()
+    return _SPACE.sub(" ", text.replace("\u200b", "").replace("\xa0", " ")).strip()
 
 
-class Node:
-    """An element: tag, attributes, parent, and children, which are nodes or strings."""
+class Page(HTMLParser):
+    """A page's elements in the order of the document, numbered from 1; 0 is the document.
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    tags, attrs, parent: of each; stop: the number after its last descendant; strings: all text, of which an element has
+    from begin to end. Scripts, styles and drawings leave nothing. Whatever tags are missing or too many, every element
+    ends no later than what it stands in, and nothing here recurs.
+    """
 
-    def walk(self) -> Iterator[Node]:
-        """The elements below, in the order of the document."""
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
-
-    def strings(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.strings()
-            else:
-                yield child
-
-    def text(self, between: str = " ") -> str:
-        return tidy(between.join(self.strings()))
-
-    def inside(self, test) -> bool:
-        node = self.parent
-        while node is not None and not test(node):
-            node = node.parent
-        return node is not None
-
-    def divs(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node) and c.tag == "div"]
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.tags, self.attrs, self.parent, self.stop = [""], [{}], [0], [0]
+        self.begin, self.end, self.strings = [0], [0], []
+        # Open elements by number, or none for those within a dropped one.
+        self._open: list[tuple[str, int | None]] = [("", 0)]
+        self._count: Counter[str] = Counter()
+        self._hidden = 0
+        self.feed(html or "")
+        self.close()
+        self._close_to(0)
+        self.stop[0], self.end[0] = len(self.tags), len(self.strings)
+
+    def _close_to(self, depth: int) -> None:
+        while len(self._open) > max(1, depth):
+            tag, number = self._open.pop()
+            self._count[tag] -= 1
+            self._hidden -= tag in DROPPED
+            if number is not None:
+                self.stop[number], self.end[number] = len(self.tags), len(self.strings)
+
+    def _depth_of(self, tags: set[str], within: set[str]) -> int | None:
+        """Of the innermost open element of the tags, unless one of `within` comes first."""
+        if not any(self._count[x] for x in tags):
+            return None
+        for depth in range(len(self._open) - 1, 0, -1):
+            if self._open[depth][0] in tags:
+                return depth
+            if self._open[depth][0] in within:
+                return None
+        return None
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
+        ends, within = _ENDS.get(tag, (set(), set()))
+        depth = self._depth_of(ends, within)
+        if depth is not None:
+            self._close_to(depth)
+        hidden = self._hidden or tag in DROPPED
+        number = None if hidden else len(self.tags)
+        if number is not None:
+            above = self._open[-1][1]
+            for column, value in ((self.tags, tag), (self.attrs, {k: v or "" for k, v in attrs}), (self.parent, above), (self.stop, number + 1), (self.begin, len(self.strings)), (self.end, len(self.strings))):
+                column.append(value)
         if tag not in VOID:
-            self.at = node
+            self._open.append((tag, number))
+            self._count[tag] += 1
+            self._hidden += tag in DROPPED
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, dict(attrs), self.at))
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._close_to(len(self._open) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        depth = self._depth_of({tag}, set())
+        if depth is not None:
+            self._close_to(depth)
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        if not self._hidden:
+            self.strings.append(data)
+
+    def below(self, number: int = 0) -> range:
+        """The elements within one."""
+        return range(number + 1, self.stop[number])
 
+    def text(self, number: int = 0) -> str:
+        return tidy(" ".join(self.strings[self.begin[number] : self.end[number]]))
 
-def tree(html: str) -> Node:
-    """The page's elements, without scripts, styles and drawings."""
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    for node in [builder.root, *builder.root.walk()]:
-        node.children = [c for c in node.children if not (isinstance(c, Node) and c.tag in DROPPED)]
-    return builder.root
+    def named(self, name: str) -> int | None:
+        return next((n for n in self.below() if self.attrs[n].get("id") == name), None)
 
+    def main(self) -> int:
+        return next((n for tag in ("main", "body") for n in self.below() if self.tags[n] == tag), 0)
 
-def _by_id(root: Node, name: str) -> Node | None:
-    return next((n for n in root.walk() if n.attrs.get("id") == name), None)
+    def divs(self, number: int) -> list[int]:
+        return [n for n in self.below(number) if self.parent[n] == number and self.tags[n] == "div"]
 
 
-def _main(root: Node) -> Node:
-    nodes = list(root.walk())
-    return next((n for n in nodes if n.tag == "main"), None) or next((n for n in nodes if n.tag == "body"), root)
+def tree(html: str | None) -> Page:
+    return Page(html)
 
 
 def _doc(name: str, section: str, title: str, text: str, kind: str, volatile: bool = False, **meta: str) -> dict:
@@ -119,103 +154,121 @@ def _worth(text: str) -> bool:
     return bool(text) and not _BOILERPLATE.match(text)
 
 
-def _under_headings(root: Node, headings: list[Node], tags: tuple[str, ...], within: Node) -> Iterator[tuple[int, Node, list[str]]]:
+def _counts(text: str) -> bool:
+    return any(m.lower() in text.lower() for m in t.COUNTERS)
+
+
+def _under(page: Page, headings: list[int], tags: tuple[str, ...], within: int) -> Iterator[tuple[int, int, list[str]]]:
     """Each heading with the distinct texts of the given tags between it and the next one."""
-    order = {id(n): k for k, n in enumerate(root.walk())}
-    nodes = list(root.walk())
-    inside = {id(n) for n in within.walk()}
-    bounds = [order[id(h)] for h in headings] + [len(nodes)]
-    for k, h in enumerate(headings):
-        stretch = (n.text() for n in nodes[bounds[k] + 1 : bounds[k + 1]] if n.tag in tags and id(n) in inside)
-        yield k, h, list(dict.fromkeys(x for x in stretch if _worth(x)))
+    inside = page.below(within)
+    for k, heading in enumerate(headings):
+        until = headings[k + 1] if k + 1 < len(headings) else len(page.tags)
+        stretch = (page.text(n) for n in range(heading + 1, until) if n in inside and page.tags[n] in tags)
+        yield k, heading, list(dict.fromkeys(x for x in stretch if _worth(x)))
 
 
-def sections(root: Node, name: str, kind: str) -> list[dict]:
+def sections(page: Page, name: str, kind: str) -> list[dict]:
     """A section by id: a document for each h3 in it, or the whole as one."""
-    node = _by_id(root, name)
-    if node is None:
+    section = page.named(name)
+    if section is None:
         return []
-    heading = next((n for n in node.walk() if n.tag in ("h1", "h2")), None)
-    label = heading.text() if heading else name
-    subs = [n for n in node.walk() if n.tag == "h3"]
-    parts = [(k, h.text(), "\n".join(x)) for k, h, x in _under_headings(root, subs, ("p", "li", "h4"), node)]
+    inside = page.below(section)
+    label = next((page.text(n) for n in inside if page.tags[n] in ("h1", "h2")), name)
+    parts = [(k, page.text(h), "\n".join(x)) for k, h, x in _under(page, [n for n in inside if page.tags[n] == "h3"], ("p", "li", "h4"), section)]
     docs = [_doc(f"{name}-{k:02d}", label, title, f"{title}\n{body}", kind) for k, title, body in parts if body]
-    whole = node.text()
-    if docs or not whole or any(m.lower() in whole.lower() for m in t.COUNTERS):
+    whole = page.text(section)
+    if docs or not whole or _counts(whole):
         return docs
     return [_doc(f"{name}-00", label, label, whole, kind)]
 
 
-def timeline(root: Node) -> list[dict]:
-    """A column of dates and one of events, paired by position; the section as text, where there are no such columns."""
-    node = _by_id(root, "timeline")
+def _dated(page: Page, row: int) -> list[tuple[str, int]]:
+    """Dates and events of a row of two columns, paired by position; none, if they do not pair or are no dates."""
+    columns = page.divs(row) if page.tags[row] == "div" else []
+    if len(columns) != 2:
+        return []
+    dates, events = [page.text(d) for d in page.divs(columns[0])], page.divs(columns[1])
+    paired = len(dates) == len(events) >= 2 and all(0 < len(d) < MAX_DATE and _DATE.search(d) for d in dates)
+    return list(zip(dates, events, strict=True)) if paired else []
+
+
+def timeline(page: Page) -> list[dict]:
+    """A column of dates and one of events; the section as text, where there are no such columns."""
+    section = page.named("timeline")
     docs: dict[str, dict] = {}
-    for row in node.walk() if node else ():
-        columns = row.divs() if row.tag == "div" else []
-        if len(columns) != 2:
-            continue
-        dates, events = [d.text() for d in columns[0].divs()], columns[1].divs()
-        if len(dates) < 2 or len(dates) != len(events) or not all(d and len(d) < MAX_DATE and _DATE.search(d) for d in dates):
-            continue
-        for date, event in zip(dates, events, strict=True):
-            lines = [n.text() for n in event.walk() if n.tag == "p"]
+    for row in page.below(section) if section is not None else ():
+        for date, event in _dated(page, row):
+            lines = [page.text(n) for n in page.below(event) if page.tags[n] == "p"]
             if lines and lines[0] and lines[0] not in docs:
                 body = tidy(" ".join(lines[1:]))
-                docs[lines[0]] = _doc(f"timeline-{len(docs):02d}", "The Timeline at a Glance", lines[0], f"{lines[0]} — {date}\n{body}\nMilestone date: {date}.", "timeline", date=date, milestone=lines[0])
-    return list(docs.values()) or sections(root, "timeline", "timeline")
-
-
-def faqs(root: Node) -> list[dict]:
-    """Panels by id, each under the nearest heading before it; question, plus and answer in the text, if there are none."""
-    nodes, docs = list(root.walk()), []
-    panels = [(k, n) for k, n in enumerate(nodes) if n.attrs.get("id", "").startswith(FAQ_PREFIX)]
-    for number, (k, panel) in enumerate(panels):
-        titles = (n.text().rstrip("+").strip() for n in reversed(nodes[:k]) if n.tag in QUESTION_TAGS)
-        question = next((x for x in titles if len(x) > 3), "")
-        if question and panel.text():
-            docs.append(_doc(f"faq-{number:02d}", "FAQs", question, f"Q: {question}\nA: {panel.text()}", "faq"))
+                text = f"{lines[0]} — {date}\n{body}\nMilestone date: {date}."
+                docs[lines[0]] = _doc(f"timeline-{len(docs):02d}", TIMELINE_LABEL, lines[0], text, "timeline", date=date, milestone=lines[0])
+    return list(docs.values()) or sections(page, "timeline", "timeline")
+
+
+def faqs(page: Page) -> list[dict]:
+    """Panels by id, each under the nearest heading before it; a page without any may still show them as text.
+
+    There a question, a plus sign and an answer follow one another as strings of their own.
+    """
+    docs, title, number = [], "", 0
+    for n in page.below():
+        if page.attrs[n].get("id", "").startswith(FAQ_PREFIX):
+            answer = page.text(n)
+            if title and answer:
+                docs.append(_doc(f"faq-{number:02d}", FAQ_LABEL, title, f"Q: {title}\nA: {answer}", "faq"))
+            number += 1
+        if page.tags[n] in QUESTION_TAGS:
+            question = page.text(n).rstrip("+").strip()
+            title = question if len(question) > MIN_QUESTION else title
     if docs:
         return docs
-    flat = re.sub(r"\s*\|\s*", "|", _SPACE.sub(" ", "|".join(root.strings())))
-    pairs = re.findall(r"\|([^|]{10,160}\?)\|\+\|([^|]{20,1200})\|", flat)
-    return [_doc(f"faq-{k:02d}", "FAQs", tidy(q), f"Q: {tidy(q)}\nA: {tidy(a)}", "faq", extraction="text-fallback") for k, (q, a) in enumerate(pairs)]
+    cells = (_SPACE.sub(" ", x).strip() for x in "|".join(page.strings).split("|"))
+    pairs = re.findall(FLAT_FAQ, "|".join(cells))
+    return [_doc(f"faq-{k:02d}", FAQ_LABEL, tidy(q), f"Q: {tidy(q)}\nA: {tidy(a)}", "faq", extraction=TEXT_FALLBACK) for k, (q, a) in enumerate(pairs)]
 
 
-def prose(root: Node) -> list[dict]:
+def prose(page: Page) -> list[dict]:
     """Long paragraphs and items outside of the known sections, as one document."""
-    def outside(n: Node) -> bool:
-        return not n.inside(lambda x: x.attrs.get("id") in PROSE_OUTSIDE or (x.attrs.get("id") or "").startswith(FAQ_PREFIX))
-
-    texts = (n.text() for n in _main(root).walk() if n.tag in ("p", "li") and outside(n))
-    parts = list(dict.fromkeys(x for x in texts if len(x) >= MIN_PROSE and _worth(x) and not any(m.lower() in x.lower() for m in t.COUNTERS)))
-    title = "About the event"
-    return [_doc("about-00", "About", title, "\n".join([title, *parts]), "prose", note="may conflict with timeline/terms on builder count")] if parts else []
+    known, until = [], 0
+    for n in page.below():
+        name = page.attrs[n].get("id", "")
+        known.append(n < until)
+        if name in PROSE_OUTSIDE or name.startswith(FAQ_PREFIX):
+            until = max(until, page.stop[n])
+    texts = (page.text(n) for n in page.below(page.main()) if page.tags[n] in ("p", "li") and not known[n - 1])
+    parts = list(dict.fromkeys(x for x in texts if len(x) >= MIN_PROSE and _worth(x) and not _counts(x)))
+    return [_doc("about-00", ABOUT_LABEL, ABOUT_TITLE, "\n".join([ABOUT_TITLE, *parts]), "prose")] if parts else []
 
 
-def home(root: Node) -> list[dict]:
-    return [*sections(root, "notice-board", "notice"), *timeline(root), *sections(root, "tasks", "task"), *faqs(root), *prose(root)]
+def home(page: Page) -> list[dict]:
+    return [*sections(page, "notice-board", "notice"), *timeline(page), *sections(page, "tasks", "task"), *faqs(page), *prose(page)]
 
 
-def terms(root: Node) -> list[dict]:
+def terms(page: Page) -> list[dict]:
     """A document for each h2 or h3 with enough below it; the page as one, where there is none."""
-    main, label = _main(root), "Terms & Conditions"
-    headings = [n for n in main.walk() if n.tag in ("h2", "h3") and n.text()]
-    parts = [(k, h.text(), "\n".join(x)) for k, h, x in _under_headings(root, headings, ("p", "li"), root)]
-    docs = [_doc(f"terms-{k:02d}", label, title, f"{title}\n{body}", "terms") for k, title, body in parts if len(body) >= MIN_TERM]
-    whole = main.text()
-    return docs or ([_doc("terms-00", label, label, whole, "terms", extraction="whole-page-fallback")] if whole else [])
+    main = page.main()
+    headings = [n for n in page.below(main) if page.tags[n] in ("h2", "h3") and page.text(n)]
+    parts = [(k, page.text(h), "\n".join(x)) for k, h, x in _under(page, headings, ("p", "li"), 0)]
+    docs = [_doc(f"terms-{k:02d}", TERMS_LABEL, title, f"{title}\n{body}", "terms") for k, title, body in parts if len(body) >= MIN_TERM]
+    whole = page.text(main)
+    return docs or ([_doc("terms-00", TERMS_LABEL, TERMS_LABEL, whole, "terms", extraction=PAGE_FALLBACK)] if whole else [])
+
+
+def _every_section(page: Page) -> list[dict]:
+    return [d for name, kind in SECTIONS.items() for d in sections(page, name, kind)]
 
 
-EXTRACTORS = {"faqs": faqs, "sections": lambda r: [d for name, kind in SECTIONS.items() for d in sections(r, name, kind)], "timeline": timeline, "prose": prose, "home": home, "terms": terms}
+EXTRACTORS: dict[str, Callable[[Page], list[dict]]] = {"faqs": faqs, "sections": _every_section, "timeline": timeline, "prose": prose, "home": home, "terms": terms}
 
 
 def extract(pages: DataFrame, name: str) -> DataFrame:
-    """What an extractor makes of each page (page_id, html)."""
+    """What an extractor makes of each page (page_id, html). A null page is empty; any markup is read, however broken."""
     run_on = EXTRACTORS[name]
 
     def run(batches):
         for pdf in batches:
-            rows = [{"page_id": p, **d} for p, html in zip(pdf.page_id, pdf.html, strict=True) for d in run_on(tree(html))]
+            rows = [{"page_id": p, **d} for p, html in zip(pdf.page_id, pdf.html, strict=True) for d in run_on(Page(html))]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
