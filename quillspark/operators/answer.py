@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import threading
 import time
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import guardrails
-from .retrieve import TOP_K, retrieve
+from .retrieve import TOP_K, Index, retrieve
 
 
 def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -53,15 +54,42 @@ def retried(call: Callable[[str], dict], retryable: Callable[[Exception], bool],
     return run
 
 
-def paced(call: Callable[[str], dict], per_minute: float, tasks: int, clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep) -> Callable[[str], dict]:
-    """The call at no more than its share of a rate, which all tasks have together."""
-    gap, last = 60.0 * tasks / per_minute, [-1e9]
+class Bucket:
+    """A token bucket: so many calls at once at most, refilled at a rate; acquire waits, but never past its deadline."""
+
+    def __init__(self, per_minute: float, burst: float | None = None, clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep):
+        self.rate, self.burst = per_minute / 60.0, max(1.0, per_minute if burst is None else burst)
+        self.clock, self.pause = clock, pause
+        self.held, self.at = self.burst, clock()
+        self.lock = threading.Lock()
+
+    def _take(self) -> float:
+        """0 if a token was taken, else how long the next one takes to come."""
+        with self.lock:
+            now = self.clock()
+            self.held, self.at = min(self.burst, self.held + (now - self.at) * self.rate), now
+            if self.held < 1:
+                return (1 - self.held) / self.rate
+            self.held -= 1
+            return 0.0
+
+    def acquire(self, deadline: float = 10.0) -> bool:
+        """Whether a token was had within `deadline` seconds; gives up at once where waiting cannot help."""
+        until = self.clock() + deadline
+        while (wait := self._take()) > 0:
+            if self.clock() + wait > until:
+                return False
+            self.pause(min(wait, 0.25))
+        return True
+
+
+def paced(call: Callable[[str], dict], per_minute: float, tasks: int, deadline: float = 10.0, clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep) -> Callable[[str], dict]:
+    """The call at no more than its task's share of a rate, bursts included; raises TimeoutError past the deadline."""
+    bucket = Bucket(per_minute / tasks, None, clock, pause)
 
     def run(prompt: str) -> dict:
-        wait = last[0] + gap - clock()
-        if wait > 0:
-            pause(wait)
-        last[0] = clock()
+        if not bucket.acquire(deadline):
+            raise TimeoutError("rate limit: no call was free before the deadline")
         return call(prompt)
 
     return run
@@ -99,14 +127,15 @@ def memoised(cases: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame
     return cases.join(answer(cases.select(key).distinct()), key)
 
 
-def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None) -> DataFrame:
-    """qid, mode, answered, refusal_reason, answer and citations of every query, in one plan.
+def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None) -> DataFrame:
+    """qid, mode, answered, refusal_reason, answer and citations of every query; with an index of docs, they are not
+    indexed again.
 
     The free gate on scope comes before retrieval; contexts join only the hits of queries that are left.
     """
     asked = queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     inside = queries.where(guardrails.scope(F.col("text")) == "in_scope")
-    hits, results = retrieve(docs, inside, mode, k)
+    hits, results = retrieve(index or docs, inside, mode, k)
     texts = contexts(hits, docs)
     rows = asked.join(results, "qid", "left").join(texts, "qid", "left").withColumn("n_hits", F.coalesce(F.size("ids"), F.lit(0))).withColumn("top_context", F.get("contexts", F.lit(0)))
     if generator is None:

@@ -57,7 +57,8 @@ def invariants(docs: DataFrame) -> DataFrame:
     rows = one.unpivot([], [name for name, _, _ in rules], "rule", "n")
     # Bodies and ids are grouped by themselves: what repeats is summed up before it is shuffled.
     for rule, column in (("10_duplicate_bodies", "text"), ("11_duplicate_ids", "doc_id")):
-        many = docs.groupBy(F.xxhash64(column).alias("_h") if column == "text" else F.col(column), *([F.length(column).alias("_l")] if column == "text" else [])).agg(F.count("*").alias("k")).where("k > 1")
+        key = F.sha2(F.col(column).cast("binary"), 256) if column == "text" else F.col(column)
+        many = docs.groupBy(key.alias("_key")).agg(F.count("*").alias("k")).where("k > 1")
         rows = rows.union(many.agg(F.count("*")).select(F.lit(rule), F.col("count(1)")))
     least = F.try_element_at(limits, F.col("rule"))
     return rows.select("rule", "n", F.when(least.isNull(), F.col("n") == 0).otherwise(F.col("n") >= least).alias("ok"))
@@ -66,3 +67,32 @@ def invariants(docs: DataFrame) -> DataFrame:
 def duplicate_bodies(docs: DataFrame) -> DataFrame:
     """How often each body occurs that occurs more than once, by its sha256 and length."""
     return docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("body"), F.length("text").alias("n_chars")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def holding(docs: DataFrame, items: DataFrame, gram: int = 5) -> DataFrame:
+    """qid and doc_id of the documents (doc_id, text) that hold the whole text of an item (qid, text).
+
+    An item is looked up by one run of its inner words, the one of the least hash, as those stand whole in any text that
+    holds it; only what shares that run is then searched for the text itself. Items of fewer than three words have no
+    inner word, and are held by none. Null texts hold nothing and are held by nothing.
+    """
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    inner = items.select("qid", F.col("text").alias("item"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))).alias("w"))
+    inner = inner.where(F.size("w") > 0).withColumn("k", F.least(F.lit(gram), F.size("w")))
+
+    def runs(w: Column, k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))
+
+    named = inner.select("qid", "item", "k", F.array_min(runs(F.col("w"), F.col("k"))).alias("h"))
+    cut = docs.select("doc_id", words.alias("w"))
+    hits = None
+    # At most `gram` lengths, whatever the items.
+    for k in range(1, gram + 1):
+        mine = named.where(F.col("k") == k).select("qid", "h")
+        found = cut.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(k)))).alias("h")).join(mine, "h").select("qid", "doc_id")
+        hits = found if hits is None else hits.union(found)
+    held = hits.distinct().join(docs.select("doc_id", "text"), "doc_id").join(named.select("qid", "item"), "qid")
+    return held.where(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()

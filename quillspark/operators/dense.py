@@ -6,17 +6,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions import text as t
-
 #: So many bytes of query vectors go to every worker at once; more queries are scored block by block.
 BLOCK = 32 << 20
 PLACES = 9
+#: Bits of a signature, and the share of vectors whose signatures are near enough for an exact score.
+BITS, SHARE = 512, 0.08
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -29,13 +27,18 @@ def _rounded(s: np.ndarray) -> np.ndarray:
     return np.sign(s) * np.floor(np.abs(s) * 10**PLACES + 0.5) / 10**PLACES + 0.0
 
 
+def cosines(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Of each row with each query, to PLACES."""
+    return _rounded(_unit_rows(vectors) @ _unit_rows(queries).T)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of doubles from a column of vectors of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def _blocks(queries: DataFrame, qid: str, vector: str):
+def query_blocks(queries: DataFrame, qid: str, vector: str):
     """Queries in blocks of bounded size: ids and a matrix."""
     rows, size = [], 0
     for r in queries.select(qid, vector).toLocalIterator():
@@ -58,7 +61,7 @@ def score(vectors: DataFrame, queries: DataFrame, k: int | None = None, vid: str
     fields = [T.StructField("qid", queries.schema[qid].dataType), vectors.schema[vid], *[vectors.schema[c] for c in keep], T.StructField("score", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     slim = vectors.select(vid, *keep, vector)
-    for ids, m in _blocks(queries, qid, vector):
+    for ids, m in query_blocks(queries, qid, vector):
         shared = spark.sparkContext.broadcast((pa.array(ids), _unit_rows(m) if normalise else m))
 
         def run(batches, shared=shared):
@@ -92,15 +95,64 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, **names) ->
     return top_k(score(vectors, queries, k, **names), k, names.get("vid", "vec_id"))
 
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, radius: float = 1.5, tables: int = 12, bucket: float = 1.6, vid: str = "vec_id", qid: str = "qid", vector: str = "embedding") -> DataFrame:
-    """qid, vid, score, rank from locality-sensitive hashing: near pairs share a bucket in one of the tables."""
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42)
-    named = vectors.select(F.col(vid).alias("vid"), array_to_vector(t.unit(F.col(vector))).alias("v"))
-    asked = queries.select(F.col(qid).alias("qid"), array_to_vector(t.unit(F.col(vector))).alias("v"))
-    near = lsh.fit(named).approxSimilarityJoin(asked, named, radius, "d")
-    # On unit vectors the squared distance is 2 - 2 cos.
-    scored = near.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.vid").alias(vid), F.round(1 - F.col("d") * F.col("d") / 2, PLACES).alias("score"))
-    return top_k(scored, k, vid)
+def planes(dim: int, bits: int = BITS, seed: int = 42) -> np.ndarray:
+    """Random hyperplanes, orthogonal within each block of `dim`; the same for the same arguments."""
+    rng = np.random.default_rng(seed)
+    blocks = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-bits // dim))]
+    return np.concatenate(blocks, 1)[:, :bits]
+
+
+def signatures(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """On which side of each hyperplane each vector lies, packed to longs."""
+    side = (vectors @ planes(vectors.shape[1], bits) > 0).astype(np.uint8)
+    return np.packbits(side, axis=1, bitorder="little").view(np.uint64)
+
+
+def sign(vectors: DataFrame, vector: str = "embedding", out: str = "signature", bits: int = BITS) -> DataFrame:
+    """Adds each vector's signature: the index of approximate_top_k. Every row gets one."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = signatures(matrix(batch.column(vector)), bits)
+                yield batch.append_column(out, pa.FixedSizeListArray.from_arrays(pa.array(found.view(np.int64).ravel()), found.shape[1]).cast(pa.list_(pa.int64())))
+
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema, T.StructField(out, T.ArrayType(T.LongType()))]))
+
+
+def approximate_top_k(indexed: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, vid: str = "vec_id", qid: str = "qid", vector: str = "embedding", signature: str = "signature") -> DataFrame:
+    """qid, vid, score, rank: the best k by cosine among those whose signatures are nearest.
+
+    indexed: what sign() made. Each batch of it is compared by signature, in 64 bytes a vector; `share` of the batch, those that differ from a query's in the fewest bits, get an exact score, and the best k
+    of these go on. No vector is left out of the comparison.
+    """
+    spark, out = indexed.sparkSession, None
+    schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType), indexed.schema[vid], T.StructField("score", T.DoubleType())])
+    for ids, m in query_blocks(queries, qid, vector):
+        bits = 64 * (indexed.select(F.size(signature).alias("n")).first() or [BITS // 64])[0]
+        shared = spark.sparkContext.broadcast((pa.array(ids), _unit_rows(m), signatures(m, bits)))
+
+        def run(batches, shared=shared):
+            names, q, q_bits = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = _unit_rows(matrix(batch.column(vector)))
+                own = batch.column(signature).flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
+                differ = np.zeros((len(q), len(v)), np.uint16)
+                for lane in range(own.shape[1]):
+                    differ += np.bitwise_count(q_bits[:, lane, None] ^ own[None, :, lane])
+                few = min(len(v), max(k, int(np.ceil(share * len(v)))))
+                near = np.argpartition(differ, few - 1, axis=1)[:, :few]
+                s = _rounded(np.einsum("qd,qnd->qn", q, v[near]))
+                # Ties at the edge all stay: the final ranking settles them by id.
+                edge = np.partition(s, few - min(k, few), axis=1)[:, few - min(k, few), None]
+                row, col = np.nonzero(s >= edge)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), batch.column(vid).take(pa.array(near[row, col])), pa.array(s[row, col])], schema.names)
+
+        made = indexed.select(vid, vector, signature).mapInArrow(run, schema)
+        out = made if out is None else out.unionByName(made)
+    return top_k(out if out is not None else spark.createDataFrame([], schema), k, vid)
 
 
 def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: str = "text", out: str = "embedding") -> DataFrame:

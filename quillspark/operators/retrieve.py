@@ -1,13 +1,24 @@
-"""Hybrid retrieval: two rankings of every candidate, fused, and collapsed to one hit a parent."""
+"""Hybrid retrieval over an index: two rankings of every candidate, fused, and collapsed to one hit a parent.
+
+An index is made once, may be saved, and serves any number of calls. Only documents that one of the two rankings puts
+among its first can come first in their fusion, so ranks are taken for those alone; see bounded().
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import text as t
+from quillspark.sources.files import kept
 
-from .dense import score
+from .dense import cosines, embed, matrix, query_blocks, score, top_k
 from .lexical import Postings, bm25, overlap, postings, query_terms
 
 # Defaults of retrieval.
@@ -16,26 +27,78 @@ DIM = 64
 ALPHAS = [0.9, 0.8, 0.7, 0.6, 0.5, 0.3]
 # End of fixed values.
 
+Embedder = Callable[[list[str]], np.ndarray]
+
+
+def feature_vectors(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns and embedding: counts of terms by hash, each with a sign of its own. The default, free of any model.
+
+    Terms are summed up by dimension, so a text costs its tokens, not tokens times dimensions.
+    """
+    code = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
+    words = df.select(*columns, F.explode_outer(t.tokens(F.coalesce("text", F.lit("")))).alias("w"))
+    sign = F.when(F.col("w").isNull(), 0.0).when(F.floor(code / DIM) % 2 == 0, 1.0).otherwise(-1.0)
+    sums = words.groupBy(*columns, F.coalesce(code % DIM, F.lit(0)).cast("int").alias("d")).agg(F.sum(sign).alias("x"))
+    maps = sums.groupBy(*columns).agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
+    return maps.select(*columns, F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in range(DIM)]).alias("embedding"))
+
 
-def candidates(docs: DataFrame, queries: DataFrame, index: Postings | None = None, terms: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Index:
+    """postings, and vectors (doc_id, parent, embedding). query_embedder is the route of questions, which may be another
+    than that of passages; without one they get the default embedding."""
+
+    postings: Postings
+    vectors: DataFrame
+    query_embedder: Embedder | None = None
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """item_id and embedding of queries (item_id, text)."""
+        if self.query_embedder is None:
+            return feature_vectors(queries, "item_id")
+        return embed(queries.select("item_id", F.coalesce("text", F.lit("")).alias("text")), self.query_embedder).select("item_id", "embedding")
+
+
+def build_index(docs: DataFrame, embedder: Embedder | None = None, query_embedder: Embedder | None = None) -> Index:
+    """The index of docs (doc_id, text, parent), written to the shared folder.
+
+    An embedder of passages asks for one of queries. The default embedding is made of the postings' own terms.
+    """
+    if (embedder is None) != (query_embedder is None):
+        raise ValueError("passages and queries need an embedder each")
+    made = postings(docs)
+    if embedder is not None:
+        return Index(made, kept(embed(docs, embedder).select("doc_id", "parent", "embedding"), "vectors"), query_embedder)
+    code = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long")
+    sign = F.when(F.floor(code / DIM) % 2 == 0, F.col("tf").cast("double")).otherwise(-F.col("tf").cast("double"))
+    sums = made.tf.groupBy("doc_id", (code % DIM).cast("int").alias("d")).agg(F.sum(sign).alias("x"))
+    maps = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
+    zeros = [F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in range(DIM)]
+    vectors = docs.select("doc_id", "parent").join(maps, "doc_id", "left").select("doc_id", "parent", F.array(*zeros).alias("embedding"))
+    return Index(made, kept(vectors, "vectors"))
+
+
+def save_index(index: Index, path: str) -> None:
+    """Every table of the index, below path."""
+    for f in fields(Postings):
+        getattr(index.postings, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def load_index(spark: SparkSession, path: str, query_embedder: Embedder | None = None) -> Index:
+    """The index that save_index() wrote; raises where a table is missing."""
+    found = {f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Postings)}
+    return Index(Postings(**found), spark.read.parquet(f"{path}/vectors"), query_embedder)
+
+
+def candidates(docs: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
     """qid, doc_id, parent, dense, lex of every document for every query; a pair without a common term has lex 0.
 
-    docs: doc_id, text, parent; queries: item_id, text. Both sides get the same default embedding.
+    docs: doc_id, text, parent; queries: item_id, text. This is for reports on all pairs; retrieval goes by bounded().
     """
-    index = index or postings(docs)
-    terms = terms if terms is not None else query_terms(queries)
-
-    def vector(df: DataFrame, *columns: str) -> DataFrame:
-        """Terms are summed up by dimension, so a text costs its tokens, not tokens times dimensions."""
-        code = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
-        words = df.select(*columns, F.explode_outer(t.tokens(F.coalesce("text", F.lit("")))).alias("w"))
-        sign = F.when(F.col("w").isNull(), 0.0).when(F.floor(code / DIM) % 2 == 0, 1.0).otherwise(-1.0)
-        sums = words.groupBy(*columns, F.coalesce(code % DIM, F.lit(0)).cast("int").alias("d")).agg(F.sum(sign).alias("x"))
-        maps = sums.groupBy(*columns).agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
-        return maps.select(*columns, F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in range(DIM)]).alias("embedding"))
-
-    dense = score(vector(docs, "doc_id", "parent"), vector(queries, "item_id"), vid="doc_id", qid="item_id", keep=["parent"]).withColumnRenamed("score", "dense")
-    lex = bm25(index, terms).withColumnRenamed("score", "lex")
+    index = index or build_index(docs)
+    dense = score(index.vectors, index.asked(queries), vid="doc_id", qid="item_id", keep=["parent"]).withColumnRenamed("score", "dense")
+    lex = bm25(index.postings, query_terms(queries)).withColumnRenamed("score", "lex")
     return dense.join(lex, ["qid", "doc_id"], "left").select("qid", "doc_id", "parent", "dense", F.coalesce("lex", F.lit(0.0)).alias("lex"))
 
 
@@ -50,17 +113,23 @@ def reciprocal(df: DataFrame, k: int = RRF_K) -> DataFrame:
     return out.withColumn("fused", F.round(1 / (F.lit(k) + F.col("rd")).cast("double") + 1 / (F.lit(k) + F.col("rl")).cast("double"), 9))
 
 
-def min_max(df: DataFrame, column: str) -> Column:
-    """The column scaled to 0..1 among a query's candidates; 0 where all are equal."""
-    w = Window.partitionBy("qid")
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(F.lit(0.0))
+def scaled(df: DataFrame) -> DataFrame:
+    """Adds d01 and l01: dense and lex scaled to 0..1 among a query's candidates, 0 where all are equal.
+
+    Ranges are summed up before they are shuffled, and joined back: no task holds a query's whole corpus.
+    """
+    ends = df.groupBy("qid").agg(*[f(c).alias(f"{c}_{name}") for c in ("dense", "lex") for name, f in (("low", F.min), ("high", F.max))])
+
+    def one(c: str) -> Column:
+        low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+        return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0))
+
+    return df.join(ends, "qid").select(*df.columns, one("dense").alias("d01"), one("lex").alias("l01"))
 
 
 def weighted(df: DataFrame, alphas: list[float] = ALPHAS) -> DataFrame:
     """Adds, for each alpha, alpha of the scaled dense and the rest of the scaled lexical score."""
-    scaled = df.withColumn("d01", min_max(df, "dense")).withColumn("l01", min_max(df, "lex"))
-    return scaled.select(*df.columns, *[F.round(a * F.col("d01") + (1 - a) * F.col("l01"), 6).alias(f"alpha_{a}") for a in alphas])
+    return scaled(df).select(*df.columns, *[F.round(a * F.col("d01") + (1 - a) * F.col("l01"), 6).alias(f"alpha_{a}") for a in alphas])
 
 
 def rankers(df: DataFrame) -> dict[str, Column]:
@@ -86,14 +155,172 @@ def gate_scores(df: DataFrame) -> DataFrame:
     return df.groupBy("qid").agg(F.max("dense").alias("gate_score"))
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+def reach(fetch: int, k: int = RRF_K) -> int:
+    """How deep either ranking must be read for the first `fetch` of their fusion.
+
+    The first `fetch` of one ranking score over 1 / (k + fetch); what is beyond rank k + 2 * fetch in both scores at most
+    2 / (2 * k + 2 * fetch + 1), which is less.
+    """
+    return k + 2 * fetch
+
+
+def _better(ids: np.ndarray, values: np.ndarray, at_ids: np.ndarray, at_values: np.ndarray) -> np.ndarray:
+    """For each candidate, how many rows come before it: of a higher value, or the same and a lesser id."""
+    by = np.lexsort((ids, -values))
+    ids, values = ids[by], -values[by]
+    low, high = np.searchsorted(values, -at_values, "left"), np.searchsorted(values, -at_values, "right")
+    for j in np.flatnonzero(high > low).tolist():
+        low[j] += np.searchsorted(ids[low[j] : high[j]], at_ids[j])
+    return low
+
+
+class _Counts:
+    """Counts by query and candidate, added up over the batches of a task."""
+
+    def __init__(self, asked: dict, columns: list[str]):
+        self.asked, self.columns = asked, columns
+        self.sums = {q: np.zeros((len(columns), len(ids)), np.int64) for q, (ids, *_) in asked.items()}
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for q, (ids, *_) in self.asked.items():
+            some = self.sums[q].any(0)
+            if some.any():
+                found = [pa.array(x[some]) for x in self.sums[q]]
+                yield pa.RecordBatch.from_arrays([pa.array([q] * int(some.sum())), pa.array(ids[some]), *found], ["qid", "doc_id", *self.columns])
+
+
+def _by_query(rows: DataFrame, *values: str) -> Iterator[dict]:
+    """Candidates in blocks of queries of bounded size: by query, their ids and values as arrays."""
+    found, size = {}, 0
+    lists = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("doc_id", *values))).alias("c"))
+    for r in lists.toLocalIterator():
+        found[r.qid] = tuple(np.array([x[k] for x in r.c]) for k in range(1 + len(values)))
+        size += len(r.c)
+        if size >= CANDIDATES:
+            yield found
+            found, size = {}, 0
+    if found:
+        yield found
+
+
+#: Candidates whose ranks are counted in one go; more queries mean more passes, not larger broadcasts.
+CANDIDATES = 500_000
+
+
+def bounded(index: Index, queries: DataFrame, fetch: int, k: int = RRF_K) -> tuple[DataFrame, DataFrame]:
+    """qid, doc_id, parent, dense, lex, rd, rl of all documents that may be among the first `fetch` of the fusion; and
+    qid, gate_score.
+
+    Candidates are the first reach() of either ranking. Their rank in the other one is a count of what comes before
+    them, summed up by task, so no window ever holds a query's whole corpus. Documents without a common term share
+    lexical score 0 and follow by id. Ids must be numbers.
+    """
+    spark, most = queries.sparkSession, reach(fetch, k)
+    lex = kept(bm25(index.postings, query_terms(queries)).where("score > 0").withColumnRenamed("score", "lex"), "lexical")
+    positive = queries.select(F.col("item_id").alias("qid")).join(lex.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").fillna(0)
+    lexical_best = top_k(lex.withColumnRenamed("lex", "score"), most, "doc_id").select("qid", "doc_id")
+    # Where few documents share a term, the others follow by id: the first of these are among the first of all.
+    first = index.vectors.select("doc_id").orderBy("doc_id").limit(most)
+    lexical = kept(lexical_best.union(positive.where(F.col("n") < most).select("qid").crossJoin(F.broadcast(first))).distinct(), "lexical-first")
+
+    vectors = index.vectors.select("doc_id", "parent", "embedding")
+    asked = index.asked(queries)
+    ids = T.StructField("qid", asked.schema["item_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType)
+    none = np.empty(0, np.int64)
+    scored = None
+    for names, m in query_blocks(asked, "item_id", "embedding"):
+        known = spark.createDataFrame([(q,) for q in names], T.StructType([ids[0]]))
+        mine = lexical.join(F.broadcast(known), "qid", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_list("doc_id")).alias("c"))
+        wanted = {r.qid: np.array(r.c) for r in mine.collect()}
+        shared = spark.sparkContext.broadcast((names, m, [wanted.get(q, none) for q in names]))
+
+        def near(batches, shared=shared):
+            names, m, wanted = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    s, own = cosines(matrix(batch.column("embedding")), m), batch.column("doc_id").to_numpy()
+                    edge = np.partition(s, len(s) - most, axis=0)[len(s) - most] if most < len(s) else s.min(0)
+                    keep = s >= edge
+                    for j, x in enumerate(wanted):
+                        keep[:, j] |= np.isin(own, x)
+                    row, col = np.nonzero(keep)
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in col.tolist()]), batch.column("doc_id").take(rows), batch.column("parent").take(rows), pa.array(s[row, col])], ["qid", "doc_id", "parent", "dense"])
+
+        schema = T.StructType([*ids, vectors.schema["parent"], T.StructField("dense", T.DoubleType())])
+        made = vectors.mapInArrow(near, schema)
+        scored = made if scored is None else scored.unionByName(made)
+    if scored is None:
+        scored = spark.createDataFrame([], T.StructType([*ids, vectors.schema["parent"], T.StructField("dense", T.DoubleType())]))
+    scored = kept(scored, "near")
+    first = top_k(scored.withColumnRenamed("dense", "score"), most, "doc_id").select("qid", "doc_id")
+    chosen = first.union(lexical).distinct()
+    chosen = kept(scored.join(chosen, ["qid", "doc_id"]).join(lex, ["qid", "doc_id"], "left").fillna(0.0, ["lex"]), "chosen")
+    ranks = _ranks_among(index, queries, asked, lex, chosen, ids)
+    full = chosen.join(ranks, ["qid", "doc_id"]).join(positive, "qid")
+    rl = F.when(F.col("lex") > 0, F.col("above") + 1).otherwise(F.col("n") + 1 + F.col("before") - F.col("below"))
+    out = full.select("qid", "doc_id", "parent", "dense", "lex", (F.col("higher") + 1).alias("rd"), rl.alias("rl"))
+    return out, chosen.groupBy("qid").agg(F.max("dense").alias("gate_score"))
+
+
+def _ranks_among(index: Index, queries: DataFrame, asked: DataFrame, lex: DataFrame, chosen: DataFrame, ids: tuple) -> DataFrame:
+    """qid, doc_id and, for each candidate, how many documents have a higher cosine (higher) or lexical score (above), a
+    lexical score and a lesser id (below), or a lesser id (before)."""
+    spark, out = queries.sparkSession, None
+    long = [T.StructField(x, T.LongType()) for x in ("higher", "above", "below", "before")]
+    for block in _by_query(chosen, "dense", "lex"):
+        known = spark.createDataFrame([(q,) for q in block], T.StructType([ids[0]]))
+        mine = {r.item_id: r.embedding for r in asked.join(F.broadcast(known), F.col("item_id") == F.col("qid"), "left_semi").collect()}
+        shared = spark.sparkContext.broadcast((block, mine))
+
+        def dense(batches, shared=shared):
+            block, mine = shared.value
+            counts, names = _Counts(block, ["higher", "before"]), list(mine)
+            m = np.array([mine[q] for q in names], np.float64)
+            for batch in batches:
+                if batch.num_rows:
+                    s, own = cosines(matrix(batch.column("embedding")), m), batch.column("doc_id").to_numpy()
+                    ordered = np.sort(own)
+                    for j, q in enumerate(names):
+                        at, values, _ = block[q]
+                        counts.sums[q] += np.stack([_better(own, s[:, j], at, values), np.searchsorted(ordered, at)])
+            yield from counts.rows()
+
+        def lexical(batches, shared=shared):
+            block, _ = shared.value
+            counts = _Counts(block, ["above", "below"])
+            for batch in batches:
+                asked_by, own, values = (batch.column(c).to_numpy() for c in ("qid", "doc_id", "lex"))
+                by = np.argsort(asked_by, kind="stable")
+                heads = np.flatnonzero(np.r_[True, asked_by[by][1:] != asked_by[by][:-1]]) if len(by) else []
+                for rows in np.split(by, heads[1:]) if len(by) else ():
+                    found = block.get(asked_by[rows[0]])
+                    if found is not None:
+                        at, _, scores = found
+                        counts.sums[asked_by[rows[0]]] += np.stack([_better(own[rows], values[rows], at, scores), np.searchsorted(np.sort(own[rows]), at)])
+            yield from counts.rows()
+
+        one = index.vectors.select("doc_id", "embedding").mapInArrow(dense, T.StructType([*ids, long[0], long[3]]))
+        two = lex.mapInArrow(lexical, T.StructType([*ids, long[1], long[2]]))
+        zero = F.lit(0).cast("long")
+        both = one.select("qid", "doc_id", "higher", zero.alias("above"), zero.alias("below"), "before").union(two.select("qid", "doc_id", zero, "above", "below", zero))
+        rest = chosen.join(F.broadcast(known), "qid", "left_semi").select("qid", "doc_id", *[zero] * 4)
+        both = both.union(rest).groupBy("qid", "doc_id").agg(*[F.sum(x).alias(x) for x in ("higher", "above", "below", "before")])
+        out = both if out is None else out.unionByName(both)
+    return out if out is not None else spark.createDataFrame([], T.StructType([*ids, *long]))
+
+
+def retrieve(docs: DataFrame | Index, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
     """hits (qid, rank, doc_id, parent, score, lex) and results (qid, gate_score, term_hits, query_terms).
 
-    mode: dense, bm25 or hybrid. score stays the cosine: fusion orders hits, and never rescores them.
+    docs: an index, or documents to make one of. mode: dense, bm25 or hybrid. score stays the cosine: fusion orders
+    hits, and never rescores them.
     """
-    index, terms = postings(docs), query_terms(queries)
-    both = candidates(docs, queries, index, terms)
-    by = {"dense": F.col("dense"), "bm25": F.col("lex"), "hybrid": F.col("fused")}[mode]
-    hits = collapse(reciprocal(both) if mode == "hybrid" else both, by, k)
-    results = gate_scores(both).join(overlap(queries, terms, index), "qid")
+    index = docs if isinstance(docs, Index) else build_index(docs)
+    both, gate = bounded(index, queries, OVERFETCH * k)
+    both = kept(both, "bounded")
+    fused = F.round(1 / (F.lit(RRF_K) + F.col("rd")).cast("double") + 1 / (F.lit(RRF_K) + F.col("rl")).cast("double"), 9)
+    by = {"dense": F.col("dense"), "bm25": F.col("lex"), "hybrid": fused}[mode]
+    hits = collapse(both, by, k)
+    results = gate.join(overlap(queries, query_terms(queries), index.postings), "qid")
     return hits.select("qid", "rank", "doc_id", "parent", F.col("dense").alias("score"), "lex"), results

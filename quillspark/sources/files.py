@@ -8,12 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir (a local one only where none is set), deleted at the end."""
+    """A fresh path in the folder of spark.checkpoint.dir, deleted at the end.
+
+    Where none is set, a local master gets a folder of its machine; on a cluster its executors would not see that.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -22,15 +28,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def read_json(spark: SparkSession, path: str, schema: str, array: bool = True) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType, array: bool = True) -> DataFrame:
     """A JSON file of records; one that is an array spans lines."""
     return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
-def json_round_trip(df: DataFrame, schema: str) -> DataFrame:
+def write_json_arrays(df: DataFrame, path: str, each: int = 1000) -> None:
+    """Files that hold one JSON array of about `each` records, as a reader of whole documents expects them.
+
+    Rows are dealt out by their hash, so no file holds more than its share, however many rows there are.
+    """
+    files = max(1, -(-df.count() // each))
+    dealt = df.withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+    arrays = dealt.groupBy("_file").agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def json_round_trip(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "docs-json")
-    df.write.json(path)
-    return read_json(df.sparkSession, path, schema, array=False)
+    write_json_arrays(df, path)
+    return read_json(df.sparkSession, path, df.schema)
 
 
 def write_chunks(chunks: DataFrame, path: str, *by: str) -> None:
@@ -62,7 +86,15 @@ def write_corpus(docs: DataFrame, dropped: DataFrame, path: str, source: str) ->
     return made
 
 
+def read_index(spark: SparkSession, path: str, model: str, kind: str, strategy: str) -> DataFrame:
+    """The vectors of one model, kind and strategy; no other folders are opened. Raises where there are none."""
+    found = spark.read.parquet(path).where((F.col("model") == model.replace("/", "__")) & (F.col("index_kind") == kind) & (F.col("strategy") == strategy))
+    if not found.take(1):
+        raise ValueError(f"no index of {model}, {kind}, {strategy}")
+    return found.drop("model", "index_kind")
+
+
 def write_index(index: DataFrame, path: str, model: str, kind: str) -> None:
-    """Vectors and their chunks under model, kind and strategy."""
+    """Vectors and their chunks (with their strategy) under model, kind and strategy."""
     named = index.withColumns({"model": F.lit(model.replace("/", "__")), "index_kind": F.lit(kind)})
     write_chunks(named, path, "model", "index_kind", "strategy")

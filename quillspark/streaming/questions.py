@@ -1,4 +1,4 @@
-"""Questions as a stream: each micro-batch is answered against the documents as they are then."""
+"""Questions as a stream: each micro-batch is answered against one index, made before the stream begins or loaded."""
 
 from __future__ import annotations
 
@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators.answer import ask
+from quillspark.operators.retrieve import Index, build_index
 
 
-def answer_stream(questions: DataFrame, docs: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+def answer_stream(questions: DataFrame, docs: DataFrame, path: str, checkpoint: str, index: Index | None = None, **options) -> StreamingQuery:
     """Answers a stream of (item_id, text) and appends the answers, by batch, below path.
 
-    A batch that is run again after a failure replaces its own folder, so no answer is lost or doubled.
+    docs are indexed once, unless their index is given. A batch that is run again after a failure replaces its own
+    folder, so no answer is lost or doubled.
     """
+    index = index or build_index(docs)
 
     def answer(batch: DataFrame, number: int) -> None:
-        ask(docs, batch, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ask(docs, batch, index=index, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
