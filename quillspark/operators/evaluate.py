@@ -40,12 +40,16 @@ def attractors(hits: DataFrame, gold: DataFrame, least: int = 1) -> DataFrame:
 
 
 def percentile(df: DataFrame, value: str, p: float, *by: str) -> DataFrame:
-    """The value at index min(n - 1, round(p / 100 * n + 0.5) - 1), halves to even, of the ascending values."""
+    """The value at index min(n - 1, round(p / 100 * n + 0.5) - 1), halves to even, of the ascending values.
+
+    Without columns in `by`, no values at all have 0.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by)
     through = counts.withColumn("through", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
     at = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.bround(F.lit(p / 100) * F.col("n") + 0.5).cast("long") - 1)) if p < 100 else F.col("n") - 1
-    return through.where(F.col("through") > at).groupBy(*by).agg(F.min("v").alias("value"))
+    found = through.where(F.col("through") > at).groupBy(*by).agg(F.min("v").alias("value"))
+    return found if by else found.select(F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def middle(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -53,7 +57,8 @@ def middle(df: DataFrame, value: str, *by: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by)
     through = counts.withColumn("through", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
-    return through.where(F.col("through") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min("v").alias("value"))
+    found = through.where(F.col("through") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min("v").alias("value"))
+    return found if by else found.select(F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def signals(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -79,11 +84,14 @@ def auc(table: DataFrame, *by: str) -> DataFrame:
 
 
 def sweep(table: DataFrame, *by: str) -> DataFrame:
-    """cutoff (midpoint of neighbouring values), kept, blocked, of_pos and of_neg."""
+    """cutoff (midpoint of neighbouring values; a lone value itself), kept, blocked, of_pos and of_neg."""
     w = Window.partitionBy(*by)
     up = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table.select(*by, "v", F.lead("v").over(w.orderBy("v")).alias("next"), F.sum("pos").over(w).alias("of_pos"), F.sum("neg").over(w).alias("of_neg"), F.sum("pos").over(up).alias("p"), F.sum("neg").over(up).alias("blocked"))
-    return rows.where(F.col("next").isNotNull()).select(*by, ((F.col("v") + F.col("next")) / 2).alias("cutoff"), (F.col("of_pos") - F.col("p")).alias("kept"), "blocked", "of_pos", "of_neg")
+    rows = table.select(*by, "v", F.lead("v").over(w.orderBy("v")).alias("next"), F.sum("pos").over(w).alias("of_pos"), F.sum("neg").over(w).alias("of_neg"), F.sum("pos").over(up).alias("p"), F.sum("neg").over(up).alias("blocked"), F.count("*").over(w).alias("values"))
+    lone = F.col("values") == 1
+    cutoff = F.when(lone, F.col("v").cast("double")).otherwise((F.col("v") + F.col("next")) / 2)
+    kept, blocked = F.when(lone, F.col("of_pos")).otherwise(F.col("of_pos") - F.col("p")), F.when(lone, F.lit(0).cast("long")).otherwise(F.col("blocked"))
+    return rows.where(F.col("next").isNotNull() | lone).select(*by, cutoff.alias("cutoff"), kept.alias("kept"), blocked.alias("blocked"), "of_pos", "of_neg")
 
 
 def coarse_sweep(table: DataFrame) -> DataFrame:
@@ -133,6 +141,18 @@ def bootstrap(outcomes: DataFrame, value: str, by: str, order: str, resamples: i
     return placed.groupBy(by).agg(F.round(F.avg("x"), 4).alias("mean")).join(ends, by)
 
 
+def best_ranker(results: DataFrame, cost: str, *metrics: str) -> DataFrame:
+    """The row of the highest metrics, in order; of equals the one of the least cost, such as a median latency, then by name."""
+    order = [*[F.col(m).desc() for m in metrics], F.col(cost).asc(), F.col("ranker").asc()]
+    return results.orderBy(*order).limit(1)
+
+
+def best_signal(aucs: DataFrame, accuracies: DataFrame) -> DataFrame:
+    """signal, auc, accuracy: the highest auc; of equals the highest accuracy, then the last by name."""
+    joined = aucs.join(accuracies.select("signal", "accuracy"), "signal")
+    return joined.agg(F.max(F.struct("auc", "accuracy", "signal")).alias("m")).select("m.signal", "m.auc", "m.accuracy")
+
+
 def paired(ranks: DataFrame, base: str, by: str = "ranker") -> DataFrame:
     """For each variant against the base, query by query: fixed, broken and net first places."""
     won = ranks.where("expect = 'answer'").select(by, "qid", (F.col("rank") == 1).alias("ok"))
