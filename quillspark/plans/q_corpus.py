@@ -31,14 +31,23 @@ EMPTY = f"regexp_extract({q.ascii_words('text')}, {q.lit(t.EMPTY_STATE)}, 0)"
 REASON = f"CASE WHEN {EMPTY} <> '' THEN 'empty-state placeholder (''' || {EMPTY} || ''')' WHEN length(text) < 60 THEN 'below MIN_DOC_CHARS (' || length(text) || ' < 60)' END"
 
 # Sources.
-_add("src03_docs_json", lambda s, d: files.json_round_trip(_docs(s, d).select("doc_id", "title", "kind"), "doc_id bigint, title string, kind string"))
+_add("src03_docs_json", lambda s, d: files.json_round_trip(_docs(s, d)).select("doc_id", "title", "kind", "section", F.md5(F.col("text").cast("binary")).alias("text")), CORPUS + "SELECT doc_id, title, kind, section, md5(text) AS text FROM corpus")
 _add("src04_chunks_by_strategy", lambda s, d: files.partitioned(chunking.chunks(_docs(s, d), ["structural", "parent_child"]), "strategy").where("strategy = 'parent_child'").groupBy("kind").agg(F.count("*").alias("n")), PC + "SELECT kind, count(*) AS n FROM pc GROUP BY kind")
 _add("src06_label_violations", lambda s, d: table(s, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "answer").otherwise("refuse").alias("expect"), F.when(F.col("toxic") == 0, F.array("doc_id")).alias("gold")).select("expect", F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold")).groupBy("expect").agg(F.count("*").alias("n"), F.count_if((F.size("gold") > 0) != (F.col("expect") == "answer")).alias("violations")), "SELECT CASE WHEN quality = 1 THEN 'answer' ELSE 'refuse' END AS expect, count(*) AS n, count(*) FILTER ((toxic = 0) <> (quality = 1)) AS violations FROM labels GROUP BY 1")
 _add("src07_case_defaults", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("answer"), F.when(F.col("role").isin("user", "assistant"), "pass").otherwise("block").alias("expect"), F.lit(False).alias("known_limit")).groupBy("expect", "known_limit").agg(F.count("*").alias("n"), F.count_if(~F.col("expect").isin("block", "pass")).alias("violations")), "SELECT CASE WHEN role IN ('user', 'assistant') THEN 'pass' ELSE 'block' END AS expect, false AS known_limit, count(*) AS n, 0 AS violations FROM conversations GROUP BY 1")
-_add("src08_index_load", lambda s, d: table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim")), "SELECT label, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
+
+
+def _loaded(s, d):
+    """An index that is written under its model, kind and strategy, and loaded from there."""
+    path = files.scratch(s, "index")
+    files.write_index(table(s, d, "embeddings").withColumn("strategy", F.lit("vectors")), path, "some/model", "flat")
+    return files.read_index(s, path, "some/model", "flat", "vectors")
+
+
+_add("src08_index_load", lambda s, d: _loaded(s, d).groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim")), "SELECT label, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
 _add("src10_query_bounds", lambda s, d: table(s, d, "conversations").where(F.length("text").between(1, 500)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(text) BETWEEN 1 AND 500 GROUP BY role")
 # Sinks.
-_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()))
+_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()), PC + "SELECT 'parent_child' AS strategy, count(*) AS n_vectors, 64 AS dim FROM pc")
 _add("snk06_static_export", lambda s, d: chunking.split_contexts(chunking.parent_child(_docs(s, d)))[1].select("doc_id", F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT doc_id, md5(any_value(context_text)) AS context FROM pc GROUP BY doc_id")
 # Filters.
 _add("flt01_skip_volatile", lambda s, d: table(s, d, "pages").withColumn("volatile", F.col("page_id") % 3 == 0).where(~F.col("volatile") | F.lit(False)).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT (page_id % 3 = 0)")
@@ -102,7 +111,52 @@ def _stripped_sql(x):
 
 _add("htm01_strip_tags", lambda s, d: table(s, d, "pages").select("page_id", F.md5(html.stripped(F.col("html")).cast("binary")).alias("text")), f"SELECT page_id, md5({_stripped_sql('html')}) AS text FROM pages")
 _add("htm08_generic", lambda s, d: html.generic(table(s, d, "pages")).select("page_id", "doc_id", F.length("text").cast("long").alias("n_chars"), "volatile"), f"SELECT page_id, url || '-00' AS doc_id, length(t) AS n_chars, true AS volatile FROM (SELECT page_id, url, {_stripped_sql('html')} AS t FROM pages) WHERE t <> ''")
-for _name, _which in (("htm02_faqs", "faqs"), ("htm03_sections", "sections"), ("htm04_timeline", "timeline"), ("htm05_prose", "prose"), ("htm06_home", "home"), ("htm07_terms", "terms")):
-    _add(_name, lambda s, d, which=_which: html.extract(pages_and_fixture(s, d), which))
-_add("htm11_dispatch", lambda s, d: html.dispatch(pages_and_fixture(s, d)))
-_add("win09_heading_groups", lambda s, d: html.extract(pages_and_fixture(s, d), "terms").groupBy("title").agg(F.count("*").alias("n")))
+
+
+def _rows(s, d, which):
+    found = html.dispatch(pages_and_fixture(s, d)) if which == "dispatch" else html.extract(pages_and_fixture(s, d), which)
+    return found.select("page_id", "doc_id", "section", "title", "text", "kind", "volatile", F.coalesce(F.to_json("meta"), F.lit("{}")).alias("meta"))
+
+
+# What the fixture holds, written out by hand: the id's page, name, section, title, text and kind of each document, and its meta.
+_NOTICES = [("notice-board-00", "Notices", "Venue", "Venue\nThe venue is the old mill by the river, doors open at nine.", "notice", "{}")]
+_TIMELINE = [
+    ("timeline-00", "The Timeline at a Glance", "Registration opens", "Registration opens — 1 May 2026\nForms go live.\nMilestone date: 1 May 2026.", "timeline", '{"date":"1 May 2026","milestone":"Registration opens"}'),
+    ("timeline-01", "The Timeline at a Glance", "Results", "Results — 9 May 2026\nTeams are told.\nMilestone date: 9 May 2026.", "timeline", '{"date":"9 May 2026","milestone":"Results"}'),
+]
+_WHOLE_TIMELINE = [("timeline-00", "Timeline", "Timeline", "Timeline 1 May 2026 9 May 2026 Registration opens Forms go live. Results Teams are told.", "timeline", "{}")]
+_TASKS = [("tasks-00", "Tasks", "Build", "Build\nBuild a thing.\nShow it.", "task", "{}"), ("tasks-01", "Tasks", "Write", "Write\nWrite about it.", "task", "{}")]
+_FAQS = [("faq-00", "FAQs", "Who can apply?", "Q: Who can apply?\nA: Anyone who builds things can apply.", "faq", "{}")]
+_PROSE = [("about-00", "About", "About the event", "About the event\nEvery team has one captain and keeps its own repository public.\nPrizes are paid in thirty days after the end.", "prose", "{}")]
+_TERMS = [
+    ("terms-00", "Terms & Conditions", "Rules", "Rules\nEvery team has one captain and keeps its own repository public.", "terms", "{}"),
+    ("terms-01", "Terms & Conditions", "Prizes", "Prizes\nPrizes are paid in thirty days after the end.", "terms", "{}"),
+]
+_HOME = [*_NOTICES, *_TIMELINE, *_TASKS, *_FAQS, *_PROSE]
+
+
+def _fixture_sql(rows, pages=(-1, -2)):
+    cells = [f"({n}, " + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in row) + ")" for n in pages for row in rows]
+    return f"SELECT page_id, doc_id, section, title, text, kind, false AS volatile, meta FROM (VALUES {', '.join(cells)}) v(page_id, doc_id, section, title, text, kind, meta)"
+
+
+#: The test pages: no heading below h1, no ids; a body of blocks, of which paragraphs and items are read.
+_BODY = "regexp_extract(html, '(?s)<body[^>]*>(.*)', 1)"
+_PAGE_TERMS = f"SELECT page_id, 'terms-00' AS doc_id, 'Terms & Conditions' AS section, 'Terms & Conditions' AS title, t AS text, 'terms' AS kind, false AS volatile, '{{\"extraction\":\"whole-page-fallback\"}}' AS meta FROM (SELECT page_id, {_stripped_sql(_BODY)} AS t FROM pages) WHERE t <> ''"
+_BLOCK = "(?is)</?(?:address|article|aside|blockquote|body|div|dl|footer|form|h[1-6]|header|hr|html|main|nav|ol|pre|section|table|ul)\\b[^>]*>|</(?:p|li)\\s*>"
+_PARTS = f"string_split(regexp_replace(regexp_replace({_BODY}, '(?is)<(?:p|li)\\b[^>]*>', chr(1) || 'P', 'g'), '{_BLOCK}', chr(1) || 'N', 'g'), chr(1))"
+_PAGE_PROSE = f"""SELECT page_id, 'about-00' AS doc_id, 'About' AS section, 'About the event' AS title, 'About the event' || chr(10) || string_agg(t, chr(10) ORDER BY i) AS text, 'prose' AS kind, false AS volatile, '{{}}' AS meta FROM (
+  SELECT page_id, t, min(i) AS i FROM (SELECT page_id, i, {_stripped_sql("part[2:]")} AS t FROM (SELECT page_id, i, parts[i] AS part FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT page_id, {_PARTS} AS parts FROM pages))) WHERE part[1] = 'P')
+  WHERE length(t) >= 40 AND NOT regexp_matches(t, {q.lit(t.BOILERPLATE)}) AND NOT ({" OR ".join(f"contains(lower(t), {q.lit(m.lower())})" for m in t.COUNTERS)}) GROUP BY page_id, t) GROUP BY page_id"""
+_GENERIC = f"SELECT page_id, url || '-00' AS doc_id, '' AS section, '' AS title, t AS text, 'prose' AS kind, true AS volatile, '{{}}' AS meta FROM (SELECT page_id, url, {_stripped_sql('html')} AS t FROM pages) WHERE t <> ''"
+for _name, _which, _sql in (
+    ("htm02_faqs", "faqs", _fixture_sql(_FAQS)),
+    ("htm03_sections", "sections", _fixture_sql([*_NOTICES, *_WHOLE_TIMELINE, *_TASKS])),
+    ("htm04_timeline", "timeline", _fixture_sql(_TIMELINE)),
+    ("htm05_prose", "prose", f"{_fixture_sql(_PROSE)} UNION ALL {_PAGE_PROSE}"),
+    ("htm06_home", "home", f"{_fixture_sql(_HOME)} UNION ALL {_PAGE_PROSE}"),
+    ("htm07_terms", "terms", f"{_fixture_sql(_TERMS)} UNION ALL {_PAGE_TERMS}"),
+    ("htm11_dispatch", "dispatch", f"{_fixture_sql(_HOME, (-1,))} UNION ALL {_fixture_sql(_TERMS, (-2,))} UNION ALL {_GENERIC}"),
+):
+    _add(_name, lambda s, d, which=_which: _rows(s, d, which), _sql)
+_add("win09_heading_groups", lambda s, d: html.extract(pages_and_fixture(s, d), "terms").groupBy("title").agg(F.count("*").alias("n")), f"SELECT title, count(*) AS n FROM ({_fixture_sql(_TERMS)} UNION ALL {_PAGE_TERMS}) GROUP BY title")

@@ -61,6 +61,7 @@ def _bm25(s, d):
 _add("j04_bm25_scores", _bm25, BM + "SELECT qid, doc_id, score FROM bm")
 _add("agg07_bm25", _bm25, ORACLES["j04_bm25_scores"])
 _add("top04_bm25_top5", lambda s, d: dense.top_k(_bm25(s, d), 5, "doc_id").select("qid", "doc_id", "score", *_long("rank")), BM + "SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 5")
+_add("top04_distinct_parents", lambda s, d: hits_of(s, d, "bm25")[0].select("qid", *_long("rank"), "doc_id", "parent", "lex"), f"WITH {q.RANKS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid, parent ORDER BY rl) AS k FROM ranks WHERE rl <= 20) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rl) AS rank, doc_id, parent, lex FROM f WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rl) <= 5")
 _OV = f"WITH {q.TERMS}, overlap AS (SELECT b.item_id AS qid, count(DISTINCT qt.term) FILTER (df.term IS NOT NULL) AS term_hits, count(DISTINCT qt.term) AS query_terms FROM benchmark b LEFT JOIN qt ON qt.qid = b.item_id LEFT JOIN df ON df.term = qt.term GROUP BY 1) "
 
 
@@ -93,7 +94,7 @@ _top5 = lambda s, d: dense.top_k(_scored(s, d, 5), 5).select("qid", "vec_id", "l
 _add("top01_exact_top5", _top5, _TOP5)
 _add("j01_payload", _top5, _TOP5)
 _add("top03_overfetch", lambda s, d: dense.top_k(_scored(s, d, 20), 20).select("qid", "vec_id", *_long("rank")), VEC + "SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 20")
-_add("top02_approximate_top5", lambda s, d: dense.approximate_top_k(table(s, d, "embeddings"), _asked(s, d)))
+_add("top02_approximate_top5", lambda s, d: dense.approximate_top_k(dense.sign(table(s, d, "embeddings")), _asked(s, d)))
 _add("win02_parent_collapse", lambda s, d: retrieve.collapse(_scored(s, d, 20).withColumnsRenamed({"label": "parent", "vec_id": "doc_id"}), F.col("score")).select("qid", "doc_id", "parent", "score", *_long("rank")), VEC + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY r) AS k FROM r WHERE r <= 20) SELECT qid, vec_id AS doc_id, label AS parent, score, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM f WHERE k = 1 QUALIFY rank <= 5")
 
 # Fusion.
@@ -109,8 +110,7 @@ _add("mth07_weighted", lambda s, d: retrieve.weighted(both_of(s, d), [0.7]).sele
 
 
 def _scaled(s, d):
-    b = both_of(s, d)
-    return b.withColumn("d01", retrieve.min_max(b, "dense")).withColumn("l01", retrieve.min_max(b, "lex"))
+    return retrieve.scaled(both_of(s, d))
 
 
 def hits_of(s, d, mode="hybrid"):
@@ -173,9 +173,11 @@ _add("flt10_first_gate", gated_of, HITS + f"SELECT b.item_id AS qid, {_GATES} AS
 _add("j12_memoised_cases", lambda s, d: answer.memoised(_user(s, d), "text", lambda x: x.select("text", guardrails.scope(F.col("text")).alias("verdict"))).select("conv_id", "turn", "verdict"), f"SELECT conv_id, turn, {_scope_sql('text')} AS verdict FROM {CONV}")
 _DECIDE = f"CASE WHEN {_scope_sql('b.text')} <> 'in_scope' THEN {_scope_sql('b.text')} WHEN term_hits = 0 THEN 'no_corpus_vocabulary' WHEN gate_score < CAST(0.8167 AS DOUBLE) THEN 'below_retrieval_threshold' ELSE '' END"
 _add("udf09_decision", lambda s, d: answer.ask(docs_of(s, d), items_of(s, d)).select("qid", "mode", "answered", F.coalesce("refusal_reason", F.lit("")).alias("refusal_reason")), HITS + f"SELECT qid, CASE WHEN r = '' THEN 'extractive' ELSE 'refused' END AS mode, r = '' AS answered, r AS refusal_reason FROM (SELECT b.item_id AS qid, {_DECIDE} AS r FROM benchmark b JOIN gate ON gate.qid = b.item_id JOIN overlap ON overlap.qid = b.item_id)")
-_add("snk07_responses", lambda s, d: answer.ask(docs_of(s, d), items_of(s, d)).select("qid", F.to_json(F.struct("mode", "answered", "refusal_reason", "citations")).alias("response")))
+_RESPONSES = HITS + f"""SELECT qid, '{{"mode":"' || CASE WHEN r = '' THEN 'extractive","answered":true' ELSE 'refused","answered":false,"refusal_reason":"' || r || '"' END || ',"citations":[' || CASE WHEN s <> 'in_scope' OR r = 'no_corpus_vocabulary' THEN '' ELSE coalesce(ids, '') END || ']}}' AS response
+FROM (SELECT b.item_id AS qid, {_DECIDE} AS r, {_scope_sql('b.text')} AS s, (SELECT string_agg(h.doc_id, ',' ORDER BY h.rank) FROM hits h WHERE h.qid = b.item_id) AS ids FROM benchmark b JOIN gate ON gate.qid = b.item_id JOIN overlap ON overlap.qid = b.item_id)"""
+_add("snk07_responses", lambda s, d: answer.ask(docs_of(s, d), items_of(s, d)).select("qid", F.to_json(F.struct("mode", "answered", "refusal_reason", "citations")).alias("response")), _RESPONSES)
 _ERR = "CASE WHEN user_id % 7 = 0 THEN 429 WHEN user_id % 7 = 1 THEN 503 WHEN user_id % 7 = 2 THEN 401 WHEN user_id % 7 = 3 THEN 404 END"
 _add("udf06_error_kinds", lambda s, d: table(s, d, "events").select("event_id", guardrails.error_kind(F.expr(_ERR), F.when(F.col("user_id") % 7 == 4, F.lit("Deadline exceeded")).when(F.col("user_id") % 7 == 5, F.lit("Quota hit")).otherwise(F.lit("x"))).alias("k")).groupBy("k.kind", "k.retryable").agg(F.count("*").alias("n")), f"SELECT kind, kind IN ('rate_limited', 'server_error', 'timeout') AS retryable, count(*) AS n FROM (SELECT CASE WHEN user_id % 7 IN (0, 5) THEN 'rate_limited' WHEN user_id % 7 = 1 THEN 'server_error' WHEN user_id % 7 = 4 THEN 'timeout' WHEN user_id % 7 = 2 THEN 'client_error' ELSE 'unknown_error' END AS kind FROM events) GROUP BY 1, 2")
-_add("udf01_passage_embedding", lambda s, d: dense.embed(docs_of(s, d).select("doc_id", "text"), answer.hashing_embedder()).select("doc_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")))
-_add("udf02_query_embedding", lambda s, d: dense.embed(items_of(s, d), answer.hashing_embedder("query: ")).select("item_id", F.size("embedding").alias("dim")))
-_add("udf04_generation", lambda s, d: answer.generate(answer.prompts(hits_of(s, d)[0], corpus.corpus(table(s, d, "documents")), items_of(s, d)), answer.first_passage))
+_add("udf01_passage_embedding", lambda s, d: dense.embed(docs_of(s, d).select("doc_id", "text"), answer.hashing_embedder()).select("doc_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")), f"SELECT doc_id, 64 AS dim, CASE WHEN {q.strip("coalesce(text, '')")} = '' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS norm FROM documents")
+_add("udf02_query_embedding", lambda s, d: dense.embed(items_of(s, d), answer.hashing_embedder("query: ")).select("item_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")), "SELECT item_id, 64 AS dim, CAST(1 AS DOUBLE) AS norm FROM benchmark")
+_add("udf04_generation", lambda s, d: answer.generate(answer.prompts(hits_of(s, d)[0], corpus.corpus(table(s, d, "documents")), items_of(s, d)), answer.first_passage).drop("error"), HITS + "SELECT qid, true AS ok, true AS answerable, coalesce(text, '') AS answer FROM hits JOIN documents USING (doc_id) WHERE rank = 1")

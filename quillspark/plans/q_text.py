@@ -85,12 +85,12 @@ _add("set03_except", lambda s, d: _items(s, d).select("item_id", _str(F.array_so
 _add("set04_intersect", lambda s, d: _items(s, d).select("item_id", _str(F.array_sort(F.array_intersect("a", "b"))).alias("tokens")), _TOKSETS + "SELECT item_id, coalesce(array_to_string(list_sort(list_intersect(a, b)), '|'), '') AS tokens FROM p")
 _add("set05_ordered_distinct", lambda s, d: table(s, d, "benchmark").select("item_id", _str(F.array_distinct(t.tokens(F.coalesce("text", F.lit(""))))).alias("tokens")), f"""WITH u AS (SELECT item_id, i, k[i] AS w FROM (SELECT item_id, k, unnest(range(1, len(k) + 1)) AS i FROM (SELECT item_id, {q.tokens("coalesce(text, '')")} AS k FROM benchmark))), f AS (SELECT item_id, w, min(i) AS i FROM u GROUP BY ALL)
 SELECT item_id, coalesce(string_agg(w, '|' ORDER BY i), '') AS tokens FROM benchmark LEFT JOIN f USING (item_id) GROUP BY item_id""")
-_add("set06_subset", lambda s, d: _items(s, d).select("item_id", (F.size(F.array_except(F.slice("a", 1, 1), "b")) == 0).alias("within")), _TOKSETS + "SELECT item_id, len(list_filter(a[1:1], lambda x: NOT list_contains(b, x))) = 0 AS within FROM p")
+_add("set06_subset", lambda s, d: _items(s, d).select("item_id", (F.size(F.array_except("a", "b")) == 0).alias("within"), F.size(F.array_except("a", "b")).cast("long").alias("beyond")), _TOKSETS + "SELECT item_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS within, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS beyond FROM p")
 _add("set01_union_all", lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("origin")).unionByName(table(s, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("origin"))), "SELECT doc_id AS id, 'document' AS origin FROM documents UNION ALL SELECT page_id, 'page' FROM pages")
-_add("arr01_map_merge", lambda s, d: chunking.parent_child(_docs(s, d)).select("chunk_id", F.map_concat(F.create_map(F.lit("kind"), F.col("kind")), F.create_map(F.lit("child"), F.col("part").cast("string"), F.lit("n_children"), F.col("n_parts").cast("string"))).alias("meta")))
+_add("arr01_map_merge", lambda s, d: chunking.parent_child(_docs(s, d)).select("chunk_id", F.map_concat(F.create_map(F.lit("kind"), F.col("kind")), F.create_map(F.lit("child"), F.col("part").cast("string"), F.lit("n_children"), F.col("n_parts").cast("string"))).alias("meta")).select("chunk_id", F.to_json("meta").alias("meta")), f"""WITH {q.PC} SELECT chunk_id, '{{"kind":"' || kind || '","child":"' || part || '","n_children":"' || n_parts || '"}}' AS meta FROM pc""")
 _add("arr02_slice", lambda s, d: table(s, d, "benchmark").select("item_id", _str(F.slice(t.tokens(F.coalesce("text", F.lit(""))), 1, 3)).alias("first3")), f"""SELECT item_id, coalesce(array_to_string(({q.tokens("coalesce(text, '')")})[1:3], '|'), '') AS first3 FROM benchmark""")
 _add("arr03_enumerate_zip", lambda s, d: _items(s, d).select("item_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z")).where("z.a is not null and z.b is not null").select("item_id", F.col("i").cast("long").alias("i"), "z.a", "z.b"), _TOKSETS + "SELECT item_id, i - 1 AS i, a[i] AS a, b[i] AS b FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM p)")
 _add("arr04_context_join", lambda s, d: _docs(s, d).groupBy("section").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("k")).select("section", F.md5(F.lower(F.array_join(F.col("k.text"), " \n ")).cast("binary")).alias("context")), f"WITH {q.CORPUS} SELECT section, md5(lower(string_agg(text, ' ' || chr(10) || ' ' ORDER BY doc_id))) AS context FROM corpus GROUP BY section")
-_add("arr05_map_lookup", lambda s, d: _docs(s, d).select("doc_id", F.try_element_at(F.create_map("kind", "section"), F.lit("en")).alias("section_if_en")))
+_add("arr05_map_lookup", lambda s, d: _docs(s, d).select("doc_id", F.try_element_at(F.create_map("kind", "section"), F.lit("en")).alias("section_if_en")), f"WITH {q.CORPUS} SELECT doc_id, CASE WHEN kind = 'en' THEN section END AS section_if_en FROM corpus")
 _add("jsn01_json", lambda s, d: _docs(s, d).select("doc_id", F.from_json(F.to_json(F.struct("doc_id", "kind", "title")), "doc_id bigint, kind string, title string").alias("j")).select("doc_id", "j.kind", "j.title"), f"WITH {q.CORPUS} SELECT doc_id, kind, title FROM corpus")
 _add("src05_json_list_or_object", lambda s, d: _docs(s, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array(F.struct("doc_id", "title")))).otherwise(F.concat(F.lit('{"chunks":'), F.to_json(F.array(F.struct("doc_id", "title"))), F.lit("}"))).alias("j")).select("doc_id", F.explode(F.coalesce(F.when(F.col("j").startswith("["), F.from_json("j", "array<struct<doc_id:bigint,title:string>>")), F.from_json("j", "struct<chunks:array<struct<doc_id:bigint,title:string>>>")["chunks"])).alias("c")).select("doc_id", "c.title"), f"WITH {q.CORPUS} SELECT doc_id, title FROM corpus")
