@@ -125,3 +125,39 @@ def test_build_report_counts_vectors(spark):
     chunks = spark.createDataFrame([("a", "one two"), ("a", ""), ("b", "three")], "strategy string, embed_text string")
     got = dense.build_report(chunks, answer.hashing_embedder(dim=16)).collect()
     assert {tuple(r) for r in got} == {("a", 2, 16), ("b", 1, 16)}
+
+
+TAGS = ["<p>", "</p>", "<div id>", "<div id='faq-panel-1'>", "</div>", "<li>", "<script>", "</script>", "<svg>", "</svg>", "x y ", "<main>", "<h3>", "?", "<!--", "-->", "<br/>", "<td>", "</table>", "<b/>", "&amp;", "<h2>T</h2>", "<ul>", "<", ">", "\""]
+
+
+@given(st.lists(st.sampled_from(TAGS), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_any_markup_is_read(parts):
+    page = html.Page("".join(parts))
+    assert all(page.parent[n] < n < page.stop[n] <= page.stop[page.parent[n]] for n in page.below())
+    assert all(0 <= page.begin[n] <= page.end[n] <= len(page.strings) for n in page.below())
+    assert not set(page.tags) & set(html.DROPPED)
+    for extractor in html.EXTRACTORS.values():
+        assert all(d["text"] for d in extractor(page))
+
+
+def test_end_tags_are_implied():
+    page = html.Page("<p>a<p>b<ul><li>c<li>d<ul><li>e</ul></ul><dl><dt>f<dd>g<dt>h</dl><table><tr><td>i<td>j<tr><td>k</table>")
+    texts = [(page.tags[n], page.text(n)) for n in page.below() if page.tags[n] in ("p", "li", "dt", "dd", "td", "tr")]
+    assert texts == [("p", "a"), ("p", "b"), ("li", "c"), ("li", "d e"), ("li", "e"), ("dt", "f"), ("dd", "g"), ("dt", "h"), ("tr", "i j"), ("td", "i"), ("td", "j"), ("tr", "k"), ("td", "k")]
+
+
+def test_deep_and_endless_markup():
+    page = html.Page("<div>" * 20_000 + "x" + "<p>a" * 20_000)
+    assert html.prose(page) == [] and html.terms(page)[0]["meta"] == {"extraction": "whole-page-fallback"}
+
+
+@given(st.text(alphabet="ab. ,;\n", max_size=300), st.integers(3, 30))
+@settings(max_examples=200, deadline=None)
+def test_piece_spans(text, size):
+    """Stretches of the text in order, none too long, none with outer space, and nothing but separators between them."""
+    spans = chunking.piece_spans(text, size)
+    assert all(0 < b - a <= size and text[a:b] == text[a:b].strip() for a, b in spans)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    gaps = [text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)])]
+    assert not set("".join(gaps)) & set("ab")
