@@ -4,7 +4,8 @@ A window of `span` units (words or bytes) is named by its minimizer, the leftmos
 Consecutive windows with their minimizer at one place form a segment, and equal windows have equal minimizers at the same
 distance, wherever they stand, so shards by minimizer can be searched on their own, and no two windows of one segment are
 equal. Minimizers that the corpus holds once name no repeated window; only segments of the others travel, and equal
-segments are one row, with a count, before they are shuffled. Segments are named by 128 bits of BLAKE2b of their content.
+segments are one row, with a count, before they are shuffled. A text that repeats itself holds runs of equal segments,
+one after another; such a run is one row from the start. Segments are named by 128 bits of BLAKE2b of their content.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +85,15 @@ def _with_key(minimizers: np.ndarray, batch: pa.RecordBatch, rows: np.ndarray) -
     return mix(minimizers ^ mix(batch.column("key").to_numpy().view(np.uint64)[rows]))
 
 
+def _heads(start: np.ndarray, windows: np.ndarray, names: np.ndarray, bodies: list[bytes]) -> np.ndarray:
+    """Which segments are not equal to one that ends where they begin."""
+    again = np.zeros(len(start), bool)
+    again[1:] = (start[1:] == start[:-1] + windows[:-1]) & (windows[1:] == windows[:-1]) & (names[1:] == names[:-1])
+    for i in np.flatnonzero(again).tolist():
+        again[i] = bodies[i] == bodies[i - 1]
+    return np.flatnonzero(~again)
+
+
 def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: bool):
     """Segments whose minimizer is wanted, without their content; or with it, if wanted for their document."""
 
@@ -102,15 +112,19 @@ def _emit(units_of: Callable[[pa.Array], Units], span: int, k: int, content: boo
             if content:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], ["minimizer", "id", "tie", "start", "content"])
             else:
-                c = np.frombuffer(b"".join([digest(x) for x in bodies]), np.int64).reshape(-1, 2)
+                heads = _heads(start, windows, names, bodies)
+                c = np.frombuffer(b"".join([digest(bodies[i]) for i in heads.tolist()]), np.int64).reshape(-1, 2)
                 keys = _with_key(names, part, owner).view(np.int64)
-                yield pa.RecordBatch.from_arrays([columns[0], pa.array(c[:, 0]), pa.array(c[:, 1]), *columns[1:], pa.array(windows), pa.array(keys)], [*PLACED, "windows", "hash"])
+                times = np.diff(np.append(heads, len(start)))
+                columns = [x.take(pa.array(heads)) for x in [*columns, pa.array(windows), pa.array(keys)]]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array(c[:, 0]), pa.array(c[:, 1]), *columns[1:5], pa.array(times), columns[5]], [*PLACED, "windows", "times", "hash"])
 
     return emit
 
 
 def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int, k: int, search: Callable, shard_units: int, name: str, alone: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Every repeated segment (PLACED, windows), and by c1, c2 the first place and the runs that `search` finds.
+    """Every repeated segment (PLACED, windows, times: how many stand in a row), and by c1, c2 the first place and the
+    runs that `search` finds.
 
     slim: id, tie, text and key, a hash of id and tie. search takes an Arrow table of a shard's distinct segments
     (minimizer, c1, c2, n, id, tie, start: of the first, content), in a fixed order, and returns a list of runs (first
@@ -122,11 +136,11 @@ def searched(slim: DataFrame, units_of: Callable[[pa.Array], Units], span: int,
     long = lambda x: T.StructField(x, T.LongType())
     place = [slim.schema["id"], slim.schema["tie"], long("start")]
     repeated = repeated_hashes(slim, _anchors(units_of, w, False), f"{name}-minimizers")
-    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([long("minimizer"), long("c1"), long("c2"), *place, long("windows"), long("hash")]))
+    found = second_pass(slim, repeated, _anchors(units_of, w, False), _emit(units_of, span, k, False), T.StructType([long("minimizer"), long("c1"), long("c2"), *place, long("windows"), long("times"), long("hash")]))
     found = keep(found, f"{name}-segments")
 
     first = F.min(F.struct("id", "tie", "start", "hash", "windows")).alias("f")
-    every = keep(found.groupBy("minimizer", "c1", "c2").agg(F.count("*").alias("n"), first).select("minimizer", "c1", "c2", "n", "f.*"), f"{name}-distinct")
+    every = keep(found.groupBy("minimizer", "c1", "c2").agg(F.sum("times").alias("n"), first).select("minimizer", "c1", "c2", "n", "f.*"), f"{name}-distinct")
     distinct = every
     if not alone:
         several = every.groupBy("minimizer").agg(F.count("*").alias("contents")).where("contents > 1").select("minimizer")
@@ -182,17 +196,26 @@ def _joined(distinct: pa.Table, bodies: pa.Table) -> pa.Table:
 def covered(found: DataFrame, runs: DataFrame, later: bool = False) -> DataFrame:
     """_id, _tie and spans, an array of (unit, windows), of every occurrence of the runs.
 
-    With later, the runs are those of a segment's first occurrence, and of all others every window counts.
+    With later, the runs are those of a segment's first occurrence, and of all others every window counts. Without, a
+    segment that stands several times in a row occurs more than once, so its runs are all of its windows.
     """
     runs = runs.withColumn("first", F.struct(F.col("f_id").alias("id"), F.col("f_tie").alias("tie"), F.col("f_start").alias("start"))).drop("f_id", "f_tie", "f_start")
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("start") + F.get("runs", 2 * i)).alias("at"), F.get("runs", 2 * i + 1).alias("count")))
-    pairs = F.when(F.size("runs") > 0, pairs).otherwise(F.array().cast("array<struct<at:bigint,count:bigint>>"))
+
+    def span(at: Column, count: Column) -> Column:
+        return F.struct(at.alias("at"), count.alias("count"))
+
+    none, row = F.array().cast("array<struct<at:bigint,count:bigint>>"), F.col("windows") * F.col("times")
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1), lambda i: span(F.col("start") + F.get("runs", 2 * i), F.get("runs", 2 * i + 1)))
+    pairs = F.when(F.size("runs") > 0, pairs).otherwise(none)
+    columns = ["c1", "c2", "id", "tie", "start", "windows", "times"]
     if later:
-        joined = found.select("c1", "c2", "id", "tie", "start", "windows").join(runs, ["c1", "c2"])
+        joined = found.select(*columns).join(runs, ["c1", "c2"])
         again = ~F.struct("id", "tie", "start").eqNullSafe(F.col("first"))
-        pairs = F.when(again, F.array(F.struct(F.col("start").alias("at"), F.col("windows").alias("count")))).otherwise(pairs)
+        rest = F.when(F.col("times") > 1, F.array(span(F.col("start") + F.col("windows"), row - F.col("windows")))).otherwise(none)
+        pairs = F.when(again, F.array(span(F.col("start"), row))).otherwise(F.concat(pairs, rest))
     else:
-        joined = found.select("c1", "c2", "id", "tie", "start").join(runs.where(F.size("runs") > 0).drop("first"), ["c1", "c2"])
+        joined = found.select(*columns).join(runs.where(F.size("runs") > 0).drop("first"), ["c1", "c2"])
+        pairs = F.when(F.col("times") > 1, F.array(span(F.col("start"), row))).otherwise(pairs)
     hit = joined.select("id", "tie", pairs.alias("spans")).where(F.size("spans") > 0)
     return hit.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

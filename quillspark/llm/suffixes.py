@@ -24,7 +24,7 @@ from .textbatch import lanes, lean, mix, powers, ranges, slices, text_bytes
 
 SPAN = 100
 GRAM = 36
-GROUP = 4 << 10
+GROUP = 2 << 10
 LEVELS = 12
 #: So many more minimizers cut every group, as cutting costs a tenth of sorting and most of what it parts is then alone.
 ALWAYS = 2
