@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near copies, contamination, mixing and sharding, each over what the last one kept.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last returns a row for each document
-as read back from its shard.
+as read back from its shard. Any column may be null, and a table without rows gives none. Rows that repeat are each
+judged, for quality and contamination; of near copies, rows that repeat an id and a text count as one and one of them
+stays; in the mix and in shards each row counts.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Expectation-maximisation has no plain SQL form; tests/llm hold the pipeline against a brute-force version.
+#: Expectation-maximisation has no plain SQL form; tests/llm/test_pipeline_brute_force.py holds run() against plain Python
+#: for the first three stages and against the SQL of the mix for the fourth.
 ORACLE_SQL = None
 
 
