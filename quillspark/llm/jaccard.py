@@ -117,8 +117,8 @@ class Order:
 
 
 def _sampled(members: np.ndarray) -> np.ndarray:
-    """About a dozen of a set's shingles, chosen by hash alone, so sets of like size that share some choose alike."""
-    rate = max(0, len(members).bit_length() - 4)
+    """Some six of a set's shingles, chosen by hash alone, so sets of like size that share some choose alike."""
+    rate = max(0, len(members).bit_length() - 3)
     return members[(members & np.uint64((1 << rate) - 1)) == 0]
 
 
@@ -145,9 +145,10 @@ def _common(described: DataFrame, slim: DataFrame) -> Order:
 
     Beyond that, only what is more frequent counts; a longer list would only be faster.
     """
-    counted = described.where("shingle is not null").groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("key", "n")).alias("h"))
-    counted = counted.where(F.col("many") >= FREQUENT).groupBy("h.key", "h.n").agg(F.max("many").alias("many"))
-    heads, least = keep(counted, "frequent"), 1
+    counted = described.where("shingle is not null").groupBy("shingle").agg(F.count("*").alias("many"), F.min("key").alias("key"))
+    counted = counted.where(F.col("many") >= FREQUENT).groupBy("key").agg(F.max("many").alias("many"))
+    sizes = described.where("shingle is null").groupBy("key").agg(F.first("n").alias("n"))
+    heads, least = keep(counted.join(sizes, "key"), "frequent"), 1
     while (heads.where(F.col("many") >= least).agg(F.sum("n")).first()[0] or 0) > COMMON:
         least *= 2
     heads = heads.where(F.col("many") >= least)
@@ -299,7 +300,9 @@ def _compared(pairs: DataFrame, values: DataFrame, each: int, test, percent: int
 def _described_classes(slim: DataFrame, classes: DataFrame, wanted: DataFrame, describe, schema: T.StructType, name: str) -> DataFrame:
     """What describe() makes of the sets of the wanted classes, by one document of each."""
     keys = keep(classes.join(wanted, "class", "left_semi").select(F.col("key").alias("hash")), f"{name}-keys")
-    return keep(second_pass(slim, keys, _keys, _of_classes(describe), schema).dropDuplicates(["class"]), name)
+    made = keep(second_pass(slim, keys, _keys, _of_classes(describe), schema), name)
+    # Only rows that repeat id and text describe a class more than once.
+    return made if made.count() == keys.count() else keep(made.dropDuplicates(["class"]), name)
 
 
 def _turned(met: DataFrame) -> DataFrame:
@@ -319,11 +322,13 @@ def _links(slim: DataFrame, classes: DataFrame, maps: DataFrame, pairs: DataFram
     return _compared(near, found.select("class", F.col("members").alias("value")), 8, _linked, percent, "linked").select("a", "b")
 
 
-def _star(tiles: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Each class of a tile with the tile's head (tile, head: struct)."""
-    met = tiles.alias("p").join(heads.alias("h"), "tile").select(F.struct("p.*").alias("p"), F.struct(F.col("p.tile").alias("tile"), "h.head.*").alias("q"))
+def _star(tiles: DataFrame, heads: DataFrame | None, percent: int) -> DataFrame:
+    """Each class of a tile with the tile's head, a column of tiles or of heads (tile, head)."""
+    rows = tiles if heads is None else tiles.join(heads, "tile")
+    own = [c for c in tiles.columns if c != "head"]
+    met = rows.select(F.struct(*own).alias("p"), F.struct("tile", "head.*").alias("q"))
     apart = F.col("p.class") != F.col("q.class")
-    if "root" in tiles.columns:
+    if "root" in own:
         apart &= F.col("p.root") != F.col("q.root")
     return _turned(met.where(apart & _fits("p", "q", percent)))
 
@@ -358,15 +363,15 @@ def _open(tiles: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, flo
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: the columns in carry (all, if not given), n_shingles, component_id and is_first.
+    """One row per row of docs: the columns in carry (all, if not given), n_shingles, component_id, is_first and n_rows.
 
     component_id: the least id (nulls last) among the documents that links reach; a document's own without links. A null
     or empty text has no shingles and no links. is_first marks one row of each component: of its least id, and then of
-    the text of the least hash; rows that repeat id and text are all marked. Equal sets are linked, whatever their order
+    the text of the least hash; rows that repeat id and text are all marked, and n_rows says how many they are. Equal sets are linked, whatever their order
     of words. Columns of docs that clash with the results' names are replaced; an empty table gives no rows. Shingles are
     64 bits of hash each; a set of one text is held whole, in some 40 bytes a word.
     """
-    mine = ["n_shingles", "component_id", "is_first"]
+    mine = ["n_shingles", "component_id", "is_first", "n_rows"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
     named = identified(docs, id_col, text_col, carry)
     slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
@@ -382,17 +387,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     emit = _tiles(order, percent)
     shared = repeated_hashes(slim, emit, "shingles")
     schema = T.StructType([long("tile"), name, long("n"), long("at"), T.StructField("home", T.BooleanType())])
-    tiles = second_pass(slim, shared, emit, emit, schema)
-    # Rows of copies of one class are summed up. Only tiles of several classes stay: most others are those of copies.
-    tiles = keep(tiles.groupBy("tile", "class").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.max("home").alias("home")), "tiles")
-    heads = tiles.groupBy("tile").agg(F.min(F.struct("at", "n", "class", "home")).alias("head"), F.count("*").alias("many"), F.max("home").alias("any"), F.min("n").alias("least")).where("many > 1 and any")
-    heads = keep(heads.select("tile", "head", "least"), "heads")
+    tiles = keep(second_pass(slim, shared, emit, emit, schema), "tiles")
+    # Only tiles of several classes stay: most others are those of copies of one.
+    one = F.struct("at", "n", "class", "home")
+    ends = [F.min(one).alias("head"), F.min("class").alias("low"), F.max("class").alias("high"), F.max("home").alias("any"), F.min("n").alias("least")]
+    heads = keep(tiles.groupBy("tile").agg(*ends).where("low < high and any").select("tile", "head", "least"), "heads")
     # A class that has too much of its own even for the tile's least set has no link by this tile.
     room = (100 + percent) * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("least"))
-    tiles = keep(tiles.join(heads.select("tile", "least"), "tile").where(room).drop("least"), "shared-tiles")
-    pairs = _star(tiles, heads.drop("least"), percent)
+    tiles = tiles.join(heads, "tile").where(room).groupBy("tile", "class").agg(*[F.first(x).alias(x) for x in ("n", "at", "home", "head")])
+    tiles = keep(tiles, "shared-tiles")
+    pairs = _star(tiles, None, percent)
+    # All have met the head; what stays open holds two others or more.
+    many = tiles.where(F.col("class") != F.col("head.class")).groupBy("tile").agg(F.count("*").alias("many")).where("many > 1").select("tile")
+    tiles = keep(tiles.drop("head").join(many, "tile", "left_semi"), "open-tiles")
+    nodes = tiles.select("class").union(pairs.select("a")).union(pairs.select("b")).distinct()
     schema = T.StructType([name, *[long(x) for x in NARROW], T.StructField("wide", T.BinaryType())])
-    maps = _described_classes(slim, classes, tiles.select("class").distinct(), _bitmaps, schema, "bitmaps")
+    maps = _described_classes(slim, classes, nodes, _bitmaps, schema, "bitmaps")
     links = _links(slim, classes, maps, pairs, percent)
     found, roots = links, keep(components(links), "roots")
     open_, heads, each = _open(tiles, roots)
@@ -415,8 +425,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     least = rooted.where("n > 0").groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "tie")).alias("least"))
     out = rooted.join(least, F.col("root") == F.col("_root"), "left")
     out = out.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tie") == F.col("least.tie"))).otherwise(F.lit(True)).alias("is_first"))
+    single = out.groupBy("_id", "_tie").agg(*[F.first(x).alias(x) for x in mine[:3]], F.count("*").alias("n_rows"))
     if carry == [id_col]:
-        return out.select(F.col("_id").alias(id_col), *mine)
-    single = out.dropDuplicates(["_id", "_tie"])
+        return single.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))).select(F.col("_id").alias(id_col), *mine)
     joined = named.join(single, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
     return joined.select(*[F.col(f"c_{c}").alias(c) for c in carry], *mine)
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of each component of link(): that of its least id, then of the text of the least hash, then the least row."""
+    first = link(docs, id_col, text_col, percent=percent).where("is_first")
+    again = first.where("n_rows > 1").groupBy(id_col, F.xxhash64(text_col).alias("_tie")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return first.where("n_rows = 1").select(*docs.columns).union(again.select("_row.*"))
