@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import keep, scratch, shuffled_key
 from quillspark.llm.decontaminate import decontaminate
-from quillspark.llm.jaccard import link
+from quillspark.llm.jaccard import first_of_each
 from quillspark.llm.mixing import mix, repeat_rows
 from quillspark.llm.quality import judge
 from quillspark.llm.sharding import shard
@@ -26,8 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document of the least id; one row of it, however many repeat its id and text."""
-    first = link(docs).where("is_first").groupBy("doc_id", F.xxhash64("text").alias("tie"))
-    return first.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return first_of_each(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
