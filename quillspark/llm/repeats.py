@@ -21,10 +21,13 @@ Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def among(pool: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values a sorted pool holds."""
-    if not len(pool):
-        return np.zeros(len(values), bool)
-    return pool[np.minimum(np.searchsorted(pool, values), len(pool) - 1)] == values
+    """Which values a sorted pool holds. They are looked up in order, as neighbours then share what is in the cache."""
+    out = np.zeros(len(values), bool)
+    if len(pool):
+        order = np.argsort(values)
+        found = values[order]
+        out[order] = pool[np.minimum(np.searchsorted(pool, found), len(pool) - 1)] == found
+    return out
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ GRAM = 36
 GROUP = 2 << 10
 LEVELS = 12
 #: So many more minimizers cut every group, as cutting costs a tenth of sorting and most of what it parts is then alone.
-ALWAYS = 2
+ALWAYS = 4
 #: Bytes of distinct segments in a shard, about.
 SHARD = 768 << 10
 _ONE = np.uint64(1)
