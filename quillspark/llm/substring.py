@@ -1,8 +1,9 @@
-"""Substring dedup by compressed FM-indexes.
+"""Substring dedup by FM-indexes.
 
-Each shard of segments is indexed by an FM-index over a wavelet matrix, and its segments are streamed through backward
-search: the matching statistic at an end is how far back the text still occurs elsewhere, and windows of SPAN words that
-lie within are repeated. How segments come to shards is described in segments.py.
+Each shard of segments is indexed by an FM-index over a wavelet matrix of packed bits, which is all that is kept of its
+suffixes, and its segments are streamed through backward search: the matching statistic at an end is how far back the text still occurs elsewhere, and windows of SPAN words that
+lie within are repeated. Words are numbered by their bytes. How segments come
+to shards is described in segments.py.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word is removed if it lies in a window of `span` words that starts anywhere else too, in another row or the same;
     kept holds the words left, joined by spaces. Windows are judged on the input. A null text or one without words is
     empty; rows that repeat id and text are occurrences like any other, and get one result. Columns of docs that clash
-    with the results' names are replaced; an empty table gives no rows.
+    with the results' names are replaced; an empty table gives no rows. A text is held whole, in some 100 bytes a word and
+    20 a byte.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_words", "n_removed", "kept")]
     named = identified(docs, id_col, text_col, carry)

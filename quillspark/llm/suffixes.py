@@ -206,7 +206,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a lesser id (null is least, then the text of the lesser hash), or before in the same. kept, the bytes left, may split
     characters, so it is binary; n_spans counts maximal removed runs. A null text is empty; rows that repeat id and text
     are one document, and get one result. Columns of docs that clash with the results' names are replaced; an empty table
-    gives no rows.
+    gives no rows. A text is held whole, in some 60 bytes a byte.
     """
     mine = ["n_bytes", "n_removed", "n_spans", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
