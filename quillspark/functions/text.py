@@ -105,18 +105,22 @@ def pack(units: Column, size: int) -> Column:
     return F.aggregate(units, F.struct(none.alias("out"), F.lit("").alias("cur")), add, lambda a: F.when(a["cur"] != "", F.array_append(a["out"], a["cur"])).otherwise(a["out"]))
 
 
-def overlapped(pieces: Column, overlap: int) -> Column:
-    """Each piece but the first, after the tail of the one before from its first whole word on."""
+def tails(pieces: Column, overlap: int) -> Column:
+    """Of each piece but the first, the end of the one before, from its first whole word on; the first has none."""
 
-    def one(piece: Column, i: Column) -> Column:
-        before = F.get(pieces, i - 1)
-        tail = F.right(before, F.lit(overlap))
-        tail = F.when(F.contains(tail, F.lit(" ")), F.substring(tail, F.instr(tail, " ") + 1, F.length(tail))).otherwise(tail)
-        return F.when(i == 0, piece).otherwise(strip(F.concat(tail, F.lit(" "), piece)))
+    def one(_: Column, i: Column) -> Column:
+        tail = F.right(F.get(pieces, i - 1), F.lit(overlap))
+        whole = F.when(F.contains(tail, F.lit(" ")), F.substring(tail, F.instr(tail, " ") + 1, F.length(tail))).otherwise(tail)
+        return F.when(i > 0, whole)
 
     return F.transform(pieces, one)
 
 
+def overlapped(pieces: Column, overlap: int) -> Column:
+    """Each piece but the first, after the tail of the one before."""
+    return F.transform(F.arrays_zip(pieces.alias("p"), tails(pieces, overlap).alias("t")), lambda x: F.when(x["t"].isNull(), x["p"]).otherwise(strip(F.concat(x["t"], F.lit(" "), x["p"]))))
+
+
 def numbered(prefix: str, doc: Column, i: Column) -> Column:
     return F.format_string(f"{prefix}::%s::%02d", doc.cast("string"), i.cast("int"))
 

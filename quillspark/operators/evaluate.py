@@ -83,6 +83,14 @@ def auc(table: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(F.col("w") / (F.col("p") * F.col("n")), 4)).otherwise(F.lit(0.0)).alias("auc"))
 
 
+def pair_counts(table: DataFrame, *by: str) -> DataFrame:
+    """How many pairs of a positive and a negative the positive wins, ties and loses; no pair is ever made."""
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = table.select(*by, "pos", "neg", (F.col("pos") * below).alias("won"), (F.col("pos") * F.col("neg")).alias("tied"))
+    sums = rows.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("won", "tied", "pos", "neg")])
+    return sums.select(*by, "won", "tied", (F.col("pos") * F.col("neg") - F.col("won") - F.col("tied")).alias("lost"))
+
+
 def sweep(table: DataFrame, *by: str) -> DataFrame:
     """cutoff (midpoint of neighbouring values; a lone value itself), kept, blocked, of_pos and of_neg."""
     w = Window.partitionBy(*by)
@@ -127,18 +135,23 @@ def least_leaks(points: DataFrame, negatives: DataFrame) -> DataFrame:
     return safe.crossJoin(negatives.agg(F.count("*").alias("n"))).select(F.coalesce("m", "n").alias("min_leaks"))
 
 
-def bootstrap(outcomes: DataFrame, value: str, by: str, order: str, resamples: int = RESAMPLES) -> DataFrame:
-    """mean, low and high (95 %) of each group's values, from resamples whose draws are hashes of (resample, place)."""
+def resampled(outcomes: DataFrame, value: str, by: str, order: str, resamples: int = RESAMPLES) -> DataFrame:
+    """by, b and m: the mean of each resample of each group's values; draws are hashes of (resample, place)."""
     w = Window.partitionBy(by)
     placed = outcomes.select(by, F.col(value).cast("double").alias("x"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"))
     sizes = placed.select("n").distinct()
     draws = placed.sparkSession.range(resamples).select(F.col("id").alias("b")).crossJoin(F.broadcast(sizes)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     draws = draws.select("b", "n", (F.conv(F.substring(F.md5(F.concat_ws(":", "b", "j").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("i"))
-    means = draws.join(placed, ["n", "i"]).groupBy(by, "b").agg(F.round(F.avg("x"), 9).alias("m"))
+    return draws.join(placed, ["n", "i"]).groupBy(by, "b").agg(F.round(F.avg("x"), 9).alias("m"))
+
+
+def bootstrap(outcomes: DataFrame, value: str, by: str, order: str, resamples: int = RESAMPLES) -> DataFrame:
+    """mean, low and high (95 %) of each group's values, from resampled()."""
+    means = resampled(outcomes, value, by, order, resamples)
     nth = means.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("m", "b")))
     low, high = int(resamples * 0.025) + 1, int(resamples * 0.975) + 1
     ends = nth.groupBy(by).agg(F.max(F.when(F.col("r") == low, F.round("m", 4))).alias("low"), F.max(F.when(F.col("r") == high, F.round("m", 4))).alias("high"))
-    return placed.groupBy(by).agg(F.round(F.avg("x"), 4).alias("mean")).join(ends, by)
+    return outcomes.groupBy(by).agg(F.round(F.avg(F.col(value).cast("double")), 4).alias("mean")).join(ends, by)
 
 
 def best_ranker(results: DataFrame, cost: str, *metrics: str) -> DataFrame:
@@ -153,13 +166,17 @@ def best_signal(aucs: DataFrame, accuracies: DataFrame) -> DataFrame:
     return joined.agg(F.max(F.struct("auc", "accuracy", "signal")).alias("m")).select("m.signal", "m.auc", "m.accuracy")
 
 
-def paired(ranks: DataFrame, base: str, by: str = "ranker") -> DataFrame:
-    """For each variant against the base, query by query: fixed, broken and net first places."""
+def side_by_side(ranks: DataFrame, base: str, by: str = "ranker") -> DataFrame:
+    """by, qid, ok, base_ok: whether each variant, and the base, puts a gold document first, query by query."""
     won = ranks.where("expect = 'answer'").select(by, "qid", (F.col("rank") == 1).alias("ok"))
     ours = won.where(F.col(by) == base).select("qid", F.col("ok").alias("base_ok"))
-    both = won.where(F.col(by) != base).join(ours, "qid")
+    return won.where(F.col(by) != base).join(ours, "qid").select(by, "qid", "ok", "base_ok")
+
+
+def paired(ranks: DataFrame, base: str, by: str = "ranker") -> DataFrame:
+    """For each variant against the base, query by query: fixed, broken and net first places."""
     fixed, broken = F.count_if(F.col("ok") & ~F.col("base_ok")), F.count_if(~F.col("ok") & F.col("base_ok"))
-    return both.groupBy(by).agg(fixed.alias("fixed"), broken.alias("broken"), (fixed - broken).alias("net"))
+    return side_by_side(ranks, base, by).groupBy(by).agg(fixed.alias("fixed"), broken.alias("broken"), (fixed - broken).alias("net"))
 
 
 def rollup(cases: DataFrame) -> DataFrame:

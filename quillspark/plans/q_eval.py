@@ -86,7 +86,7 @@ def _table(s, d):
 
 _AUC = f"WITH {LAB} SELECT round(avg(CASE WHEN a.v > b.v THEN CAST(1 AS DOUBLE) WHEN a.v = b.v THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 4) AS auc FROM lab a, lab b WHERE a.pos AND NOT b.pos"
 _add("agg19_auc", lambda s, d: e.auc(_table(s, d)), _AUC)
-_add("j08_positives_by_negatives", lambda s, d: e.auc(_table(s, d)), _AUC)
+_add("j08_positives_by_negatives", lambda s, d: e.pair_counts(_table(s, d)), f"WITH {LAB} SELECT count(*) FILTER (a.v > b.v) AS won, count(*) FILTER (a.v = b.v) AS tied, count(*) FILTER (a.v < b.v) AS lost FROM lab a, lab b WHERE a.pos AND NOT b.pos")
 SWEEP = f"{LAB}, vals AS (SELECT DISTINCT v FROM lab), mid AS (SELECT (v + nx) / 2 AS cutoff FROM (SELECT v, lead(v) OVER (ORDER BY v) AS nx FROM vals) WHERE nx IS NOT NULL), sw AS (SELECT cutoff, count(*) FILTER (pos AND v >= cutoff) AS kept, count(*) FILTER (NOT pos AND v < cutoff) AS blocked, count(*) FILTER (pos) AS of_pos, count(*) FILTER (NOT pos) AS of_neg FROM mid, lab GROUP BY cutoff)"
 _sweep = lambda s, d: e.sweep(_table(s, d)).select("cutoff", "kept", "blocked")
 _add("j10_scores_by_cutoffs", _sweep, f"WITH {SWEEP} SELECT cutoff, kept, blocked FROM sw")
@@ -180,7 +180,7 @@ def family_ranks(s, d):
 _add("har02_ranker_family", lambda s, d: e.quality(family_ranks(s, d), "ranker"), f"WITH {FAMILY} SELECT ranker, {QUALITY} FROM frank WHERE expect = 'answer' GROUP BY ranker")
 _PAIRED = f"WITH {FAMILY} SELECT v.ranker, count(*) FILTER (v.rank = 1 AND b.rank <> 1) AS fixed, count(*) FILTER (v.rank <> 1 AND b.rank = 1) AS broken, count(*) FILTER (v.rank = 1 AND b.rank <> 1) - count(*) FILTER (v.rank <> 1 AND b.rank = 1) AS net FROM frank v JOIN frank b ON v.qid = b.qid AND b.ranker = 'dense' WHERE v.ranker <> 'dense' AND v.expect = 'answer' GROUP BY v.ranker"
 _add("agg22_paired", lambda s, d: e.paired(family_ranks(s, d), "dense"), _PAIRED)
-_add("j11_paired_join", QUERIES["agg22_paired"], _PAIRED)
+_add("j11_paired_join", lambda s, d: e.side_by_side(family_ranks(s, d), "dense"), f"WITH {FAMILY} SELECT v.ranker, v.qid, v.rank = 1 AS ok, b.rank = 1 AS base_ok FROM frank v JOIN frank b ON v.qid = b.qid AND b.ranker = 'dense' WHERE v.ranker <> 'dense' AND v.expect = 'answer'")
 RANKERS = ["dense", "bm25", "rrf_10", "rrf_60", *(f"alpha_{a}" for a in retrieve.ALPHAS)]
 
 
@@ -198,13 +198,12 @@ bm2 AS (SELECT b, round(avg(x), 9) AS m FROM dr JOIN o USING (i) GROUP BY b), or
 SELECT 'bm25' AS ranker, (SELECT round(avg(x), 4) FROM o) AS mean, max(round(m, 4)) FILTER (r = 51) AS low, max(round(m, 4)) FILTER (r = 1951) AS high FROM ord"""
 
 
-def _boot(s, d):
-    x = _ranks(s, d).where("expect = 'answer'").select(F.lit("bm25").alias("ranker"), "qid", (F.col("rank") == 1).cast("int").alias("ok"))
-    return e.bootstrap(x, "ok", "ranker", "qid")
+def _outcomes(s, d):
+    return _ranks(s, d).where("expect = 'answer'").select(F.lit("bm25").alias("ranker"), "qid", (F.col("rank") == 1).cast("int").alias("ok"))
 
 
-_add("agg21_bootstrap", _boot, BOOT)
-_add("j13_resamples", _boot, BOOT)
+_add("agg21_bootstrap", lambda s, d: e.bootstrap(_outcomes(s, d), "ok", "ranker", "qid"), BOOT)
+_add("j13_resamples", lambda s, d: e.resampled(_outcomes(s, d), "ok", "ranker", "qid"), BOOT.split(", ord AS")[0] + " SELECT 'bm25' AS ranker, b, m FROM bm2")
 _CASES = f"""WITH {q.HITS}, cs AS (SELECT g.qid AS id, g.qid % 5 = 0 AS known_limit, CASE WHEN g.qid % 2 = 0 THEN 'pass' ELSE 'block' END AS expect, {r._GATES} AS first_gate FROM benchmark b JOIN gate g ON g.qid = b.item_id JOIN overlap o ON o.qid = b.item_id),
 cc AS (SELECT *, (first_gate = 'reaches_generation') = (expect = 'pass') AS correct FROM cs)
 SELECT count(*) FILTER (NOT known_limit) AS scored, count(*) FILTER (NOT known_limit AND correct) AS passed, count(*) FILTER (known_limit) AS limits, count(*) FILTER (NOT known_limit AND NOT correct) AS regressions, count(*) FILTER (known_limit AND correct) AS limits_passing, count(*) FILTER (first_gate <> 'reaches_generation') AS blocked_earlier, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (NOT known_limit AND NOT correct), '') AS regressed FROM cc"""

@@ -41,7 +41,7 @@ u AS (SELECT doc_id, i, k[i] AS cur, k[i - 1] AS prev FROM (SELECT doc_id, k, un
 t AS (SELECT *, right(prev, 80) AS tail FROM u)
 SELECT doc_id, i - 1 AS pos, md5(CASE WHEN i = 1 THEN cur ELSE {q.strip("CASE WHEN contains(tail, ' ') THEN substr(tail, instr(tail, ' ') + 1) ELSE tail END || ' ' || cur")} END) AS piece FROM t"""
 _add("str06_overlap", lambda s, d: _docs(s, d).select("doc_id", t.sentences(F.col("text")).alias("k")).select("doc_id", F.posexplode(t.overlapped(F.col("k"), 80)).alias("pos", "piece")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.col("piece").cast("binary")).alias("piece")), _overlap)
-_add("win05_previous_tail", QUERIES["str06_overlap"], _overlap)
+_add("win05_previous_tail", lambda s, d: _docs(s, d).select("doc_id", t.sentences(F.col("text")).alias("k")).select("doc_id", F.posexplode(t.tails(F.col("k"), 80)).alias("pos", "tail")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5(F.coalesce("tail", F.lit("")).cast("binary")).alias("tail")), _overlap.split("SELECT doc_id, i - 1 AS pos")[0] + "SELECT doc_id, i - 1 AS pos, md5(CASE WHEN i = 1 THEN '' WHEN contains(tail, ' ') THEN substr(tail, instr(tail, ' ') + 1) ELSE tail END) AS tail FROM t")
 _packed = f"""WITH s AS (SELECT doc_id, {q.sentences('text')} AS s FROM {D}), p AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN [] ELSE {q.pack('s', 160)} END AS k FROM s)
 SELECT doc_id, CAST(len(k) AS BIGINT) AS n, md5(array_to_string(k, '|')) AS packed FROM p"""
 _add("str07_pack", lambda s, d: _docs(s, d).select("doc_id", t.pack(t.sentences(F.col("text")), 160).alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", "|").cast("binary")).alias("packed")), _packed)
