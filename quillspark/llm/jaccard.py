@@ -44,10 +44,15 @@ NARROW = [f"b{k}" for k in range(LONGS)]
 FREQUENT = 16
 COMMON = 500_000
 #: Pairs of one tile that are compared in one block, pairs of a task, and bytes that it gets, about.
-BLOCK, PAIRS, TASK = 5_000, 20_000, 8 << 20
+BLOCK, PAIRS, TASK = 20_000, 100_000, 32 << 20
 #: Rounds of new heads at most, pairs a row that are few enough to join, one link in how many pairs of a round calls for
 #: another, and classes of one tile that meet in one task. All links are found whatever these are.
 ROUNDS, FEW, YIELD, MEET = 4, 4, 10, 512
+#: Documents that go, of some 40 bytes each, that are broadcast at most.
+BROADCAST = 1_000_000
+MARKS = ["n_shingles", "component_id", "is_first", "n_rows"]
+#: A component of more than one row in so many is joined apart.
+HOT = 10_000
 
 
 def sizes_of_bands(percent: int = PERCENT, most: int = 1 << 40) -> np.ndarray:
@@ -367,15 +372,44 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
     component_id: the least id (nulls last) among the documents that links reach; a document's own without links. A null
     or empty text has no shingles and no links. is_first marks one row of each component: of its least id, and then of
-    the text of the least hash; rows that repeat id and text are all marked, and n_rows says how many they are. Equal sets are linked, whatever their order
-    of words. Columns of docs that clash with the results' names are replaced; an empty table gives no rows. Shingles are
-    64 bits of hash each; a set of one text is held whole, in some 40 bytes a word.
+    the text of the least hash; rows that repeat id and text are all marked, and n_rows says how many they are. Equal sets
+    are linked, whatever their order of words. Columns of docs that clash with the results' names are replaced; an empty
+    table gives no rows. Shingles are 64 bits of hash each; a set of one text is held whole, in some 40 bytes a word.
     """
-    mine = ["n_shingles", "component_id", "is_first", "n_rows"]
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in MARKS]
     named = identified(docs, id_col, text_col, carry)
+    single = _marked(named, percent)
+    if carry == [id_col]:
+        return single.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))).select(F.col("_id").alias(id_col), *MARKS)
+    joined = named.join(single, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    return joined.select(*[F.col(f"c_{c}").alias(c) for c in carry], *MARKS)
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of each component of link(): that of its least id, then of the text of the least hash, then the least row.
+
+    Up to BROADCAST documents that go are broadcast, so that no text is shuffled; more of them meet the texts in a join.
+    """
+    named = identified(docs, id_col, text_col, docs.columns)
+    single = keep(_marked(named, percent), "marked")
+
+    def rows_of(which: Column, how: str) -> DataFrame:
+        some = single.where(which).select("_id", "_tie")
+        some = F.broadcast(some) if some.count() <= BROADCAST else some
+        return named.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), how)
+
+    many, columns = F.col("n_rows") > 1, [F.col(f"c_{c}").alias(c) for c in docs.columns]
+    plain = rows_of(~F.col("is_first") | many, "left_anti").select(*columns)
+    if not single.where("is_first and n_rows > 1").take(1):
+        return plain
+    again = rows_of(F.col("is_first") & many, "left_semi").groupBy("id", "tie").agg(F.min(F.struct(*columns)).alias("row"))
+    return plain.union(again.select("row.*"))
+
+
+def _marked(named: DataFrame, percent: int) -> DataFrame:
+    """_id, _tie and MARKS of each distinct (id, tie) of identified documents."""
     slim = named.select("id", "tie", "text", F.xxhash64("id", "tie").alias("key"))
-    spark = docs.sparkSession
+    spark = named.sparkSession
     long = lambda x: T.StructField(x, T.LongType())
     name = T.StructField("class", T.BinaryType())
     fields = [T.StructField("id", slim.schema["id"].dataType), long("tie"), long("key"), long("n"), name, long("shingle")]
@@ -421,19 +455,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     alone = F.concat(F.lit("-"), F.xxhash64("id", "tie").cast("string")).cast("binary")
     rooted = described.join(roots, F.col("class") == F.col("node"), "left").select("id", "tie", "n", F.when(F.col("n") > 0, F.coalesce("root", "class")).otherwise(alone).alias("root"))
     rooted = keep(rooted, "rooted")
-    # A hot component is summed up before it is shuffled; a single row is its own.
-    least = rooted.where("n > 0").groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "tie")).alias("least"))
-    out = rooted.join(least, F.col("root") == F.col("_root"), "left")
-    out = out.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tie") == F.col("least.tie"))).otherwise(F.lit(True)).alias("is_first"))
-    single = out.groupBy("_id", "_tie").agg(*[F.first(x).alias(x) for x in mine[:3]], F.count("*").alias("n_rows"))
-    if carry == [id_col]:
-        return single.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))).select(F.col("_id").alias(id_col), *mine)
-    joined = named.join(single, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    return joined.select(*[F.col(f"c_{c}").alias(c) for c in carry], *mine)
-
-
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row of each component of link(): that of its least id, then of the text of the least hash, then the least row."""
-    first = link(docs, id_col, text_col, percent=percent).where("is_first")
-    again = first.where("n_rows > 1").groupBy(id_col, F.xxhash64(text_col).alias("_tie")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return first.where("n_rows = 1").select(*docs.columns).union(again.select("_row.*"))
+    # A component is summed up before it is shuffled. Those of more than one row in HOT, which are HOT at most, are
+    # broadcast, and their rows go on by a key of their own.
+    ends = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "tie")).alias("least")
+    least = keep(rooted.where("n > 0").groupBy(F.col("root").alias("_root")).agg(ends, F.count("*").alias("many")), "least")
+    hot = F.col("many") * HOT > rooted.count()
+    large = least.where(hot).select(F.col("_root").alias("_large"), F.col("least").alias("of_large"))
+    out = rooted.join(F.broadcast(large), F.col("root") == F.col("_large"), "left")
+    out = out.withColumn("root", F.when(F.col("_large").isNull(), F.col("root")).otherwise(alone)).join(least.where(~hot), F.col("root") == F.col("_root"), "left")
+    out = out.withColumn("least", F.coalesce("of_large", "least"))
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tie") == F.col("least.tie"))
+    some = F.col("n") > 0
+    out = out.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("n").alias("n_shingles"), F.when(some, F.col("least.id")).otherwise(F.col("id")).alias("component_id"), F.when(some, first).otherwise(F.lit(True)).alias("is_first"))
+    return out.groupBy("_id", "_tie").agg(*[F.first(x).alias(x) for x in MARKS[:3]], F.count("*").alias("n_rows"))
