@@ -89,8 +89,8 @@ def holding(docs: DataFrame, items: DataFrame, gram: int = 5) -> DataFrame:
     named = inner.select("qid", "item", "k", F.array_min(runs(F.col("w"), F.col("k"))).alias("h"))
     cut = docs.select("doc_id", words.alias("w"))
     hits = None
-    # At most `gram` lengths, whatever the items.
-    for k in range(1, gram + 1):
+    # At most `gram` lengths, whatever the items; most often one, so documents are read once.
+    for k in [r.k for r in named.select("k").distinct().collect()] or [gram]:
         mine = named.where(F.col("k") == k).select("qid", "h")
         found = cut.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(k)))).alias("h")).join(mine, "h").select("qid", "doc_id")
         hits = found if hits is None else hits.union(found)

@@ -67,6 +67,7 @@ def build_index(docs: DataFrame, embedder: Embedder | None = None, query_embedde
     if (embedder is None) != (query_embedder is None):
         raise ValueError("passages and queries need an embedder each")
     made = postings(docs)
+    made = Postings(made.tf, kept(made.lengths, "lengths"), kept(made.df, "terms"), kept(made.stats, "stats"))
     if embedder is not None:
         return Index(made, kept(embed(docs, embedder).select("doc_id", "parent", "embedding"), "vectors"), query_embedder)
     code = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long")
@@ -255,7 +256,9 @@ def bounded(index: Index, queries: DataFrame, fetch: int, k: int = RRF_K) -> tup
     scored = kept(scored, "near")
     first = top_k(scored.withColumnRenamed("dense", "score"), most, "doc_id").select("qid", "doc_id")
     chosen = first.union(lexical).distinct()
-    chosen = kept(scored.join(chosen, ["qid", "doc_id"]).join(lex, ["qid", "doc_id"], "left").fillna(0.0, ["lex"]), "chosen")
+    # Of all lexical scores only those of candidates go on to the outer join.
+    theirs = lex.join(chosen, ["qid", "doc_id"])
+    chosen = kept(scored.join(chosen, ["qid", "doc_id"]).join(theirs, ["qid", "doc_id"], "left").fillna(0.0, ["lex"]), "chosen")
     ranks = _ranks_among(index, queries, asked, lex, chosen, ids)
     full = chosen.join(ranks, ["qid", "doc_id"]).join(positive, "qid")
     rl = F.when(F.col("lex") > 0, F.col("above") + 1).otherwise(F.col("n") + 1 + F.col("before") - F.col("below"))
@@ -318,7 +321,6 @@ def retrieve(docs: DataFrame | Index, queries: DataFrame, mode: str = "hybrid",
     """
     index = docs if isinstance(docs, Index) else build_index(docs)
     both, gate = bounded(index, queries, OVERFETCH * k)
-    both = kept(both, "bounded")
     fused = F.round(1 / (F.lit(RRF_K) + F.col("rd")).cast("double") + 1 / (F.lit(RRF_K) + F.col("rl")).cast("double"), 9)
     by = {"dense": F.col("dense"), "bm25": F.col("lex"), "hybrid": fused}[mode]
     hits = collapse(both, by, k)
