@@ -114,3 +114,34 @@ g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, c
 SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+def crc32_sql(text: str, table: str = "crc_table") -> str:
+    """CRC-32 of a text's UTF-8 bytes; table is a column that holds crc_table_sql()'s list."""
+    code = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {code}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])))"
+
+
+def crc_table_sql() -> str:
+    """The list of remainders of all bytes, by the rule of the polynomial."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"SELECT list(list_reduce(list_concat([b], range(0, 8)), lambda c, k: {step}) ORDER BY b) AS crc_table FROM (SELECT unnest(range(0, 256)) AS b)"
+
+
+ORACLES["op12_importance_resampling"] = rf"""
+WITH t AS ({crc_table_sql()}),
+d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS f FROM d),
+g AS (SELECT unnest(regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+k AS (SELECT f, CAST({crc32_sql('f')} % 10000 AS BIGINT) AS b FROM (SELECT f FROM f UNION SELECT f FROM g), t),
+s AS (SELECT b, count(*) AS s FROM f JOIN k USING (f) GROUP BY b),
+u AS (SELECT b, count(*) AS t FROM g JOIN k USING (f) GROUP BY b),
+z AS (SELECT (SELECT count(*) FROM f) AS ss, (SELECT count(*) FROM g) AS tt),
+a AS (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (ss + 10000) AS DOUBLE) / CAST((s + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN u USING (b), z),
+w AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (f) JOIN a USING (b) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM c),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM e LEFT JOIN r USING (doc_id)
+"""
