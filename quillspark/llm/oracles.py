@@ -145,3 +145,19 @@ e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 A
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM e WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM e LEFT JOIN r USING (doc_id)
 """
+
+#: Words of one key share all but one character, at the same place; a word without one of its characters may be a word.
+ORACLES["op11_spelling_variants"] = rf"""
+WITH RECURSIVE t AS ({crc_table_sql()}),
+a AS (SELECT CAST(doc_id AS VARCHAR) AS d, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+b AS (SELECT r, {crc32_sql("d || ':' || r")} AS h FROM (SELECT * FROM a WHERE length(r) >= 6), t),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN r[1 : CAST(h % length(r) AS BIGINT)] || r[CAST(h % length(r) AS BIGINT) + 2 : length(r)] ELSE r END AS word FROM b),
+w AS (SELECT word, count(*) AS n FROM c WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+p AS (SELECT word, n, i, word[1 : i - 1] AS x, word[i + 1 : length(word)] AS y FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+q AS (SELECT p.word, p.n, o.word AS other, o.n AS other_n FROM p JOIN p o ON p.i = o.i AND p.x = o.x AND p.y = o.y AND p.word <> o.word
+  UNION SELECT p.word, p.n, w.word, w.n FROM p JOIN w ON w.word = p.x || p.y UNION SELECT w.word, w.n, p.word, p.n FROM p JOIN w ON w.word = p.x || p.y),
+s AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM q GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN s USING (word)),
+l AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, l.root FROM f JOIN l ON f.form = l.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN l USING (word)
+"""
