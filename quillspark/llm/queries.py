@@ -16,6 +16,7 @@ from .quality import judge
 from .resampling import resample
 from .secrets import digest, scan
 from .sharding import shard
+from .similarity import fingerprints
 from .substring import dedup_substrings
 from .suffixes import dedup_suffixes
 from .toxicity import score
@@ -91,6 +92,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(_read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
@@ -104,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_fingerprints": op13_fingerprints,
 }
