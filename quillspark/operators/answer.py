@@ -18,10 +18,17 @@ from . import guardrails
 from .retrieve import TOP_K, Index, retrieve
 
 
-def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """qid, contexts and ids in order of rank. Texts join only the few hits that are left."""
-    rows = hits.join(docs.select("doc_id", "text"), "doc_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "doc_id"))).alias("k"))
-    return rows.select("qid", F.col("k.text").alias("contexts"), F.col("k.doc_id").alias("ids"))
+def readable(docs: DataFrame) -> DataFrame:
+    """doc_id, title and text of what is read once it is found: a passage's context, where it has one; ids stand for titles that are not there."""
+    title = F.col("title") if "title" in docs.columns else F.col("doc_id").cast("string")
+    return docs.select("doc_id", title.alias("title"), F.col("context" if "context" in docs.columns else "text").alias("text"))
+
+
+def contexts(hits: DataFrame, docs: DataFrame, cite: str = "doc_id") -> DataFrame:
+    """qid, contexts and ids (of hits, or of their parents) in order of rank. Texts join only the few hits that are left."""
+    found = hits.select("qid", "rank", "doc_id", F.col(cite).alias("cited")).join(readable(docs).select("doc_id", "text"), "doc_id")
+    rows = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "cited"))).alias("k"))
+    return rows.select("qid", F.col("k.text").alias("contexts"), F.col("k.cited").alias("ids"))
 
 
 def prompts(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -127,28 +134,30 @@ def memoised(cases: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame
     return cases.join(answer(cases.select(key).distinct()), key)
 
 
-def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None) -> DataFrame:
+def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None, cite: str = "doc_id") -> DataFrame:
     """qid, mode, answered, refusal_reason, answer and citations of every query; with an index of docs, they are not
     indexed again.
 
+    docs: doc_id, text and parent, or passages(), which are found by their text, read by their context and cited by their
+    parent (cite="parent"). Ids may be of any type.
+
     The free gate on scope comes before retrieval; contexts join only the hits of queries that are left.
     """
     asked = queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     inside = queries.where(guardrails.scope(F.col("text")) == "in_scope")
     hits, results = retrieve(index or docs, inside, mode, k)
-    texts = contexts(hits, docs)
+    texts = contexts(hits, docs, cite)
     rows = asked.join(results, "qid", "left").join(texts, "qid", "left").withColumn("n_hits", F.coalesce(F.size("ids"), F.lit(0))).withColumn("top_context", F.get("contexts", F.lit(0)))
     if generator is None:
         generated = F.lit(None).cast("struct<ok:boolean,answerable:boolean,answer:string,grounded:boolean>")
     else:
-        titled = docs.select("doc_id", F.col("doc_id").cast("string").alias("title"), "text")
-        made = generate(prompts(hits, titled, inside), generator)
+        made = generate(prompts(hits, readable(docs), inside), generator)
         rows = rows.join(made.drop("error").withColumnsRenamed({"answer": "g_answer"}), "qid", "left")
         reason = guardrails.grounded(F.coalesce("g_answer", F.lit("")), F.coalesce("contexts", F.array().cast("array<string>")))["reason"]
         generated = F.struct("ok", "answerable", F.col("g_answer").alias("answer"), (reason != "ungrounded_specifics").alias("grounded"))
     zero = F.lit(0).cast("long")
     rows = rows.withColumn("generated", generated).withColumns({"term_hits": F.coalesce("term_hits", zero), "gate_score": F.coalesce("gate_score", F.lit(0.0))})
     out = guardrails.decide(rows, threshold)
-    none = F.array().cast(docs.select(F.array("doc_id").alias("x")).schema["x"].dataType)
+    none = F.array().cast(docs.select(F.array(cite).alias("x")).schema["x"].dataType)
     cited = F.when(F.col("refusal_reason").isin("no_corpus_vocabulary") | F.col("ids").isNull(), none).otherwise(F.col("ids"))
     return out.select("qid", "mode", "answered", "refusal_reason", "answer", cited.alias("citations"))

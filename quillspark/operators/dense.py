@@ -17,19 +17,19 @@ PLACES = 9
 BITS, SHARE = 512, 0.08
 
 
-def _unit_rows(m: np.ndarray) -> np.ndarray:
+def unit_rows(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=m.copy(), where=norm > 0)
 
 
-def _rounded(s: np.ndarray) -> np.ndarray:
+def rounded(s: np.ndarray) -> np.ndarray:
     """To PLACES, halves away from zero, as SQL rounds."""
     return np.sign(s) * np.floor(np.abs(s) * 10**PLACES + 0.5) / 10**PLACES + 0.0
 
 
 def cosines(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Of each row with each query, to PLACES."""
-    return _rounded(_unit_rows(vectors) @ _unit_rows(queries).T)
+    return rounded(unit_rows(vectors) @ unit_rows(queries).T)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -62,7 +62,7 @@ def score(vectors: DataFrame, queries: DataFrame, k: int | None = None, vid: str
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     slim = vectors.select(vid, *keep, vector)
     for ids, m in query_blocks(queries, qid, vector):
-        shared = spark.sparkContext.broadcast((pa.array(ids), _unit_rows(m) if normalise else m))
+        shared = spark.sparkContext.broadcast((pa.array(ids), unit_rows(m) if normalise else m))
 
         def run(batches, shared=shared):
             names, q = shared.value
@@ -70,7 +70,7 @@ def score(vectors: DataFrame, queries: DataFrame, k: int | None = None, vid: str
                 if not batch.num_rows:
                     continue
                 v = matrix(batch.column(vector))
-                s = _rounded((_unit_rows(v) if normalise else v) @ q.T)
+                s = rounded((unit_rows(v) if normalise else v) @ q.T)
                 if k is None or k >= len(s):
                     row, col = np.divmod(np.arange(s.size), s.shape[1])
                 else:
@@ -130,21 +130,21 @@ def approximate_top_k(indexed: DataFrame, queries: DataFrame, k: int = 5, share:
     schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType), indexed.schema[vid], T.StructField("score", T.DoubleType())])
     for ids, m in query_blocks(queries, qid, vector):
         bits = 64 * (indexed.select(F.size(signature).alias("n")).first() or [BITS // 64])[0]
-        shared = spark.sparkContext.broadcast((pa.array(ids), _unit_rows(m), signatures(m, bits)))
+        shared = spark.sparkContext.broadcast((pa.array(ids), unit_rows(m), signatures(m, bits)))
 
         def run(batches, shared=shared):
             names, q, q_bits = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = _unit_rows(matrix(batch.column(vector)))
+                v = unit_rows(matrix(batch.column(vector)))
                 own = batch.column(signature).flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
                 differ = np.zeros((len(q), len(v)), np.uint16)
                 for lane in range(own.shape[1]):
                     differ += np.bitwise_count(q_bits[:, lane, None] ^ own[None, :, lane])
                 few = min(len(v), max(k, int(np.ceil(share * len(v)))))
                 near = np.argpartition(differ, few - 1, axis=1)[:, :few]
-                s = _rounded(np.einsum("qd,qnd->qn", q, v[near]))
+                s = rounded(np.einsum("qd,qnd->qn", q, v[near]))
                 # Ties at the edge all stay: the final ranking settles them by id.
                 edge = np.partition(s, few - min(k, few), axis=1)[:, few - min(k, few), None]
                 row, col = np.nonzero(s >= edge)
@@ -160,7 +160,7 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: s
 
     def run(batches):
         for batch in batches:
-            v = _unit_rows(np.asarray(embedder([x or "" for x in batch.column(text).to_pylist()]), np.float64)) if batch.num_rows else np.empty((0, 1))
+            v = unit_rows(np.asarray(embedder([x or "" for x in batch.column(text).to_pylist()]), np.float64)) if batch.num_rows else np.empty((0, 1))
             yield batch.append_column(out, pa.array(list(v), pa.list_(pa.float64())))
 
     return texts.mapInArrow(run, T.StructType([*texts.schema, T.StructField(out, T.ArrayType(T.DoubleType()))]))

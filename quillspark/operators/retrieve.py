@@ -6,11 +6,14 @@ among its first can come first in their fusion, so ranks are taken for those alo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +21,8 @@ from pyspark.sql import types as T
 from quillspark.functions import text as t
 from quillspark.sources.files import kept
 
-from .dense import cosines, embed, matrix, query_blocks, score, top_k
-from .lexical import Postings, bm25, overlap, postings, query_terms
+from . import blocks
+from .dense import embed, unit_rows
 
 # Defaults of retrieval.
 TOP_K, OVERFETCH, RRF_K = 5, 4, 60
@@ -45,51 +48,101 @@ def feature_vectors(df: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings, and vectors (doc_id, parent, embedding). query_embedder is the route of questions, which may be another
-    than that of passages; without one they get the default embedding."""
+    """segments (see blocks), df (term, df, idf) and stats (n, avgdl). query_embedder is the route of questions, which may be
+    another than that of passages; without one they get the default embedding."""
 
-    postings: Postings
-    vectors: DataFrame
+    segments: DataFrame
+    df: DataFrame
+    stats: DataFrame
     query_embedder: Embedder | None = None
 
-    def asked(self, queries: DataFrame) -> DataFrame:
-        """item_id and embedding of queries (item_id, text)."""
-        if self.query_embedder is None:
-            return feature_vectors(queries, "item_id")
-        return embed(queries.select("item_id", F.coalesce("text", F.lit("")).alias("text")), self.query_embedder).select("item_id", "embedding")
+
+TABLES = ("segments", "df", "stats")
 
 
 def build_index(docs: DataFrame, embedder: Embedder | None = None, query_embedder: Embedder | None = None) -> Index:
-    """The index of docs (doc_id, text, parent), written to the shared folder.
+    """The index of docs (doc_id, text, parent), written to the shared folder. Ids and parents may be of any type that sorts.
 
-    An embedder of passages asks for one of queries. The default embedding is made of the postings' own terms.
+    An embedder of passages asks for one of queries. The default embedding is made of the documents' own terms.
     """
     if (embedder is None) != (query_embedder is None):
         raise ValueError("passages and queries need an embedder each")
-    made = postings(docs)
-    made = Postings(made.tf, kept(made.lengths, "lengths"), kept(made.df, "terms"), kept(made.stats, "stats"))
     if embedder is not None:
-        return Index(made, kept(embed(docs, embedder).select("doc_id", "parent", "embedding"), "vectors"), query_embedder)
-    code = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long")
-    sign = F.when(F.floor(code / DIM) % 2 == 0, F.col("tf").cast("double")).otherwise(-F.col("tf").cast("double"))
-    sums = made.tf.groupBy("doc_id", (code % DIM).cast("int").alias("d")).agg(F.sum(sign).alias("x"))
-    maps = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("m"))
-    zeros = [F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0)) for i in range(DIM)]
-    vectors = docs.select("doc_id", "parent").join(maps, "doc_id", "left").select("doc_id", "parent", F.array(*zeros).alias("embedding"))
-    return Index(made, kept(vectors, "vectors"))
+        docs = kept(embed(docs.select("doc_id", "parent", F.coalesce("text", F.lit("")).alias("text")), embedder), "embedded")
+    segments = blocks.build(docs, DIM)
+    return Index(segments, *blocks.statistics(segments), query_embedder)
 
 
 def save_index(index: Index, path: str) -> None:
     """Every table of the index, below path."""
-    for f in fields(Postings):
-        getattr(index.postings, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
-    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    for name in TABLES:
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str, query_embedder: Embedder | None = None) -> Index:
     """The index that save_index() wrote; raises where a table is missing."""
-    found = {f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Postings)}
-    return Index(Postings(**found), spark.read.parquet(f"{path}/vectors"), query_embedder)
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES], query_embedder)
+
+
+def passages(chunks: DataFrame) -> DataFrame:
+    """Chunks as what is indexed and read: doc_id is the chunk's id, parent its document's, text what is embedded, and context
+    what is read once it is found."""
+    return chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").cast("string").alias("parent"), F.col("embed_text").alias("text"), F.col("context_text").alias("context"), "title")
+
+
+def asked_blocks(index: Index, queries: DataFrame) -> Iterator[blocks.Asked]:
+    """The queries with their terms' weights, in blocks of bounded size; a term that no document has weighs nothing."""
+    spark = queries.sparkSession
+    avgdl = (index.stats.first() or {"avgdl": 1.0})["avgdl"] or 1.0
+    rows = queries.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    if index.query_embedder is not None:
+        rows = embed(rows, index.query_embedder)
+    rows = rows.select("item_id", t.tokens(F.col("text")).alias("toks"), *rows.columns[2:])
+    for block in _taken(rows.toLocalIterator(), QUERIES):
+        counts = [Counter(r.toks) for r in block]
+        every = sorted({x for c in counts for x in c})
+        known = spark.createDataFrame([(x,) for x in every], "term string")
+        idf = {r.term: r.idf for r in index.df.join(F.broadcast(known), "term", "left_semi").select("term", "idf").collect()} if every else {}
+        number = {x: j for j, x in enumerate(sorted(idf))}
+        mine = [sorted(x for x in c if x in idf) for c in counts]
+        weights = [(np.array([number[x] for x in xs], np.int64), np.array([c[x] * idf[x] for x in xs])) for xs, c in zip(mine, counts, strict=True)]
+        m = np.array([r.embedding for r in block], np.float64) if index.query_embedder else _hashed(counts, every)
+        yield blocks.Asked([r.item_id for r in block], unit_rows(m).T.copy(), sorted(idf), weights, [len(c) for c in counts], avgdl)
+
+
+def _taken(rows: Iterator, most: int) -> Iterator[list]:
+    while block := list(islice(rows, most)):
+        yield block
+
+
+def _hashed(counts: list[Counter], every: list[str]) -> np.ndarray:
+    """The default embeddings of queries, as feature_vectors() makes them."""
+    at, sign = blocks.hashed_dimensions(every, DIM)
+    number = {x: j for j, x in enumerate(every)}
+    out = np.zeros((len(counts), DIM))
+    for row, c in zip(out, counts, strict=True):
+        for x, n in c.items():
+            row[at[number[x]]] += n * sign[number[x]]
+    return out
+
+
+def _scored(index: Index, queries: DataFrame, schema: T.StructType, run: Callable) -> Iterator[tuple[blocks.Asked, DataFrame]]:
+    """Each block of queries, and what run(block) makes of all segments."""
+    for asked in asked_blocks(index, queries):
+        yield asked, index.segments.mapInArrow(run(asked), schema)
+
+
+def _found(index: Index) -> T.StructType:
+    kinds = {x: index.segments.schema[y].dataType.elementType for x, y in (("doc_id", "ids"), ("parent", "parents"))}
+    return T.StructType([T.StructField("q", T.IntegerType()), T.StructField("num", T.LongType()), *[T.StructField(x, k) for x, k in kinds.items()], T.StructField("dense", T.DoubleType()), T.StructField("lex", T.DoubleType())])
+
+
+def _named(df: DataFrame, asked: blocks.Asked, queries: DataFrame) -> DataFrame:
+    """df with qid, term_hits and query_terms in place of the number of the query in its block."""
+    longs = [T.StructField(x, T.LongType()) for x in ("term_hits", "query_terms")]
+    kind = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("qid", queries.schema["item_id"].dataType), *longs])
+    rows = [(j, name, len(asked.weights[j][0]), asked.n_terms[j]) for j, name in enumerate(asked.names)]
+    return df.join(F.broadcast(queries.sparkSession.createDataFrame(rows, kind)), "q").drop("q")
 
 
 def candidates(docs: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
@@ -97,10 +150,16 @@ def candidates(docs: DataFrame, queries: DataFrame, index: Index | None = None)
 
     docs: doc_id, text, parent; queries: item_id, text. This is for reports on all pairs; retrieval goes by bounded().
     """
-    index = index or build_index(docs)
-    dense = score(index.vectors, index.asked(queries), vid="doc_id", qid="item_id", keep=["parent"]).withColumnRenamed("score", "dense")
-    lex = bm25(index.postings, query_terms(queries)).withColumnRenamed("score", "lex")
-    return dense.join(lex, ["qid", "doc_id"], "left").select("qid", "doc_id", "parent", "dense", F.coalesce("lex", F.lit(0.0)).alias("lex"))
+    index, out = index or build_index(docs), None
+    for asked, made in _scored(index, queries, _found(index), blocks.all_of):
+        made = _named(made, asked, queries).select("qid", "doc_id", "parent", "dense", "lex")
+        out = made if out is None else out.unionByName(made)
+    return out if out is not None else _none(index, queries).drop("num", "rd", "rl")
+
+
+def _none(index: Index, queries: DataFrame) -> DataFrame:
+    found = [f for f in _found(index).fields if f.name != "q"]
+    return queries.sparkSession.createDataFrame([], T.StructType([T.StructField("qid", queries.schema["item_id"].dataType), *found, T.StructField("rd", T.LongType()), T.StructField("rl", T.LongType())]))
 
 
 def ranked(df: DataFrame, by: Column, out: str) -> DataFrame:
@@ -165,152 +224,46 @@ def reach(fetch: int, k: int = RRF_K) -> int:
     return k + 2 * fetch
 
 
-def _better(ids: np.ndarray, values: np.ndarray, at_ids: np.ndarray, at_values: np.ndarray) -> np.ndarray:
-    """For each candidate, how many rows come before it: of a higher value, or the same and a lesser id."""
-    by = np.lexsort((ids, -values))
-    ids, values = ids[by], -values[by]
-    low, high = np.searchsorted(values, -at_values, "left"), np.searchsorted(values, -at_values, "right")
-    for j in np.flatnonzero(high > low).tolist():
-        low[j] += np.searchsorted(ids[low[j] : high[j]], at_ids[j])
-    return low
-
-
-class _Counts:
-    """Counts by query and candidate, added up over the batches of a task."""
-
-    def __init__(self, asked: dict, columns: list[str]):
-        self.asked, self.columns = asked, columns
-        self.sums = {q: np.zeros((len(columns), len(ids)), np.int64) for q, (ids, *_) in asked.items()}
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for q, (ids, *_) in self.asked.items():
-            some = self.sums[q].any(0)
-            if some.any():
-                found = [pa.array(x[some]) for x in self.sums[q]]
-                yield pa.RecordBatch.from_arrays([pa.array([q] * int(some.sum())), pa.array(ids[some]), *found], ["qid", "doc_id", *self.columns])
-
-
-def _by_query(rows: DataFrame, *values: str) -> Iterator[dict]:
-    """Candidates in blocks of queries of bounded size: by query, their ids and values as arrays."""
-    found, size = {}, 0
-    lists = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("doc_id", *values))).alias("c"))
-    for r in lists.toLocalIterator():
-        found[r.qid] = tuple(np.array([x[k] for x in r.c]) for k in range(1 + len(values)))
-        size += len(r.c)
-        if size >= CANDIDATES:
-            yield found
-            found, size = {}, 0
-    if found:
-        yield found
-
-
-#: Candidates whose ranks are counted in one go; more queries mean more passes, not larger broadcasts.
-CANDIDATES = 500_000
+#: Queries of one pass over the index; more queries mean more passes, not larger broadcasts.
+QUERIES = 2000
 
 
 def bounded(index: Index, queries: DataFrame, fetch: int, k: int = RRF_K) -> tuple[DataFrame, DataFrame]:
-    """qid, doc_id, parent, dense, lex, rd, rl of all documents that may be among the first `fetch` of the fusion; and
-    qid, gate_score.
+    """qid, num, doc_id, parent, dense, lex, rd, rl of all documents that may be among the first `fetch` of the fusion; and
+    qid, gate_score, term_hits, query_terms.
 
-    Candidates are the first reach() of either ranking. Their rank in the other one is a count of what comes before
-    them, summed up by task, so no window ever holds a query's whole corpus. Documents without a common term share
-    lexical score 0 and follow by id. Ids must be numbers.
+    A task passes on what is among the first reach() of either of its rankings, so what is written and ranked is bounded
+    by queries and tasks, not by pairs. A candidate whose place in the other ranking lies beyond reach() gets it as a
+    count of what comes before it, from a second pass over the same segments; no window ever holds a query's whole
+    corpus. Documents without a common term share lexical score 0 and follow by id.
     """
-    spark, most = queries.sparkSession, reach(fetch, k)
-    lex = kept(bm25(index.postings, query_terms(queries)).where("score > 0").withColumnRenamed("score", "lex"), "lexical")
-    positive = queries.select(F.col("item_id").alias("qid")).join(lex.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").fillna(0)
-    lexical_best = top_k(lex.withColumnRenamed("lex", "score"), most, "doc_id").select("qid", "doc_id")
-    # Where few documents share a term, the others follow by id: the first of these are among the first of all.
-    first = index.vectors.select("doc_id").orderBy("doc_id").limit(most)
-    lexical = kept(lexical_best.union(positive.where(F.col("n") < most).select("qid").crossJoin(F.broadcast(first))).distinct(), "lexical-first")
-
-    vectors = index.vectors.select("doc_id", "parent", "embedding")
-    asked = index.asked(queries)
-    ids = T.StructField("qid", asked.schema["item_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType)
-    none = np.empty(0, np.int64)
-    scored = None
-    for names, m in query_blocks(asked, "item_id", "embedding"):
-        known = spark.createDataFrame([(q,) for q in names], T.StructType([ids[0]]))
-        mine = lexical.join(F.broadcast(known), "qid", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_list("doc_id")).alias("c"))
-        wanted = {r.qid: np.array(r.c) for r in mine.collect()}
-        shared = spark.sparkContext.broadcast((names, m, [wanted.get(q, none) for q in names]))
-
-        def near(batches, shared=shared):
-            names, m, wanted = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    s, own = cosines(matrix(batch.column("embedding")), m), batch.column("doc_id").to_numpy()
-                    edge = np.partition(s, len(s) - most, axis=0)[len(s) - most] if most < len(s) else s.min(0)
-                    keep = s >= edge
-                    for j, x in enumerate(wanted):
-                        keep[:, j] |= np.isin(own, x)
-                    row, col = np.nonzero(keep)
-                    rows = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in col.tolist()]), batch.column("doc_id").take(rows), batch.column("parent").take(rows), pa.array(s[row, col])], ["qid", "doc_id", "parent", "dense"])
-
-        schema = T.StructType([*ids, vectors.schema["parent"], T.StructField("dense", T.DoubleType())])
-        made = vectors.mapInArrow(near, schema)
-        scored = made if scored is None else scored.unionByName(made)
-    if scored is None:
-        scored = spark.createDataFrame([], T.StructType([*ids, vectors.schema["parent"], T.StructField("dense", T.DoubleType())]))
-    scored = kept(scored, "near")
-    first = top_k(scored.withColumnRenamed("dense", "score"), most, "doc_id").select("qid", "doc_id")
-    chosen = first.union(lexical).distinct()
-    # Of all lexical scores only those of candidates go on to the outer join.
-    theirs = lex.join(chosen, ["qid", "doc_id"])
-    chosen = kept(scored.join(chosen, ["qid", "doc_id"]).join(theirs, ["qid", "doc_id"], "left").fillna(0.0, ["lex"]), "chosen")
-    ranks = _ranks_among(index, queries, asked, lex, chosen, ids)
-    full = chosen.join(ranks, ["qid", "doc_id"]).join(positive, "qid")
-    rl = F.when(F.col("lex") > 0, F.col("above") + 1).otherwise(F.col("n") + 1 + F.col("before") - F.col("below"))
-    out = full.select("qid", "doc_id", "parent", "dense", "lex", (F.col("higher") + 1).alias("rd"), rl.alias("rl"))
-    return out, chosen.groupBy("qid").agg(F.max("dense").alias("gate_score"))
-
-
-def _ranks_among(index: Index, queries: DataFrame, asked: DataFrame, lex: DataFrame, chosen: DataFrame, ids: tuple) -> DataFrame:
-    """qid, doc_id and, for each candidate, how many documents have a higher cosine (higher) or lexical score (above), a
-    lexical score and a lesser id (below), or a lesser id (before)."""
-    spark, out = queries.sparkSession, None
-    long = [T.StructField(x, T.LongType()) for x in ("higher", "above", "below", "before")]
-    for block in _by_query(chosen, "dense", "lex"):
-        known = spark.createDataFrame([(q,) for q in block], T.StructType([ids[0]]))
-        mine = {r.item_id: r.embedding for r in asked.join(F.broadcast(known), F.col("item_id") == F.col("qid"), "left_semi").collect()}
-        shared = spark.sparkContext.broadcast((block, mine))
-
-        def dense(batches, shared=shared):
-            block, mine = shared.value
-            counts, names = _Counts(block, ["higher", "before"]), list(mine)
-            m = np.array([mine[q] for q in names], np.float64)
-            for batch in batches:
-                if batch.num_rows:
-                    s, own = cosines(matrix(batch.column("embedding")), m), batch.column("doc_id").to_numpy()
-                    ordered = np.sort(own)
-                    for j, q in enumerate(names):
-                        at, values, _ = block[q]
-                        counts.sums[q] += np.stack([_better(own, s[:, j], at, values), np.searchsorted(ordered, at)])
-            yield from counts.rows()
-
-        def lexical(batches, shared=shared):
-            block, _ = shared.value
-            counts = _Counts(block, ["above", "below"])
-            for batch in batches:
-                asked_by, own, values = (batch.column(c).to_numpy() for c in ("qid", "doc_id", "lex"))
-                by = np.argsort(asked_by, kind="stable")
-                heads = np.flatnonzero(np.r_[True, asked_by[by][1:] != asked_by[by][:-1]]) if len(by) else []
-                for rows in np.split(by, heads[1:]) if len(by) else ():
-                    found = block.get(asked_by[rows[0]])
-                    if found is not None:
-                        at, _, scores = found
-                        counts.sums[asked_by[rows[0]]] += np.stack([_better(own[rows], values[rows], at, scores), np.searchsorted(np.sort(own[rows]), at)])
-            yield from counts.rows()
-
-        one = index.vectors.select("doc_id", "embedding").mapInArrow(dense, T.StructType([*ids, long[0], long[3]]))
-        two = lex.mapInArrow(lexical, T.StructType([*ids, long[1], long[2]]))
-        zero = F.lit(0).cast("long")
-        both = one.select("qid", "doc_id", "higher", zero.alias("above"), zero.alias("below"), "before").union(two.select("qid", "doc_id", zero, "above", "below", zero))
-        rest = chosen.join(F.broadcast(known), "qid", "left_semi").select("qid", "doc_id", *[zero] * 4)
-        both = both.union(rest).groupBy("qid", "doc_id").agg(*[F.sum(x).alias(x) for x in ("higher", "above", "below", "before")])
-        out = both if out is None else out.unionByName(both)
-    return out if out is not None else spark.createDataFrame([], T.StructType([*ids, *long]))
+    most, found, gates = reach(fetch, k), None, None
+    for asked, made in _scored(index, queries, _found(index), lambda asked: blocks.first_of(asked, most)):
+        places = [F.row_number().over(Window.partitionBy("q").orderBy(F.col(x).desc(), "num")).alias(r) for x, r in (("dense", "rd"), ("lex", "rl"))]
+        chosen = kept(made.select("*", *places).where((F.col("rd") <= most) | (F.col("rl") <= most)), "chosen")
+        rows = chosen.where((F.col("rd") > most) | (F.col("rl") > most)).select("q", "num", "dense", "lex", "rd", "rl").toArrow()
+        unknown = [_by_query(rows, rank, score, most) for rank, score in (("rd", "dense"), ("rl", "lex"))]
+        out, ranks = chosen, [F.col(r).cast("long").alias(r) for r in ("rd", "rl")]
+        if rows.num_rows:
+            counts = index.segments.mapInArrow(blocks.ahead_of(asked, *unknown), "q int, num long, higher long, above long")
+            out = chosen.join(counts.groupBy("q", "num").agg(F.sum("higher").alias("higher"), F.sum("above").alias("above")), ["q", "num"], "left")
+            ranks = [F.when(F.col(r) > most, F.col(c) + 1).otherwise(F.col(r)).cast("long").alias(r) for r, c in (("rd", "higher"), ("rl", "above"))]
+        full = _named(out.select("q", "num", "doc_id", "parent", "dense", "lex", *ranks), asked, queries).select("qid", "num", "doc_id", "parent", "dense", "lex", "rd", "rl")
+        gate = _named(chosen.where("rd = 1").select("q", F.col("dense").alias("gate_score")), asked, queries)
+        found, gates = (full, gate) if found is None else (found.unionByName(full), gates.unionByName(gate))
+    if found is None:
+        found = _none(index, queries)
+        gates = found.select("qid", F.col("dense").alias("gate_score"), *[F.lit(0).cast("long").alias(x) for x in ("term_hits", "query_terms")])
+    return found, gates.select("qid", "gate_score", "term_hits", "query_terms")
+
+
+def _by_query(rows: pa.Table, rank: str, score: str, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By query, scores and numbers of the candidates whose rank is beyond `most`: some hundred a query."""
+    far = rows.filter(pc.greater(rows.column(rank), most))
+    q, scores, nums = (far.column(x).to_numpy() for x in ("q", score, "num"))
+    by = np.argsort(q, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(q[by]) != 0]) if len(by) else np.empty(0, int)
+    return {int(q[x[0]]): (scores[x], nums[x]) for x in np.split(by, heads[1:]) if len(x)}
 
 
 def retrieve(docs: DataFrame | Index, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
@@ -320,9 +273,8 @@ def retrieve(docs: DataFrame | Index, queries: DataFrame, mode: str = "hybrid",
     hits, and never rescores them.
     """
     index = docs if isinstance(docs, Index) else build_index(docs)
-    both, gate = bounded(index, queries, OVERFETCH * k)
+    both, results = bounded(index, queries, OVERFETCH * k)
     fused = F.round(1 / (F.lit(RRF_K) + F.col("rd")).cast("double") + 1 / (F.lit(RRF_K) + F.col("rl")).cast("double"), 9)
     by = {"dense": F.col("dense"), "bm25": F.col("lex"), "hybrid": fused}[mode]
     hits = collapse(both, by, k)
-    results = gate.join(overlap(queries, query_terms(queries), index.postings), "qid")
     return hits.select("qid", "rank", "doc_id", "parent", F.col("dense").alias("score"), "lex"), results

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import answer, corpus, dense, guardrails, lexical, retrieve
+from quillspark.operators import answer, chunking, corpus, dense, guardrails, lexical, retrieve
 from quillspark.sources.tables import table
 
 from . import sql as q
@@ -190,3 +190,36 @@ _add("udf06_error_kinds", lambda s, d: table(s, d, "events").select("event_id",
 _add("udf01_passage_embedding", lambda s, d: dense.embed(docs_of(s, d).select("doc_id", "text"), answer.hashing_embedder()).select("doc_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")), f"SELECT doc_id, 64 AS dim, CASE WHEN {q.strip("coalesce(text, '')")} = '' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS norm FROM documents")
 _add("udf02_query_embedding", lambda s, d: dense.embed(items_of(s, d), answer.hashing_embedder("query: ")).select("item_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")), "SELECT item_id, 64 AS dim, CAST(1 AS DOUBLE) AS norm FROM benchmark")
 _add("udf04_generation", lambda s, d: answer.generate(answer.prompts(hits_of(s, d)[0], corpus.corpus(table(s, d, "documents")), items_of(s, d)), answer.first_passage).drop("error"), HITS + "SELECT qid, true AS ok, true AS answerable, coalesce(text, '') AS answer FROM hits JOIN documents USING (doc_id) WHERE rank = 1")
+
+# Chunks: the same path over the engine's own chunks, found by string ids, collapsed to their documents and read by context.
+CHUNKED = f"""{q.PC}, chunked AS (SELECT chunk_id AS doc_id, embed_text AS text, CAST(doc_id AS VARCHAR) AS source, context_text FROM pc)"""
+CHUNK_HITS = f"WITH {CHUNKED}, {q.HITS.replace('documents', 'chunked')} "
+
+
+def passages_of(s, d):
+    return retrieve.passages(chunking.parent_child(corpus.corpus(table(s, d, "documents"))))
+
+
+def chunk_hits_of(s, d, mode="hybrid"):
+    return retrieve.retrieve(passages_of(s, d), items_of(s, d), mode)
+
+
+def _chunk_answers(s, d):
+    return answer.ask(passages_of(s, d), items_of(s, d), cite="parent")
+
+
+_add("top04_chunk_hits", lambda s, d: chunk_hits_of(s, d)[0].select("qid", *_long("rank"), "doc_id", "parent", "score", "lex"), CHUNK_HITS + "SELECT qid, rank, doc_id, parent, score, lex FROM hits")
+_add("j02_chunk_contexts", lambda s, d: answer.contexts(chunk_hits_of(s, d)[0], passages_of(s, d), "parent").select("qid", F.array_join("ids", ",").alias("cited"), F.md5(F.array_join("contexts", "|").cast("binary")).alias("contexts")), CHUNK_HITS + "SELECT qid, string_agg(parent, ',' ORDER BY rank) AS cited, md5(string_agg(context_text, '|' ORDER BY rank)) AS contexts FROM hits JOIN chunked USING (doc_id) GROUP BY qid")
+_CHUNK_DECIDED = f"""(SELECT b.item_id AS qid, {_DECIDE} AS r, {_scope_sql('b.text')} AS s FROM benchmark b JOIN gate ON gate.qid = b.item_id JOIN overlap ON overlap.qid = b.item_id)"""
+_add("udf09_chunk_answers", lambda s, d: _chunk_answers(s, d).select("qid", "mode", "answered", F.coalesce("refusal_reason", F.lit("")).alias("refusal_reason"), F.array_join("citations", ",").alias("citations"), F.md5(F.coalesce("answer", F.lit("")).cast("binary")).alias("answer")), CHUNK_HITS + f"""SELECT qid, CASE WHEN r = '' THEN 'extractive' ELSE 'refused' END AS mode, r = '' AS answered, r AS refusal_reason,
+ CASE WHEN s <> 'in_scope' OR r = 'no_corpus_vocabulary' THEN '' ELSE coalesce((SELECT string_agg(h.parent, ',' ORDER BY h.rank) FROM hits h WHERE h.qid = x.qid), '') END AS citations,
+ md5(CASE WHEN r = '' THEN (SELECT c.context_text FROM hits h JOIN chunked c USING (doc_id) WHERE h.qid = x.qid AND h.rank = 1) ELSE '' END) AS answer FROM {_CHUNK_DECIDED} x""")
+_CHUNK_CTX = f"""{CHUNK_HITS}, ctx AS (SELECT h.qid, list(context_text ORDER BY rank) AS contexts FROM hits h JOIN chunked USING (doc_id) GROUP BY h.qid), {_MISS} """
+
+
+def _chunk_grounded(s, d):
+    x = answer.contexts(chunk_hits_of(s, d)[0], passages_of(s, d)).join(items_of(s, d).withColumnRenamed("item_id", "qid"), "qid")
+    return x.select("qid", guardrails.grounded(F.col("text"), F.col("contexts")).alias("g")).select("qid", F.col("g.checked").cast("long").alias("checked"), F.col("g.n_unsupported").cast("long").alias("n_unsupported"), "g.reason")
+
+
+_add("flt08_chunk_groundedness", _chunk_grounded, _CHUNK_CTX + f"SELECT qid, checked, len(missing) AS n_unsupported, {_REASON} AS reason FROM gr")
