@@ -9,7 +9,7 @@ that cannot reach a score that is asked for are left out.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +25,10 @@ from quillspark.sources.files import kept
 from .dense import rounded, unit_rows
 from .lexical import K1, B
 
-#: Documents of a segment and of a block; ranges of documents at most, each some segments long.
+#: Documents of a segment (65,536 at most) and of a block; ranges of documents at most, each some segments long.
 SEGMENT, BLOCK, MOST_RANGES = 1024, 64, 20_000
 LEX_PLACES = 4
+PAIRS = 1 << 20
 _INTS = ["dl", "term_at", "dfs", "block_no", "block_at", "max_tf", "min_dl"]
 #: What is longest is kept as bytes of these kinds, which Spark passes on without looking at each number.
 _PACKED = {"vectors": np.float64, "docs": np.uint16, "tfs": np.int32}
@@ -69,7 +70,7 @@ def _segment(rows: pa.Table, dim: int) -> dict[str, pa.Array]:
     return {"terms": terms, **{k: pa.array(v.astype(np.int32)) for k, v in out.items()}, **packed}
 
 
-def build(docs: DataFrame, dim: int) -> DataFrame:
+def build(docs: DataFrame, dim: int, segment: int = SEGMENT) -> DataFrame:
     """The segments of docs (doc_id, parent, text and, if they have it, embedding; else counts of terms by hash are embedded).
 
     Rows are dealt out by ranges of ids, so one shuffle puts them in order, and each task cuts its range into segments.
@@ -77,7 +78,7 @@ def build(docs: DataFrame, dim: int) -> DataFrame:
     """
     spark = docs.sparkSession
     columns = ["doc_id", "parent", "text", *[c for c in docs.columns if c == "embedding"]]
-    parts = min(MOST_RANGES, max(1, -(-docs.count() // SEGMENT)))
+    parts = min(MOST_RANGES, max(1, -(-docs.count() // segment)))
     ranged = docs.select(columns).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     cut = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "parent", t.tokens(F.coalesce("text", F.lit(""))).alias("toks"), *columns[3:])
     ints = [T.StructField(x, T.ArrayType(T.IntegerType())) for x in _INTS]
@@ -104,10 +105,10 @@ def build(docs: DataFrame, dim: int) -> DataFrame:
                 part = batch.column("part")[0].as_py()
                 waiting.append(batch)
                 held += batch.num_rows
-            while held >= SEGMENT:
+            while held >= segment:
                 rows = pa.Table.from_batches(waiting)
-                yield made(rows.slice(0, SEGMENT).combine_chunks())
-                waiting, held, first = rows.slice(SEGMENT).to_batches(), held - SEGMENT, first + SEGMENT
+                yield made(rows.slice(0, segment).combine_chunks())
+                waiting, held, first = rows.slice(segment).to_batches(), held - segment, first + segment
         if held:
             yield made(pa.Table.from_batches(waiting).combine_chunks())
 
@@ -143,6 +144,25 @@ class Asked:
     n_terms: list[int]
     avgdl: float
 
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each term, where its queries begin among all, and the queries and weights."""
+        sizes = [len(x[0]) for x in self.weights]
+        term = np.concatenate([x[0] for x in self.weights]) if sizes else np.empty(0, np.int64)
+        weight = np.concatenate([x[1] for x in self.weights]) if sizes else np.empty(0)
+        by = np.argsort(term, kind="stable")
+        return np.searchsorted(term[by], np.arange(len(self.terms) + 1)), np.repeat(np.arange(len(sizes)), sizes)[by], weight[by]
+
+    def table(self) -> np.ndarray:
+        """Weights as a matrix of queries and terms."""
+        out = np.zeros((len(self.names), len(self.terms)))
+        for row, (terms, weights) in zip(out, self.weights, strict=True):
+            row[terms] = weights
+        return out
+
+
+def _lex_rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 10**LEX_PLACES + 0.5) / 10**LEX_PLACES
+
 
 class Segment:
     """A segment as arrays, and the scores of its documents; k is its row in a batch."""
@@ -176,15 +196,34 @@ class Segment:
         """Of each document with each query of the part."""
         return rounded(unit_rows(self.vectors) @ self.asked.m[:, part])
 
-    def bounds(self, q: int) -> np.ndarray:
-        """What no lexical score in each block exceeds."""
-        out = np.zeros(self.n_blocks)
-        for term, weight in zip(*self.asked.weights[q], strict=True):
-            own = self.at[term]
-            if own >= 0:
-                part = slice(self.term_at[own], self.term_at[own + 1])
-                out[self.block_no[part]] += weight * self.most[part]
-        return out + 10.0**-LEX_PLACES
+    def bounds(self, table: np.ndarray) -> np.ndarray:
+        """What no lexical score of each query in each block exceeds; table: the queries' weights."""
+        known = np.flatnonzero(self.at >= 0)
+        first, last = self.term_at[self.at[known]], self.term_at[self.at[known] + 1]
+        which = runs(first, last - first)
+        most = np.zeros((len(known), self.n_blocks))
+        most[np.repeat(np.arange(len(known)), last - first), self.block_no[which]] = self.most[which]
+        return table[:, known] @ most + 10.0**-LEX_PLACES
+
+    def lexical_of(self, chosen: np.ndarray, by_term: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """BM25 of every query (rows) with some documents: each of their postings goes to all queries that ask for its term."""
+        at, asked_by, weights = by_term
+        place = np.full(self.n, -1)
+        place[chosen] = np.arange(len(chosen))
+        known = np.flatnonzero(self.at >= 0)
+        first, last = self.block_at[self.term_at[self.at[known]]], self.block_at[self.term_at[self.at[known] + 1]]
+        which, term = runs(first, last - first), np.repeat(known, last - first)
+        mine = place[self.docs[which]] >= 0
+        which, term = which[mine], term[mine]
+        sizes = at[term + 1] - at[term]
+        out = np.zeros(len(self.asked.names) * len(chosen))
+        # So many postings at a time that some million sums are made at once.
+        steps = np.searchsorted(np.cumsum(sizes), np.arange(0, int(sizes.sum()) + PAIRS, PAIRS))
+        for a, b in zip(steps[:-1], steps[1:], strict=True):
+            q = runs(at[term[a:b]], sizes[a:b])
+            key = asked_by[q] * len(chosen) + np.repeat(place[self.docs[which[a:b]]], sizes[a:b])
+            out += np.bincount(key, weights[q] * np.repeat(self.weight[which[a:b]], sizes[a:b]), len(out))
+        return _lex_rounded(out).reshape(-1, len(chosen))
 
     def lexical(self, q: int, alive: np.ndarray | None = None) -> np.ndarray:
         """BM25 of each document, to LEX_PLACES; with alive, only blocks that are get theirs, others 0."""
@@ -200,7 +239,7 @@ class Segment:
                 blocks = first + np.flatnonzero(alive[self.block_no[first:last]])
                 which = runs(self.block_at[blocks], self.block_at[blocks + 1] - self.block_at[blocks])
             out[self.docs[which]] += weight * self.weight[which]
-        return np.floor(out * 10**LEX_PLACES + 0.5) / 10**LEX_PLACES
+        return _lex_rounded(out)
 
 
 class Best:
@@ -230,31 +269,33 @@ class Best:
         return few
 
 
-def first_of(asked: Asked, most: int) -> callable:
+def first_of(asked: Asked, most: int) -> Callable:
     """For mapInArrow over segments: q, num, doc_id, parent, dense, lex of documents among the best `most` of either ranking
     so far in the task. A lexical block that cannot beat the last of them is not scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, words = Best(len(asked.names), most), Best(len(asked.names), most)
+        by_term, table = asked.by_term(), asked.table()
         for batch in batches:
             for k in range(batch.num_rows):
                 seg = Segment(batch, k, asked)
-                dense, found = seg.cosines(), []
+                dense, bounds, found = seg.cosines(), seg.bounds(table), []
+                tops = dense.max(0)
                 for q in range(len(asked.names)):
-                    chosen = near.add(q, dense[:, q], seg.nums)
-                    alive = seg.bounds(q) > words.least(q)[0] if words.least(q)[0] > 0 else np.ones(seg.n_blocks, bool)
-                    wanted = alive.copy()
-                    wanted[chosen // BLOCK] = True
-                    if not wanted.any():
-                        continue
-                    lex = seg.lexical(q, None if wanted.all() else wanted)
-                    live = np.flatnonzero(np.repeat(alive, BLOCK)[: seg.n])
-                    chosen = np.union1d(chosen, live[words.add(q, lex[live], seg.nums[live])])
-                    found.append((q, chosen, lex[chosen]))
+                    chosen = [near.add(q, dense[:, q], seg.nums)] if tops[q] >= near.least(q)[0] else []
+                    least = words.least(q)[0]
+                    alive = bounds[q] > least if least > 0 else np.ones(seg.n_blocks, bool)
+                    if alive.any():
+                        lex = seg.lexical(q, None if alive.all() else alive)
+                        live = np.flatnonzero(np.repeat(alive, BLOCK)[: seg.n])
+                        chosen.append(live[words.add(q, lex[live], seg.nums[live])])
+                    if chosen:
+                        found.append((q, np.unique(np.concatenate(chosen))))
                 if found:
                     q = np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int32)
                     chosen = np.concatenate([x[1] for x in found])
-                    scores = pa.array(dense[chosen, q]), pa.array(np.concatenate([x[2] for x in found]))
+                    some, place = np.unique(chosen, return_inverse=True)
+                    scores = pa.array(dense[chosen, q]), pa.array(seg.lexical_of(some, by_term)[q, place])
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(seg.nums[chosen]), seg.rows("ids", chosen), seg.rows("parents", chosen), *scores], ["q", "num", "doc_id", "parent", "dense", "lex"])
 
     return run
@@ -269,20 +310,21 @@ def _ahead(scores: np.ndarray, nums: np.ndarray, at_scores: np.ndarray, at_nums:
     return low
 
 
-def ahead_of(asked: Asked, near: dict[int, tuple], words: dict[int, tuple]) -> callable:
+def ahead_of(asked: Asked, near: dict[int, tuple], words: dict[int, tuple]) -> Callable:
     """For mapInArrow over segments: q, num, and how many documents come before that one by cosine (higher) and by lexical
     score (above), in the task. near, words: by query, the (scores, numbers) of candidates whose rank is not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = asked.table()
         sums = {0: {q: np.zeros(len(v[0]), np.int64) for q, v in near.items()}, 1: {q: np.zeros(len(v[0]), np.int64) for q, v in words.items()}}
         for batch in batches:
             for k in range(batch.num_rows):
                 seg = Segment(batch, k, asked)
-                dense = seg.cosines()
+                dense, bounds = seg.cosines(), seg.bounds(table)
                 for q, (scores, nums) in near.items():
                     sums[0][q] += _ahead(dense[:, q], seg.nums, scores, nums)
                 for q, (scores, nums) in words.items():
-                    alive = seg.bounds(q) > scores.min()
+                    alive = bounds[q] > scores.min()
                     if scores.min() > 0 and not alive.any():
                         continue
                     lex = seg.lexical(q, None if scores.min() <= 0 or alive.all() else alive)
@@ -295,7 +337,7 @@ def ahead_of(asked: Asked, near: dict[int, tuple], words: dict[int, tuple]) -> c
     return run
 
 
-def all_of(asked: Asked, width: int = 64) -> callable:
+def all_of(asked: Asked, width: int = 64) -> Callable:
     """For mapInArrow over segments: q, num, doc_id, parent, dense, lex of every document for every query, `width` queries at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ class Index:
 TABLES = ("segments", "df", "stats")
 
 
-def build_index(docs: DataFrame, embedder: Embedder | None = None, query_embedder: Embedder | None = None) -> Index:
+def build_index(docs: DataFrame, embedder: Embedder | None = None, query_embedder: Embedder | None = None, segment: int = blocks.SEGMENT) -> Index:
     """The index of docs (doc_id, text, parent), written to the shared folder. Ids and parents may be of any type that sorts.
 
     An embedder of passages asks for one of queries. The default embedding is made of the documents' own terms.
@@ -69,7 +69,7 @@ def build_index(docs: DataFrame, embedder: Embedder | None = None, query_embedde
         raise ValueError("passages and queries need an embedder each")
     if embedder is not None:
         docs = kept(embed(docs.select("doc_id", "parent", F.coalesce("text", F.lit("")).alias("text")), embedder), "embedded")
-    segments = blocks.build(docs, DIM)
+    segments = blocks.build(docs, DIM, segment)
     return Index(segments, *blocks.statistics(segments), query_embedder)
 
 
