@@ -120,41 +120,63 @@ def sign(vectors: DataFrame, vector: str = "embedding", out: str = "signature",
     return vectors.mapInArrow(run, T.StructType([*vectors.schema, T.StructField(out, T.ArrayType(T.LongType()))]))
 
 
+def best_in_batch(asked: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Which scores are among the k best of their query; ties at the edge all stay, as the final ranking settles them by id."""
+    by = np.lexsort((-s, asked))
+    heads = np.flatnonzero(np.r_[True, np.diff(asked[by]) != 0]) if len(by) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(heads, len(by)))
+    edge = s[by[heads + np.minimum(k, sizes) - 1]] if len(by) else s
+    return by[s[by] >= np.repeat(edge, sizes)]
+
+
+#: So many signatures, those of the least hash of their id, tell how many bits the nearest share of all differ in.
+SAMPLE = 4096
+
+
 def approximate_top_k(indexed: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, vid: str = "vec_id", qid: str = "qid", vector: str = "embedding", signature: str = "signature") -> DataFrame:
     """qid, vid, score, rank: the best k by cosine among those whose signatures are nearest.
 
-    indexed: what sign() made. Each batch of it is compared by signature, in 64 bytes a vector; `share` of the batch, those that differ from a query's in the fewest bits, get an exact score, and the best k
-    of these go on. No vector is left out of the comparison.
+    indexed: what sign() made. Each batch of it is compared by signature, in 64 bytes a vector. In how many bits the
+    nearest `share` of the vectors differ from a query's is taken from a sample of SAMPLE; whatever differs in no more gets
+    an exact score, and each batch's best k go on. No vector is left out of the comparison, and how rows are batched
+    changes nothing.
     """
     spark, out = indexed.sparkSession, None
     schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType), indexed.schema[vid], T.StructField("score", T.DoubleType())])
+    order = F.xxhash64(F.col(vid).cast("string"))
+    sample = indexed.select(vid, signature).withColumn("_h", order).orderBy("_h", vid).limit(SAMPLE).select(signature).toArrow().column(signature).combine_chunks()
+    known = sample.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(sample), -1)
+    few = min(len(known), max(k, int(np.ceil(share * len(known)))))
     for ids, m in query_blocks(queries, qid, vector):
-        bits = 64 * (indexed.select(F.size(signature).alias("n")).first() or [BITS // 64])[0]
-        shared = spark.sparkContext.broadcast((pa.array(ids), unit_rows(m), signatures(m, bits)))
+        asked_bits = signatures(m, 64 * known.shape[1] if len(known) else BITS)
+        limit = np.partition(differing(asked_bits, known), few - 1, axis=1)[:, few - 1] if few else np.zeros(len(m), np.int64)
+        shared = spark.sparkContext.broadcast((pa.array(ids), unit_rows(m), asked_bits, limit))
 
         def run(batches, shared=shared):
-            names, q, q_bits = shared.value
+            names, q, q_bits, limit = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 v = unit_rows(matrix(batch.column(vector)))
                 own = batch.column(signature).flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
-                differ = np.zeros((len(q), len(v)), np.uint16)
-                for lane in range(own.shape[1]):
-                    differ += np.bitwise_count(q_bits[:, lane, None] ^ own[None, :, lane])
-                few = min(len(v), max(k, int(np.ceil(share * len(v)))))
-                near = np.argpartition(differ, few - 1, axis=1)[:, :few]
-                s = rounded(np.einsum("qd,qnd->qn", q, v[near]))
-                # Ties at the edge all stay: the final ranking settles them by id.
-                edge = np.partition(s, few - min(k, few), axis=1)[:, few - min(k, few), None]
-                row, col = np.nonzero(s >= edge)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), batch.column(vid).take(pa.array(near[row, col])), pa.array(s[row, col])], schema.names)
+                asked, near = np.nonzero(differing(q_bits, own) <= limit[:, None])
+                s = rounded(np.einsum("nd,nd->n", q[asked], v[near]))
+                some = best_in_batch(asked, s, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[some])), batch.column(vid).take(pa.array(near[some])), pa.array(s[some])], schema.names)
 
         made = indexed.select(vid, vector, signature).mapInArrow(run, schema)
         out = made if out is None else out.unionByName(made)
     return top_k(out if out is not None else spark.createDataFrame([], schema), k, vid)
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits each signature of a differs from each of b."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for lane in range(b.shape[1] if len(b) else 0):
+        out += np.bitwise_count(a[:, lane, None] ^ b[None, :, lane])
+    return out
+
+
 def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: str = "text", out: str = "embedding") -> DataFrame:
     """Adds the unit vector of each text, by any callable; it is called batch by batch, once loaded by a worker."""
 

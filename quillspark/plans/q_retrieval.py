@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import answer, chunking, corpus, dense, guardrails, lexical, retrieve
+from quillspark.operators import answer, cells, chunking, corpus, dense, guardrails, lexical, retrieve
+from quillspark.sources.files import kept
 from quillspark.sources.tables import table
 
 from . import sql as q
@@ -104,6 +105,18 @@ _add("top01_exact_top5", _top5, _TOP5)
 _add("j01_payload", lambda s, d: dense.exact_top_k(table(s, d, "embeddings"), _asked(s, d), 5).join(table(s, d, "embeddings").select("vec_id", "label"), "vec_id").select("qid", "vec_id", "label", *_long("rank")), VEC + "SELECT h.qid, h.vec_id, e.label, h.rank FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5) h JOIN embeddings e USING (vec_id)")
 _add("top03_overfetch", lambda s, d: dense.top_k(_scored(s, d, 20), 20).select("qid", "vec_id", *_long("rank")), VEC + "SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 20")
 _add("top02_approximate_top5", lambda s, d: dense.approximate_top_k(dense.sign(table(s, d, "embeddings")), _asked(s, d)))
+_add("top02_cells_top5", lambda s, d: _in_cells(kept(_document_vectors(s, d), "vectors")))
+
+
+def _document_vectors(s, d):
+    """Documents by the default embedding: unlike the table of vectors, which are random, these lie in groups."""
+    return retrieve.feature_vectors(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def _in_cells(vectors):
+    return cells.nearest(cells.build(vectors, vid="doc_id"), vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"))
+
+
 _add("win02_parent_collapse", lambda s, d: retrieve.collapse(_scored(s, d, 20).withColumnsRenamed({"label": "parent", "vec_id": "doc_id"}), F.col("score")).select("qid", "doc_id", "parent", "score", *_long("rank")), VEC + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY r) AS k FROM r WHERE r <= 20) SELECT qid, vec_id AS doc_id, label AS parent, score, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank FROM f WHERE k = 1 QUALIFY rank <= 5")
 
 # Fusion.
