@@ -145,7 +145,7 @@ def approximate_top_k(indexed: DataFrame, queries: DataFrame, k: int = 5, share:
     schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType), indexed.schema[vid], T.StructField("score", T.DoubleType())])
     order = F.xxhash64(F.col(vid).cast("string"))
     sample = indexed.select(vid, signature).withColumn("_h", order).orderBy("_h", vid).limit(SAMPLE).select(signature).toArrow().column(signature).combine_chunks()
-    known = sample.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(sample), -1)
+    known = sample.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(sample), -1) if len(sample) else np.empty((0, 1), np.uint64)
     few = min(len(known), max(k, int(np.ceil(share * len(known)))))
     for ids, m in query_blocks(queries, qid, vector):
         asked_bits = signatures(m, 64 * known.shape[1] if len(known) else BITS)
