@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -262,16 +261,31 @@ def _every_section(page: Page) -> list[dict]:
 EXTRACTORS: dict[str, Callable[[Page], list[dict]]] = {"faqs": faqs, "sections": _every_section, "timeline": timeline, "prose": prose, "home": home, "terms": terms}
 
 
-def extract(pages: DataFrame, name: str) -> DataFrame:
-    """What an extractor makes of each page (page_id, html). A null page is empty; any markup is read, however broken."""
-    run_on = EXTRACTORS[name]
+DOCUMENT = SCHEMA.split(", ", 1)[1]
+
+
+class PageDocuments:
+    """A table function of a page's markup and an extractor's name: the documents that it makes."""
+
+    def eval(self, markup: str, name: str):
+        for d in EXTRACTORS[name](Page(markup)):
+            yield tuple(d[x.split()[0]] for x in DOCUMENT.split(", "))
 
-    def run(batches):
-        for pdf in batches:
-            rows = [{"page_id": p, **d} for p, html in zip(pdf.page_id, pdf.html, strict=True) for d in run_on(Page(html))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+def extract(pages: DataFrame, name: str) -> DataFrame:
+    """What an extractor makes of each page (page_id, html). A null page is empty; any markup is read, however broken.
+
+    Sections and terms are groups under headings, made of the table of elements; the others read a page as a whole, in a
+    lateral join with a table function.
+    """
+    from . import elements
+
+    if name in ("sections", "terms"):
+        return getattr(elements, name)(elements.elements(pages))
+    if name not in EXTRACTORS:
+        raise KeyError(name)
+    documents = F.udtf(PageDocuments, returnType=DOCUMENT)
+    return pages.select("page_id", "html").lateralJoin(documents(F.col("html").outer(), F.lit(name))).drop("html")
 
 
 def stripped(html: Column) -> Column:

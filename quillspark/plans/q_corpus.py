@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import answer, chunking, dense, html
+from quillspark.operators import answer, chunking, dense, elements, html
 from quillspark.operators import corpus as c
 from quillspark.sources import files
 from quillspark.sources.tables import table
@@ -160,3 +160,19 @@ for _name, _which, _sql in (
 ):
     _add(_name, lambda s, d, which=_which: _rows(s, d, which), _sql)
 _add("win09_heading_groups", lambda s, d: html.extract(pages_and_fixture(s, d), "terms").groupBy("title").agg(F.count("*").alias("n")), f"SELECT title, count(*) AS n FROM ({_fixture_sql(_TERMS)} UNION ALL {_PAGE_TERMS}) GROUP BY title")
+#: Elements of the test pages by pattern: what opens at a heading, paragraph or item, up to where it ends; the last heading is carried on.
+_GROUPS = f"""WITH b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace({_BODY}, '(?is)<h1\\b[^>]*>', chr(1) || 'H', 'g'), '(?is)<(?:p|li)\\b[^>]*>', chr(1) || 'P', 'g'), '{_BLOCK}', chr(1) || 'N', 'g'), chr(1)) AS parts FROM pages),
+e AS (SELECT page_id, i, part[1] AS tag, {_stripped_sql("part[2:]")} AS t FROM (SELECT page_id, i, parts[i] AS part FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM b))),
+h AS (SELECT *, last_value(CASE WHEN tag = 'H' AND t <> '' THEN i END IGNORE NULLS) OVER w AS heading, last_value(CASE WHEN tag = 'H' AND t <> '' THEN t END IGNORE NULLS) OVER w AS title FROM e WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+l AS (SELECT page_id, heading, title, t, min(i) AS i FROM h WHERE heading IS NOT NULL AND tag = 'P' AND t <> '' AND NOT regexp_matches(t, {q.lit(t.BOILERPLATE)}) GROUP BY ALL)
+SELECT page_id, md5(title) AS title, count(*) AS n_lines, md5(string_agg(t, chr(10) ORDER BY i)) AS body FROM l GROUP BY page_id, heading, title"""
+
+
+def _element_groups(s, d):
+    rows = elements.elements(table(s, d, "pages").select("page_id", "html"))
+    groups = elements.heading_groups(rows, ["h1", "h2", "h3"], ["p", "li"], ["page_id"])
+    md5 = lambda x: F.md5(F.col(x).cast("binary")).alias(x)
+    return groups.where("body <> ''").select("page_id", md5("title"), F.size(F.split("body", "\n")).cast("long").alias("n_lines"), md5("body"))
+
+
+_add("win09_element_groups", _element_groups, _GROUPS)
