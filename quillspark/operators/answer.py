@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 import random
 import threading
 import time
@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import guardrails
+from .blocks import hashed_dimensions
 from .retrieve import TOP_K, Index, retrieve
 
 
@@ -45,13 +47,14 @@ def first_passage(prompt: str) -> dict:
     return {"answerable": True, "answer": body[2].split("\n\n[2]")[0] if len(body) > 2 else ""}
 
 
-def retried(call: Callable[[str], dict], retryable: Callable[[Exception], bool], attempts: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[str], dict]:
-    """The call with growing, jittered pauses of 5 s at most between attempts; it never raises."""
+def retried(call: Callable[[str], dict | str], retryable: Callable[[Exception], bool], attempts: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable[[str], dict]:
+    """The call with growing, jittered pauses of 5 s at most between attempts; it never raises. raw is what the call gave, as JSON."""
 
     def run(prompt: str) -> dict:
         for n in range(attempts):
             try:
-                return {"ok": True, **call(prompt)}
+                made = call(prompt)
+                return {"ok": True, "raw": made} if isinstance(made, str) else {"ok": True, **made, "raw": json.dumps(made)}
             except Exception as error:  # noqa: BLE001  any failure of a generator becomes a row
                 if n + 1 == attempts or not retryable(error):
                     return {"ok": False, "answerable": False, "answer": "", "error": str(error)[:160]}
@@ -102,29 +105,73 @@ def paced(call: Callable[[str], dict], per_minute: float, tasks: int, deadline:
     return run
 
 
-def generate(asked: DataFrame, generator: Callable[[str], dict], retryable: Callable[[Exception], bool] = lambda e: True) -> DataFrame:
-    """qid, ok, answerable, answer, error of each prompt, by any callable."""
+#: What a generator has to answer: a JSON object of these fields and kinds; the first is required, others have defaults.
+FIELDS = {"answerable": ("BOOLEAN",), "answer": ("STRING",), "cited_doc_ids": ("ARRAY<STRING>", "ARRAY<VOID>"), "confidence": ("BIGINT", "DOUBLE", "DECIMAL")}
+
+
+def decoded(raw: Column) -> Column:
+    """ok, answerable, answer, cited_doc_ids and confidence of a generator's output.
+
+    It is read as a whole, so prose before or after an object, or two of them, make it invalid, and so does a field of
+    another kind, a missing `answerable`, or a confidence outside of 0 to 1. Invalid output is not ok, and has nothing else.
+    """
+    # A reader of JSON stops after the first value; as one of two elements, the output must end where it does.
+    pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"<end>"]')))
+    ends = (F.try_variant_get(pair, "$[1]", "string") == "<end>") & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    v = F.when(ends, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", kind)
+
+    def kind_of(name: str) -> Column:
+        return F.schema_of_variant(field(name, "variant"))
+
+    def sound(name: str) -> Column:
+        kind = F.regexp_replace(kind_of(name), r"\(.*\)", "")
+        return F.coalesce(kind.isin(*FIELDS[name]), F.lit(name != "answerable"))
+
+    among = F.coalesce(field("confidence", "double").between(0, 1), F.lit(True))
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & among
+    for name in FIELDS:
+        ok = ok & sound(name)
+    values = [field("answerable", "boolean"), F.trim(F.coalesce(field("answer", "string"), F.lit(""))), F.coalesce(field("cited_doc_ids", "array<string>"), F.array().cast("array<string>")), F.coalesce(field("confidence", "double"), F.lit(0.0))]
+    return F.struct(ok.alias("ok"), *[F.when(ok, x).alias(name) for name, x in zip(FIELDS, values, strict=True)])
+
+
+def generate(asked: DataFrame, generator: Callable[[str], dict | str], retryable: Callable[[Exception], bool] = lambda e: True) -> DataFrame:
+    """qid, ok, answerable, answer, cited_doc_ids, confidence and error of each prompt, by any callable.
+
+    The callable gives a dictionary or JSON text. Tasks only call it; what it gave is decoded against FIELDS in the JVM,
+    row by row, so output of another shape becomes a row that is not ok, and ends nothing.
+    """
     call = retried(generator, retryable)
 
     def run(batches):
         for batch in batches:
             made = [call(p) for p in batch.column("prompt").to_pylist()]
-            cells = [pa.array([r.get(k) for r in made], kind) for k, kind in (("ok", pa.bool_()), ("answerable", pa.bool_()), ("answer", pa.string()), ("error", pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("qid"), *cells], ["qid", "ok", "answerable", "answer", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), pa.array([r.get("raw") for r in made], pa.string()), pa.array([r.get("error") for r in made], pa.string())], ["qid", "raw", "error"])
 
-    return asked.mapInArrow(run, T.StructType([asked.schema["qid"], *T.StructType.fromDDL("ok boolean, answerable boolean, answer string, error string")]))
+    raw = asked.mapInArrow(run, T.StructType([asked.schema["qid"], *T.StructType.fromDDL("raw string, error string")]))
+    rows = raw.withColumn("d", decoded(F.col("raw")))
+    error = F.when(F.col("error").isNull() & ~F.col("d.ok"), F.concat(F.lit("not of the schema: "), F.substring("raw", 1, 140))).otherwise(F.col("error"))
+    none = F.array().cast("array<string>")
+    values = [F.coalesce("d.answerable", F.lit(False)).alias("answerable"), F.coalesce("d.answer", F.lit("")).alias("answer"), F.coalesce("d.cited_doc_ids", none).alias("cited_doc_ids"), F.coalesce("d.confidence", F.lit(0.0)).alias("confidence")]
+    return rows.select("qid", F.col("d.ok").alias("ok"), *values, error.alias("error"))
 
 
 def hashing_embedder(prefix: str = "", dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic embedder of words by hash; queries may be told apart by a prefix."""
+    """A deterministic embedder of words by hash; queries may be told apart by a prefix. Only distinct words are hashed."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts, strict=True):
-            for word in (prefix + text).lower().split():
-                code = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
-                row[code % dim] += 1 if code // dim % 2 == 0 else -1
-        return out
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([prefix + x for x in texts], pa.large_string())))
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        at, sign = hashed_dimensions(coded.dictionary.to_pylist(), dim)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        # A text that begins or ends with space has an empty word there.
+        sign = np.where(pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False), 0.0, sign) if len(at) else sign
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        return np.bincount(rows * dim + at[codes], sign[codes], len(texts) * dim).reshape(len(texts), dim)
 
     return embed
 
@@ -152,7 +199,7 @@ def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_
         generated = F.lit(None).cast("struct<ok:boolean,answerable:boolean,answer:string,grounded:boolean>")
     else:
         made = generate(prompts(hits, readable(docs), inside), generator)
-        rows = rows.join(made.drop("error").withColumnsRenamed({"answer": "g_answer"}), "qid", "left")
+        rows = rows.join(made.drop("error", "cited_doc_ids", "confidence").withColumnsRenamed({"answer": "g_answer"}), "qid", "left")
         reason = guardrails.grounded(F.coalesce("g_answer", F.lit("")), F.coalesce("contexts", F.array().cast("array<string>")))["reason"]
         generated = F.struct("ok", "answerable", F.col("g_answer").alias("answer"), (reason != "ungrounded_specifics").alias("grounded"))
     zero = F.lit(0).cast("long")

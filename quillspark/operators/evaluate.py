@@ -147,11 +147,64 @@ def resampled(outcomes: DataFrame, value: str, by: str, order: str, resamples: i
 
 def bootstrap(outcomes: DataFrame, value: str, by: str, order: str, resamples: int = RESAMPLES) -> DataFrame:
     """mean, low and high (95 %) of each group's values, from resampled()."""
-    means = resampled(outcomes, value, by, order, resamples)
+    ends = interval(resampled(outcomes, value, by, order, resamples), by, resamples)
+    return outcomes.groupBy(by).agg(F.round(F.avg(F.col(value).cast("double")), 4).alias("mean")).join(ends, by)
+
+
+#: Numbers of hits further from the mean than so many standard deviations are never drawn.
+REACH = 12
+
+
+def hit_table(outcomes: DataFrame, value: str, by: str) -> DataFrame:
+    """by, n, hits, k and cdf: the chance of at most k hits in a resample of a group's n outcomes of 0 or 1.
+
+    Weights grow from one k to the next by a known ratio, so they are running sums of logarithms, scaled by the largest.
+    Only numbers within REACH deviations of the mean have a row: some 24 times the root of n, not n.
+    """
+    w = Window.partitionBy(by).orderBy("k")
+    sizes = outcomes.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("long")).alias("hits"))
+    p = F.col("hits") / F.col("n")
+    spread = F.ceil(REACH * F.sqrt(F.col("hits") * (1 - p)) + REACH).cast("long")
+    ks = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("hits") - spread), F.least(F.col("n"), F.col("hits") + spread))
+    mixed = (F.col("hits") > 0) & (F.col("hits") < F.col("n"))
+    rows = sizes.select(by, "n", "hits", F.explode(F.when(mixed, ks).otherwise(F.array("hits"))).alias("k"))
+    step = F.log((F.col("n") - F.col("k") + 1) / F.col("k") * (F.col("hits") / (F.col("n") - F.col("hits"))))
+    first = F.row_number().over(w) == 1
+    logs = rows.withColumn("l", F.sum(F.when(first, F.lit(0.0)).otherwise(step)).over(w))
+    weights = logs.withColumn("x", F.exp(F.col("l") - F.max("l").over(Window.partitionBy(by))))
+    return weights.select(by, "n", "hits", "k", (F.sum("x").over(w) / F.sum("x").over(Window.partitionBy(by))).alias("cdf"))
+
+
+def resampled_by_counts(outcomes: DataFrame, value: str, by: str, resamples: int = RESAMPLES) -> DataFrame:
+    """by, b and m: the mean of each resample of each group's outcomes, which are 0 or 1.
+
+    A resample of n such outcomes is told by its number of hits, which is binomial; so one draw, a hash of the group and
+    the resample, gives it. Draws and the table of chances are put in one order, and a draw gets as many hits as there
+    are numbers whose chance it exceeds: B rows a group, whatever n.
+    """
+    table = hit_table(outcomes, value, by)
+    groups = table.groupBy(by).agg(F.first("n").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    draws = groups.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    code = F.conv(F.substring(F.md5(F.concat_ws(":", "b", F.col(by).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
+    points = draws.select(by, "n", "low", "high", "b", ((code + 0.5) / float(1 << 48)).alias("u"))
+    marks = table.select(by, F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.lit(None).cast("long").alias("b"), F.col("cdf").alias("u"))
+    # A mark comes before a draw of the same chance only if the draw exceeds it; draws go first among equals.
+    below = F.count(F.when(F.col("b").isNull(), 1)).over(Window.partitionBy(by).orderBy("u", F.col("b").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = points.unionByName(marks).withColumn("below", below).where(F.col("b").isNotNull())
+    return found.select(by, "b", F.round(F.least(F.col("low") + F.col("below"), F.col("high")) / F.col("n"), 9).alias("m"))
+
+
+def interval(means: DataFrame, by: str, resamples: int = RESAMPLES) -> DataFrame:
+    """by, low and high: the ends of the middle 95 % of resampled means."""
     nth = means.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("m", "b")))
     low, high = int(resamples * 0.025) + 1, int(resamples * 0.975) + 1
-    ends = nth.groupBy(by).agg(F.max(F.when(F.col("r") == low, F.round("m", 4))).alias("low"), F.max(F.when(F.col("r") == high, F.round("m", 4))).alias("high"))
-    return outcomes.groupBy(by).agg(F.round(F.avg(F.col(value).cast("double")), 4).alias("mean")).join(ends, by)
+    return nth.groupBy(by).agg(F.max(F.when(F.col("r") == low, F.round("m", 4))).alias("low"), F.max(F.when(F.col("r") == high, F.round("m", 4))).alias("high"))
+
+
+def bootstrap_by_counts(outcomes: DataFrame, value: str, by: str, resamples: int = RESAMPLES) -> DataFrame:
+    """mean, low and high (95 %) of each group's outcomes of 0 or 1, from resampled_by_counts()."""
+    means = outcomes.groupBy(by).agg(F.round(F.avg(F.col(value).cast("double")), 4).alias("mean"))
+    return means.join(interval(resampled_by_counts(outcomes, value, by, resamples), by, resamples), by)
 
 
 def best_ranker(results: DataFrame, cost: str, *metrics: str) -> DataFrame:

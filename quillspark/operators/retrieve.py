@@ -163,8 +163,19 @@ def _none(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: Column, out: str) -> DataFrame:
-    """1-based rank of each query's candidates by descending score, ties by doc_id."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy("qid").orderBy(by.desc(), "doc_id")))
+    """1-based rank of each query's candidates by descending score, ties by doc_id; a query may have any number of them.
+
+    Rows are dealt out by ranges of (query, score, id) and written. A rank is the place within a range, after what the
+    query has in the ranges before; so no task sorts more than a range, and what is summed up are counts of ranges.
+    """
+    order = ["qid", F.col("_by").desc(), "doc_id"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_by", by).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    dealt = kept(dealt, "ranges")
+    counts = dealt.groupBy("qid", "_range").agg(F.count("*").alias("_n"))
+    before = counts.select("qid", "_range", (F.sum("_n").over(Window.partitionBy("qid").orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("qid", "_range").orderBy(F.col("_by").desc(), "doc_id"))
+    return dealt.withColumn("_in", inside).join(before, ["qid", "_range"]).select(*df.columns, (F.col("_before") + F.col("_in")).alias(out))
 
 
 def reciprocal(df: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -205,7 +216,8 @@ def collapse(df: DataFrame, by: Column, k: int = TOP_K, overfetch: int = OVERFET
 
     The first window keeps few rows a query, and is cut off early by Spark; the others run over those.
     """
-    few = ranked(df, by, "_r").where(F.col("_r") <= overfetch * k)
+    first = F.row_number().over(Window.partitionBy("qid").orderBy(by.desc(), "doc_id"))
+    few = df.withColumn("_r", first).where(F.col("_r") <= overfetch * k)
     first = few.withColumn("_k", F.row_number().over(Window.partitionBy("qid", "parent").orderBy("_r"))).where("_k = 1")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("_r"))).where(F.col("rank") <= k).drop("_r", "_k")
 

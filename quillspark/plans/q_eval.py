@@ -204,6 +204,18 @@ def _outcomes(s, d):
 
 _add("agg21_bootstrap", lambda s, d: e.bootstrap(_outcomes(s, d), "ok", "ranker", "qid"), BOOT)
 _add("j13_resamples", lambda s, d: e.resampled(_outcomes(s, d), "ok", "ranker", "qid"), BOOT.split(", ord AS")[0] + " SELECT 'bm25' AS ranker, b, m FROM bm2")
+#: Hits of a resample by one draw each: the chances of their number, from ratios of neighbouring weights.
+BY_COUNTS = f"""WITH {RANK}, z AS (SELECT 'bm25' AS ranker, count(*) AS n, CAST(coalesce(sum(CAST(rank = 1 AS INTEGER)), 0) AS BIGINT) AS hits FROM ranks WHERE expect = 'answer' HAVING count(*) > 0),
+sp AS (SELECT *, CAST(ceil(12 * sqrt(hits * (1 - hits / CAST(n AS DOUBLE))) + 12) AS BIGINT) AS d FROM z),
+ks AS (SELECT ranker, n, hits, unnest(CASE WHEN hits > 0 AND hits < n THEN range(greatest(0, hits - d), least(n, hits + d) + 1) ELSE [hits] END) AS k FROM sp),
+lg AS (SELECT *, sum(CASE WHEN first THEN CAST(0 AS DOUBLE) ELSE ln((n - k + 1) / CAST(k AS DOUBLE) * (hits / CAST(n - hits AS DOUBLE))) END) OVER (PARTITION BY ranker ORDER BY k) AS l FROM (SELECT *, row_number() OVER (PARTITION BY ranker ORDER BY k) = 1 AS first FROM ks)),
+wt AS (SELECT *, exp(l - max(l) OVER (PARTITION BY ranker)) AS x FROM lg),
+cd AS (SELECT ranker, n, k, sum(x) OVER (PARTITION BY ranker ORDER BY k) / sum(x) OVER (PARTITION BY ranker) AS cdf FROM wt),
+gr AS (SELECT ranker, any_value(n) AS n, min(k) AS low, max(k) AS high FROM cd GROUP BY ranker),
+dw AS (SELECT *, (CAST('0x' || substr(md5(b || ':' || ranker), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u FROM gr, (SELECT unnest(range(2000)) AS b)),
+rs AS (SELECT ranker, b, round(least(low + (SELECT count(*) FROM cd WHERE cd.ranker = dw.ranker AND cd.cdf < dw.u), high) / CAST(n AS DOUBLE), 9) AS m FROM dw)"""
+_add("j13_resamples_by_counts", lambda s, d: e.resampled_by_counts(_outcomes(s, d), "ok", "ranker"), BY_COUNTS + " SELECT ranker, b, m FROM rs")
+_add("agg21_bootstrap_by_counts", lambda s, d: e.bootstrap_by_counts(_outcomes(s, d), "ok", "ranker"), BY_COUNTS + ", ord AS (SELECT m, row_number() OVER (ORDER BY m, b) AS r FROM rs) SELECT 'bm25' AS ranker, (SELECT round(hits / CAST(n AS DOUBLE), 4) FROM z) AS mean, max(round(m, 4)) FILTER (r = 51) AS low, max(round(m, 4)) FILTER (r = 1951) AS high FROM ord")
 _CASES = f"""WITH {q.HITS}, cs AS (SELECT g.qid AS id, g.qid % 5 = 0 AS known_limit, CASE WHEN g.qid % 2 = 0 THEN 'pass' ELSE 'block' END AS expect, {r._GATES} AS first_gate FROM benchmark b JOIN gate g ON g.qid = b.item_id JOIN overlap o ON o.qid = b.item_id),
 cc AS (SELECT *, (first_gate = 'reaches_generation') = (expect = 'pass') AS correct FROM cs)
 SELECT count(*) FILTER (NOT known_limit) AS scored, count(*) FILTER (NOT known_limit AND correct) AS passed, count(*) FILTER (known_limit) AS limits, count(*) FILTER (NOT known_limit AND NOT correct) AS regressions, count(*) FILTER (known_limit AND correct) AS limits_passing, count(*) FILTER (first_gate <> 'reaches_generation') AS blocked_earlier, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (NOT known_limit AND NOT correct), '') AS regressed FROM cc"""

@@ -202,7 +202,7 @@ _ERR = "CASE WHEN user_id % 7 = 0 THEN 429 WHEN user_id % 7 = 1 THEN 503 WHEN us
 _add("udf06_error_kinds", lambda s, d: table(s, d, "events").select("event_id", guardrails.error_kind(F.expr(_ERR), F.when(F.col("user_id") % 7 == 4, F.lit("Deadline exceeded")).when(F.col("user_id") % 7 == 5, F.lit("Quota hit")).otherwise(F.lit("x"))).alias("k")).groupBy("k.kind", "k.retryable").agg(F.count("*").alias("n")), f"SELECT kind, kind IN ('rate_limited', 'server_error', 'timeout') AS retryable, count(*) AS n FROM (SELECT CASE WHEN user_id % 7 IN (0, 5) THEN 'rate_limited' WHEN user_id % 7 = 1 THEN 'server_error' WHEN user_id % 7 = 4 THEN 'timeout' WHEN user_id % 7 = 2 THEN 'client_error' ELSE 'unknown_error' END AS kind FROM events) GROUP BY 1, 2")
 _add("udf01_passage_embedding", lambda s, d: dense.embed(docs_of(s, d).select("doc_id", "text"), answer.hashing_embedder()).select("doc_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")), f"SELECT doc_id, 64 AS dim, CASE WHEN {q.strip("coalesce(text, '')")} = '' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS norm FROM documents")
 _add("udf02_query_embedding", lambda s, d: dense.embed(items_of(s, d), answer.hashing_embedder("query: ")).select("item_id", F.size("embedding").alias("dim"), F.round(t.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm")), "SELECT item_id, 64 AS dim, CAST(1 AS DOUBLE) AS norm FROM benchmark")
-_add("udf04_generation", lambda s, d: answer.generate(answer.prompts(hits_of(s, d)[0], corpus.corpus(table(s, d, "documents")), items_of(s, d)), answer.first_passage).drop("error"), HITS + "SELECT qid, true AS ok, true AS answerable, coalesce(text, '') AS answer FROM hits JOIN documents USING (doc_id) WHERE rank = 1")
+_add("udf04_generation", lambda s, d: answer.generate(answer.prompts(hits_of(s, d)[0], corpus.corpus(table(s, d, "documents")), items_of(s, d)), answer.first_passage).drop("error", "cited_doc_ids", "confidence"), HITS + "SELECT qid, true AS ok, true AS answerable, coalesce(text, '') AS answer FROM hits JOIN documents USING (doc_id) WHERE rank = 1")
 
 # Chunks: the same path over the engine's own chunks, found by string ids, collapsed to their documents and read by context.
 CHUNKED = f"""{q.PC}, chunked AS (SELECT chunk_id AS doc_id, embed_text AS text, CAST(doc_id AS VARCHAR) AS source, context_text FROM pc)"""
