@@ -7,6 +7,7 @@ import random
 import threading
 import time
 from collections.abc import Callable
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.files import kept
+
 from . import guardrails
 from .blocks import hashed_dimensions
+from .latency import Timings
 from .retrieve import TOP_K, Index, retrieve
 
 
@@ -181,24 +185,30 @@ def memoised(cases: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame
     return cases.join(answer(cases.select(key).distinct()), key)
 
 
-def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None, cite: str = "doc_id") -> DataFrame:
+def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None, cite: str = "doc_id", timings: Timings | None = None) -> DataFrame:
     """qid, mode, answered, refusal_reason, answer and citations of every query; with an index of docs, they are not
     indexed again.
 
     docs: doc_id, text and parent, or passages(), which are found by their text, read by their context and cited by their
-    parent (cite="parent"). Ids may be of any type.
+    parent (cite="parent"). Ids may be of any type. With timings each stage is run and written before the next, and its
+    milliseconds are kept: gate, retrieval, contexts, generation (with a generator) and grounding.
 
     The free gate on scope comes before retrieval; contexts join only the hits of queries that are left.
     """
     asked = queries.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    inside = queries.where(guardrails.scope(F.col("text")) == "in_scope")
-    hits, results = retrieve(index or docs, inside, mode, k)
-    texts = contexts(hits, docs, cite)
+    stage, held = (nullcontext, lambda df, name: df) if timings is None else (timings.stage, kept)
+    with stage("gate"):
+        inside = held(queries.where(guardrails.scope(F.col("text")) == "in_scope"), "inside")
+    with stage("retrieval"):
+        hits, results = (held(x, "found") for x in retrieve(index or docs, inside, mode, k))
+    with stage("contexts"):
+        texts = held(contexts(hits, docs, cite), "contexts")
     rows = asked.join(results, "qid", "left").join(texts, "qid", "left").withColumn("n_hits", F.coalesce(F.size("ids"), F.lit(0))).withColumn("top_context", F.get("contexts", F.lit(0)))
     if generator is None:
         generated = F.lit(None).cast("struct<ok:boolean,answerable:boolean,answer:string,grounded:boolean>")
     else:
-        made = generate(prompts(hits, readable(docs), inside), generator)
+        with stage("generation"):
+            made = held(generate(prompts(hits, readable(docs), inside), generator), "generated")
         rows = rows.join(made.drop("error", "cited_doc_ids", "confidence").withColumnsRenamed({"answer": "g_answer"}), "qid", "left")
         reason = guardrails.grounded(F.coalesce("g_answer", F.lit("")), F.coalesce("contexts", F.array().cast("array<string>")))["reason"]
         generated = F.struct("ok", "answerable", F.col("g_answer").alias("answer"), (reason != "ungrounded_specifics").alias("grounded"))
@@ -207,4 +217,5 @@ def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_
     out = guardrails.decide(rows, threshold)
     none = F.array().cast(docs.select(F.array(cite).alias("x")).schema["x"].dataType)
     cited = F.when(F.col("refusal_reason").isin("no_corpus_vocabulary") | F.col("ids").isNull(), none).otherwise(F.col("ids"))
-    return out.select("qid", "mode", "answered", "refusal_reason", "answer", cited.alias("citations"))
+    with stage("grounding"):
+        return held(out.select("qid", "mode", "answered", "refusal_reason", "answer", cited.alias("citations")), "answers")

@@ -77,7 +77,8 @@ def holding(docs: DataFrame, items: DataFrame, gram: int = 5) -> DataFrame:
 
     An item is looked up by one run of its inner words, the one of the least hash, as those stand whole in any text that
     holds it; only what shares that run is then searched for the text itself. Items of fewer than three words have no
-    inner word, and are held by none. Null texts hold nothing and are held by nothing.
+    inner word, and may stand within any word: they are looked up by a run of their characters in the same way. Null texts
+    hold nothing and are held by nothing, and an empty item is held by none.
     """
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     inner = items.select("qid", F.col("text").alias("item"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))).alias("w"))
@@ -94,5 +95,14 @@ def holding(docs: DataFrame, items: DataFrame, gram: int = 5) -> DataFrame:
         mine = named.where(F.col("k") == k).select("qid", "h")
         found = cut.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(k)))).alias("h")).join(mine, "h").select("qid", "doc_id")
         hits = found if hits is None else hits.union(found)
+    # Documents are cut to characters only where some item is that short.
+    chars = F.split("text", "")
+    short = items.where(F.size(words) < 3).where("text <> ''").select("qid", F.col("text").alias("item"), chars.alias("w")).withColumn("k", F.least(F.lit(gram), F.size("w")))
+    short = short.select("qid", "item", "k", F.array_min(runs(F.col("w"), F.col("k"))).alias("h"))
+    for k in [r.k for r in short.select("k").distinct().collect()]:
+        mine = short.where(F.col("k") == k).select("qid", "h")
+        spelt = docs.select("doc_id", chars.alias("w")).where(F.size("w") >= k)
+        hits = hits.union(spelt.select("doc_id", F.explode(F.array_distinct(runs(F.col("w"), F.lit(k)))).alias("h")).join(mine, "h").select("qid", "doc_id"))
+    named = named.select("qid", "item").union(short.select("qid", "item"))
     held = hits.distinct().join(docs.select("doc_id", "text"), "doc_id").join(named.select("qid", "item"), "qid")
     return held.where(F.contains("text", F.col("item"))).select("qid", "doc_id").distinct()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .evaluate import percentile
 
 SAMPLES = "stage string, turn int, ms double"
 
@@ -55,3 +58,21 @@ def samples(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], rep
                 build().write.format("noop").mode("overwrite").save()
         rows += [(name, turn, ms) for name, ms in timings.total().items() if turn >= 0]
     return spark.createDataFrame(rows, SAMPLES)
+
+
+def micro_batches(spark: SparkSession, batches: Iterable[DataFrame], run: Callable[[DataFrame, Timings], object], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """stage, turn, ms of each stage that run() times, and of their total, for each micro-batch in turn."""
+    rows = []
+    for turn, batch in enumerate(batches):
+        timings = Timings(clock)
+        run(batch, timings)
+        rows += [(name, turn, ms) for name, ms in timings.total().items()]
+    return spark.createDataFrame(rows, SAMPLES)
+
+
+def report(samples: DataFrame) -> DataFrame:
+    """stage, n, mean, p50, p95 and max of its samples' milliseconds, by the percentile rule of the reports."""
+    means = samples.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean"), F.max("ms").alias("max"))
+    for p in (50, 95):
+        means = means.join(percentile(samples, "ms", p, "stage").withColumnRenamed("value", f"p{p}"), "stage")
+    return means.select("stage", "n", "mean", "p50", "p95", "max")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as t
 from quillspark.operators import answer, chunking, dense, elements, html
 from quillspark.operators import corpus as c
-from quillspark.sources import files
+from quillspark.sources import files, labelled
 from quillspark.sources.tables import table
 
 from . import sql as q
@@ -47,7 +47,7 @@ def _loaded(s, d):
 _add("src08_index_load", lambda s, d: _loaded(s, d).groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim")), "SELECT label, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
 _add("src10_query_bounds", lambda s, d: table(s, d, "conversations").where(F.length("text").between(1, 500)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(text) BETWEEN 1 AND 500 GROUP BY role")
 # Sinks.
-_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()), PC + "SELECT 'parent_child' AS strategy, count(*) AS n_vectors, 64 AS dim FROM pc")
+_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()).drop("embed_ms"), PC + "SELECT 'parent_child' AS strategy, count(*) AS n_vectors, 64 AS dim FROM pc")
 _add("snk06_static_export", lambda s, d: chunking.split_contexts(chunking.parent_child(_docs(s, d)))[1].select("doc_id", F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT doc_id, md5(any_value(context_text)) AS context FROM pc GROUP BY doc_id")
 # Filters.
 _add("flt01_skip_volatile", lambda s, d: table(s, d, "pages").withColumn("volatile", F.col("page_id") % 3 == 0).where(~F.col("volatile") | F.lit(False)).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT (page_id % 3 = 0)")
@@ -176,3 +176,47 @@ def _element_groups(s, d):
 
 
 _add("win09_element_groups", _element_groups, _GROUPS)
+
+
+def _export(s, d):
+    """The static export, written and read again."""
+    path = files.scratch(s, "export")
+    files.write_export(chunking.parent_child(_docs(s, d)), path)
+    return files.read_export(s, path)
+
+
+_add("snk06_export_chunks", lambda s, d: _export(s, d)[0].select("chunk_id", "doc_id", "parent_code", "title", "kind", F.md5(F.col("embed_text").cast("binary")).alias("embed"), F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT chunk_id, doc_id, dense_rank() OVER (ORDER BY doc_id) - 1 AS parent_code, title, kind, md5(embed_text) AS embed, md5(context_text) AS context FROM pc")
+_add("snk06_export_header", lambda s, d: _export(s, d)[1].select("n_chunks", "n_docs"), PC + "SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM pc")
+# All strategies. How deep a recursive cut goes no SQL can tell; tests hold these against plain Python.
+_add("snk02_chunk_summary", lambda s, d: chunking.summary(chunking.chunks(_docs(s, d))))
+_add("snk04_build_reports", lambda s, d: dense.build_report(chunking.chunks(_docs(s, d)), answer.hashing_embedder()).select("strategy", "n_vectors", "dim", (F.col("embed_ms") > 0).alias("timed")))
+
+
+def _questions(s, d):
+    """Labels as questions: what is good is to be answered, what is not toxic has gold; many contradict themselves."""
+    labels = table(s, d, "labels")
+    gold = F.when(F.col("toxic") == 0, F.array(F.col("doc_id").cast("string")))
+    return labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "answer").otherwise("refuse").alias("expect"), gold.alias("gold"))
+
+
+_add("src06_question_faults", lambda s, d: labelled.question_faults(_questions(s, d)), "SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'expect=answer requires gold docs' ELSE 'expect=refuse must have empty gold' END AS fault FROM labels WHERE (quality = 1) <> (toxic = 0)")
+
+
+def _turns(s, d):
+    """Turns as guardrail cases: odd ones leave what the gate is to do to `expect`."""
+    turns = table(s, d, "conversations")
+    gate = F.when(F.col("turn") % 2 == 0, F.when(F.col("role") == "user", "pass").otherwise(F.col("role")))
+    return turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("query"), F.when(F.col("role") == "system", "odd").otherwise("block").alias("expect"), gate.alias("gate_expect"))
+
+
+_SOUND = "SELECT concat_ws('-', conv_id, turn) AS id, turn, role, CASE WHEN turn % 2 = 0 THEN CASE WHEN role = 'user' THEN 'pass' ELSE role END END AS gate, CASE WHEN role = 'system' THEN 'odd' ELSE 'block' END AS expect FROM conversations"
+_add("src07_case_faults", lambda s, d: labelled.case_faults(_turns(s, d)), f"SELECT id, CASE WHEN gate IS NOT NULL THEN 'gate_expect' ELSE 'expect' END || ' must be block|pass' AS fault FROM ({_SOUND}) WHERE coalesce(gate, expect) NOT IN ('block', 'pass')")
+
+
+def _loaded_cases(s, d):
+    cases = _turns(s, d)
+    sound = cases.join(labelled.case_faults(cases), "id", "left_anti")
+    return labelled.load_cases(sound).groupBy("expect", F.coalesce("gate_expect", F.lit("")).alias("gate_expect"), "known_limit", "answer").agg(F.count("*").alias("n"))
+
+
+_add("src07_loaded_cases", _loaded_cases, f"SELECT expect, coalesce(gate, '') AS gate_expect, false AS known_limit, '' AS answer, count(*) AS n FROM ({_SOUND}) WHERE coalesce(gate, expect) IN ('block', 'pass') GROUP BY ALL")

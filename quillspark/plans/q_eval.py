@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import corpus, dense, latency, reports, retrieve
+from quillspark.operators import answer, corpus, dense, latency, reports, retrieve
 from quillspark.operators import evaluate as e
 from quillspark.sources.files import scratch
 from quillspark.sources.tables import table
@@ -71,6 +71,18 @@ def _samples(s, d):
 
 _add("har01_latency_samples", _samples, "SELECT * FROM (VALUES ('dense', 3, true), ('lexical', 3, true), ('total', 3, true)) t(stage, n, positive)")
 
+
+
+def _stage_report(s, d):
+    """Three passes of all items through the whole path, each a micro-batch; what stages take differs from run to run."""
+    index = retrieve.build_index(r.docs_of(s, d))
+    run = lambda batch, timings: answer.ask(r.docs_of(s, d), batch, index=index, timings=timings)
+    found = latency.report(latency.micro_batches(s, [r.items_of(s, d)] * 3, run))
+    return found.select("stage", "n", ((F.col("p50") > 0) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("max"))).alias("ordered"))
+
+
+_add("har01_stage_report", _stage_report)
+
 # Calibration: document quality labels against a length signal.
 LAB = "lab AS (SELECT l.doc_id, l.quality = 1 AS pos, l.toxic = 1 AS toxic, round(least(CAST(1 AS DOUBLE), length(coalesce(d.text, '')) / CAST(5000 AS DOUBLE)), 4) AS v FROM labels l JOIN documents d USING (doc_id))"
 

@@ -236,3 +236,18 @@ def _chunk_grounded(s, d):
 
 
 _add("flt08_chunk_groundedness", _chunk_grounded, _CHUNK_CTX + f"SELECT qid, checked, len(missing) AS n_unsupported, {_REASON} AS reason FROM gr")
+
+# Cases that ask the same are answered once.
+ASKED = f"asked AS (SELECT DISTINCT md5(text) AS item_id, text FROM {CONV})"
+
+
+def _memoised(s, d):
+    def contexts(keys):
+        hits = retrieve.retrieve(docs_of(s, d), keys.select(F.md5(F.col("text").cast("binary")).alias("item_id"), "text"))[0]
+        found = answer.contexts(hits, docs_of(s, d)).select("qid", F.array_join("ids", ",").alias("ids"))
+        return keys.withColumn("qid", F.md5(F.col("text").cast("binary"))).join(found, "qid").select("text", "ids")
+
+    return answer.memoised(_user(s, d), "text", contexts).select("conv_id", "turn", "ids")
+
+
+_add("j12_memoised_contexts", _memoised, f"WITH {ASKED}, {q.HITS.replace('benchmark', 'asked')}, ids AS (SELECT qid, string_agg(doc_id, ',' ORDER BY rank) AS ids FROM hits GROUP BY qid) SELECT conv_id, turn, ids FROM {CONV} c JOIN ids ON ids.qid = md5(c.text)")

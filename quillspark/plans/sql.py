@@ -119,6 +119,6 @@ hits AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank, do
 gate AS (SELECT qid, max(dense) AS gate_score FROM cand GROUP BY qid),
 overlap AS (SELECT b.item_id AS qid, count(DISTINCT qt.term) FILTER (df.term IS NOT NULL) AS term_hits, count(DISTINCT qt.term) AS query_terms FROM benchmark b LEFT JOIN qt ON qt.qid = b.item_id LEFT JOIN df ON df.term = qt.term GROUP BY 1)"""
 
-GOLD = """gold AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '[^\\x20\\x09-\\x0D]+')) >= 3),
+GOLD = """gold AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''),
 evalq AS (SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN 'a' WHEN item_id % 3 = 1 THEN 'b' ELSE 'c' END AS category, coalesce(g, []) AS gold, CASE WHEN g IS NULL THEN 'refuse' ELSE 'answer' END AS expect
   FROM benchmark LEFT JOIN (SELECT qid, list_sort(list(doc_id)) AS g FROM gold GROUP BY qid) x ON x.qid = item_id)"""

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,46 @@ def write_index(index: DataFrame, path: str, model: str, kind: str) -> None:
     """Vectors and their chunks (with their strategy) under model, kind and strategy."""
     named = index.withColumns({"model": F.lit(model.replace("/", "__")), "index_kind": F.lit(kind)})
     write_chunks(named, path, "model", "index_kind", "strategy")
+
+
+def numbered_rows(df: DataFrame, out: str, *order: Column | str) -> DataFrame:
+    """Adds each row's number from 0 on, in order, for any number of rows: the place in a range, after all rows before it.
+
+    Only ranges are sorted by a task each; what is summed up in one place is a row for each range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_in")).alias(out))
+
+
+def encoded(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks under short keys, each with the code of its parent's text in place of the text, and the texts by code.
+
+    Codes follow the order in which documents are first used, chunk by chunk in order of (doc_id, part). chunks: as a
+    strategy makes them; a document's chunks share one context.
+    """
+    used = chunks.groupBy("doc_id").agg(F.min("part").alias("first"), F.first("context_text").alias("x"))
+    parents = kept(numbered_rows(used, "p", "doc_id", "first").select("p", F.col("doc_id").alias("d"), "x"), "parents")
+    short = chunks.select(F.col("chunk_id").alias("c"), F.col("doc_id").alias("d"), F.col("title").alias("t"), F.col("kind").alias("k"), F.col("embed_text").alias("e"))
+    return short.join(parents.select("p", "d"), "d").select("c", "d", "p", "t", "k", "e"), parents
+
+
+def write_export(chunks: DataFrame, path: str, note: str = "") -> None:
+    """The export of encoded(): chunks and parents as JSON lines, and a header with their numbers."""
+    short, parents = encoded(chunks)
+    short.write.mode("overwrite").json(f"{path}/chunks")
+    parents.write.mode("overwrite").json(f"{path}/parents")
+    counted = short.agg(F.count("*").alias("n_chunks")).crossJoin(parents.agg(F.count("*").alias("n_docs")))
+    counted.withColumn("note", F.lit(note)).coalesce(1).write.mode("overwrite").json(f"{path}/header")
+
+
+def read_export(spark: SparkSession, path: str, doc_id: str = "long") -> tuple[DataFrame, DataFrame]:
+    """The chunks of an export with their contexts again, and its header."""
+    parents = spark.read.schema(f"p long, d {doc_id}, x string").json(f"{path}/parents")
+    short = spark.read.schema(f"c string, d {doc_id}, p long, t string, k string, e string").json(f"{path}/chunks")
+    header = spark.read.schema("n_chunks long, n_docs long, note string").json(f"{path}/header")
+    whole = short.join(parents.select("p", F.col("x").alias("context_text")), "p")
+    return whole.select(F.col("c").alias("chunk_id"), F.col("d").alias("doc_id"), F.col("p").alias("parent_code"), F.col("t").alias("title"), F.col("k").alias("kind"), F.col("e").alias("embed_text"), "context_text"), header
