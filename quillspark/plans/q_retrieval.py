@@ -210,11 +210,17 @@ CHUNK_HITS = f"WITH {CHUNKED}, {q.HITS.replace('documents', 'chunked')} "
 
 
 def passages_of(s, d):
-    return retrieve.passages(chunking.parent_child(corpus.corpus(table(s, d, "documents"))))
+    """Child chunks, cut once and written: they are counted, dealt out, indexed and read."""
+    return kept(retrieve.passages(chunking.parent_child(corpus.corpus(table(s, d, "documents")))), "passages")
 
 
-def chunk_hits_of(s, d, mode="hybrid"):
-    return retrieve.retrieve(passages_of(s, d), items_of(s, d), mode)
+def chunk_hits_of(s, d):
+    return retrieve.retrieve(passages_of(s, d), items_of(s, d))
+
+
+def _chunk_contexts(s, d, cite="parent"):
+    passages = passages_of(s, d)
+    return answer.contexts(retrieve.retrieve(passages, items_of(s, d))[0], passages, cite)
 
 
 def _chunk_answers(s, d):
@@ -222,7 +228,7 @@ def _chunk_answers(s, d):
 
 
 _add("top04_chunk_hits", lambda s, d: chunk_hits_of(s, d)[0].select("qid", *_long("rank"), "doc_id", "parent", "score", "lex"), CHUNK_HITS + "SELECT qid, rank, doc_id, parent, score, lex FROM hits")
-_add("j02_chunk_contexts", lambda s, d: answer.contexts(chunk_hits_of(s, d)[0], passages_of(s, d), "parent").select("qid", F.array_join("ids", ",").alias("cited"), F.md5(F.array_join("contexts", "|").cast("binary")).alias("contexts")), CHUNK_HITS + "SELECT qid, string_agg(parent, ',' ORDER BY rank) AS cited, md5(string_agg(context_text, '|' ORDER BY rank)) AS contexts FROM hits JOIN chunked USING (doc_id) GROUP BY qid")
+_add("j02_chunk_contexts", lambda s, d: _chunk_contexts(s, d).select("qid", F.array_join("ids", ",").alias("cited"), F.md5(F.array_join("contexts", "|").cast("binary")).alias("contexts")), CHUNK_HITS + "SELECT qid, string_agg(parent, ',' ORDER BY rank) AS cited, md5(string_agg(context_text, '|' ORDER BY rank)) AS contexts FROM hits JOIN chunked USING (doc_id) GROUP BY qid")
 _CHUNK_DECIDED = f"""(SELECT b.item_id AS qid, {_DECIDE} AS r, {_scope_sql('b.text')} AS s FROM benchmark b JOIN gate ON gate.qid = b.item_id JOIN overlap ON overlap.qid = b.item_id)"""
 _add("udf09_chunk_answers", lambda s, d: _chunk_answers(s, d).select("qid", "mode", "answered", F.coalesce("refusal_reason", F.lit("")).alias("refusal_reason"), F.array_join("citations", ",").alias("citations"), F.md5(F.coalesce("answer", F.lit("")).cast("binary")).alias("answer")), CHUNK_HITS + f"""SELECT qid, CASE WHEN r = '' THEN 'extractive' ELSE 'refused' END AS mode, r = '' AS answered, r AS refusal_reason,
  CASE WHEN s <> 'in_scope' OR r = 'no_corpus_vocabulary' THEN '' ELSE coalesce((SELECT string_agg(h.parent, ',' ORDER BY h.rank) FROM hits h WHERE h.qid = x.qid), '') END AS citations,
@@ -231,7 +237,7 @@ _CHUNK_CTX = f"""{CHUNK_HITS}, ctx AS (SELECT h.qid, list(context_text ORDER BY
 
 
 def _chunk_grounded(s, d):
-    x = answer.contexts(chunk_hits_of(s, d)[0], passages_of(s, d)).join(items_of(s, d).withColumnRenamed("item_id", "qid"), "qid")
+    x = _chunk_contexts(s, d).join(items_of(s, d).withColumnRenamed("item_id", "qid"), "qid")
     return x.select("qid", guardrails.grounded(F.col("text"), F.col("contexts")).alias("g")).select("qid", F.col("g.checked").cast("long").alias("checked"), F.col("g.n_unsupported").cast("long").alias("n_unsupported"), "g.reason")
 
 
