@@ -185,12 +185,13 @@ def memoised(cases: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame
     return cases.join(answer(cases.select(key).distinct()), key)
 
 
-def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None, cite: str = "doc_id", timings: Timings | None = None) -> DataFrame:
+def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_K, threshold: float = guardrails.MIN_SCORE, generator: Callable[[str], dict] | None = None, index: Index | None = None, cite: str = "doc_id", timings: Timings | None = None, read: DataFrame | None = None) -> DataFrame:
     """qid, mode, answered, refusal_reason, answer and citations of every query; with an index of docs, they are not
     indexed again.
 
     docs: doc_id, text and parent, or passages(), which are found by their text, read by their context and cited by their
-    parent (cite="parent"). Ids may be of any type. With timings each stage is run and written before the next, and its
+    parent (cite="parent"). Ids may be of any type. read: doc_id, text and perhaps title of the hits' parents, which are then
+    what is read and cited: passages of many chunks a document need not hold its text each. With timings each stage is run and written before the next, and its
     milliseconds are kept: gate, retrieval, contexts, generation (with a generator) and grounding.
 
     The free gate on scope comes before retrieval; contexts join only the hits of queries that are left.
@@ -201,6 +202,8 @@ def ask(docs: DataFrame, queries: DataFrame, mode: str = "hybrid", k: int = TOP_
         inside = held(queries.where(guardrails.scope(F.col("text")) == "in_scope"), "inside")
     with stage("retrieval"):
         hits, results = (held(x, "found") for x in retrieve(index or docs, inside, mode, k))
+    if read is not None:
+        hits, docs = hits.withColumn("doc_id", F.col("parent")), read
     with stage("contexts"):
         texts = held(contexts(hits, docs, cite), "contexts")
     rows = asked.join(results, "qid", "left").join(texts, "qid", "left").withColumn("n_hits", F.coalesce(F.size("ids"), F.lit(0))).withColumn("top_context", F.get("contexts", F.lit(0)))

@@ -84,10 +84,11 @@ def load_index(spark: SparkSession, path: str, query_embedder: Embedder | None =
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES], query_embedder)
 
 
-def passages(chunks: DataFrame) -> DataFrame:
+def passages(chunks: DataFrame, context: bool = True) -> DataFrame:
     """Chunks as what is indexed and read: doc_id is the chunk's id, parent its document's, text what is embedded, and context
-    what is read once it is found."""
-    return chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").cast("string").alias("parent"), F.col("embed_text").alias("text"), F.col("context_text").alias("context"), "title")
+    what is read once it is found. Without contexts, what is read are the parents themselves; see answer.ask()."""
+    columns = [F.col("chunk_id").alias("doc_id"), F.col("doc_id").cast("string").alias("parent"), F.col("embed_text").alias("text"), F.col("context_text").alias("context"), F.col("title")]
+    return chunks.select(columns if context else columns[:3])
 
 
 def asked_blocks(index: Index, queries: DataFrame) -> Iterator[blocks.Asked]:

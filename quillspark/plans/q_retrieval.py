@@ -210,21 +210,24 @@ CHUNK_HITS = f"WITH {CHUNKED}, {q.HITS.replace('documents', 'chunked')} "
 
 
 def passages_of(s, d):
-    """Child chunks, cut once and written: they are counted, dealt out, indexed and read."""
-    return kept(retrieve.passages(chunking.parent_child(corpus.corpus(table(s, d, "documents")))), "passages")
+    """Child chunks, cut once and written, without the texts of their documents."""
+    return kept(retrieve.passages(chunking.parent_child(corpus.corpus(table(s, d, "documents"))), context=False), "passages")
+
+
+def parents_of(s, d):
+    return corpus.corpus(table(s, d, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), "title", "text")
 
 
 def chunk_hits_of(s, d):
     return retrieve.retrieve(passages_of(s, d), items_of(s, d))
 
 
-def _chunk_contexts(s, d, cite="parent"):
-    passages = passages_of(s, d)
-    return answer.contexts(retrieve.retrieve(passages, items_of(s, d))[0], passages, cite)
+def _chunk_contexts(s, d):
+    return answer.contexts(chunk_hits_of(s, d)[0].withColumn("doc_id", F.col("parent")), parents_of(s, d))
 
 
 def _chunk_answers(s, d):
-    return answer.ask(passages_of(s, d), items_of(s, d), cite="parent")
+    return answer.ask(passages_of(s, d), items_of(s, d), read=parents_of(s, d))
 
 
 _add("top04_chunk_hits", lambda s, d: chunk_hits_of(s, d)[0].select("qid", *_long("rank"), "doc_id", "parent", "score", "lex"), CHUNK_HITS + "SELECT qid, rank, doc_id, parent, score, lex FROM hits")

@@ -147,6 +147,9 @@ def test_from_pages_to_answers(spark):
     assert "thirty days" in got[3].answer and got[3].mode == "extractive"
     assert got[4].refusal_reason == "no_corpus_vocabulary" and got[4].citations == []
     assert got[5].refusal_reason == "out_of_scope_instruction"
+    slim, parents = retrieve.passages(chunks, context=False), kept.select("doc_id", "title", "text")
+    assert "context" not in slim.columns
+    assert {r.qid: tuple(r) for r in answer.ask(slim, asked, threshold=0.2, read=parents).collect()} == {q: tuple(r) for q, r in got.items()}
     told = answer.ask(passages, asked.where("item_id = 3"), threshold=0.0, generator=lambda p: {"answerable": True, "answer": "within 45 days"}, cite="parent").first()
     assert told.refusal_reason == "ungrounded_answer"
 
