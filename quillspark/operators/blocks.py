@@ -223,7 +223,7 @@ class Segment:
             q = runs(at[term[a:b]], sizes[a:b])
             key = asked_by[q] * len(chosen) + np.repeat(place[self.docs[which[a:b]]], sizes[a:b])
             out += np.bincount(key, weights[q] * np.repeat(self.weight[which[a:b]], sizes[a:b]), len(out))
-        return _lex_rounded(out).reshape(-1, len(chosen))
+        return _lex_rounded(out).reshape(len(self.asked.names), len(chosen))
 
     def lexical(self, q: int, alive: np.ndarray | None = None) -> np.ndarray:
         """BM25 of each document, to LEX_PLACES; with alive, only blocks that are get theirs, others 0."""
@@ -289,8 +289,9 @@ def first_of(asked: Asked, most: int) -> Callable:
                         lex = seg.lexical(q, None if alive.all() else alive)
                         live = np.flatnonzero(np.repeat(alive, BLOCK)[: seg.n])
                         chosen.append(live[words.add(q, lex[live], seg.nums[live])])
-                    if chosen:
-                        found.append((q, np.unique(np.concatenate(chosen))))
+                    chosen = np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
+                    if len(chosen):
+                        found.append((q, chosen))
                 if found:
                     q = np.repeat([x[0] for x in found], [len(x[1]) for x in found]).astype(np.int32)
                     chosen = np.concatenate([x[1] for x in found])

@@ -103,6 +103,20 @@ def test_no_score_exceeds_its_bound(spark, data):
                 assert np.array_equal(seg.lexical(q, alive), np.where(np.repeat(alive, blocks.BLOCK)[: seg.n], lex, 0))
 
 
+def test_segments_that_add_nothing(spark, data):
+    """A segment of which no document comes among the best passes nothing on, wherever it stands."""
+    docs, items = corpus_of(spark, data)
+    index = retrieve.build_index(docs.where("length(text) > 200"), segment=16)
+    asked = next(iter(retrieve.asked_blocks(index, items.limit(1))))
+    batches = index.segments.coalesce(1).toArrow().to_batches()
+    assert sum(x.num_rows for x in batches) > 5
+    found = list(blocks.first_of(asked, 1)(iter(batches)))
+    best = max((max(b.column("dense").to_pylist()) for b in found))
+    assert len(found) < sum(x.num_rows for x in batches) and best == max(blocks.Segment(b, k, asked).cosines().max() for b in batches for k in range(b.num_rows))
+    seg = blocks.Segment(batches[0], 0, asked)
+    assert seg.lexical_of(np.empty(0, np.int64), asked.by_term()).shape == (1, 0)
+
+
 def test_best_settles_ties_by_number():
     best = blocks.Best(1, 3)
     assert best.add(0, np.array([1.0, 2.0, 1.0, 1.0]), np.array([10, 11, 12, 13])).tolist() == [1, 0, 2]
