@@ -47,7 +47,7 @@ def _loaded(s, d):
 _add("src08_index_load", lambda s, d: _loaded(s, d).groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim")), "SELECT label, count(*) AS n, max(len(embedding)) AS dim FROM embeddings GROUP BY label")
 _add("src10_query_bounds", lambda s, d: table(s, d, "conversations").where(F.length("text").between(1, 500)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(text) BETWEEN 1 AND 500 GROUP BY role")
 # Sinks.
-_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()).drop("embed_ms"), PC + "SELECT 'parent_child' AS strategy, count(*) AS n_vectors, 64 AS dim FROM pc")
+_add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()), PC + "SELECT 'parent_child' AS strategy, count(*) AS n_vectors, 64 AS dim FROM pc")
 _add("snk06_static_export", lambda s, d: chunking.split_contexts(chunking.parent_child(_docs(s, d)))[1].select("doc_id", F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT doc_id, md5(any_value(context_text)) AS context FROM pc GROUP BY doc_id")
 # Filters.
 _add("flt01_skip_volatile", lambda s, d: table(s, d, "pages").withColumn("volatile", F.col("page_id") % 3 == 0).where(~F.col("volatile") | F.lit(False)).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT (page_id % 3 = 0)")
@@ -189,7 +189,7 @@ _add("snk06_export_chunks", lambda s, d: _export(s, d)[0].select("chunk_id", "do
 _add("snk06_export_header", lambda s, d: _export(s, d)[1].select("n_chunks", "n_docs"), PC + "SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM pc")
 # All strategies. How deep a recursive cut goes no SQL can tell; tests hold these against plain Python.
 _add("snk02_chunk_summary", lambda s, d: chunking.summary(chunking.chunks(_docs(s, d))))
-_add("snk04_build_reports", lambda s, d: dense.build_report(chunking.chunks(_docs(s, d)), answer.hashing_embedder()).select("strategy", "n_vectors", "dim", (F.col("embed_ms") > 0).alias("timed")))
+_add("snk04_build_reports", lambda s, d: dense.timed_report(chunking.chunks(_docs(s, d)), answer.hashing_embedder()).select("strategy", "n_vectors", "dim", (F.col("embed_ms") > 0).alias("timed")))
 
 
 def _questions(s, d):

@@ -341,7 +341,7 @@ def test_summary_of_all_strategies(spark, data):
 def test_build_report_of_all_strategies(spark, data):
     _, _, made = chunked(spark, data)
     want = {r.strategy: r["count"] for r in made.groupBy("strategy").count().collect()}
-    got = dense.build_report(made, answer.hashing_embedder(dim=16)).collect()
+    got = dense.timed_report(made, answer.hashing_embedder(dim=16)).collect()
     assert {r.strategy: (r.n_vectors, r.dim) for r in got} == {s: (n, 16) for s, n in want.items()} and all(r.embed_ms > 0 for r in got)
 
 
