@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HASH_SPACE = 1 << 16
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Paths of the tables that keep() wrote since the innermost keep_alone() began.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,9 +57,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """keep(make(), name), and the tables that make() kept are deleted, as what it returned has been written.
+
+    make() must hand out no other DataFrame that reads them. If it fails, they last until the driver ends.
+    """
+    outer = _PASSING.set([])
+    try:
+        made, passing = make(), _PASSING.get()
+    finally:
+        _PASSING.reset(outer)
+    out, spark = keep(made, name), made.sparkSession
+    for path in passing or []:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return out
+
+
 def words_in(text: Column) -> Column:
     """Number of runs of anything but space and \\t..\\r; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

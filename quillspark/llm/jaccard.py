@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import keep, keep_alone
 from .components import components
 from .repeats import Wanted, identified, repeated_hashes, second_pass
 from .textbatch import NONSPACE, Words, digest, grams, lean, mix, release, slices
@@ -378,7 +378,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in MARKS]
     named = identified(docs, id_col, text_col, carry)
-    single = _marked(named, percent)
+    single = keep_alone(lambda: _marked(named, percent), "marked")
     if carry == [id_col]:
         return single.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))).select(F.col("_id").alias(id_col), *MARKS)
     joined = named.join(single, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
@@ -391,7 +391,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Up to BROADCAST documents that go are broadcast, so that no text is shuffled; more of them meet the texts in a join.
     """
     named = identified(docs, id_col, text_col, docs.columns)
-    single = keep(_marked(named, percent), "marked")
+    single = keep_alone(lambda: _marked(named, percent), "marked")
 
     def rows_of(which: Column, how: str) -> DataFrame:
         some = single.where(which).select("_id", "_tie")

@@ -265,3 +265,25 @@ def test_near_copies_keep_one_row_of_a_group(spark, data):
     got = p.near_copies(spark, spark.createDataFrame(rows, SCHEMA), data)
     want = [(1, one, "en", "a", 1), (2, three, "en", "a", 1), (None, two, "en", "a", 1), (3, "", "en", "a", 0), (4, "", "en", "a", 0)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_tables_that_only_lead_to_a_result_are_deleted(spark, data):
+    """Near copies leave their marks in the shared folder and nothing else; what was kept outside stays."""
+    import os
+
+    from quillspark.llm.common import keep, keep_alone, shared_folder
+    from quillspark.llm.jaccard import first_of_each
+
+    folder, made = shared_folder(spark), []
+
+    def make():
+        made.append(keep(spark.range(5), "leads"))
+        made.append(keep_alone(lambda: keep(made[0].selectExpr("id * 2 AS id"), "within"), "inner"))
+        return made[0].join(made[1], "id")
+
+    outside, before = keep(spark.range(3), "outside"), set(os.listdir(folder))
+    assert sorted(r.id for r in keep_alone(make, "result").collect()) == [0, 2, 4] and outside.count() == 3
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["result"]
+    before = set(os.listdir(folder))
+    first_of_each(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["marked"]
