@@ -25,6 +25,8 @@ from .repeats import Wanted, among, identified, second_pass
 from .textbatch import ALNUM, Words, digest, grams, lean, mix, ranges, slices, winnow
 
 BLOCK_BYTES = 8 << 20
+#: What an item counts besides its text, so that rows without text are bounded too.
+ITEM_BYTES = 64
 SPAN = 13
 GRAM = 5
 
@@ -191,11 +193,12 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, carry
     slim = named.select("id", "tie", "text")
     own = keep(items.mapInArrow(lean(_of_items(span, gram)), "print long, window binary, length long, item string"), "items")
     prints = keep(own.where("print is not null").select(F.col("print").alias("hash")).distinct(), "prints")
-    windows = own.where("window is not null").select("window", "item").distinct()
+    # One row a window, so that a window that many items hold does not multiply the documents that hold it.
+    windows = own.where("window is not null").groupBy("window").agg(F.collect_set("item").alias("of"))
     lengths = sorted(r.length for r in own.where("window is not null").select("length").distinct().collect())
     schema_of = T.StructType([slim.schema["id"], slim.schema["tie"], long("start"), long("length"), T.StructField("window", T.BinaryType())])
     held = second_pass(slim, prints, _all_prints(lengths, gram), _extended(lengths, gram), schema_of).join(windows, "window")
-    spans = held.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item").alias("items"))
+    spans = held.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("of"))).alias("items"))
     joined = named.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
     return joined.mapInArrow(lean(_counted(carry)), schema)
 
@@ -214,8 +217,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
     items = _items(benchmark, item_col, item_text)
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes:
-        # At most block_bytes of text.
+    if (items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ITEM_BYTES)).first()[0] or 0) <= block_bytes:
+        # At most block_bytes of text and rows.
         rows = items.collect()
         shared = docs.sparkSession.sparkContext.broadcast(Index([r["item"] for r in rows], [r["text"] for r in rows], span, gram))
         out = docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(lean(_mapped(shared, text_col, carry)), schema)
