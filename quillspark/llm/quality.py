@@ -145,16 +145,25 @@ def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = Non
     base_failed: under 50 words, or over half of the words in repeated windows of three. kept: not base_failed, and
     p_good at least threshold; chances are estimated from the documents that do not fail the base, as the many short
     ones would otherwise be what tells bad from good. A null text is empty, and fails; repeated rows are each judged; equal posteriors are
-    judged alike. Columns of docs that clash with the results' names are replaced; an empty table gives no rows.
+    judged alike. Columns of docs that clash with the results' names are replaced; an empty table gives no rows. A text
+    is held whole with its words, their windows and lines, in some 100 bytes a word.
+
+    Measures are written and read again, but where texts are carried, which would be a copy of docs: then the votes are
+    counted in one pass, and the texts are measured again as the result is read.
     """
     mine = [*MEASURES, "base_failed", "p_good", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in mine]
-    measured = keep(measure(docs, text_col, carry), "measures")
+    measured = measure(docs, text_col, carry)
+    if text_col not in carry:
+        measured = keep(measured, "measures")
+    # Rows are numbered, from 0, so that no filter on what follows is pushed below the measures, which it would repeat.
+    row = "_" * (1 + max(map(len, [*carry, *mine])))
+    measured = measured.withColumn(row, F.monotonically_increasing_id())
     columns = [v.cast("int").alias(f"v{i}") for i, v in enumerate(rules())]
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))) & (F.col(row) >= 0)
     counted = measured.where(~failed).select(*columns).groupBy(*[f"v{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"))
     # At most 3**rules rows, whatever the input.
     patterns = keep(counted.coalesce(1), "patterns")
     p, good, bad = estimate(patterns, len(columns))
     out = measured.withColumn("base_failed", failed).withColumn("p_good", posterior(rules(), p, good, bad))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(row)
