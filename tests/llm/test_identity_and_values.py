@@ -496,3 +496,13 @@ def test_digests_of_queries(spark, data):
     for r in spark.read.parquet(f"{data}/documents.parquet").collect():
         raw = (r.text or "").encode()
         assert held_rows[r.doc_id] == ((len(raw), hashlib.sha256(raw).hexdigest()) if r.text is not None else (None, None))
+
+
+def test_quality_is_the_same_whether_texts_are_carried(spark):
+    """Measures are written where ids are carried, and taken again where texts are; a column named _ is carried too."""
+    docs = awkward(spark).withColumn("_", F.lit("own"))
+    whole = quality.judge(docs)
+    assert whole.columns[: len(docs.columns)] == docs.columns and "_" in whole.columns
+    verdicts = [sorted((str(r.doc_id), r.n_words, r.n_repeat_words, r.p_good, r.kept) for r in x.collect()) for x in (whole, quality.judge(docs, carry=["doc_id"]))]
+    assert verdicts[0] == verdicts[1] and whole.where("not kept").count() == sum(not v[-1] for v in verdicts[0])
+    assert quality.judge(docs.limit(0)).where("kept").count() == 0
