@@ -81,3 +81,27 @@ def test_odd_vectors(spark):
     got = cells.nearest(cells.build(some), asked, k=2)
     assert sorted((r.qid, r.vec_id, r["rank"]) for r in got.collect()) == [(1, "a", 1), (1, "d", 2), (2, "a", 1), (2, "c", 2)]
     assert cells.nearest(cells.build(some), asked.limit(0)).count() == 0
+
+
+def test_a_task_passes_on_k_rows_a_query(spark, vectors):
+    """However many batches it reads, and however many copies tie at the edge."""
+    asked = asked_of(vectors)
+    copies = vectors.unionByName(vectors.withColumn("doc_id", F.col("doc_id") + 1_000_000)).coalesce(1)
+    n = asked.count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert dense.score(copies, asked, 5, vid="doc_id").count() == 5 * n
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_scores_are_made_in_bounded_stretches():
+    for rows, queries in ((10_000, 65_536), (1, 1), (3000, 7), (0, 5)):
+        seen = list(dense.tiles(rows, queries))
+        sizes = [(a.stop - a.start) * (q.stop - q.start) for a, q in seen]
+        assert sum(sizes) == rows * queries and max(sizes, default=0) <= dense.CELLS
+
+
+def test_askers_of_cells():
+    opened = np.array([[3, 1], [1, 2], [3, 2]])
+    assert {c: x.tolist() for c, x in cells.askers_of(opened).items()} == {1: [0, 1], 2: [1, 2], 3: [0, 2]}
