@@ -32,7 +32,7 @@ REASON = f"CASE WHEN {EMPTY} <> '' THEN 'empty-state placeholder (''' || {EMPTY}
 
 # Sources.
 _add("src03_docs_json", lambda s, d: files.json_round_trip(_docs(s, d)).select("doc_id", "title", "kind", "section", F.md5(F.col("text").cast("binary")).alias("text")), CORPUS + "SELECT doc_id, title, kind, section, md5(text) AS text FROM corpus")
-_add("src04_chunks_by_strategy", lambda s, d: files.partitioned(chunking.chunks(_docs(s, d), ["structural", "parent_child"]), "strategy").where("strategy = 'parent_child'").groupBy("kind").agg(F.count("*").alias("n")), PC + "SELECT kind, count(*) AS n FROM pc GROUP BY kind")
+_add("src04_chunks_by_strategy", lambda s, d: files.stored(chunking.chunks(_docs(s, d), ["structural", "parent_child"]), _docs(s, d).select("doc_id", F.col("text").alias("context_text")), "strategy")[0].where("strategy = 'parent_child'").groupBy("kind").agg(F.count("*").alias("n")), PC + "SELECT kind, count(*) AS n FROM pc GROUP BY kind")
 _add("src06_label_violations", lambda s, d: table(s, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "answer").otherwise("refuse").alias("expect"), F.when(F.col("toxic") == 0, F.array("doc_id")).alias("gold")).select("expect", F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold")).groupBy("expect").agg(F.count("*").alias("n"), F.count_if((F.size("gold") > 0) != (F.col("expect") == "answer")).alias("violations")), "SELECT CASE WHEN quality = 1 THEN 'answer' ELSE 'refuse' END AS expect, count(*) AS n, count(*) FILTER ((toxic = 0) <> (quality = 1)) AS violations FROM labels GROUP BY 1")
 _add("src07_case_defaults", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("answer"), F.when(F.col("role").isin("user", "assistant"), "pass").otherwise("block").alias("expect"), F.lit(False).alias("known_limit")).groupBy("expect", "known_limit").agg(F.count("*").alias("n"), F.count_if(~F.col("expect").isin("block", "pass")).alias("violations")), "SELECT CASE WHEN role IN ('user', 'assistant') THEN 'pass' ELSE 'block' END AS expect, false AS known_limit, count(*) AS n, 0 AS violations FROM conversations GROUP BY 1")
 
@@ -48,7 +48,7 @@ _add("src08_index_load", lambda s, d: _loaded(s, d).groupBy("label").agg(F.count
 _add("src10_query_bounds", lambda s, d: table(s, d, "conversations").where(F.length("text").between(1, 500)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE length(text) BETWEEN 1 AND 500 GROUP BY role")
 # Sinks.
 _add("snk04_build_report", lambda s, d: dense.build_report(chunking.parent_child(_docs(s, d)), answer.hashing_embedder()), PC + "SELECT 'parent_child' AS strategy, count(*) AS n_vectors, 64 AS dim FROM pc")
-_add("snk06_static_export", lambda s, d: chunking.split_contexts(chunking.parent_child(_docs(s, d)))[1].select("doc_id", F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT doc_id, md5(any_value(context_text)) AS context FROM pc GROUP BY doc_id")
+_add("snk06_static_export", lambda s, d: chunking.split_contexts(_docs(s, d))[1].select("doc_id", F.md5(F.col("context_text").cast("binary")).alias("context")), PC + "SELECT doc_id, md5(any_value(context_text)) AS context FROM pc GROUP BY doc_id")
 # Filters.
 _add("flt01_skip_volatile", lambda s, d: table(s, d, "pages").withColumn("volatile", F.col("page_id") % 3 == 0).where(~F.col("volatile") | F.lit(False)).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE NOT (page_id % 3 = 0)")
 _add("flt02_routed", lambda s, d: c.routed(_docs(s, d)).select("doc_id", F.col("reason").isNull().alias("kept"), F.coalesce("reason", F.lit("")).alias("reason")), CORPUS + f"SELECT doc_id, r IS NULL AS kept, coalesce(r, '') AS reason FROM (SELECT doc_id, {REASON} AS r FROM corpus)")
@@ -84,7 +84,7 @@ _add("agg09_unique_ids", lambda s, d: _docs(s, d).agg((F.count("*") == F.count_d
 # Joins and windows over chunks.
 _add("j02_child_to_parent", lambda s, d: chunking.parent_child(_docs(s, d)).drop("context_text").join(_docs(s, d).select("doc_id", F.col("text").alias("context_text")), "doc_id").select("chunk_id", F.length("context_text").cast("long").alias("n_context")), PC + "SELECT chunk_id, length(c.text) AS n_context FROM pc JOIN corpus c USING (doc_id)")
 _add("j14_strategies", lambda s, d: chunking.chunks(_docs(s, d), ["structural", "parent_child"]).groupBy("strategy", "kind").agg(F.count("*").alias("n")), PC + "SELECT 'parent_child' AS strategy, kind, count(*) AS n FROM pc GROUP BY kind UNION ALL SELECT 'structural', kind, count(*) FROM corpus GROUP BY kind")
-_add("win03_dedupe", lambda s, d: chunking.dedupe(chunking.parent_child(_docs(s, d))).select("chunk_id"), PC + f"SELECT chunk_id FROM pc QUALIFY row_number() OVER (PARTITION BY lower({q.strip('embed_text')}) ORDER BY doc_id, part) = 1")
+_add("win03_dedupe", lambda s, d: chunking.dedupe(chunking.parent_child(_docs(s, d)), ["chunk_id"]), PC + f"SELECT chunk_id FROM pc QUALIFY row_number() OVER (PARTITION BY lower({q.strip('embed_text')}) ORDER BY doc_id, part) = 1")
 _add("win04_part_numbers", lambda s, d: chunking.part_numbers(_docs(s, d).select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("pos", "s"))).select("doc_id", F.col("part").cast("long").alias("part"), "n_parts"), f"SELECT doc_id, i - 1 AS part, CAST(len(k) AS BIGINT) AS n_parts FROM (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS i FROM (SELECT doc_id, {q.sentences('text')} AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))")
 
 # Pages. The test pages have none of the structures that some extractors look for; one authored page has them all.

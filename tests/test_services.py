@@ -363,3 +363,23 @@ def test_numbers_of_rows_run_through_ranges(spark):
     got = sorted((r.n, r.x, r.id) for r in files.numbered_rows(df, "n", "x", "id").collect())
     assert [n for n, *_ in got] == list(range(1000)) and [(x, i) for _, x, i in got] == sorted((x, i) for _, x, i in got)
     assert files.numbered_rows(df.limit(0), "n", "x").count() == 0
+
+
+def test_texts_are_not_shuffled_with_each_chunk(spark, data):
+    """Neither by what tells copies, nor by a summary, a store of chunks or an export."""
+    chunking, docs, made = chunked(spark, data)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "context_text" not in plan(chunking.dedupe(made, ["chunk_id"]))
+    assert "struct(chunk_id" not in plan(chunking.summary(made)) and "Join" not in plan(chunking.summary(made))
+    chunks, contexts = files.stored(made, docs.select("doc_id", F.col("text").alias("context_text")), "strategy")
+    assert "context_text" not in chunks.columns and chunks.count() == made.count() and contexts.count() == docs.count()
+    some = chunking.split_contexts(docs)[1]
+    assert "Generate" not in plan(some) and some.count() == chunking.parent_child(docs).select("doc_id").distinct().count()
+    short, _ = files.encoded(chunking.parent_child(docs))
+    assert "context_text" not in plan(short)
+
+
+def test_a_text_is_packed_once(spark, data):
+    chunking, docs, _ = chunked(spark, data)
+    plan = chunking.parent_child(docs).select("chunk_id", "n_parts")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
