@@ -161,3 +161,13 @@ def test_piece_spans(text, size):
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
     gaps = [text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)])]
     assert not set("".join(gaps)) & set("ab")
+
+
+def test_words_that_cancel_out_still_embed():
+    from quillspark.operators.blocks import hashed_dimensions
+
+    words = [f"w{i}" for i in range(40)]
+    at, sign = hashed_dimensions(words, 2)
+    a, b = next((x, y) for x in range(40) for y in range(40) if at[x] == at[y] and sign[x] != sign[y])
+    made = answer.hashing_embedder(dim=2)([f"{words[a]} {words[b]}", " ", "", words[a]])
+    assert made.any(1).tolist() == [True, False, False, True]
