@@ -106,3 +106,10 @@ def test_scraped_pages_become_documents(spark, site):
     rows = pages.fetch_pages(spark, site[0], [("/result", False)])
     made = html.dispatch(rows).select("text", "volatile").collect()
     assert [(r.text, r.volatile) for r in made] == [("/result", True)] and rows.agg(F.count("*")).first()[0] == 1
+
+
+def test_references_without_their_semicolon_stay():
+    from quillspark.operators import html
+
+    page = html.Page("<body><h1>a&amp;&amp</h1><p>b & c &am &#65; &#65 &lt;&ltd &copy; &nope; &amp;lt;</p></body>")
+    assert page.text() == "a&&amp b & c &am A &#65 <&ltd © &nope; &lt;"
