@@ -383,3 +383,15 @@ def test_a_text_is_packed_once(spark, data):
     chunking, docs, _ = chunked(spark, data)
     plan = chunking.parent_child(docs).select("chunk_id", "n_parts")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_a_family_of_rankers_keeps_few_candidates(spark, data):
+    """The first of each ranker as over all pairs, from far fewer of them."""
+    from quillspark.plans import q_retrieval as r
+
+    both = retrieve.weighted(retrieve.reciprocal(r.both_of(spark, data)))
+    few = retrieve.family(retrieve.build_index(r.docs_of(spark, data)), r.items_of(spark, data), fetch=20)
+    for name in ("dense", "rrf_10", "alpha_0.5"):
+        got = retrieve.collapse(few.where(F.col("ranker") == name), F.col("f")).select("qid", "rank", "doc_id").collect()
+        want = retrieve.collapse(both, retrieve.rankers(both)[name]).select("qid", "rank", "doc_id").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
