@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import keep, keep_alone
 from .components import components
-from .repeats import Wanted, identified, repeated_hashes, second_pass
+from .repeats import POOL, Wanted, among, identified, repeated_hashes, second_pass
 from .textbatch import NONSPACE, Words, digest, grams, lean, mix, release, slices
 
 SHINGLE = 5
@@ -188,19 +188,21 @@ def _entries(found: list[np.ndarray], order: Order, edges: np.ndarray, percent:
     return np.concatenate(tile), np.concatenate((rows, rows[guest])), np.concatenate((at, at[guest])), home
 
 
-def _tiles(order, percent: int):
+def _tiles(order, copies, percent: int):
+    """copies: the sorted keys of documents that have no tiles, as another one of their class has them."""
     edges = sizes_of_bands(percent)
 
     def emit(batch: pa.RecordBatch, wanted: Wanted | None = None) -> Iterator[pa.RecordBatch]:
         begin = 0
-        for part in slices(batch, "text"):
+        mine = np.flatnonzero(~among(copies.value, batch.column("key").to_numpy()))
+        for part in slices(batch.take(pa.array(mine)), "text"):
             found = sets(part.column("text"))
             tile, rows, at, home = _entries(found, order.value, edges, percent)
             if wanted is None:
-                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(rows + begin)], ["hash", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(mine[rows + begin])], ["hash", "row"])
                 begin += part.num_rows
                 continue
-            held = wanted(tile, rows + begin)
+            held = wanted(tile, mine[rows + begin])
             begin += part.num_rows
             tile, rows, at, home = tile[held], rows[held], at[held], home[held]
             names: list[bytes | None] = [None] * len(found)
@@ -213,6 +215,15 @@ def _tiles(order, percent: int):
     return emit
 
 
+def _copies(described: DataFrame, classes: DataFrame) -> np.ndarray:
+    """The sorted keys of documents that stand for no class: without them a tile holds a class once. More than POOL of them
+    stay among the others, which only is slower."""
+    others = keep(described.where("n > 0").select("key").join(classes, "key", "left_anti").distinct(), "copies")
+    if others.count() > POOL:
+        return np.empty(0, np.int64)
+    return np.sort(others.toArrow().column("key").to_numpy().astype(np.int64))
+
+
 def _keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.arange(batch.num_rows))], ["hash", "row"])
 
@@ -418,7 +429,7 @@ def _marked(named: DataFrame, percent: int) -> DataFrame:
     described = described.where("shingle is null")
     classes = keep(described.where("n > 0").groupBy("class").agg(F.min("key").alias("key")), "classes")
 
-    emit = _tiles(order, percent)
+    emit = _tiles(order, spark.sparkContext.broadcast(_copies(described, classes)), percent)
     shared = repeated_hashes(slim, emit, "shingles")
     schema = T.StructType([long("tile"), name, long("n"), long("at"), T.StructField("home", T.BooleanType())])
     tiles = keep(second_pass(slim, shared, emit, emit, schema), "tiles")
