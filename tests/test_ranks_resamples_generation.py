@@ -26,6 +26,22 @@ def test_ranks_over_ranges_equal_a_sort(spark):
     assert "[qid#" in plan and ", _range#" in plan.split("row_number()")[1].split("\n")[0]
 
 
+def test_a_fusion_of_all_pairs_writes_each_ranking_once_without_its_scores(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(1 if k % 10 else 2, k, "parent", rng.choice([0.0, round(rng.uniform(-1, 1), 9)]), rng.choice([0.0, 0.0, round(rng.uniform(0, 9), 4)])) for k in range(3000)]
+    written, write = [], retrieve.kept
+    monkeypatch.setattr(retrieve, "kept", lambda df, *a, **b: written.append(set(df.columns)) or write(df, *a, **b))
+    df = spark.createDataFrame(rows, "qid long, doc_id long, parent string, dense double, lex double").repartition(5)
+    out = retrieve.hybrid_order(df)
+    got = {(r.qid, r.doc_id): r.r for r in out.collect()}
+    assert written == [{"qid", "doc_id", "lex", "_place"}, {"qid", "doc_id", "rd", "_place"}, {"qid", "doc_id", "_place"}]
+    for q in (1, 2):
+        mine = [x for x in rows if x[0] == q]
+        rd, rl = ({x[1]: n + 1 for n, x in enumerate(sorted(mine, key=lambda x: (-x[c], x[1])))} for c in (3, 4))
+        fused = {k: round(1 / (60 + rd[k]) + 1 / (60 + rl[k]), 9) for k in rd}
+        assert [got[q, k] for k in sorted(fused, key=lambda k: (-fused[k], k))] == list(range(1, len(mine) + 1))
+
+
 def outcomes(spark, groups):
     return spark.createDataFrame([(g, k, int(k < hits)) for g, n, hits in groups for k in range(n)], "g string, i long, ok int")
 
