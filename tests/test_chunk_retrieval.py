@@ -181,3 +181,41 @@ def test_an_index_of_chunks_is_saved_and_streams(spark, tmp_path, data, passages
     got = spark.read.parquet(str(tmp_path / "out")).select("qid", "mode", "citations").collect()
     want = answer.ask(passages, items, index=index, cite="parent").select("qid", "mode", "citations").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and pa.types.is_string(pa.array([x for r in got for x in r.citations]).type)
+
+
+def test_leaders_and_counts_equal_all_scores():
+    """However documents come, the best of each query and how many come before a candidate are those of one sort of all."""
+    rng = np.random.default_rng(5)
+    scores, others = rng.integers(-40, 40, (7, 500)), rng.integers(0, 9, (7, 500))
+    for step in (500, 37, 5):
+        firsts = rng.permutation(np.arange(0, 500, step))
+        best = blocks.Leaders(7, 20)
+        ahead = blocks.Ahead({q: (scores[q, q::3] / 10**9, np.arange(q, 500, 3)) for q in range(7)}, 7, 9)
+        for at in firsts.tolist():
+            # Scores come as they are before they are rounded.
+            raw = scores[:, at : at + step] + rng.uniform(-0.4, 0.4, (7, len(range(at, min(at + step, 500)))))
+            best.add(raw, others[:, at : at + step].astype(float), at)
+            ahead.add(raw, slice(0, 7), at)
+        order = [np.lexsort((np.arange(500), -scores[q])) for q in range(7)]
+        q, score, num, other = best.settle()
+        assert num.tolist() == np.concatenate([x[:20] for x in order]).tolist()
+        assert np.array_equal(score, scores[q, num]) and np.array_equal(other, others[q, num])
+        places = {(j, n): r for j, x in enumerate(order) for r, n in enumerate(x.tolist())}
+        assert ahead.counts.tolist() == [places[x] for x in zip(ahead.q.tolist(), ahead.nums.tolist(), strict=True)]
+
+
+def test_products_and_postings_make_the_same_scores(spark, data, monkeypatch):
+    """BM25 by a product of frequent terms and by postings of the others is what it is query by query; and little leaves a task."""
+    docs, items = corpus_of(spark, data)
+    index = retrieve.build_index(docs, segment=64)
+    asked = next(iter(retrieve.asked_blocks(index, items)))
+    batches = index.segments.coalesce(1).toArrow().to_batches()
+    for often in (0.0, 0.005, 2.0):
+        monkeypatch.setattr(blocks, "OFTEN", often)
+        monkeypatch.setattr(blocks, "PAIRS", 1000)
+        seg = blocks.Segment(batches[0], 0, asked)
+        dense, lex = seg.scores(slice(0, len(asked.names)))
+        assert np.array_equal(blocks.whole(dense), np.rint(seg.cosines().T * 10**9))
+        assert np.allclose(blocks.whole(lex) / 10**4, [seg.lexical(q) for q in range(len(asked.names))], atol=1.1e-4)
+    rows = list(blocks.leading_of(asked, 5)(iter(batches)))
+    assert len(rows) == len(asked.stretches()) and all(len(x.column("q")[0].as_py()) <= 8 * 2 * 5 * blocks.STRETCH for x in rows)
