@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import cells, dense
+from quillspark.plans import registry
 from quillspark.plans.q_retrieval import _document_vectors
+from tests.oracle import same
 
 DATA = "/root/testdata/sf0.01"
 
@@ -102,6 +104,27 @@ def test_scores_are_made_in_bounded_stretches():
         assert sum(sizes) == rows * queries and max(sizes, default=0) <= dense.CELLS
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A table of 8000 vectors in one batch, 400 of which ask."""
+    folder, rng = str(tmp_path_factory.mktemp("many")), np.random.default_rng(5)
+    rows = [(i, v.tolist(), i % 7) for i, v in enumerate(rng.normal(size=(8000, 8)).astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).toPandas().to_parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["top03_overfetch", "win02_parent_collapse", "top01_exact_top5", "mth08_signals", "j01_payload", "agg19_signal_aucs"])
+def test_a_task_holds_few_scores(spark, many, monkeypatch, name):
+    """The scores that are made at once are bounded, whatever a batch and a block of queries would give."""
+
+    def few(s, plain=dense.rounded):
+        assert s.size <= 1 << 18
+        return plain(s)
+
+    monkeypatch.setattr(dense, "rounded", few)
+    same(spark, many, registry.QUERIES[name], registry.ORACLES[name])
+
+
 def test_askers_of_cells():
     opened = np.array([[3, 1], [1, 2], [3, 2]])
     assert {c: x.tolist() for c, x in cells.askers_of(opened).items()} == {1: [0, 1], 2: [1, 2], 3: [0, 2]}
