@@ -36,3 +36,12 @@ def test_bm25_is_the_same_by_blocks_and_by_batches(spark, monkeypatch):
     monkeypatch.setattr(lexical, "CELLS", 512)
     monkeypatch.setattr(lexical, "ROWS", 128)
     assert rows() == whole
+
+
+@pytest.mark.parametrize("name", ["j06_hits_gold", "agg25_covers_all_gold"])
+def test_only_the_first_hits_of_a_task_are_ranked(spark, data, name, monkeypatch):
+    """What is ranked are some rows a query and task, whatever the number of documents."""
+    seen, top_k = [], dense.top_k
+    monkeypatch.setattr(dense, "top_k", lambda df, *rest: seen.append(df.groupBy("qid", F.spark_partition_id()).count().agg(F.max("count")).first()[0]) or top_k(df, *rest))
+    registry.QUERIES[name](spark, data)
+    assert seen and max(seen) <= 5
