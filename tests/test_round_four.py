@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dense, lexical
+from quillspark.operators import blocks, dense, lexical
 from quillspark.plans import registry
 
 
@@ -45,3 +46,17 @@ def test_only_the_first_hits_of_a_task_are_ranked(spark, data, name, monkeypatch
     monkeypatch.setattr(dense, "top_k", lambda df, *rest: seen.append(df.groupBy("qid", F.spark_partition_id()).count().agg(F.max("count")).first()[0]) or top_k(df, *rest))
     registry.QUERIES[name](spark, data)
     assert seen and max(seen) <= 5
+
+
+def test_leaders_that_tie_are_the_first_by_number():
+    rng = np.random.default_rng(3)
+    best, kept = blocks.Leaders(5, 10), []
+    for first in range(0, 3000, 100):
+        scores = rng.integers(-3, 4, (5, 100)) * 1.0 if first % 300 else np.zeros((5, 100))
+        best.add(scores, scores, first)
+        kept.append(scores)
+    q, score, num, _ = best.settle()
+    whole = np.concatenate(kept, 1)
+    for j in range(5):
+        by = np.lexsort((np.arange(whole.shape[1]), -whole[j]))[:10]
+        assert np.array_equal(num[q == j], by) and np.array_equal(score[q == j], whole[j][by])
