@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+from math import isqrt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import blocks, dense, lexical
+from quillspark.operators import blocks, dense, lexical, retrieve
 from quillspark.plans import registry
 
 
@@ -48,6 +51,25 @@ def test_only_the_first_hits_of_a_task_are_ranked(spark, data, name, monkeypatch
     assert seen and max(seen) <= 5
 
 
+def _text(counts: list[int]) -> str:
+    """A text whose default embedding has these counts in its first dimensions."""
+    words = [f"x{k}" for k in range(4000)]
+    at, sign = blocks.hashed_dimensions(words, retrieve.DIM)
+    return " ".join(" ".join([next(w for w, a, s in zip(words, at, sign, strict=True) if a == d and s > 0)] * n) for d, n in enumerate(counts))
+
+
+def test_cosines_halfway_between_two_places_are_rounded_up(spark):
+    """(x + y) / 1024 has ten places and ends in 5; the sum of products of rounded unit vectors falls on either side of it."""
+    some = product(range(1, 200, 10), range(2, 200, 12), range(301, 700, 14), range(101, 400, 18))
+    left = {v: 2 * 512**2 - sum(x * x for x in v) for v in some}
+    vectors = [(*v, isqrt(r)) for v, r in left.items() if r > 0 and isqrt(r) ** 2 == r][:40]
+    assert len(vectors) == 40
+    docs = spark.createDataFrame([(k, _text(v), "") for k, v in enumerate(vectors)], "doc_id long, text string, parent string")
+    items = spark.createDataFrame([(0, _text([1, 1]))], "item_id long, text string")
+    found = {r.doc_id: r.dense for r in retrieve.candidates(docs, items).collect()}
+    assert found == {k: ((v[0] + v[1]) * 10**9 // 1024 + 1) / 10**9 for k, v in enumerate(vectors)}
+
+
 def test_leaders_that_tie_are_the_first_by_number():
     rng = np.random.default_rng(3)
     best, kept = blocks.Leaders(5, 10), []
