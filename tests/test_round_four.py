@@ -82,3 +82,26 @@ def test_leaders_that_tie_are_the_first_by_number():
     for j in range(5):
         by = np.lexsort((np.arange(whole.shape[1]), -whole[j]))[:10]
         assert np.array_equal(num[q == j], by) and np.array_equal(score[q == j], whole[j][by])
+
+
+def test_samples_count_the_documents_once(spark, data, monkeypatch):
+    """Turns repeat the questions, not the index."""
+    made, counted, postings = [], lexical.counted, lexical.postings
+    monkeypatch.setattr(lexical, "counted", lambda *x: made.append(1) or counted(*x))
+    monkeypatch.setattr(lexical, "postings", lambda *x: made.append(1) or postings(*x))
+    assert {(r.stage, r.n) for r in registry.QUERIES["har01_latency_samples"](spark, data).collect()} == {("lexical", 3), ("dense", 3), ("total", 3)}
+    assert made == [1]
+
+
+def test_nearest_takes_up_rows_of_many_batches(spark):
+    """Equal and nearly equal scores: only what may be among the best is rounded, and nothing is lost by that."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    rows = [(k, (base[k % 40] * (1 + k % 3) + (k % 7 == 0) * 1e-10).tolist()) for k in range(6000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    got = {(r.qid, r["rank"]): r.vec_id for r in dense.exact_top_k(vectors, asked, 5).collect()}
+    m = np.array([x for _, x in rows])
+    s = dense.cosines(m[::20], m)
+    best = np.lexsort((np.broadcast_to(np.arange(6000), s.shape), -s), axis=1)[:, :5]
+    assert got == {(20 * j, n + 1): int(v) for j, row in enumerate(best) for n, v in enumerate(row)}
