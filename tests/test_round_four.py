@@ -42,6 +42,12 @@ def test_bm25_is_the_same_by_blocks_and_by_batches(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_bm25_without_queries_or_documents_has_no_rows(spark):
+    docs, items = _corpus(spark)
+    for some in ((docs, items.limit(0)), (docs.limit(0), items), (docs, items.where("text = ''"))):
+        assert lexical.bm25(lexical.counted(*some)).count() == lexical.bm25(lexical.counted(*some), 5).count() == 0
+
+
 @pytest.mark.parametrize("name", ["j06_hits_gold", "agg25_covers_all_gold"])
 def test_only_the_first_hits_of_a_task_are_ranked(spark, data, name, monkeypatch):
     """What is ranked are some rows a query and task, whatever the number of documents."""
